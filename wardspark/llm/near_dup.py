@@ -43,7 +43,7 @@ from wardspark.llm._words import shingle_sets
 
 SKETCH = 32
 ESTIMATE = 128
-CHUNK = 192
+CHUNK = 512
 #: An estimate may fall short of the limit by so many of its standard deviations.
 MARGIN = 5.0
 
@@ -124,9 +124,11 @@ def _forest(members: list[tuple[int, np.ndarray, int, int]], percent: int, neede
     n = len(members)
     flat = np.concatenate([m[1][:SKETCH] for m in members])
     owner = np.repeat(np.arange(n), [min(len(m[1]), SKETCH) for m in members])
-    values, at = np.unique(flat, return_inverse=True)
-    held = np.zeros((n, len(values)), dtype=np.float32)
-    held[owner, at] = 1
+    values, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1  # a value of one member overlaps with nothing
+    some = times[at] > 1
+    held = np.zeros((n, int((times > 1).sum())), dtype=np.float32)
+    held[owner[some], shared[at[some]]] = 1
     overlap = held @ held.T
     sizes = np.array([len(m[1]) for m in members])
     must = np.where(100 * sizes <= percent * SKETCH, -(-sizes * percent // 100), needed_)
@@ -165,7 +167,7 @@ def _linked(chunks: DataFrame, width: int, percent: int) -> DataFrame:
         if len(members) > 1:
             yield found()
 
-    dealt = chunks.select("chunk", "node", "digest", "component", "side", "text").repartition("chunk").sortWithinPartitions("chunk")
+    dealt = chunks.select("chunk", "node", "digest", "component", "side", "text").repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk").sortWithinPartitions("chunk")
     return dealt.mapInArrow(run, "a long, b long")
 
 
