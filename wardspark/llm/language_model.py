@@ -37,13 +37,13 @@ from wardspark.llm._shared import cut, table
 from wardspark.llm._words import mix, slices, word_hashes, words
 
 A = 50.0
-SHARD_TOKENS = 1_500_000
+SHARD_TOKENS = 1_000_000
 SHARDS_PER_TASK = 4
 BEGIN, END = np.uint64(1), np.uint64(2)
 #: Log values are kept as 16-bit steps of this range.
 LOW, HIGH = -16.0, 14.0
 _U = np.uint64
-_SLICE, _ROWS = 6 << 20, 1 << 15
+_SLICE, _ROWS = 2 << 20, 1 << 15
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
