@@ -191,9 +191,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = families.select("pivot", "node", "part").union(pivot_rows)
     digests = reps.select("node", "digest")
 
+    texts = cut(members.select("node").distinct().join(digests, "node").join(docs.select(F.col("doc_id").alias("node"), "text"), "node"))
+
     def with_text(chunks: DataFrame) -> DataFrame:
-        nodes = cut(chunks.select("node").distinct().join(digests, "node").join(docs.select(F.col("doc_id").alias("node"), "text"), "node"))
-        return chunks.join(nodes, "node")
+        return chunks.join(texts, "node")
 
     first = members.select(F.struct("pivot", "part", F.lit(-1).alias("other")).alias("chunk"), "node", F.col("node").alias("component"), F.lit(-1).alias("side"))
     flat = first.withColumn("chunk", F.concat_ws(":", "chunk.pivot", "chunk.part", "chunk.other"))
