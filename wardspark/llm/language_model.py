@@ -211,7 +211,7 @@ def _read(data: bytes, base_key: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _scored(parts: list[tuple[bytes, int]], corpus: Corpus) -> pa.RecordBatch:
-    """Partial sums per document over the tokens of one shard."""
+    """Partial sums over the tokens of one shard, one row for each run of documents."""
     w, context, key, train = (np.concatenate(x) for x in zip(*(_read(*p) for p in parts)))
     order = np.lexsort((context, w))
     w, context, key, train = w[order], context[order], key[order], train[order]
@@ -234,9 +234,32 @@ def _scored(parts: list[tuple[bytes, int]], corpus: Corpus) -> pa.RecordBatch:
     as_context = np.where(all_words == END, 0.0, np.log10(c_word + A))
     keys, doc = np.unique(key, return_inverse=True)
     n_known, base, score = _per_doc(len(keys), doc, c_word[of_word] > 0, np.log10(c_word + 0.5)[of_word], found[of_pair] - as_context[of_word])
-    none = pa.nulls(len(keys), pa.int64())
-    columns = [pa.array(keys), none, pa.nulls(len(keys), pa.bool_()), none, pa.array(n_known), pa.array(base), pa.array(score)]
-    return pa.RecordBatch.from_arrays(columns, names=list(_FIELDS))
+    cuts = np.flatnonzero(np.diff(keys // _ROWS, prepend=-1))
+    rows = []
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
+        part = [(keys[a:b] % _ROWS).astype("<u2"), n_known[a:b].astype("<u4"), base[a:b], score[a:b]]
+        rows.append((int(keys[a]) // _ROWS * _ROWS, 0, b"".join(x.tobytes() for x in part)))
+    return _rows(rows)
+
+
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["base_key", "kind", "data"])
+
+
+def _summed(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """The documents of one run, with the partial sums of all shards added."""
+    about = next(pa.ipc.open_stream(data).read_next_batch() for kind, data in parts if kind)
+    known, base, score = (about.column(_FIELDS.index(c)).to_numpy().copy() for c in ("n_known", "base", "score"))
+    for kind, data in parts:
+        if not kind:
+            n = len(data) // 22
+            at = np.frombuffer(data, "<u2", n)
+            known[at] += np.frombuffer(data, "<u4", n, 2 * n)
+            base[at] += np.frombuffer(data, "<f8", n, 6 * n)
+            score[at] += np.frombuffer(data, "<f8", n, 14 * n)
+    columns = [about.column(i) for i in range(1, 4)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(known), pa.array(base), pa.array(score)], names=list(_FIELDS[1:]))
 
 
 def scores(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -244,12 +267,12 @@ def scores(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     corpus = gathered(docs, shard_tokens)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts = None, []
         for batch in batches:
             for shard, base_key, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind:
-                    yield from pa.ipc.open_stream(data)
+                    yield _rows([(base_key, 1, data)])
                     continue
                 if shard != current:
                     if parts:
@@ -259,10 +282,22 @@ def scores(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
         if parts:
             yield _scored(parts, corpus)
 
+    def sum_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts = None, []
+        for batch in batches:
+            for base_key, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if base_key != current:
+                    if parts:
+                        yield _summed(parts)
+                    current, parts = base_key, []
+                parts.append((kind, data))
+        if parts:
+            yield _summed(parts)
+
     tasks = max(1, math.ceil(corpus.shards / SHARDS_PER_TASK))
     dealt = _scattered(docs, corpus).repartition(tasks, "shard").sortWithinPartitions("shard")
-    partial = dealt.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
-    sums = partial.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    partial = dealt.mapInArrow(score_shards, "base_key long, kind int, data binary").repartition(tasks, "base_key").sortWithinPartitions("base_key")
+    sums = partial.mapInArrow(sum_runs, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     return sums.select(
         "doc_id",
         "held_out",
