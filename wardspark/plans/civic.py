@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,14 +11,16 @@ from wardspark.operators import ranking, temporal
 from wardspark.plans.registry import query
 from wardspark.plans.standins import FACTS, facts, t
 
-_MEASURES = {"total": F.lit(True), "urgent": F.col("priority") == "1-URGENT", "open": F.col("status") == "O"}
+
+def _measures() -> dict[str, Column]:
+    return {"total": F.lit(True), "urgent": F.col("priority") == "1-URGENT", "open": F.col("status") == "O"}
 
 
 @query(f"""WITH {FACTS}, m AS (SELECT unnest(generate_series(date_trunc('month', min(day)), date_trunc('month', max(day)), INTERVAL 1 MONTH)) AS s FROM facts)
   SELECT strftime(s, '%Y-%m') AS month, count(id) AS total, count(id) FILTER (priority = '1-URGENT') AS urgent, count(id) FILTER (status = 'O') AS open FROM m LEFT JOIN facts ON date_trunc('month', day) = s GROUP BY s""")
 def monthly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-6 FN-10: every month between the first and the last, zero where nothing happened."""
-    return temporal.monthly(facts(spark, sf_dir), "day", _MEASURES)
+    return temporal.monthly(facts(spark, sf_dir), "day", _measures())
 
 
 @query(f"""WITH {FACTS}, m AS (SELECT unnest(generate_series(date_trunc('month', min(day)), date_trunc('month', max(day)), INTERVAL 1 MONTH)) AS s FROM facts)
@@ -27,7 +29,7 @@ def monthly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def monthly_by_district(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-7: the same for each district; a district without rows gets zeros."""
     keys = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("district"))
-    return temporal.monthly(facts(spark, sf_dir), "day", _MEASURES, keys)
+    return temporal.monthly(facts(spark, sf_dir), "day", _measures(), keys)
 
 
 _WINDOWS = f"""WITH {FACTS}, a AS (SELECT max(day) AS anchor, min(day) AS earliest FROM facts),
