@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wardspark.llm._bpe import encoder
-from wardspark.llm._shared import table
+from wardspark.llm._shared import cut, table
 
 
 def rank_file() -> str:
@@ -102,8 +102,9 @@ def length_histogram(lengths: DataFrame, block: int = 1024) -> DataFrame:
     tokens shorter follow from the totals.  truncated_tokens is the number of
     tokens left when every document is cut to n_tokens.  Sums run inside blocks
     of lengths first and then over the blocks, so no task gets all lengths.
+    The counts are written once, since two branches read them and would encode twice.
     """
-    counts = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / block))
+    counts = cut(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / block)))
     tokens = F.col("n_docs") * F.col("n_tokens")
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum(tokens).alias("tokens"))
     later, whole = Window.orderBy(F.col("block").desc()), Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
