@@ -38,7 +38,7 @@ def read_ways(spark: SparkSession, path: str) -> DataFrame:
 
 def read_members(spark: SparkSession, path: str, schema: str, pattern: str = "*.csv") -> DataFrame:
     """CSV members with a header below path; files of other names (metadata) are skipped."""
-    return spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).schema(schema).csv(path)
+    return spark.read.option("header", True).option("escape", '"').option("recursiveFileLookup", True).option("pathGlobFilter", pattern).schema(schema).csv(path)
 
 
 def latest_period(df: DataFrame) -> DataFrame:
