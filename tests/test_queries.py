@@ -1,5 +1,7 @@
 """Every registered civic query with SQL against DuckDB on the smallest data, and literal cases."""
 
+import re
+
 import duckdb
 import pandas as pd
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from wardspark.functions import scalars
 from wardspark.operators import gates, ranking, spatial
 from wardspark.plans import registry
+from wardspark.sources import files
 
 registry.load()
 DATA = "/root/testdata/sf0.001"
@@ -62,3 +65,29 @@ def test_projection_central_meridian(spark):
     e, n = scalars.utm16(F.lit(-87.0), F.lit(0.0))
     r = spark.range(1).select(e.alias("e"), n.alias("n")).first()
     assert abs(r.e - 500000) < 1e-6 and abs(r.n) < 1e-6
+
+
+def test_deduped_items_against_brute_force(spark):
+    pages = pd.read_parquet(f"{DATA}/pages.parquet").sort_values("page_id")
+    seen, kept = set(), []
+    for p in pages.itertuples():
+        title = " ".join((re.search("<title>([^<]*)</title>", p.html) or ["", ""])[1].lower().split())
+        keys = {("host", re.match("https?://([^/:?#]+)", p.url)[1]), ("title", title)} - {("title", "")}
+        if not keys & seen:
+            seen |= keys
+            kept.append(p.page_id)
+    assert sorted(r.page_id for r in registry.QUERIES["deduped_items"](spark, DATA).collect()) == kept
+
+
+def test_contract_and_rebuild_gates(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "z", 3), (3, None, 4)], "id long, k string, n int")
+    assert sorted(tuple(r) for r in gates.value_faults(df, "id", {"k": ("a", "b")}, ["k", "n"]).collect()) == [(1, "null in n"), (2, "value of k"), (3, "null in k")]
+    d = spark.createDataFrame([(5, 5, True), (5, 4, True), (5, 9, None)], "a int, b int, ok boolean")
+    assert [(r.kept, r.n) for r in gates.stronger(d, "a", "b", F.col("ok")).collect()] == [("rebuilt", 5), ("published", 5), ("published", 5)]
+
+
+def test_column_named(spark):
+    df = spark.createDataFrame([(1, 2)], "Ward_ID int, x int")
+    assert files.column_named(df, "id", "ward_id") == "Ward_ID"
+    with pytest.raises(ValueError):
+        files.column_named(df, "name")

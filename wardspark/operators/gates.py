@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,19 @@ def schema_faults(df: DataFrame, contract: T.StructType) -> list[str]:
     return sorted([f"missing {c}" for c in want.keys() - have.keys()] + [f"extra {c}" for c in have.keys() - want.keys()] + [f"type of {c}" for c in want.keys() & have.keys() if want[c] != have[c]])
 
 
+def value_faults(df: DataFrame, key: str, allowed: dict[str, tuple[str, ...]], required: list[str]) -> DataFrame:
+    """(key, fault): a row for each column whose value is null though required, or not one of the allowed."""
+    bad = [F.when(~F.col(c).isin(*v), F.lit(f"value of {c}")) for c, v in allowed.items()]
+    bad += [F.when(F.col(c).isNull(), F.lit(f"null in {c}")) for c in required]
+    return df.select(key, F.explode(F.array_compact(F.array(*bad))).alias("fault"))
+
+
+def stronger(df: DataFrame, old: str, new: str, complete: Column) -> DataFrame:
+    """df with ``kept`` and ``n``: the rebuild only where it is complete and has no fewer rows than what is published."""
+    good = F.coalesce(complete & (F.col(new) >= F.col(old)), F.lit(False))
+    return df.withColumns({"kept": F.when(good, "rebuilt").otherwise("published"), "n": F.when(good, F.col(new)).otherwise(F.col(old))})
+
+
 def names_of_individuals(df: DataFrame, name: str, kind: str) -> DataFrame:
     return df.filter((F.coalesce(F.col(name), F.lit("")) != "") & (F.col(kind) != "business"))
 

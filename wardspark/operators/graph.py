@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardspark.sources.files import checkpoint_ready
+
 
 def clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, cluster): cluster is the least id that can be reached.  nodes: id; links: a, b.
@@ -14,10 +14,7 @@ def clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Labels are cut by checkpoint() after each round, in the folder that the
     cluster names in spark.checkpoint.dir.
     """
-    spark = nodes.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    checkpoint_ready(nodes.sparkSession)
     both = links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint()
     labels = nodes.select("id", F.col("id").alias("cluster")).checkpoint()
     while True:

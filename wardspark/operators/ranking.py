@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wardspark.sources.files import checkpoint_ready
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key in the given order."""
@@ -54,6 +56,7 @@ def dedupe_by_either(df: DataFrame, a: str, b: str, order: str) -> DataFrame:
     drops what shares a key with them; a chain of n rows takes at most n rounds
     but rounds end when nothing is left.
     """
+    checkpoint_ready(df.sparkSession)
     rest, kept = df, None
     while True:
         firsts = rest

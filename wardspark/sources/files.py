@@ -22,9 +22,24 @@ def shared_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def checkpoint_ready(spark: SparkSession) -> None:
+    """Sets the folder that checkpoint() needs, only where the session has none."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_path(spark))
+
+
 # Readers.
 
 
+def column_named(df: DataFrame, *names: str) -> str:
+    """The first column whose name is one of ``names``, by any case; a plan-time check."""
+    found = {c.lower(): c for c in reversed(df.columns)}
+    for n in names:
+        if n.lower() in found:
+            return found[n.lower()]
+    raise ValueError(f"none of {names} in {df.columns}")
+
+
 def named_ways(raw: DataFrame) -> DataFrame:
     """(id, name, highway, line) of the ways with a name and two points or more; raw has the column elements."""
     e = raw.select(F.explode("elements").alias("e")).select("e.*").filter("type = 'way'")
