@@ -71,6 +71,25 @@ def test_substring(docs):
     assert rest[8] == TEXTS[8] and "passage30 " not in rest[9] and rest[0] is None and rest[None] == "null id"
 
 
+def test_substring_spans_stand_in_their_first_document(spark):
+    """What a document is the first to hold stays in it; brute force on texts put together from common parts."""
+    p, q = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("p", 32), ("q", 16)))
+    rng = np.random.default_rng(3)
+    parts = [" ".join(f"{k}word{i}" for i in range(rng.integers(3, 40))) for k in range(12)] + ["same " * 90, "same " * 200]
+    texts = [f"a b c {p} d e f", f"g h i {p} {q} j k l", f"m n o {p} {q} r s t"] + [" ".join(parts[k].strip() for k in rng.integers(0, len(parts), 6)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = substring.spans(docs).select("row.doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*").collect()
+    words = lambda t: f" {' '.join(t.lower().split())} "
+    assert {r.first_doc for r in found if r.doc_id == 2} == {0, 1}
+    for r in found:
+        assert r.first_doc <= r.doc_id and words(texts[r.doc_id][r.start : r.end]) in words(texts[r.first_doc])
+    rest = {r.doc_id: r.text for r in substring.without_repeats(docs).collect()}
+    assert "q4 q5 q6 q7 q8 q9 q10 q11" in rest[1] and "q8" not in rest[2] and "p16" not in rest[1]
+    for part in parts:
+        held = [rest[i] for i, t in enumerate(texts) if words(part) in words(t)]
+        assert not held or all(any(w in t.split() for t in held) for w in part.split())
+
+
 def test_personal_base():
     base = personal.base_spans(TEXTS[7])
     assert [s[0] for s in base] == ["email", "ip", "phone"]

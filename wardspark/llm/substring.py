@@ -6,11 +6,14 @@ find back after an insertion or deletion.  Chunks average four words; a digest
 covers ``WIDTH`` chunks in a row, so that a common phrase alone is no repeat.
 Chunks under a digest that several documents hold are repeats, and a run of
 them counts from ``MIN_WORDS`` words on.  The document of the least doc_id that
-holds a passage keeps it.
+holds a passage keeps it.  A run that earlier documents hold by parts is cut
+where the document or the place in it changes, so that every part stands as it
+is in its first document, and what a document is itself the first to hold stays.
 
-Digests travel as (digest, doc) rows; finding the shared ones is a partial
+Digests travel as (digest, doc, place) rows; finding the shared ones is a partial
 aggregate, so a chunk that a third of all documents share costs one row per
-task, and only shared digests are joined back.
+task, and only shared digests are joined back, with the least document and the
+place (number of the chunk) there.
 
 Defined results: a null or empty text has no chunks; a document has no repeat
 with itself alone (rows that share a doc_id are one document); a row without
@@ -85,62 +88,70 @@ def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _digest_rows(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id): the distinct digests of every text."""
+    """(digest, doc_id, at): the distinct digests of every text, and the first chunk under each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            found = [np.unique(d) for d, _, _, _ in chunks(batch.column(1))]
-            owners = np.repeat(ids, [len(x) for x in found]).astype(np.int64)
-            digests = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+            found = [np.unique(d, return_index=True) for d, _, _, _ in chunks(batch.column(1))]
+            owners = np.repeat(ids, [len(x) for x, _ in found]).astype(np.int64)
+            digests = np.concatenate([*(x for x, _ in found), np.zeros(0, np.uint64)]).view(np.int64)
+            places = np.concatenate([*(x for _, x in found), np.zeros(0, np.int64)]).astype(np.int64)
             for k in range(0, len(digests), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(digests[k : k + 100_000]), pa.array(owners[k : k + 100_000])], names=["digest", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (digests, owners, places)], names=["digest", "doc_id", "at"])
 
-    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "digest long, doc_id long")
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "digest long, doc_id long, at long")
 
 
 def shared_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, shared array<struct<digest, first_doc>>): the digests of each document that other documents hold too."""
+    """(doc_id, shared array<struct<digest, first_doc, first_at>>): the digests of each document that other documents hold too."""
     rows = _digest_rows(docs)
-    shared = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc").drop("last_doc")
-    return rows.join(shared, "digest").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "first_doc")).alias("shared"))
+    shared = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min_by("at", "doc_id").alias("first_at")).filter("first_doc < last_doc").drop("last_doc")
+    return rows.drop("at").join(shared, "digest").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "first_doc", "first_at")).alias("shared"))
 
 
-def passages(windows: list[int], n: list[int], first: dict[int, int]) -> Iterator[tuple[int, int, int]]:
-    """(first chunk, last chunk + 1, first document) of the repeated passages of one text.
+def passages(windows: list[int], n: list[int], first: dict[int, tuple[int, int]], own: int) -> Iterator[tuple[int, int, int]]:
+    """(first chunk, last chunk + 1, first document) of the repeated passages of one text, the document ``own``.
 
-    Inside a run a stretch of another first document counts by itself from
-    MIN_WORDS words on; a shorter one goes with the stretch before it.
+    A chunk goes to the least document of the windows over it.  Inside a run of
+    MIN_WORDS words or more, chunks in a row that earlier documents hold count
+    from MIN_WORDS words on, each part by its own first document and place; the
+    rest of the run is this document's own.
     """
-    holders: list[int | None] = [None] * len(n)
-    for k, w in enumerate(windows):
-        if (doc := first.get(w)) is not None:
-            for i in range(k, min(k + WIDTH, len(n))):
-                holders[i] = doc if holders[i] is None else min(doc, holders[i])
+    hits = [first.get(w) for w in windows]
+    held: list[tuple[int, int] | None] = []
+    for i in range(len(n)):
+        best, follow = None, None
+        if held and held[-1] is not None:
+            follow = (held[-1][0], held[-1][1] + 1)
+        for k in range(max(0, i - WIDTH + 1), min(i + 1, len(hits))):
+            if (hit := hits[k]) is not None and (best is None or hit[0] < best[0] or (hit[0] == best[0] and best != follow)):
+                best = (hit[0], hit[1] + i - k)
+        held.append(best)
     k = 0
     while k < len(n):
-        if holders[k] is None:
+        if held[k] is None:
             k += 1
             continue
         end = k
-        stretches: list[list[int]] = []  # words, first chunk, last chunk + 1, first document
-        while end < len(n) and holders[end] is not None:
-            if stretches and stretches[-1][3] == holders[end]:
-                stretches[-1][0] += n[end]
-                stretches[-1][2] = end + 1
-            else:
-                stretches.append([n[end], end, end + 1, holders[end]])
+        while end < len(n) and held[end] is not None:
             end += 1
-        if sum(s[0] for s in stretches) >= MIN_WORDS:
-            long = [s for s in stretches if s[0] >= MIN_WORDS] or [max(stretches)]
-            starts = [k, *[s[1] for s in long[1:]], end]
-            merged: list[list[int]] = []
-            for s, a, b in zip(long, starts[:-1], starts[1:]):
-                if merged and merged[-1][2] == s[3]:
-                    merged[-1][1] = b
-                else:
-                    merged.append([a, b, s[3]])
-            yield from map(tuple, merged)
+        if sum(n[k:end]) >= MIN_WORDS:
+            kept = k  # the first chunk of this document's own since the last part of another
+            while k < end:
+                stop = k + 1
+                if held[k][0] != own:
+                    while stop < end and held[stop][0] != own:
+                        stop += 1
+                    if sum(n[k:stop]) >= MIN_WORDS:
+                        if kept < k:
+                            yield kept, k, own
+                        cuts = [k, *(i for i in range(k + 1, stop) if held[i] != (held[i - 1][0], held[i - 1][1] + 1)), stop]
+                        yield from ((x, y, held[x][0]) for x, y in zip(cuts[:-1], cuts[1:]))
+                        kept = stop
+                k = stop
+            if kept < end:
+                yield kept, end, own
         k = end
 
 
@@ -151,12 +162,13 @@ def spans(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for known, text, (windows, a, b, n) in zip(batch.column("shared"), batch.column("text"), chunks(batch.column("text"))):
+            for own, known, text, (windows, a, b, n) in zip(batch.column("_id"), batch.column("shared"), batch.column("text"), chunks(batch.column("text"))):
                 made = []
                 if known.is_valid:
-                    first = dict(zip(known.values.field("digest").to_pylist(), known.values.field("first_doc").to_pylist()))
+                    digests, holders, places = (known.values.field(c).to_pylist() for c in ("digest", "first_doc", "first_at"))
+                    first = dict(zip(digests, zip(holders, places)))
                     raw, n = text.as_py().encode(), n.tolist()
-                    for x, y, doc in passages(windows.view(np.int64).tolist(), n, first):
+                    for x, y, doc in passages(windows.view(np.int64).tolist(), n, first, own.as_py()):
                         start = len(raw[: a[x]].decode())
                         made.append({"start": start, "end": start + len(raw[a[x] : b[y - 1]].decode()), "words": sum(n[x:y]), "first_doc": doc})
                 out.append(made)
@@ -164,7 +176,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(F.col("doc_id").alias("_id"), row.alias("row"))
-    joined = keyed.join(shared_digests(docs).withColumnRenamed("doc_id", "_id"), "_id", "left").select("row", "row.text", "shared")
+    joined = keyed.join(shared_digests(docs).withColumnRenamed("doc_id", "_id"), "_id", "left").select("_id", "row", "row.text", "shared")
     return joined.mapInArrow(run, f"row {keyed.schema['row'].dataType.simpleString()}, spans array<struct<start:int,end:int,words:int,first_doc:bigint>>")
 
 
