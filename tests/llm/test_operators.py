@@ -109,6 +109,19 @@ def test_sharding_law(docs):
     pd.testing.assert_frame_equal(out.sort_values(key).reset_index(drop=True), again.sort_values(key).reset_index(drop=True))
 
 
+def test_sharding_query_reads_the_written_records(spark, tmp_path):
+    """The digests are of the records in the shards that write_shards lays out for the same table and seed."""
+    texts = {i: None if i == 5 else f"text {i} " * (1 + 900 * (i % 40)) for i in range(120)}
+    spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in sharding.op7_external_shuffle(spark, str(tmp_path)).collect()}
+    assert {i: (r["size"], r.text_crc32) for i, r in got.items()} == {i: (len(t or "") + 16, zlib.crc32((t or "").encode())) for i, t in texts.items()}
+    sharding.write_shards(spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path / "shards"))
+    written = spark.read.parquet(str(tmp_path / "shards")).select("row.doc_id", "row.text", "row.lang", "shard", "slot").collect()
+    assert {r.doc_id: (r.text, r.lang) for r in written} == {i: (t, "en") for i, t in texts.items()} and len(written) == len(texts)
+    assert {r.doc_id: (r.shard, r.slot) for r in written} == {i: (r.shard, r.slot) for i, r in got.items()}
+    assert len({(r.shard, r.slot) for r in written}) == 120 and {r.shard for r in written} == set(range(40))
+
+
 def test_packing(docs):
     p = packing.packed(packing.pieces_of(docs, tokens.rank_file())).toPandas()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

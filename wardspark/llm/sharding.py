@@ -1,9 +1,10 @@
 """Sharding: a two-pass external shuffle in DataFrame operations.
 
-Pass one scatters the rows uniformly into memory-sized buckets by a seeded hash
-and writes the buckets to shared storage.  Pass two shuffles each bucket by
-Fisher-Yates, whose draws are seeded hashes of (bucket, step), and lays the
-buckets end to end; cutting that order into runs gives the shards.  Everything
+Pass one scatters the rows uniformly into memory-sized buckets by a seeded hash,
+buckets in a row to one task.  Pass two shuffles each bucket by Fisher-Yates,
+whose draws are seeded hashes of (bucket, step), and lays the buckets end to
+end; cutting that order into runs gives the shards, which are written from
+there, so a record is shuffled once.  Everything
 is a function of the rows and the seed, so a task that runs again after a lost
 executor makes the same rows.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from wardspark.llm._shared import cut, let, table, text_of
+from wardspark.llm._shared import cut, let, scratch, table, text_of
 
 SHARDS = 40
 SEED = 20240229
@@ -64,15 +65,15 @@ def external_shuffle(rows: DataFrame, shards: int, seed: int = SEED, row_bytes:
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
     buckets = max(1, math.ceil(n / bucket_rows), math.ceil(total / bucket_bytes))
     row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
-    scattered = rows.select(row.alias("row"), F.xxhash64(F.lit(seed), row).alias("key"))
-    grouped = cut(scattered.groupBy(F.pmod("key", F.lit(buckets)).alias("bucket")).agg(F.sort_array(F.collect_list(F.struct("key", "row"))).alias("rows")))
+    scattered = rows.select(row.alias("row"), F.xxhash64(F.lit(seed), row).alias("key")).withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    grouped = scattered.repartitionByRange("bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("key", "row"))).alias("rows"))
 
     # Offsets of the buckets: running sums inside runs of 4096 buckets, then over the runs.
-    sizes = grouped.select("bucket", F.size("rows").cast("long").alias("n"), F.floor(F.col("bucket") / 4096).alias("run"))
+    sizes = cut(scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("run", F.floor(F.col("bucket") / 4096)))
     runs = sizes.groupBy("run").agg(F.sum("n").alias("n"))
     before = runs.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("run_offset"))
     inside = F.sum("n").over(Window.partitionBy("run").orderBy("bucket")) - F.col("n")
-    offsets = sizes.withColumn("inside", inside).join(before, "run").select("bucket", (F.col("run_offset") + F.col("inside")).alias("offset"))
+    offsets = cut(sizes.withColumn("inside", inside).join(before, "run").select("bucket", (F.col("run_offset") + F.col("inside")).alias("offset")))
 
     places = fisher_yates(F.size("rows"), F.xxhash64(F.lit(seed), F.col("bucket")))
     placed = grouped.join(offsets, "bucket").select("offset", F.posexplode(let(F.col("rows"), lambda r: F.transform(places, lambda k: F.get(r, k).row))).alias("place", "row"))
@@ -84,20 +85,33 @@ def external_shuffle(rows: DataFrame, shards: int, seed: int = SEED, row_bytes:
     return placed.withColumn("p", F.col("offset") + F.col("place")).select("row", shard.alias("shard"), slot.alias("slot"))
 
 
+def shuffled_records(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """external_shuffle of whole records, in buckets bounded by their bytes."""
+    return external_shuffle(rows, shards, seed, row_bytes=F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))).cast("long"))
+
+
 def write_shards(rows: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
-    """Writes whole records as Parquet, one folder per shard, in slot order within it."""
-    out = external_shuffle(rows, shards, seed, row_bytes=F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))).cast("long"))
-    ordered = out.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot")
-    ordered.write.partitionBy("shard").parquet(path)
+    """Writes whole records as Parquet, one folder per shard, in slot order within each of its files."""
+    shuffled_records(rows, shards, seed).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
+    """(row struct, slot long, shard int) of what write_shards wrote."""
+    return spark.read.schema(T.StructType().add("row", record).add("slot", T.LongType()).add("shard", T.IntegerType())).parquet(path)
 
 
 def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = text_of()
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id",
+    """Writes the shards of all documents and reads them back; size and text_crc32 are of the text that a shard holds."""
+    docs, path = table(spark, sf_dir, "documents"), scratch(spark)
+    write_shards(docs, path)
+    shards = read_shards(spark, path, docs.schema)
+    text = text_of("row.text")
+    return shards.select(
+        "row.doc_id",
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
-    return external_shuffle(rows, SHARDS).select(
-        "row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast(T.IntegerType()).alias("grown_shard")
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast(T.IntegerType()).alias("grown_shard"),
     )
