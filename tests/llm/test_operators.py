@@ -60,6 +60,14 @@ def test_near_duplicates(docs):
     assert got[8].component_id == 8 and got[10].n_shingles == 1
 
 
+def test_estimate_keeps_links_at_the_limit():
+    """85 of the 128 least values are shared: under five sigmas, but likelier than 1e-9 at a similarity of 0.85."""
+    both, a, b = np.arange(85), np.arange(85, 107), np.arange(107, 128)
+    far = np.arange(1000, 1400)
+    x, y = (np.concatenate([both, own, far]).astype(np.uint64) for own in (a, b))
+    assert near_dup._alike(x, y, 85) and not near_dup._alike(x, np.concatenate([y, np.arange(2000, 2050).astype(np.uint64)]), 85)
+
+
 def test_near_duplicates_of_no_rows(docs):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 

@@ -28,6 +28,7 @@ share a node; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -44,10 +45,9 @@ from wardspark.llm._words import shingle_sets
 SKETCH = 32
 ESTIMATE = 128
 CHUNK = 512
-#: An estimate may fall short of the limit by so many of its standard deviations.
-MARGIN = 5.0
 
 
+@functools.cache
 def needed(percent: int, size: int = SKETCH, chance: float = 1e-9) -> int:
     """The largest c so that fewer than c of ``size`` union values are shared with at most ``chance``."""
     t, c, total = percent / 100, 0, 0.0
@@ -98,9 +98,8 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if len(a) > 2 * ESTIMATE:
         x, y = a[:ESTIMATE], b[:ESTIMATE]
         union = np.union1d(x, y)[:ESTIMATE]
-        both = np.count_nonzero(np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)) / len(union)
-        t = percent / 100
-        if both < t - MARGIN * math.sqrt(t * (1 - t) / len(union)):
+        both = np.count_nonzero(np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True))
+        if both < needed(percent, len(union)):
             return False
     joined = np.sort(np.concatenate([a, b]), kind="stable")
     shared = int(np.count_nonzero(joined[1:] == joined[:-1]))
