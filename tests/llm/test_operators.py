@@ -106,6 +106,13 @@ def test_personal_base():
     assert personal.all_spans("", model) == ([], [])
 
 
+def test_long_tokens_are_candidates():
+    """A key on one line is a candidate at any length."""
+    for n in (512, 513, 20_000):
+        (span, votes, _), = personal.candidates("secret: " + ("aB3dE5fG" * n)[:n] + " end")
+        assert span == ("secret", 8, 8 + n) and votes[2] == "1"
+
+
 def test_sharding_law(docs):
     rows = docs.select("doc_id", "text", "shard")
     out = sharding.external_shuffle(rows, 4, bucket_rows=3).select("row.doc_id", "shard", "slot").toPandas()

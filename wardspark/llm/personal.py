@@ -42,7 +42,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_/+-]{20,512}(?![0-9A-Za-z_/+-])")
+_TOKEN = re.compile(r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_/+-]{20,}+(?![0-9A-Za-z_/+-])")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z.+-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{2,3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])")
 
 
