@@ -44,3 +44,31 @@ def cut(df: DataFrame) -> DataFrame:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: a lambda variable is not inlined as a column would be."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: A key counts as hot if it has more than 1 / HOT of the rows; so there are fewer than HOT of them.
+HOT = 1000
+#: So many rows of a few numbers may be broadcast (some 10 MB); beyond that the join is shuffled.
+FEW = 200_000
+
+
+def join_few(rows: DataFrame, few: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """rows joined with a table of narrow rows that is broadcast only if it is counted to be small."""
+    return rows.join(F.broadcast(few) if few.limit(FEW + 1).count() <= FEW else few, on, how)
+
+
+def join_spread(rows: DataFrame, found: DataFrame, key: str, size: str, value: str) -> DataFrame:
+    """rows with ``value`` of found (one row a key; size: how many of rows have the key), null where there is none.
+
+    The hot keys, fewer than HOT by their share of the sizes, are broadcast, and
+    their rows are spread evenly in the shuffle that serves all other keys.
+    """
+    total = found.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = found.filter(F.col(size) > total / HOT).select(key, F.col(value).alias("_hot"), F.lit(True).alias("_is_hot"))
+    warm = found.filter(F.col(size) <= total / HOT).select(F.col(key).alias("_key"), F.col(value).alias("_warm"))
+    kind = rows.schema[key].dataType
+    # A hot or null key gives way to a hash of the row, which cannot give a value: it is marked.
+    other = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("string").cast("binary").cast(kind) if kind.typeName() == "binary" else F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    marked = rows.join(F.broadcast(hot), key, "left").withColumn("_out", F.coalesce("_is_hot", F.col(key).isNull()))
+    joined = marked.withColumn("_key", F.when(F.col("_out"), other).otherwise(F.col(key))).join(warm, "_key", "left")
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], F.when(F.col("_out"), F.col("_hot")).otherwise(F.col("_warm")).alias(value))

@@ -1,14 +1,17 @@
-"""Vectorised words and word shingles over a batch of texts.
+"""Words and word shingles of a batch of texts.
 
 A word is a maximal run of bytes other than space and 0x09-0x0D; A-Z count as
-a-z.  Every word gets a 64-bit hash out of one prefix sum over the bytes of the
-batch, so no Python loop runs over words.  Texts are taken in slices of about
-``SLICE`` bytes, which bounds the working memory; a longer text is a slice of
-its own.
+a-z.  Every word gets a 64-bit keyed hash of its bytes (BLAKE2b), held in a
+bounded table of recent words, so two different words share a hash with chance
+2**-64 whatever they look like.  Texts are taken in slices of about ``SLICE``
+bytes, which bounds the working memory; a longer text is a slice of its own and
+is split into words piece by piece.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,27 +19,29 @@ import pyarrow as pa
 
 SLICE = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: list[np.ndarray] = []
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n, modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        made = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(max(n, SLICE), base, dtype=_U)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        if n > 4 * SLICE:  # of one very long text: not kept
-            return made[0], made[1]
-        _powers[:] = made
-    return _powers[0], _powers[1]
+class _Table(dict):
+    """Word to hash; emptied when it holds ``MOST`` words, and long words are not held."""
+
+    MOST, LONG = 1 << 18, 64
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"words").digest(), "little")
+        if len(word) <= self.LONG:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_TABLE = _Table()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -84,13 +89,29 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, at)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word, A-Z lower-cased."""
-    up, down = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum((_LOWER[data].astype(_U) + _U(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+def _hashed(raw: bytes) -> np.ndarray:
+    found = raw.lower().split()
+    return np.fromiter(map(_TABLE.__getitem__, found), _U, len(found))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """The hashes of the words of one text, in order."""
+    if len(raw) <= SLICE:
+        return _hashed(raw)
+    parts, at = [], 0
+    while at < len(raw):
+        blank = _BLANK.search(raw, at + SLICE)
+        end = blank.start() if blank else len(raw)
+        parts.append(_hashed(raw[at:end]))
+        at = end
+    return np.concatenate(parts)
+
+
+def hashed_slice(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of all texts of a slice, and the n + 1 places where each text's begin and end."""
+    raw = data.tobytes()
+    per = [word_hashes(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    return np.concatenate([np.zeros(0, _U), *per]), np.cumsum([0, *map(len, per)])
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -100,8 +121,7 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     words (empty, blank or null) has none.
     """
     for _, data, at in slices(texts):
-        starts, ends, per = words(data, at)
-        h = word_hashes(data, starts, ends)
+        h, per = hashed_slice(data, at)
         n = max(0, len(h) - width + 1)
         s = np.zeros(n, dtype=_U)
         for i in range(width):

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from wardspark.llm._elias_fano import Trie
 from wardspark.llm._shared import cut, table
-from wardspark.llm._words import mix, slices, word_hashes, words
+from wardspark.llm._words import hashed_slice, mix, slices
 
 A = 50.0
 SHARD_TOKENS = 1_000_000
@@ -67,12 +67,12 @@ def token_slices(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.n
     ids = batch.column(0).to_pylist()
     for first, data, at in slices(batch.column(1), _SLICE, _ROWS):
         docs = len(at) - 1
-        starts, ends, per = words(data, at)
+        h, per = hashed_slice(data, at)
         ended = per[1:] + np.arange(docs)
-        w = np.full(len(starts) + docs, END, dtype=_U)
+        w = np.full(len(h) + docs, END, dtype=_U)
         is_word = np.ones(len(w), dtype=bool)
         is_word[ended] = False
-        w[is_word] = word_hashes(data, starts, ends) | _U(4)  # never BEGIN or END
+        w[is_word] = h | _U(4)  # never BEGIN or END
         u = np.empty_like(w)
         u[1:] = w[:-1]
         u[np.concatenate([[0], ended[:-1] + 1])] = BEGIN

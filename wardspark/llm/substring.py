@@ -1,8 +1,9 @@
 """Substring dedup by content-defined chunking.
 
-A gear rolling hash over the last 16 bytes decides, at the end of each word,
-whether a chunk ends there, so boundaries depend on nearby content only and
-find back after an insertion or deletion.  Chunks average four words; a digest
+A gear rolling hash over the last 16 bytes of the text decides, at the end of
+each word, whether a chunk ends there, so boundaries depend on nearby content
+only and find back after an insertion or deletion; no byte of another text
+counts, so they are the same in every batch and partition.  Chunks average four words; a digest
 covers ``WIDTH`` chunks in a row, so that a common phrase alone is no repeat.
 Chunks under a digest that several documents hold are repeats, and a run of
 them counts from ``MIN_WORDS`` words on.  The document of the least doc_id that
@@ -12,8 +13,9 @@ is in its first document, and what a document is itself the first to hold stays.
 
 Digests travel as (digest, doc, place) rows; finding the shared ones is a partial
 aggregate, so a chunk that a third of all documents share costs one row per
-task, and only shared digests are joined back, with the least document and the
-place (number of the chunk) there.
+task.  Shared digests are joined back with the least document and the place
+(number of the chunk) there; the few that have a thousandth of all rows or more
+are broadcast and their rows spread, so no task gets all rows of one passage.
 
 Defined results: a null or empty text has no chunks; a document has no repeat
 with itself alone (rows that share a doc_id are one document); a row without
@@ -30,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspark.llm._shared import table
-from wardspark.llm._words import _LOWER, mix, slices, word_hashes, words
+from wardspark.llm._shared import cut, join_spread, table
+from wardspark.llm._words import _LOWER, hashed_slice, mix, slices, words
 
 MIN_WORDS = 20
 WIDTH = 3
@@ -41,12 +43,14 @@ MAX_WORDS = 16
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """At every byte the gear hash h = sum of gear[b] << age over the last 16 bytes, by doubling."""
+def gear_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """At every byte the gear hash h = sum of gear[b] << age over the last 16 bytes of the same text, by doubling."""
     h = _GEAR[_LOWER[data]]
+    behind = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))  # bytes of the text before this one
     for width in (1, 2, 4, 8):
         shifted = np.zeros_like(h)
         shifted[width:] = h[:-width] << np.uint64(width)
+        shifted[behind < width] = 0
         h = h + shifted
     return h
 
@@ -62,7 +66,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         if not len(starts):
             yield from ((none.astype(np.uint64), none, none, none) for _ in at[1:])
             continue
-        rolled = mix(gear_hashes(data)[ends - 1])
+        rolled = mix(gear_hashes(data, at)[ends - 1])
         last = rolled % np.uint64(CUT) == 0
         filled = np.flatnonzero(per[1:] > per[:-1])
         last[per[1:][filled] - 1] = True
@@ -73,7 +77,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         end = np.flatnonzero(last)
         begin = np.concatenate([[0], end[:-1] + 1])
         # The digest of a chunk: a polynomial over the hashes of its words.
-        h = word_hashes(data, starts, ends)
+        h, _ = hashed_slice(data, at)
         place = np.arange(len(h)) - np.repeat(begin, end - begin + 1)
         weights = mix(place.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
         sums = np.add.reduceat(h * weights, begin)
@@ -106,8 +110,10 @@ def _digest_rows(docs: DataFrame) -> DataFrame:
 def shared_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, shared array<struct<digest, first_doc, first_at>>): the digests of each document that other documents hold too."""
     rows = _digest_rows(docs)
-    shared = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min_by("at", "doc_id").alias("first_at")).filter("first_doc < last_doc").drop("last_doc")
-    return rows.drop("at").join(shared, "digest").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "first_doc", "first_at")).alias("shared"))
+    counted = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min_by("at", "doc_id").alias("at"), F.count(F.lit(1)).alias("n"))
+    shared = cut(counted.filter("first_doc < last_doc").select("digest", "n", F.struct(F.col("first_doc").alias("doc_id"), "at").alias("first")))
+    held = join_spread(rows.drop("at"), shared, "digest", "n", "first").filter("first is not null")
+    return held.groupBy("doc_id").agg(F.collect_set(F.struct("digest", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"))).alias("shared"))
 
 
 def passages(windows: list[int], n: list[int], first: dict[int, tuple[int, int]], own: int) -> Iterator[tuple[int, int, int]]:
