@@ -5,7 +5,8 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from wardspark.operators import claims, matching
+from wardspark.functions import scalars
+from wardspark.operators import claims, matching, temporal
 from wardspark.plans import registry
 from wardspark.sources import files
 
@@ -45,11 +46,27 @@ def test_slices_and_manifest(spark, tmp_path):
     assert files.over_budget(m, 2).count() == 1 and files.folder_sizes(m).first().median == 3
 
 
-def test_short_name_only_if_unique(spark):
-    names = spark.createDataFrame([(1, "ann lee", "lee"), (2, "bo lee", "lee"), (3, "cy day", "day")], "id long, whole string, last string")
-    docs = spark.createDataFrame([(1, "Lee spoke"), (2, "Bo  LEE spoke"), (3, "a day, Ann Lee"), (4, None), (5, "")], "doc long, text string")
-    found = matching.phrase_matches(docs, "doc", "text", matching.matcher_table(names, "id", "whole", "last"), (1, 2))
-    assert sorted((r.doc, r.entity, r.via, r.entities) for r in matching.first_match(found, "doc").collect()) == [(2, 2, "full", 1), (3, 1, "full", 2)]
+def test_entity_matching(spark):
+    """Bare last names and bare streets never match; a shared last name needs the full name; tags come first."""
+    people = spark.createDataFrame([(3, "Dowell, Pat"), (15, "Lopez, Raymond"), (9, "Lopez, Silvana"), (1, "no comma")], "ward int, name string")
+    streets = spark.createDataFrame([("milwaukee", "Milwaukee"), ("clark", "Dearborn")], "entity string, street string")
+    tokens = spark.createDataFrame([("lakefront", "Lakefront"), ("bloomingdale", "606")], "entity string, token string")
+    phrases = spark.createDataFrame([("grand", "Grand Avenue", True), ("trail", "606 extension", False)], "entity string, phrase string, context boolean")
+    patterns = matching.person_patterns(people, "ward", "name").unionByName(matching.route_patterns(streets, tokens)).unionByName(matching.project_patterns(phrases))
+    titles = ["Ald. Dowell blocks lane", "Dowell speaks", "Ald. Lopez proposes", "Raymond Lopez proposes", "Milwaukee Avenue bike lanes", "Milwaukee approves", "Dearborn St bridge", "New ramp for The 606", "Route 6060 detour", "Grand Avenue daycare", "Grand Avenue bike lane", "Roundup with Ald. Dowell", None]
+    items = spark.createDataFrame([(i, t, ["Pat Dowell", "35th Ward"] if i == 11 else None) for i, t in enumerate(titles)], "id int, title string, tags array<string>")
+    got = {(r.id, r.kind, r.entity): r.via for r in matching.entity_matches(items, "id", "title", "tags", patterns, (1, 2, 3)).collect()}
+    assert got == {
+        (0, "person", "3"): "'Ald. Dowell' in headline", (3, "person", "15"): "'Raymond Lopez' in headline", (4, "route", "milwaukee"): "'Milwaukee Avenue' in headline", (6, "route", "clark"): "'Dearborn St' in headline",
+        (7, "route", "bloomingdale"): "'606' in headline", (10, "project", "grand"): "'Grand Avenue' in headline + safety keyword in headline", (11, "person", "3"): "publisher tag 'Pat Dowell'",
+    }
+    assert [tuple(r) for r in matching.ward_mentions(items, "id", "title", "tags").collect()] == [(11, "35", "publisher tag '35th Ward'")]
+
+
+def test_relevance_gate(spark):
+    rows = [("New bike lane on Halsted", [], False, None, True), ("Transit roundup", ["Bicycling"], False, None, True), ("Housing plan", ["Housing", None], False, None, False), ("Anything", [], True, None, True), ("Daycare opens", None, None, None, False), ("Daycare opens", None, None, True, True), ("Today\u2019s Headlines for bikes", ["Bikes"], True, True, False), (None, None, False, None, False)]
+    d = spark.createDataFrame(rows, "title string, c array<string>, trusted boolean, project boolean, want boolean")
+    assert d.filter(matching.relevant(F.col("title"), F.col("c"), F.col("trusted"), F.col("project")) != F.col("want")).count() == 0
 
 
 def test_large_roster_is_refused(spark):
@@ -59,8 +76,37 @@ def test_large_roster_is_refused(spark):
 
 
 def test_restated_numbers(spark):
-    r = spark.createDataFrame([("up (12.5 %), down (-3) since (2024-01-02) (none)",), (None,)], "s string").select(claims.restated_values(F.col("s"))).collect()
-    assert r[0][0] == [12.5, -3.0] and r[1][0] is None
+    text = "up (12.5 %), down (-3) to ( 2,032 crashes ), (2032 crashes) since (2024-01-02) (2021) (May 2026) (2026-07-11 to 2026-07-13) (2021-2026) (note 8) (none) ()"
+    r = spark.createDataFrame([(text,), (None,)], "s string").select(claims.restated_values(F.col("s"))).collect()
+    assert r[0][0] == [12.5, -3.0, 2032.0, 2032.0] and r[1][0] is None
+
+
+def test_registrants(spark):
+    rows = [("BANK", "Ada"), ("FIRST BANK", None), ("FEDERAL EXPRESS CORPORATION", ""), ("FEDERAL EXPRESS 225877", " "), ("THE STUDIO 41 LLC", None), ("ROE", None), (None, None), ("CO LLC", None)]
+    d = spark.createDataFrame(rows, "last string, first string")
+    got = d.select(scalars.registrant_class(F.col("last"), F.col("first")).alias("kind"), scalars.redacted(F.col("last"), F.col("first")).alias("shown"), scalars.business_fold(F.col("last")).alias("folded")).collect()
+    assert [r.kind for r in got] == ["individual", "business", "business", "business", "business", "unknown", "unknown", "business"]
+    assert [r.shown for r in got] == ["", "FIRST BANK", "FEDERAL EXPRESS CORPORATION", "FEDERAL EXPRESS 225877", "THE STUDIO 41 LLC", "", "", "CO LLC"]
+    assert [r.folded for r in got] == ["BANK", "FIRST BANK", "FEDERAL EXPRESS", "FEDERAL EXPRESS", "STUDIO 41", "ROE", None, ""]
+
+
+def test_text_scalars(spark):
+    d = spark.createDataFrame([("Église St. Jean — A", "BUDGET – 2026", "x" * 700, "Bike lanes - The Post", "The Post")], "a string, b string, c string, d string, e string")
+    r = d.select(scalars.slug(F.col("a")), scalars.clean_line(F.col("b")), scalars.all_caps(F.col("b")), scalars.all_caps(F.lit("12-3")), scalars.capped(F.col("c")), scalars.without_source(F.col("d"), F.col("e")), scalars.street_name(F.lit("n oak pl")), scalars.street_name(F.lit("Lake  st"))).first()
+    assert tuple(r) == ("église-st-jean-a", "BUDGET - 2026", True, False, "x" * 600 + "…", "Bike lanes", "N OAK PL", "LAKE")
+
+
+def test_coordinates(spark):
+    d = spark.createDataFrame([("41.9", "-87.6"), ("0", "0"), ("abc", "-87.6"), (None, "-87.6"), ("41.9", "-187")], "lat string, lon string")
+    box = (41.6, -88.0, 42.1, -87.5)
+    assert [r.p is not None for r in d.select(scalars.coordinate(F.col("lat"), F.col("lon"), box).alias("p")).collect()] == [True, False, False, False, False]
+
+
+def test_trend_of_a_late_key(spark):
+    rows = [("a", "2020-01-01"), ("a", "2021-06-01"), ("a", "2022-06-01"), ("a", "2022-06-02"), ("b", "2021-06-01"), ("b", "2022-06-02")]
+    d = spark.createDataFrame(rows, "k string, d string").withColumn("d", F.to_date("d"))
+    got = {r.k: (r.recent, r.prior, r.pct, r.direction) for r in temporal.trend(temporal.trailing_windows(d, "d", "k")).collect()}
+    assert got == {"a": (2, 1, 100.0, "worsening"), "b": (None, None, None, "insufficient_data")}
 
 
 def test_shared_keys(spark):

@@ -5,9 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Street types that a name may end with (fixed values).
-STREET_TYPES = ("ST", "AVE", "BLVD", "RD", "DR", "PL", "CT", "PKWY", "LN", "TER", "WAY", "HWY", "SQ")
-BUSINESS_TOKENS = ("LLC", "INC", "CORP", "CO", "LTD", "COMPANY", "BANK", "TRUST", "CHURCH", "SCHOOL")
+# Street types that a name may end with; tokens of an organisation's name; suffixes that do not tell businesses apart.
+STREET_TYPES = ("ST", "AVE", "BLVD", "RD", "DR", "WAY", "PKWY")
+BUSINESS_TOKENS = tuple(
+    """
+    INC INCORPORATED LLC LLP LP CORP CORPORATION CO COMPANY LTD LIMITED
+    TRUST HOLDINGS HOLDING GROUP ENTERPRISES ENTERPRISE PARTNERS ASSOCIATES
+    RENTAL RENTALS LEASING LEASE LSE LSR FLEET FLEETS
+    SERVICES SERVICE SYSTEMS SYSTEM SOLUTIONS LOGISTICS TRANSPORT
+    TRANSPORTATION TRUCKING EXPRESS DELIVERY DISTRIBUTORS DISTRIBUTING
+    CONSTRUCTION CONTRACTORS PLUMBING ELECTRIC MECHANICAL
+    BANK FINANCIAL CREDIT INSURANCE MOTORS AUTO AUTOMOTIVE
+    HOSPITAL MEDICAL HEALTH CLINIC UNIVERSITY COLLEGE SCHOOL CHURCH
+    FOUNDATION INSTITUTE ASSOCIATION SOCIETY COUNCIL AUTHORITY
+    DEPT DEPARTMENT CITY COUNTY STATE FEDERAL MUNICIPAL
+    RESTAURANT PIZZA CATERING FOODS BEVERAGE BREWING
+    PROPERTIES REALTY MANAGEMENT DEVELOPMENT BUILDERS
+    """.split()
+)
+BUSINESS_SUFFIXES = tuple("INC INCORPORATED LLC LLP LP CORP CORPORATION CO COMPANY LTD LT LIMITED TRUST LSE LSR THE".split())
 SEVERITY = {"error": "fatal", "purchase": "incapacitating", "signup": "non_incapacitating", "click": "reported_not_evident"}
 
 
@@ -18,7 +34,8 @@ def street_name(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    """Lower case, runs of what is neither letter nor number (of any script) as one hyphen, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "-"), r"^-+|-+$", "")
 
 
 def severity(event_type: Column) -> Column:
@@ -31,27 +48,30 @@ def yes_no(c: Column) -> Column:
     return F.coalesce(F.upper(c) == "Y", F.lit(False))
 
 
-def registrant_class(name: Column) -> Column:
-    """business if a token of the name is a business token, unknown if there is no name, else individual."""
-    tokens = F.split(F.upper(F.trim(name)), r"[^A-Z0-9]+")
-    business = F.arrays_overlap(tokens, F.array(*[F.lit(t) for t in BUSINESS_TOKENS]))
-    return F.when(F.coalesce(F.trim(name), F.lit("")) == "", "unknown").when(business, "business").otherwise("individual")
+def _name_words(name: Column) -> Column:
+    return F.trim(F.regexp_replace(F.upper(name), r"[^A-Z0-9]+", " "))
 
 
-def business_fold(name: Column) -> Column:
-    """Trailing business tokens and numbers of four digits or more go, again and again; leading tokens too."""
-    tokens = "|".join(BUSINESS_TOKENS)
-    up = F.trim(F.regexp_replace(F.upper(name), r"[^A-Z0-9]+", " "))
-    return F.trim(F.regexp_replace(F.regexp_replace(up, rf"(\s+({tokens}|[0-9]{{4,}}))+$", ""), rf"^(({tokens})\s+)+", ""))
+def registrant_class(last: Column, first: Column, tokens: tuple[str, ...] = BUSINESS_TOKENS) -> Column:
+    """individual if there is a first name; else business if a word of the last is a business token; else unknown."""
+    business = F.arrays_overlap(F.split(_name_words(last), " "), F.array(*map(F.lit, tokens)))
+    return F.when(F.coalesce(F.trim(first), F.lit("")) != "", "individual").when(business, "business").otherwise("unknown")
 
 
-def redacted(name: Column) -> Column:
+def business_fold(name: Column, suffixes: tuple[str, ...] = BUSINESS_SUFFIXES) -> Column:
+    """Suffixes and numbers of four digits or more go from the tail, again and again; then suffixes from the head."""
+    any_of = "|".join(suffixes)
+    return F.trim(F.regexp_replace(F.regexp_replace(_name_words(name), rf"(^|\s+)((({any_of}|[0-9]{{4,}})(\s+|$))+)$", ""), rf"^(({any_of})(\s+|$))+", ""))
+
+
+def redacted(last: Column, first: Column) -> Column:
     """The name of a business, nothing of anyone else."""
-    return F.when(registrant_class(name) == "business", name).otherwise("")
+    return F.when(registrant_class(last, first) == "business", F.trim(last)).otherwise("")
 
 
-def month(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM")
+def is_warning(description: Column, fine: Column) -> Column:
+    """No fine, a fine of zero, or the word WARNING."""
+    return fine.isNull() | (fine == 0) | F.contains(F.upper(F.coalesce(description, F.lit(""))), F.lit("WARNING"))
 
 
 def days_before(date_text: Column, n: int) -> Column:
@@ -64,10 +84,39 @@ def rfc_time(c: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(c, r"^[A-Za-z]{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
 
 
+def without_source(title: Column, source: Column) -> Column:
+    """The title without the name of its source behind it."""
+    tail = F.concat(F.lit(" - "), source)
+    return F.when(F.endswith(title, tail), F.trim(F.substr(title, F.lit(1), F.length(title) - F.length(tail)))).otherwise(title)
+
+
 def title_key(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(title), r"\s+", " "))
 
 
+def clean_line(line: Column) -> Column:
+    """Dashes of any kind (and the replacement character that stands for one) as a hyphen; blanks around go."""
+    return F.trim(F.regexp_replace(line, "[\u2013\u2014\u2212\ufffd]", "-"))
+
+
+def all_caps(text: Column) -> Column:
+    """Whether a text has a letter and no lower-case one; false for null."""
+    return F.coalesce((text == F.upper(text)) & F.rlike(text, F.lit(r"\p{L}")), F.lit(False))
+
+
+def capped(text: Column, n: int = 600) -> Column:
+    """Blanks collapsed; beyond n characters cut there, with an ellipsis."""
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(flat) > n, F.concat(F.rtrim(F.substring(flat, 1, n)), F.lit("\u2026"))).otherwise(flat)
+
+
+def coordinate(lat: Column, lon: Column, box: tuple[float, float, float, float]) -> Column:
+    """Struct (lat, lon) of doubles if both parse and lie in the box (south, west, north, east, inclusive), else null: "0" and (0, 0) are no places."""
+    y, x = lat.try_cast("double"), lon.try_cast("double")
+    good = F.coalesce(y.between(box[0], box[2]) & x.between(box[1], box[3]), F.lit(False))
+    return F.when(good, F.struct(y.alias("lat"), x.alias("lon")))
+
+
 def count_display(n: Column) -> Column:
     """Exact below 1000, to hundreds below 10000, else to thousands."""
     step = F.when(n < 10_000, 100).otherwise(1000)

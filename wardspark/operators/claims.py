@@ -8,12 +8,19 @@ from pyspark.sql.window import Window
 
 #: Tags that a claim may carry (fixed values).
 TAGS = ("small-n", "provisional", "estimate")
-_IN_BRACKETS = r"\((-?[0-9]+(?:\.[0-9]+)?)[^)-]*\)"
+# Fixed patterns: a bracket, the number at its head, and what makes the whole of it a date expression.
+BRACKET = r"\(\s*([^()]*?)\s*\)"
+LEADING = r"^[-+]?[0-9]+(?:,[0-9]{3})+(?:\.[0-9]+)?|^[-+]?[0-9]+(?:\.[0-9]+)?"
+_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2})?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?|[0-9]{4}-[0-9]{2}|(?:19|20)[0-9]{2}"
+_MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+DATES = rf"^(?:\s|{_DATE}|{_MONTH}|to|through|thru|until|and|[-\u2013\u2014/,])+$"
 
 
 def restated_values(text: Column) -> Column:
-    """Numbers with which a bracket begins; a bracket with a hyphen behind its number (a date, a range) is exempt."""
-    return F.transform(F.regexp_extract_all(text, F.lit(_IN_BRACKETS), F.lit(1)), lambda v: v.cast("double"))
+    """Numbers with which a bracket begins, thousands separators read; a bracket that is a date expression as a whole is exempt."""
+    inner = F.regexp_extract_all(text, F.lit(BRACKET), F.lit(1))
+    heads = F.transform(F.filter(inner, lambda b: ~F.rlike(F.lower(b), F.lit(DATES))), lambda b: F.regexp_extract(b, LEADING, 0))
+    return F.transform(F.filter(heads, lambda h: h != ""), lambda h: F.replace(h, F.lit(","), F.lit("")).cast("double"))
 
 
 def small_n(counts: list[Column], least: int = 20) -> Column:
@@ -38,11 +45,18 @@ def misstated(claims: DataFrame, text: str, values: list[str], tolerance: float
     return claims.filter(F.exists(restated_values(F.col(text)), lambda r: ~F.exists(own, lambda v: F.coalesce(F.abs(v - r) <= tolerance, F.lit(False)))))
 
 
-def badly_tagged(claims: DataFrame, tags: str, text: str) -> DataFrame:
-    """Claims with a tag outside the vocabulary, or tagged provisional without a word of it in the text."""
+def badly_tagged(claims: DataFrame, tags: str, text: str, referent: str | None = None) -> DataFrame:
+    """Claims with a tag outside the vocabulary, tagged provisional without a word of it in the text, or (with a pattern ``referent``) with a text that names none."""
     foreign = F.size(F.array_except(tags, F.array(*[F.lit(x) for x in TAGS]))) > 0
     silent = F.array_contains(tags, "provisional") & ~F.contains(F.lower(F.col(text)), F.lit("provisional"))
-    return claims.filter(foreign | F.coalesce(silent, F.lit(True)))
+    bare = ~F.rlike(F.col(text), F.lit(referent)) if referent else F.lit(False)
+    return claims.filter(foreign | F.coalesce(silent | bare, F.lit(True)))
+
+
+def backlog(claims: DataFrame, selectors: DataFrame, required: list[str]) -> DataFrame:
+    """(selector, claims): how many claims that no selector enforces yet lack a required column."""
+    lacking = F.greatest(*[F.col(c).isNull() for c in required]) if len(required) > 1 else F.col(required[0]).isNull()
+    return claims.join(selectors, "selector", "left_anti").filter(lacking).groupBy("selector").agg(F.count(F.lit(1)).alias("claims"))
 
 
 def unqualified(claims: DataFrame, selectors: DataFrame, required: list[str]) -> DataFrame:

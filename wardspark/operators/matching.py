@@ -11,9 +11,33 @@ from wardspark.functions.scalars import street_name
 ROSTER_LIMIT = 10_000
 
 
+# Honorifics, street types in prose, topic categories, keywords, and the titles of digests.
+HONORIFICS = ("Ald.", "Ald", "Alderman", "Alderwoman", "Alderperson")
+STREET_SUFFIXES = ("Ave", "Avenue", "St", "Street", "Blvd", "Boulevard", "Rd", "Road", "Dr", "Drive")
+TOPICS = ("bicycling", "bikes", "bike lanes", "bike safety", "complete streets", "vision zero", "dooring")
+KEYWORDS = (
+    "bike", "bicycle", "cyclist", "complete streets", "vision zero", "traffic calming", "protected lane", "bike lane", "pedestrian safety",
+    "speed hump", "traffic safety", "road diet", "curb extension", "dooring",
+)
+DIGEST = r"(?i)^today[\u2019']s headlines"
+WARD = r"(?i)\b([0-9]{1,2})(?:st|nd|rd|th)\s+ward\b"
+
+
+def has_keyword(text: Column) -> Column:
+    """Whether a text contains a keyword in any case; false for null."""
+    return F.coalesce(F.rlike(F.lower(text), F.lit("|".join(KEYWORDS))), F.lit(False))
+
+
+def relevant(title: Column, categories: Column, trusted: Column, project: Column) -> Column:
+    """The gate of news items: digests go; then a trusted query, a keyword in the title, a topic category, or a project match lets in."""
+    topic = F.exists(F.coalesce(categories, F.array().cast("array<string>")), lambda c: F.coalesce(F.lower(c).isin(*TOPICS), F.lit(False)))
+    digest = F.coalesce(F.rlike(title, F.lit(DIGEST)), F.lit(False))
+    return ~digest & (F.coalesce(trusted, F.lit(False)) | has_keyword(title) | topic | F.coalesce(project, F.lit(False)))
+
+
 def words(text: Column) -> Column:
-    """The runs of Latin letters without accents, in lower case; null gives null."""
-    return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.lower(w))
+    """The runs of Latin letters without accents and digits, in lower case; null gives null."""
+    return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: F.lower(w))
 
 
 def grams(w: Column, width: int) -> Column:
@@ -22,29 +46,62 @@ def grams(w: Column, width: int) -> Column:
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(w, i, width), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def matcher_table(names: DataFrame, entity: str, full: str, short: str) -> DataFrame:
-    """(entity, phrase, via, priority): the full name always, the short one only where no other entity has it."""
-    whole = names.select(F.col(entity).alias("entity"), F.col(full).alias("phrase"), F.lit("full").alias("via"), (F.col(entity) * 2).alias("priority"))
-    once = names.groupBy(F.col(short).alias("phrase")).agg(F.count(F.lit(1)).alias("n"), F.min(entity).alias("entity")).filter("n = 1 and phrase is not null")
-    return whole.unionByName(once.select("entity", "phrase", F.lit("short").alias("via"), (F.col("entity") * 2 + 1).alias("priority")))
+def _patterns(rows: DataFrame, kind: str, forms: list[tuple[Column, int, bool]]) -> DataFrame:
+    """Pattern rows of (entity, name): a form is its text, its rank among the forms of the entity, and whether it needs a keyword beside it; null forms go."""
+    each = F.explode(F.array(*[F.struct(text.alias("form"), F.lit(rank).alias("rank"), F.lit(context).alias("context")) for text, rank, context in forms]))
+    made = rows.select(F.lit(kind).alias("kind"), F.col("entity").cast("string").alias("entity"), each.alias("f")).select("kind", "entity", "f.*").filter("form is not null and form <> ''")
+    escaped = F.regexp_replace(F.regexp_replace("form", r"([^A-Za-z0-9\s])", r"\\$1"), r"\s+", r"\\s+")
+    return made.withColumns({"phrase": F.array_join(words(F.col("form")), " "), "pattern": F.concat(F.lit("(?i)(?<!\\w)"), escaped, F.lit("(?!\\w)"))})
 
 
-def phrase_matches(docs: DataFrame, doc_id: str, text: str, patterns: DataFrame, widths: tuple[int, ...]) -> DataFrame:
-    """(doc_id, entity, via, priority) of every pattern that a text contains as whole words.
+def person_patterns(people: DataFrame, entity: str, name: str) -> DataFrame:
+    """Of names "Last, First": the full name always, honorific and last name only where no other person has it; a bare last name never."""
+    parts = people.select(F.col(entity).alias("entity"), F.trim(F.split_part(F.col(name), F.lit(","), F.lit(1))).alias("last"), F.trim(F.rtrim(F.trim(F.split_part(F.col(name), F.lit(","), F.lit(2))), F.lit("."))).alias("first")).filter("last <> '' and first <> ''")
+    once = parts.groupBy(F.lower("last").alias("_last")).agg((F.count(F.lit(1)) == 1).alias("alone"))
+    keyed = parts.join(once, F.lower("last") == F.col("_last"))
+    surname = F.when(F.col("alone"), F.col("last"))
+    return _patterns(keyed, "person", [(F.concat_ws(" ", "first", "last"), 0, False), *[(F.concat(F.lit(h + " "), surname), 1, False) for h in HONORIFICS]])
+
+
+def route_patterns(streets: DataFrame, tokens: DataFrame) -> DataFrame:
+    """streets (entity, street): the street with a street type behind it; tokens (entity, token): as they are."""
+    typed = [(F.concat(F.col("street"), F.lit(" " + x)), 0, False) for x in STREET_SUFFIXES]
+    return _patterns(streets, "route", typed).unionByName(_patterns(tokens, "route", [(F.col("token"), 1, False)]))
 
-    A text becomes its distinct phrases of the given widths and these meet the
-    patterns in an equi join, so the work grows with the text and not with text
-    times patterns.
-    """
-    held = docs.select(doc_id, words(F.col(text)).alias("w"))
-    phrases = held.select(doc_id, F.explode(F.array_distinct(F.concat(*[grams(F.col("w"), n) for n in widths]))).alias("phrase"))
-    return phrases.join(patterns, "phrase").select(doc_id, "entity", "via", "priority")
 
+def project_patterns(phrases: DataFrame) -> DataFrame:
+    """phrases (entity, phrase, context): some count only in titles with a keyword."""
+    alone, beside = F.when(~F.col("context"), F.col("phrase")), F.when(F.col("context"), F.col("phrase"))
+    return _patterns(phrases, "project", [(alone, 0, False), (beside, 1, True)])
 
-def first_match(matches: DataFrame, doc_id: str) -> DataFrame:
-    """(doc_id, entity, via, entities): the pattern of the least priority, and how many entities matched."""
-    best = F.min(F.struct("priority", "entity", "via"))
-    return matches.groupBy(doc_id).agg(best.alias("b"), F.count_distinct("entity").alias("entities")).select(doc_id, "b.entity", "b.via", "entities")
+
+def entity_matches(items: DataFrame, item: str, title: str, tags: str, patterns: DataFrame, widths: tuple[int, ...]) -> DataFrame:
+    """(item, kind, entity, via): every entity that a tag or the title of an item names.
+
+    The first form of an entity wins, and tags come before the title.  A text
+    becomes its phrases of the given widths, which meet the patterns in an equi
+    join, so the work grows with the texts and not with texts times patterns;
+    the regular expression then decides on those candidates.
+    """
+    told = has_keyword(F.col(title))
+    tag = F.transform(F.coalesce(F.col(tags), F.array().cast("array<string>")), lambda c, i: F.struct(i.alias("place"), c.alias("text")))
+    head = F.array(F.struct(F.lit(1 << 30).alias("place"), F.col(title).alias("text")))
+    texts = items.select(item, told.alias("told"), F.explode(F.concat(tag, head)).alias("t")).select(item, "told", "t.place", "t.text").filter("text is not null")
+    held = texts.withColumn("w", words(F.col("text")))
+    phrases = held.select(item, "told", "place", "text", F.explode(F.array_distinct(F.concat(*[grams(F.col("w"), n) for n in widths]))).alias("phrase"))
+    hits = phrases.join(patterns, "phrase").filter(F.rlike("text", F.col("pattern")) & (~F.col("context") | F.col("told")))
+    via = F.when(F.col("place") < 1 << 30, F.concat(F.lit("publisher tag '"), "text", F.lit("'"))).otherwise(F.concat(F.lit("'"), F.regexp_substr("text", F.col("pattern")), F.lit("' in headline")))
+    via = F.concat(via, F.when(F.col("context"), " + safety keyword in headline").otherwise(""))
+    best = hits.groupBy(item, "kind", "entity").agg(F.min(F.struct("rank", "place", via.alias("via"))).alias("b"))
+    return best.select(item, "kind", "entity", F.col("b.via").alias("via"))
+
+
+def ward_mentions(items: DataFrame, item: str, title: str, tags: str) -> DataFrame:
+    """(item, ward, via): wards named as "35th Ward", each once, tags before the title."""
+    tag = F.transform(F.coalesce(F.col(tags), F.array().cast("array<string>")), lambda c, i: F.struct(i.alias("place"), F.regexp_extract(c, WARD, 1).alias("ward"), F.concat(F.lit("publisher tag '"), c, F.lit("'")).alias("via")))
+    head = F.array(F.struct(F.lit(1 << 30).alias("place"), F.regexp_extract(title, WARD, 1).alias("ward"), F.concat(F.lit("'"), F.regexp_extract(title, WARD, 0), F.lit("' in headline")).alias("via")))
+    found = items.select(item, F.explode(F.concat(tag, head)).alias("f")).select(item, "f.*").filter("ward <> ''")
+    return found.groupBy(item, "ward").agg(F.min(F.struct("place", "via")).alias("b")).select(item, "ward", "b.via")
 
 
 def roster_members(parts: DataFrame, roster: DataFrame, name: str, where: str) -> DataFrame:

@@ -15,31 +15,40 @@ def monthly(facts: DataFrame, date: str, measures: Mapping[str, Column], keys: D
     months = bounds.select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month_start"))
     by = ["month_start"]
     if keys is not None:
-        months, by = months.crossJoin(F.broadcast(keys)), [*keys.columns, *by]  # one row a month against a fixed dimension
+        # The one row of bounds is what is sent around; keys keep their partitions and each explodes its months.
+        months = keys.crossJoin(F.broadcast(bounds)).select(*keys.columns, F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month_start"))
+        by = [*keys.columns, *by]
     counts = facts.withColumn("month_start", F.trunc(date, "MM")).groupBy(*by).agg(*[F.count_if(c).alias(n) for n, c in measures.items()])
     out = months.join(counts, by, "left").fillna(0, list(measures))
     return out.withColumn("month", F.date_format("month_start", "yyyy-MM")).drop("month_start")
 
 
-def trailing_windows(facts: DataFrame, date: str, key: str) -> DataFrame:
-    """(key, recent, prior, earliest, anchor) against the latest date of all facts.
+def trailing_windows(facts: DataFrame, date: str, key: str, measures: Mapping[str, Column] | None = None) -> DataFrame:
+    """(key, recent, prior, earliest, anchor) against the latest date of all facts; earliest is of the key's own facts.
 
-    recent: date > anchor - 365; prior: anchor - 730 < date <= anchor - 365.
+    recent: date > anchor - 365; prior: anchor - 730 < date <= anchor - 365.  Each
+    further measure gives a pair of counts recent_<name> and prior_<name>.
     """
-    anchor = facts.agg(F.max(date).alias("anchor"), F.min(date).alias("earliest"))
+    anchor = facts.agg(F.max(date).alias("anchor"))
     d = F.col(date)
     dated = facts.crossJoin(F.broadcast(anchor))  # one row
     recent = d > F.date_sub("anchor", 365)
     prior = (d > F.date_sub("anchor", 730)) & ~recent
-    return dated.groupBy(key).agg(F.count_if(recent).alias("recent"), F.count_if(prior).alias("prior"), F.first("earliest").alias("earliest"), F.first("anchor").alias("anchor"))
+    more = [F.count_if(w & c).alias(f"{k}_{n}") for n, c in (measures or {}).items() for k, w in (("recent", recent), ("prior", prior))]
+    return dated.groupBy(key).agg(F.count_if(recent).alias("recent"), F.count_if(prior).alias("prior"), *more, F.min(date).alias("earliest"), F.first("anchor").alias("anchor"))
 
 
 def trend(windows: DataFrame) -> DataFrame:
-    """windows with change in percent and direction; both null while the facts do not reach back two years."""
-    enough = (F.col("earliest") <= F.date_sub("anchor", 730)) & (F.col("prior") > 0)
-    pct = F.when(enough, (F.col("recent") - F.col("prior")) * 100.0 / F.col("prior"))
-    direction = F.when(pct >= 5, "up").when(pct <= -5, "down").when(pct.isNotNull(), "flat")
-    return windows.withColumn("pct", pct).withColumn("direction", direction)
+    """windows with change in percent (to a tenth) and direction.
+
+    A key whose own facts do not reach back two years, or without a prior one,
+    has insufficient_data; of the first kind both counts are null.
+    """
+    enough = F.col("earliest") <= F.date_sub("anchor", 730)
+    pct = F.round(F.when(enough & (F.col("prior") > 0), (F.col("recent") - F.col("prior")) * 100.0 / F.col("prior")), 1)
+    direction = F.when(pct <= -5, "improving").when(pct >= 5, "worsening").when(pct.isNotNull(), "flat").otherwise("insufficient_data")
+    told = {"pct": pct, "direction": direction, "recent": F.when(enough, F.col("recent")), "prior": F.when(enough, F.col("prior"))}
+    return windows.withColumns(told)
 
 
 def trailing_sum(series: DataFrame, order: str, value: str, n: int, partition: list[str]) -> DataFrame:

@@ -32,15 +32,21 @@ def monthly_by_district(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.monthly(facts(spark, sf_dir), "day", _measures(), keys)
 
 
-_WINDOWS = f"""WITH {FACTS}, a AS (SELECT max(day) AS anchor, min(day) AS earliest FROM facts),
-  w AS (SELECT district, count(*) FILTER (day > anchor - 365) AS recent, count(*) FILTER (day > anchor - 730 AND day <= anchor - 365) AS prior, first(earliest) AS earliest, first(anchor) AS anchor FROM facts, a GROUP BY district)"""
+# District 3 begins late, so it has no trend though the others have.
+_LATE = "day >= DATE '2000-06-01' OR district <> 3"
+_WINDOWS = f"""WITH {FACTS}, l AS (SELECT * FROM facts WHERE {_LATE}), a AS (SELECT max(day) AS anchor FROM l),
+  w AS (SELECT district, count(*) FILTER (day > anchor - 365) AS recent, count(*) FILTER (day > anchor - 730 AND day <= anchor - 365) AS prior,
+    count(*) FILTER (day > anchor - 365 AND priority = '1-URGENT') AS recent_urgent, count(*) FILTER (day > anchor - 730 AND day <= anchor - 365 AND priority = '1-URGENT') AS prior_urgent, min(day) AS earliest, first(anchor) AS anchor FROM l, a GROUP BY district)"""
 
 
-@query(f"{_WINDOWS} SELECT district, recent, prior, strftime(anchor, '%Y-%m-%d') AS anchor, round(p, 3) AS pct, CASE WHEN p >= 5 THEN 'up' WHEN p <= -5 THEN 'down' WHEN p IS NOT NULL THEN 'flat' END AS direction FROM (SELECT *, CASE WHEN earliest <= anchor - 730 AND prior > 0 THEN (recent - prior) * 100e0 / prior END AS p FROM w)")
+@query(f"""{_WINDOWS}, p AS (SELECT *, earliest <= anchor - 730 AS enough, CASE WHEN earliest <= anchor - 730 AND prior > 0 THEN round((recent - prior) * 100e0 / prior, 1) END AS pct FROM w)
+  SELECT district, CASE WHEN enough THEN recent END AS recent, CASE WHEN enough THEN prior END AS prior, recent_urgent, prior_urgent, strftime(anchor, '%Y-%m-%d') AS anchor, pct,
+    CASE WHEN pct <= -5 THEN 'improving' WHEN pct >= 5 THEN 'worsening' WHEN pct IS NOT NULL THEN 'flat' ELSE 'insufficient_data' END AS direction FROM p""")
 def district_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-8 AGG-9 WIN-13: two trailing windows against the global anchor, change and direction."""
-    out = temporal.trend(temporal.trailing_windows(facts(spark, sf_dir), "day", "district"))
-    return out.select("district", "recent", "prior", F.date_format("anchor", "yyyy-MM-dd").alias("anchor"), F.round("pct", 3).alias("pct"), "direction")
+    """AGG-8 AGG-9 WIN-13: two trailing windows against the global anchor, change and direction; a district whose own facts begin late has none."""
+    late = facts(spark, sf_dir).filter("day >= date'2000-06-01' or district <> 3")
+    out = temporal.trend(temporal.trailing_windows(late, "day", "district", {"urgent": F.col("priority") == "1-URGENT"}))
+    return out.select("district", "recent", "prior", "recent_urgent", "prior_urgent", F.date_format("anchor", "yyyy-MM-dd").alias("anchor"), "pct", "direction")
 
 
 @query(f"""WITH {FACTS}, m AS (SELECT strftime(day, '%Y-%m') AS month, count(*) AS total FROM facts GROUP BY 1),
@@ -191,12 +197,6 @@ def bills_last_action(spark: SparkSession, sf_dir: str) -> DataFrame:
         max_by(o_orderstatus, struct(o_orderdate, o_orderkey)) AS last_status FROM w_orders GROUP BY o_custkey HAVING max(o_orderdate) >= timestamp'2000-01-01'""")
 
 
-@query(f"""WITH {FACTS} SELECT status, count(*) AS n, strftime(max(day), '%Y-%m-%d') AS latest FROM facts WHERE priority = '1-URGENT' GROUP BY status""")
-def council_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-22: topic rows by status, with the latest date."""
-    return facts(spark, sf_dir).filter("priority = '1-URGENT'").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.date_format(F.max("day"), "yyyy-MM-dd").alias("latest"))
-
-
 @query("""SELECT d.doc_id, CASE WHEN d.doc_id % 7 = 0 THEN 9 ELSE l.quality END AS topic, CASE WHEN d.doc_id % 7 = 0 THEN 'correction' ELSE 'tag' END AS via FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id % 7 = 0 OR l.quality IS NOT NULL""")
 def resolved_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON-17: a correction beats a tag; rows with neither go; provenance is kept."""
@@ -258,23 +258,6 @@ def short_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("id", F.when(same > 1, F.col("full_id")).otherwise(F.substring("full_id", 1, 3)).alias("short_id"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN md5(text) END AS head FROM conversations) SELECT conv_id, turn, last_value(head IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM c""")
-def filled_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-10 FN-16: the last heading carried down to the rows below it."""
-    c = t(spark, sf_dir, "conversations")
-    head = F.when(F.col("role") == "user", F.md5(F.col("text").cast("binary")))
-    return c.select("conv_id", "turn", F.last(head, ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)).alias("section"))
-
-
-@query("""SELECT conv_id, count(*) AS items, count(DISTINCT role) AS roles, array_to_string(list(role ORDER BY turn), '>') AS flow, min(turn) AS first_turn FROM conversations GROUP BY conv_id""")
-def rebuilt_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-14 JON-24: nested rows exploded, joined and built up again in order."""
-    nested = t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role")).alias("items"))
-    flat = nested.select("conv_id", F.explode("items").alias("i")).select("conv_id", "i.turn", "i.role")
-    flow = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x.role), ">")
-    return flat.groupBy("conv_id").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("role").alias("roles"), flow.alias("flow"), F.min("turn").alias("first_turn"))
-
-
 @query("""WITH b AS (SELECT l_orderkey AS segment, array_to_string(list_sort(list_distinct(list(CAST(l_suppkey % 10 AS VARCHAR)))), '|') AS lines FROM lineitem GROUP BY 1) SELECT lines, count(*) AS segments, min(segment) AS first_segment FROM b GROUP BY lines""")
 def shared_track_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-41 AGG-44: segments grouped by their sorted set of lines."""

@@ -5,28 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspark.functions.scalars import BUSINESS_TOKENS, business_fold, redacted, registrant_class, rfc_time, slug, title_key
+from wardspark.functions.scalars import BUSINESS_SUFFIXES, BUSINESS_TOKENS, business_fold, is_warning, redacted, registrant_class, rfc_time, slug, title_key
 from wardspark.operators import claims, gates, matching
 from wardspark.plans.registry import query
 from wardspark.plans.standins import FACTS, SEGMENTS, facts, segments, t
 from wardspark.sources import files
 
-_WORDS = "list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x))"
-
-
-@query(f"""WITH p0 AS (SELECT item_id, {_WORDS} AS w FROM benchmark), n AS (SELECT item_id, array_to_string(w[1:3], ' ') AS full_name, w[3] AS short_name FROM p0 WHERE len(w) >= 3),
-  pats AS (SELECT item_id AS entity, full_name AS phrase, 'full' AS via, item_id * 2 AS priority FROM n UNION ALL SELECT min(item_id), short_name, 'short', min(item_id) * 2 + 1 FROM n GROUP BY short_name HAVING count(*) = 1),
-  d AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT DISTINCT doc_id, unnest(list_concat(w, list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS phrase FROM d)
-  SELECT doc_id, arg_min(entity, priority) AS entity, arg_min(via, priority) AS via, count(DISTINCT entity) AS entities FROM g JOIN pats USING (phrase) GROUP BY doc_id""")
-def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-19 JON-20 FLT-19 FLT-20: texts by the entity they name; a short name counts only where it is unique, the first pattern wins."""
-    w = t(spark, sf_dir, "benchmark").select("item_id", matching.words(F.col("text")).alias("w")).filter(F.size("w") >= 3)
-    names = w.select("item_id", F.array_join(F.slice("w", 1, 3), " ").alias("full_name"), F.get("w", F.lit(2)).alias("short_name"))
-    patterns = matching.matcher_table(names, "item_id", "full_name", "short_name")
-    found = matching.phrase_matches(t(spark, sf_dir, "documents"), "doc_id", "text", patterns, (1, 3))
-    return matching.first_match(found, "doc_id")
-
-
 @query("""WITH r AS (SELECT DISTINCT s_suppkey % 12 AS line, upper(p_brand) AS street FROM supplier JOIN part ON p_partkey = s_suppkey)
   SELECT p_partkey AS part, array_to_string(list_sort(list(CAST(line AS VARCHAR))), ',') AS lines FROM part JOIN r ON street = upper(p_brand) WHERE line % 2 = 0 OR p_size BETWEEN 10 AND 30 GROUP BY p_partkey""")
 def roster_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,33 +30,60 @@ def trail_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.token_members(t(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), "p_name"), roster, "p_name").select("part", "line")
 
 
-_TOKENS = "|".join(BUSINESS_TOKENS)
-_NAMED = "WITH n AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN c_name || ' Bank LLC' WHEN 1 THEN 'The ' || c_name || ' Co 60601' WHEN 2 THEN '' ELSE c_name END AS name FROM customer)"
-_KIND = f"CASE WHEN trim(name) = '' THEN 'unknown' WHEN list_has_any(regexp_split_to_array(upper(trim(name)), '[^A-Z0-9]+'), {list(BUSINESS_TOKENS)}) THEN 'business' ELSE 'individual' END"
+_SUFFIXES = "|".join(BUSINESS_SUFFIXES)
+_NAMED = """WITH n AS (SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'First Bank No ' || CAST(c_custkey % 90 AS VARCHAR) || ' LLC' WHEN 1 THEN 'The ' || c_name || ' Express Co 60601' WHEN 2 THEN NULL WHEN 3 THEN 'Bank' WHEN 4 THEN 'Église ' || c_name ELSE c_name END AS last,
+  CASE c_custkey % 6 WHEN 3 THEN 'Ada' WHEN 5 THEN ' ' END AS first, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey % 5 * 25 END AS fine, CASE WHEN c_custkey % 11 = 0 THEN 'Warning issued' ELSE '' END AS note FROM customer)"""
+_KIND = f"CASE WHEN trim(coalesce(first, '')) <> '' THEN 'individual' WHEN list_has_any(string_split(trim(regexp_replace(upper(last), '[^A-Z0-9]+', ' ', 'g')), ' '), {list(BUSINESS_TOKENS)}) THEN 'business' ELSE 'unknown' END"
+_FOLD = f"trim(regexp_replace(regexp_replace(trim(regexp_replace(upper(shown), '[^A-Z0-9]+', ' ', 'g')), '(^|\\s+)((({_SUFFIXES}|[0-9]{{4,}})(\\s+|$))+)$', ''), '^(({_SUFFIXES})(\\s+|$))+', ''))"
 
 
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, k = F.col("c_name"), F.col("c_custkey") % 5
-    name = F.when(k == 0, F.concat(c, F.lit(" Bank LLC"))).when(k == 1, F.concat(F.lit("The "), c, F.lit(" Co 60601"))).when(k == 2, "").otherwise(c)
-    return t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), name.alias("name"))
+    c, k, at = F.col("c_name"), F.col("c_custkey") % 6, F.col("c_custkey")
+    last = F.when(k == 0, F.concat(F.lit("First Bank No "), at % 90, F.lit(" LLC"))).when(k == 1, F.concat(F.lit("The "), c, F.lit(" Express Co 60601"))).when(k == 3, "Bank").when(k == 4, F.concat(F.lit("Église "), c)).when(k == 5, c)
+    first = F.when(k == 3, "Ada").when(k == 5, " ")
+    fine, note = F.when(at % 7 != 0, at % 5 * 25), F.when(at % 11 == 0, "Warning issued").otherwise("")
+    return t(spark, sf_dir, "customer").select(at.alias("id"), last.alias("last"), first.alias("first"), fine.alias("fine"), note.alias("note"))
 
 
-@query(f"""{_NAMED} SELECT id, {_KIND} AS kind, trim(regexp_replace(regexp_replace(trim(regexp_replace(upper(name), '[^A-Z0-9]+', ' ', 'g')), '(\\s+({_TOKENS}|[0-9]{{4,}}))+$', ''), '^(({_TOKENS})\\s+)+', '')) AS folded,
-  CASE WHEN {_KIND} = 'business' THEN name ELSE '' END AS shown, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS title_key FROM n""")
+@query(f"""{_NAMED}, k AS (SELECT *, {_KIND} AS kind, CASE WHEN {_KIND} = 'business' THEN trim(last) ELSE '' END AS shown FROM n)
+  SELECT id, kind, CASE WHEN shown = '' THEN '' ELSE {_FOLD} END AS folded, shown, trim(regexp_replace(lower(coalesce(last, '')), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-') AS slug, trim(regexp_replace(lower(coalesce(last, '')), '\\s+', ' ', 'g')) AS title_key FROM k""")
 def registrants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-2 FN-13 FN-18 FN-19 FN-21 SNK-9 DQ-3: class, folded name and key of each; the name is shown of a business only."""
-    n = F.col("name")
-    out = _named(spark, sf_dir).select("id", registrant_class(n).alias("kind"), business_fold(n).alias("folded"), redacted(n).alias("shown"), slug(n).alias("slug"), title_key(n).alias("title_key"))
+    """FN-2 FN-18 FN-19 FN-21 DQ-3: class, folded name and key of each; the name is shown of a business only, and a first name makes a person of anyone."""
+    last, first = F.col("last"), F.col("first")
+    shown = redacted(last, first)
+    text = F.coalesce(last, F.lit(""))
+    out = _named(spark, sf_dir).select("id", registrant_class(last, first).alias("kind"), F.when(shown == "", "").otherwise(business_fold(shown)).alias("folded"), shown.alias("shown"), slug(text).alias("slug"), title_key(text).alias("title_key"))
     gates.enforce("names", gates.names_of_individuals(out, "shown", "kind"))
     return out
 
 
-@query(f"""{_NAMED}, k AS (SELECT {_KIND} AS kind, id % 3 = 0 AS warning FROM n) SELECT kind, count(*) AS n, round(avg(CASE WHEN warning THEN 1e0 ELSE 0e0 END), 4) AS warnings FROM k GROUP BY kind""")
+#: Columns of the public file, in order (fixed values).
+PUBLIC = "ticket_number issued_date location ward violation_code violation_description fine ticket_queue is_warning registrant_type registrant registrant_normalized".split()
+
+
+@query(f"""{_NAMED}, k AS (SELECT *, {_KIND} AS kind, CASE WHEN {_KIND} = 'business' THEN trim(last) ELSE '' END AS shown FROM n)
+  SELECT CAST(id AS VARCHAR) AS ticket_number, NULL AS issued_date, NULL AS location, CAST(id % 50 AS VARCHAR) AS ward, NULL AS violation_code, nullif(note, '') AS violation_description, CAST(fine AS VARCHAR) AS fine, NULL AS ticket_queue,
+    CASE WHEN fine IS NULL OR fine = 0 OR contains(upper(note), 'WARNING') THEN 'true' ELSE 'false' END AS is_warning, kind AS registrant_type, nullif(shown, '') AS registrant, CASE WHEN shown <> '' THEN nullif({_FOLD}, '') END AS registrant_normalized FROM k""")
+def public_registrants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-9 DQ-3 FN-20: the redacted file with its twelve columns, written as CSV behind the gate and read back; an empty cell reads as null."""
+    last, first, text = F.col("last"), F.col("first"), lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    shown = redacted(last, first)
+    cells = {
+        "ticket_number": text("id"), "ward": (F.col("id") % 50).cast("string"), "violation_description": text("note"), "fine": text("fine"), "is_warning": is_warning(F.col("note"), F.col("fine")).cast("string"),
+        "registrant_type": registrant_class(last, first), "registrant": shown, "registrant_normalized": F.when(shown == "", "").otherwise(business_fold(shown)),
+    }
+    out = _named(spark, sf_dir).select(*[cells.get(c, F.lit("")).alias(c) for c in PUBLIC])
+    gates.enforce("names", gates.names_of_individuals(out, "registrant", "registrant_type"))
+    path = files.shared_path(spark)
+    files.write_csv(out, path, ["registrants, names of businesses only"])
+    return spark.read.option("header", True).option("escape", '"').schema(", ".join(f"{c} string" for c in PUBLIC)).csv(path)
+
+
+@query(f"""{_NAMED}, k AS (SELECT {_KIND} AS kind, fine IS NULL OR fine = 0 OR contains(upper(note), 'WARNING') AS warning FROM n) SELECT kind, count(*) AS n, round(avg(CASE WHEN warning THEN 1e0 ELSE 0e0 END), 4) AS warnings FROM k GROUP BY kind""")
 def redaction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-43 FN-20: registrants by class and the share of warnings; a row without a fine or with the word is a warning."""
-    fine, note = F.when(F.col("id") % 6 == 0, F.lit(None)).otherwise(F.lit(10)), F.when(F.col("id") % 3 == 0, "Warning issued").otherwise("")
-    warning = fine.isNull() | F.contains(F.upper(note), F.lit("WARNING"))
-    return _named(spark, sf_dir).groupBy(registrant_class(F.col("name")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(warning.cast("double")), 4).alias("warnings"))
+    """AGG-43 FN-20: registrants by class and the share of warnings."""
+    warning = is_warning(F.col("note"), F.col("fine"))
+    return _named(spark, sf_dir).groupBy(registrant_class(F.col("last"), F.col("first")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(warning.cast("double")), 4).alias("warnings"))
 
 
 @query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS published FROM orders")
@@ -140,27 +151,43 @@ def output_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CLAIMS = """WITH c AS (SELECT l_suppkey AS id, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1),
-  k AS (SELECT *, CASE WHEN id % 13 = 0 THEN returned + 7 ELSE returned END AS said FROM c)"""
+  k AS (SELECT *, CASE WHEN id % 13 = 0 THEN returned + 2007 ELSE returned END AS said FROM c)"""
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a restated count (thousands separated), and brackets that are dates, a reference, or a number that begins like a year."""
     c = t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
-    said = F.when(F.col("id") % 13 == 0, F.col("returned") + 7).otherwise(F.col("returned"))
+    said = F.when(F.col("id") % 13 == 0, F.col("returned") + 2007).otherwise(F.col("returned"))
     prose = F.when(F.col("id") % 5 == 0, "provisional counts").otherwise("counts")
-    return c.select("*", F.format_string("%d lines (%d returned) since 1995 (1995-01), %s", "n", said, prose).alias("text"), F.array_union(claims.small_n([F.col("n"), F.col("returned")]), F.when(F.col("id") % 10 < 6, F.array(F.lit("provisional"))).otherwise(F.array().cast("array<string>"))).alias("tags"))
+    text = F.format_string("%d lines ( %s returned ) since 1995 (1995-01), (May 2026), (2026-07-11 to 2026-07-13), (2021), (see note 7), %s", F.col("n"), F.format_number(said, 0), prose)
+    referent = F.when(F.col("id") % 17 == 0, F.lit("counts only")).otherwise(text)
+    tags = F.array_union(claims.small_n([F.col("n"), F.col("returned")]), F.when(F.col("id") % 10 < 6, F.array(F.lit("provisional"))).otherwise(F.array().cast("array<string>")))
+    return c.select("*", referent.alias("text"), tags.alias("tags"))
 
 
-@query(f"{_CLAIMS} SELECT id, CAST(returned AS BIGINT) AS returned, said FROM k WHERE said <> returned AND said <> n")
+@query(f"{_CLAIMS} SELECT id, CAST(returned AS BIGINT) AS returned, said FROM k WHERE said <> returned AND said <> n AND id % 17 <> 0")
 def misstated_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DQ-8 FN-26: claims whose text restates a number that is not theirs; dates are exempt."""
+    """DQ-8 FN-26: claims whose text restates a number that is not theirs; only brackets that are dates as a whole are exempt."""
     bad = claims.misstated(_claims(spark, sf_dir), "text", ["n", "returned"])
     return bad.select("id", "returned", F.get(claims.restated_values(F.col("text")), F.lit(0)).cast("long").alias("said"))
 
 
-@query(f"{_CLAIMS} SELECT id, n < 20 OR returned < 20 AS small FROM k WHERE id % 10 < 6 AND id % 5 <> 0")
+@query(f"{_CLAIMS} SELECT id, n < 20 OR returned < 20 AS small FROM k WHERE (id % 10 < 6 AND (id % 5 <> 0 OR id % 17 = 0)) OR id % 17 = 0")
 def mistagged_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DQ-9 FN-27 FN-28 FN-29: claims tagged provisional without saying so, or with a foreign tag."""
-    return claims.badly_tagged(_claims(spark, sf_dir), "tags", "text").select("id", F.array_contains("tags", "small-n").alias("small"))
+    """DQ-9 FN-27: claims tagged provisional without saying so, with a foreign tag, or whose text names no date or window."""
+    return claims.badly_tagged(_claims(spark, sf_dir), "tags", "text", r"[0-9]{4}").select("id", F.array_contains("tags", "small-n").alias("small"))
+
+
+@query(f"""{_CLAIMS} SELECT id, CASE WHEN n < 20 OR returned < 20 THEN 'Counts are small (' || CAST(returned AS VARCHAR) || ' returned of ' || CAST(n AS VARCHAR) || '), so the share moves by chance.' ELSE 'Counted over all years (' || CAST(n AS VARCHAR) || ' lines).' END AS caveat,
+  CASE WHEN n < 20 OR returned < 20 THEN 'small-n' ELSE '' END AS tags FROM k""")
+def qualified_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-28 FN-29: each record with its caveat, made of its own values, and its tags put inside the record by field."""
+    c = _claims(spark, sf_dir).select("id", F.struct("n", "returned").alias("record"))
+    tags = claims.small_n([F.col("record.n"), F.col("record.returned")])
+    few = F.format_string("Counts are small (%d returned of %d), so the share moves by chance.", F.col("record.returned"), F.col("record.n"))
+    caveat = F.when(F.size(tags) > 0, few).otherwise(F.format_string("Counted over all years (%d lines).", F.col("record.n")))
+    told = c.withColumn("record", F.col("record").withField("caveat", caveat).withField("caveat_tags", tags))
+    return told.select("id", "record.caveat", F.array_join("record.caveat_tags", ",").alias("tags"))
 
 
 @query("""WITH c AS (SELECT o_orderkey AS id, o_orderpriority AS stem, o_orderstatus AS caveat FROM orders), f AS (SELECT stem, caveat, min(id) AS first_id, count(*) AS n FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY first_id) AS k FROM f)

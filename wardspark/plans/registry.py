@@ -24,4 +24,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from wardspark.plans import civic, geo, published, records  # noqa: F401
+    from wardspark.plans import civic, geo, newsroom, published, records  # noqa: F401
