@@ -1,20 +1,22 @@
 """Exact top-k search by term-at-a-time accumulation.
 
-Vectors become sparse rows of integer weights.  Rows are packed into blocks of
-``ROW_BLOCK``, queries into blocks of ``QUERY_BLOCK``; every query block meets
-every row block once.  Inside a task each term of the queries is taken in turn:
-its postings in the row block (places and weights) are scattered, weighted,
-into the dense score array of the block.  The best of a block come from a
-partition selection, and blocks merge by one more top-k per query.  All scores
-are integers, so the result does not depend on blocks or order.
+Vectors become sparse rows of integer weights.  Rows are dealt into blocks of
+about ``ROW_BLOCK`` and queries into groups of about ``QUERY_GROUP``; a task
+holds one block and the queries of one group stream past it, so memory is
+bounded by the block and work by block times group.  Each term of the queries is
+taken in turn: its postings in the block (places and weights) are scattered,
+weighted, into the dense score array of the block.  The best of a block come
+from a partition selection, and blocks merge by one more top-k per query.  N rows
+and Q queries travel Q / QUERY_GROUP and N / ROW_BLOCK times.  All scores are
+integers, so the result does not depend on blocks or order.
 
 Defined results: a vector that is null, empty of finite values, or holds a null
 or a non-finite component takes no part; missing trailing components count as
 zero; rows of the query's own id are not its candidates, and equal (id, vector)
 rows count once; a null id takes no part; fewer candidates than k give fewer
-ranks; an empty table gives no rows; other columns are not read.  Components of
-more than 2**27 in absolute value after scaling are refused, since scores could
-pass 64 bits.
+ranks; an empty table gives no rows; other columns are not read.  Scaled
+components and scores that no long can hold stop at its ends, and ranks go by
+these.
 """
 
 from __future__ import annotations
@@ -30,9 +32,10 @@ from pyspark.sql.window import Window
 
 from wardspark.llm._shared import cut, table
 
-ROW_BLOCK = 4096
-QUERY_BLOCK = 256
-LARGEST = 1 << 27
+ROW_BLOCK = 8192
+QUERY_GROUP = 16384
+#: Queries that are scored against a block at once.
+AT_ONCE = 32
 
 
 def integer_vectors(rows: DataFrame, scale: int = 256, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -43,31 +46,23 @@ def integer_vectors(rows: DataFrame, scale: int = 256, id_column: str = "vec_id"
     return rows.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.when(whole, scaled).alias("weights")).filter("id is not null and weights is not null").distinct()
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """One row per block: the ids and the weights of about ``size`` rows as packed arrays."""
-    n = max(1, math.ceil(rows.count() / size))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "weights"), F.lit(n)).cast("int"))
-    return dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "weights"))).alias(name))
-
-
-def _matrix(block: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
-    """The ids, and the weights with zeros for what is missing."""
-    values = block.values
-    ids = values.field("id").to_numpy(zero_copy_only=False)
-    weights = values.field("weights")
+def _matrix(weights: pa.ListArray) -> np.ndarray:
+    """The weights with zeros for what is missing."""
     flat = weights.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    if len(flat) and np.abs(flat).max() > LARGEST:
-        raise ValueError(f"a scaled component is larger than {LARGEST}")
     per = np.diff(weights.offsets.to_numpy())
-    out = np.zeros((len(ids), int(per.max(initial=0))), dtype=np.int64)
+    out = np.zeros((len(weights), int(per.max(initial=0))), dtype=np.int64)
     out[np.arange(out.shape[1])[None, :] < per[:, None]] = flat
-    return ids, out
+    return out
 
 
 def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Scores (queries x rows), one term after the other."""
-    scores = np.zeros((len(queries), len(rows)), dtype=np.int64)
-    for term in range(min(queries.shape[1], rows.shape[1])):
+    """Scores (queries x rows), one term after the other; where 64 bits could overflow in Python integers, which then stop at the ends of a long."""
+    terms = min(queries.shape[1], rows.shape[1])
+    most = terms * float(np.abs(queries.astype(float)).max(initial=0)) * float(np.abs(rows.astype(float)).max(initial=0))
+    if most >= 2**62:
+        queries, rows = queries.astype(object), rows.astype(object)
+    scores = np.zeros((len(queries), len(rows)), dtype=queries.dtype)
+    for term in range(terms):
         places = np.flatnonzero(rows[:, term])
         asked = np.flatnonzero(queries[:, term])
         if len(places) and len(asked):
@@ -76,41 +71,58 @@ def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
                 scores += weighted
             else:
                 scores[np.ix_(asked, places)] += weighted
-    return scores
+    return np.clip(scores, -(2**63), 2**63 - 1).astype(np.int64) if scores.dtype == object else scores
+
+
+def selected(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
+    """The places of the k best of other ids (ids ascend, so ties go to the smaller one)."""
+    open_ = np.flatnonzero(ids != own)
+    if len(open_) > k:
+        best = scores[open_]
+        limit = np.partition(best, len(best) - k)[len(best) - k]
+        sure, tied = open_[best > limit], open_[best == limit]
+        open_ = np.concatenate([sure, tied[: k - len(sure)]])
+    return open_
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for every query; ties go to the smaller id.  Both have id and weights."""
-    rows = cut(rows)
-    query_blocks = _blocks(queries, QUERY_BLOCK, "queries").withColumnRenamed("block", "query_block")
-    row_blocks = cut(_blocks(rows, ROW_BLOCK, "rows"))
-    numbers = max(1, math.ceil(rows.count() / ROW_BLOCK))
-    spread = query_blocks.select("queries", F.explode(F.sequence(F.lit(0), F.lit(numbers - 1))).alias("block"))
+    rows, queries = cut(rows), cut(queries)
+    blocks, groups = max(1, math.ceil(rows.count() / ROW_BLOCK)), max(1, math.ceil(queries.count() / QUERY_GROUP))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = rows.select(F.pmod(F.xxhash64("id", "weights"), F.lit(blocks)).cast("int").alias("block"), every(groups).alias("group"), F.lit(0).alias("kind"), "id", "weights")
+    asked = queries.select(every(blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), F.lit(1).alias("kind"), "id", "weights")
+    dealt = held.union(asked).repartition(blocks * groups, "block", "group").sortWithinPartitions("block", "group", "kind", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, ids, parts, block = None, [], [], None
         for batch in batches:
-            for q, r in zip(batch.column(0), batch.column(1)):
-                ids, weights = _matrix(r)
-                q_ids, q_weights = _matrix(q)
-                by_id = np.argsort(ids, kind="stable")
-                ids, weights = ids[by_id], weights[by_id]
+            at = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
+            cuts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(1), [True]]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if (at[a, 0], at[a, 1]) != place:
+                    place, ids, parts, block = (at[a, 0], at[a, 1]), [], [], None
+                mine, weights = batch.column(3)[a:b].to_numpy(zero_copy_only=False), _matrix(batch.column(4).slice(a, b - a))
+                if at[a, 2] == 0:
+                    ids.append(mine)
+                    parts.append(weights)
+                    continue
+                if block is None and parts:
+                    block = np.zeros((sum(map(len, parts)), max(p.shape[1] for p in parts)), dtype=np.int64)
+                    first = 0
+                    for p in parts:
+                        block[first : first + len(p), : p.shape[1]] = p
+                        first += len(p)
+                    ids, parts = [np.concatenate(ids)], []
+                if block is None:
+                    continue
                 out = []
-                for at in range(0, len(q_ids), 32):
-                    part = q_ids[at : at + 32]
-                    # Unique keys: the score first, then the smaller id.
-                    scores = accumulate(q_weights[at : at + 32], weights)
-                    for i, score in enumerate(scores):
-                        open_ = np.flatnonzero(ids != part[i])
-                        if len(open_) > k:
-                            best = score[open_]
-                            limit = np.partition(best, len(best) - k)[len(best) - k]
-                            sure, tied = open_[best > limit], open_[best == limit]
-                            open_ = np.concatenate([sure, tied[: k - len(sure)]])
-                        out += [(part[i], ids[j], score[j]) for j in open_]
+                for q in range(0, len(mine), AT_ONCE):
+                    for own, score in zip(mine[q : q + AT_ONCE].tolist(), accumulate(weights[q : q + AT_ONCE], block)):
+                        out += [(own, ids[0][j], score[j]) for j in selected(score, ids[0], own, k)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
-    joined = spread.join(row_blocks, "block").select("queries", "rows")
-    found = joined.repartition(max(1, numbers)).mapInArrow(run, "query_id long, vec_id long, score long")
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
