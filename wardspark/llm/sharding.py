@@ -8,6 +8,10 @@ there, so a record is shuffled once.  Everything
 is a function of the rows and the seed, so a task that runs again after a lost
 executor makes the same rows.
 
+Rows that occur often are counted first (one key per row travels), collapsed to
+one row with its count before the shuffle, and each copy gets a number of its
+own in its key; so copies spread over the buckets like different rows.
+
 Defined results: nulls in any column are hashed like values (a null text counts
 as an empty one); equal rows are interchangeable and each gets a place of its
 own; an empty table gives no rows; a column named ``bucket``, ``shard`` or
@@ -24,13 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from wardspark.llm._shared import cut, let, scratch, table, text_of
+from wardspark.llm._shared import cut, join_few, let, scratch, table, text_of
 
 SHARDS = 40
 SEED = 20240229
 #: A bucket holds about so many rows and bytes; both bound what one group of pass one keeps in memory.
 BUCKET_ROWS = 256
 BUCKET_BYTES = 8 << 20
+#: A row counts as frequent from so many copies on; a task spreads so many copies of it.
+OFTEN = 32
+COPIES = 4096
 
 
 def fisher_yates(n: Column, seed: Column) -> Column:
@@ -55,6 +62,17 @@ def fisher_yates(n: Column, seed: Column) -> Column:
     return F.aggregate(steps, F.sequence(F.lit(0), n - 1), swapped)
 
 
+def _spread(keyed: DataFrame) -> DataFrame:
+    """keyed (row, key) with a key of its own for every copy of a frequent row."""
+    often = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN).select("key"))
+    if not often.limit(1).count():
+        return keyed
+    counted = join_few(keyed, often, ["key"], "left_semi").groupBy("key", "row").agg(F.count(F.lit(1)).alias("n"))
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)))).repartition("key", "block")
+    copies = blocks.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES), F.col("n") - F.col("block") * COPIES))))
+    return join_few(keyed, often, ["key"], "left_anti").select("row", "key").union(copies.select("row", F.xxhash64("key", "block", "copy").alias("key")))
+
+
 def external_shuffle(rows: DataFrame, shards: int, seed: int = SEED, row_bytes: Column | None = None, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(row struct, shard int, slot long) for every row of ``rows``.
 
@@ -65,7 +83,7 @@ def external_shuffle(rows: DataFrame, shards: int, seed: int = SEED, row_bytes:
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
     buckets = max(1, math.ceil(n / bucket_rows), math.ceil(total / bucket_bytes))
     row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
-    scattered = rows.select(row.alias("row"), F.xxhash64(F.lit(seed), row).alias("key")).withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    scattered = _spread(rows.select(row.alias("row"), F.xxhash64(F.lit(seed), row).alias("key"))).withColumn("bucket", F.pmod("key", F.lit(buckets)))
     grouped = scattered.repartitionByRange("bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("key", "row"))).alias("rows"))
 
     # Offsets of the buckets: running sums inside runs of 4096 buckets, then over the runs.
