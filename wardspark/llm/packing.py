@@ -84,7 +84,9 @@ def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, w
     names = np.zeros(256, dtype=np.int64)
     n_open = n_bins = 0
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    shortest = int(lengths.min()) if len(lengths) else 0
+    shortest, longest = (int(lengths.min()), int(lengths.max())) if len(lengths) else (0, 0)
+    if longest > tokens or longest * longest > attention or documents < 1:
+        raise ValueError(f"a piece of {longest} tokens fits no sequence")
     for k in order.tolist():
         size = int(lengths[k])
         need = (size, 1, size * size)
@@ -107,12 +109,15 @@ def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, w
     return bins, offsets
 
 
-def packed(pieces: DataFrame, tokens: int = SEQUENCE_TOKENS, documents: int | None = None, attention: int | None = None, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def packed(
+    pieces: DataFrame, tokens: int = SEQUENCE_TOKENS, documents: int | None = None, attention: int | None = None, group_pieces: int = GROUP_PIECES, weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6)
+) -> DataFrame:
     """pieces (with a column length) with sequence_id and offset.
 
     Without limits of their own, documents and attention get the largest values
-    that the token capacity allows, so that they never bind.  A single piece
-    must fit an empty sequence.
+    that the token capacity allows, so that they never bind and the fewest
+    sequences result; weights are those of the three residuals in the norm.  A
+    single piece must fit an empty sequence under every limit: else ValueError.
     """
     documents, attention = documents or tokens, attention or tokens * tokens
     held = cut(pieces.withColumn("_row", F.monotonically_increasing_id()))  # written once: the numbers then stay the same
@@ -120,7 +125,7 @@ def packed(pieces: DataFrame, tokens: int = SEQUENCE_TOKENS, documents: int | No
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_row")
-        bins, offsets = best_fit(group["length"].to_numpy(), tokens, documents, attention)
+        bins, offsets = best_fit(group["length"].to_numpy(), tokens, documents, attention, weights)
         return group.drop(columns="_row").assign(sequence_id=(group["_group"].to_numpy() << 32) + bins, offset=offsets).drop(columns="_group")
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
