@@ -59,19 +59,32 @@ class EliasFano:
         out[some] = np.minimum(word * 64 + inside - k[some], self.n)
         return out
 
-    def find(self, keys: np.ndarray, step: int = 1 << 15) -> np.ndarray:
-        """The index of each key, or -1: successor search inside its bucket."""
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The values at the places i: the place of the one number i gives the high bits."""
+        if not self.n:
+            return np.zeros(len(i), dtype=_U)
+        ones = np.arange(len(self.zeros)) * 64 - self.zeros  # ones before each word
+        word = np.searchsorted(ones, i, "right") - 1
+        bits = np.unpackbits(np.ascontiguousarray(self.highs[word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        rank = np.cumsum(bits, axis=1, dtype=np.int64)
+        inside = np.argmax(rank == (i - ones[word] + 1)[:, None], axis=1)
+        return ((word * 64 + inside - i).astype(_U) << _U(self.low_bits)) | self.low(i)
+
+    def find(self, keys: np.ndarray, within: tuple[np.ndarray, np.ndarray] | None = None, step: int = 1 << 15) -> np.ndarray:
+        """The index of each key, or -1: successor search inside its bucket and, with ``within``, inside a range of places of its own."""
         out = np.full(len(keys), -1, dtype=np.int64)
         for a in range(0, len(keys) if self.n else 0, step):
             key = keys[a : a + step]
             high, low = key >> _U(self.low_bits), key & _U((1 << self.low_bits) - 1)
             first, end = self.below(high), self.below(high + _U(1))
+            if within is not None:
+                first, end = np.maximum(first, within[0][a : a + step]), np.minimum(end, within[1][a : a + step])
+            last = end.copy()
             while len(open_ := np.flatnonzero(first < end)):  # halves the bucket
                 middle = (first[open_] + end[open_]) // 2
                 less = self.low(middle) < low[open_]
                 first[open_[less]], end[open_[~less]] = middle[less] + 1, middle[~less]
-            at = np.flatnonzero(first < self.n)
-            at = at[first[at] < self.below(high[at] + _U(1))]
+            at = np.flatnonzero(first < last)
             at = at[self.low(first[at]) == low[at]]
             out[a + at] = first[at]
         return out
@@ -80,10 +93,15 @@ class EliasFano:
 class Trie:
     """Words, and below each word the contexts it was seen after, with quantised values on both levels.
 
-    A context is stored relative to its word: the key of the second level is
-    (place of the word, context), which is monotone; the words' pointers are
-    the places where their contexts begin.  The levels lie in one unlinked
-    temporary file that is mapped into memory.
+    A word's contexts are sorted and stored on top of the last value of the word
+    before, so the level is monotone; pointers, monotone too, say where each
+    word's contexts begin.  A pair is looked up by the pointers of its word, the
+    value before the first of these (the base), and a successor search for base
+    + context among the word's own places.  The levels lie in one unlinked
+    temporary file of the task that is mapped into memory.
+
+    A context is a hash cut to CONTEXT_BITS, so two contexts of one word are
+    taken for the same with chance 2**-40 for each pair of them.
     """
 
     CONTEXT_BITS = 40
@@ -91,9 +109,11 @@ class Trie:
     def __init__(self, words: np.ndarray, word_values: np.ndarray, owner: np.ndarray, contexts: np.ndarray, values: np.ndarray):
         """words: sorted; owner: place of each context's word; (owner, context) sorted; values: uint16."""
         self._file = tempfile.TemporaryFile()
-        keys = (owner.astype(_U) << _U(self.CONTEXT_BITS)) | contexts
-        pointers = np.searchsorted(owner, np.arange(len(words) + 1)).astype(_U)
-        self.words, self.contexts, self.pointers = (self._level(v) for v in (words, keys, pointers))
+        begins = np.searchsorted(owner, np.arange(len(words) + 1))
+        # What the words before add: their last contexts.
+        lasts = np.where(np.diff(begins) > 0, contexts[np.maximum(begins[1:] - 1, 0)] if len(contexts) else _U(0), _U(0)).astype(_U)
+        base = np.concatenate([np.zeros(1, _U), np.cumsum(lasts, dtype=_U)])
+        self.words, self.contexts, self.pointers = (self._level(v) for v in (words, base[owner] + contexts, begins.astype(_U)))
         self.word_values, self.values = self._mapped(word_values), self._mapped(values)
 
     def _mapped(self, array: np.ndarray) -> np.ndarray:
@@ -113,7 +133,10 @@ class Trie:
         out = np.full(len(words), unseen, dtype=np.uint16)
         known = np.flatnonzero(at >= 0)
         out[known] = self.word_values[at[known]]
-        pair = self.contexts.find((at[known].astype(_U) << _U(self.CONTEXT_BITS)) | contexts[known])
+        place, of_pair = np.unique(at[known], return_inverse=True)
+        begin, end = (self.pointers.get(place + i).astype(np.int64) for i in (0, 1))
+        base = np.where(begin > 0, self.contexts.get(np.maximum(begin - 1, 0)), _U(0))
+        pair = self.contexts.find(base[of_pair] + contexts[known], (begin[of_pair], end[of_pair]))
         seen = np.flatnonzero(pair >= 0)
         out[known[seen]] = self.values[pair[seen]]
         return out

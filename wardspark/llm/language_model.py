@@ -13,6 +13,9 @@ Hot words (more than 1 / (4 shards) of all tokens, so at most 4 shards of them)
 are spread over all shards by their context, with c(w) known beforehand; hot
 pairs, as few, are scored where the text is.  Hence no shard grows with a word.
 
+Log numerators are kept in 16 bits (steps of 30 / 65535, so a token's score is
+within half a step of the exact one); contexts are 40-bit hashes.
+
 Defined results: a null, empty or blank text is the single end token; a row
 without doc_id trains; with no training text every count is zero; repeated rows
 each count and each get a row; very long texts are taken whole; an empty table
