@@ -217,3 +217,56 @@ def utm16(lon: Column, lat: Column) -> tuple[Column, Column]:
         east = east + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return 500000 + 0.9996 * a * east, 0.9996 * a * north
+
+
+def line_meeting(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """Where two segments (x1, y1, x2, y2) meet: struct (x, y, kind) or null.
+
+    A crossing or a touch is a point; lines that run along each other give the
+    middle of the stretch they share (kind overlap).
+    """
+    dx, dy, ex, ey = a[2] - a[0], a[3] - a[1], b[2] - b[0], b[3] - b[1]
+    gx, gy = b[0] - a[0], b[1] - a[1]
+    det, off, long = dx * ey - dy * ex, gx * dy - gy * dx, dx * dx + dy * dy
+    t, u = (gx * ey - gy * ex) / F.nullif(det, F.lit(0.0)), off / F.nullif(det, F.lit(0.0))
+    first, last = (gx * dx + gy * dy) / F.nullif(long, F.lit(0.0)), ((b[2] - a[0]) * dx + (b[3] - a[1]) * dy) / F.nullif(long, F.lit(0.0))
+    low, high = F.greatest(F.lit(0.0), F.least(first, last)), F.least(F.lit(1.0), F.greatest(first, last))
+    at = F.when(det != 0, F.when((t >= 0) & (t <= 1) & (u >= 0) & (u <= 1), t)).when((off == 0) & (low <= high), (low + high) / 2)
+    kind = F.when((det == 0) & (low < high), "overlap").otherwise("point")
+    return F.when(at.isNotNull(), F.struct((a[0] + at * dx).alias("x"), (a[1] + at * dy).alias("y"), kind.alias("kind")))
+
+
+def chain_length(line: Column, step) -> Column:
+    """Length of an array of points by step(p, q), a distance of two neighbours."""
+    n = F.size(line) - 1
+    steps = F.zip_with(F.slice(line, F.lit(1), n), F.slice(line, F.lit(2), n), step)
+    return F.when(n > 0, F.aggregate(steps, F.lit(0.0), lambda a, b: a + b)).otherwise(0.0)
+
+
+def degree_metres(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Metres between two near points in degrees; a degree of longitude shrinks with the latitude between them."""
+    dx, dy = (lon2 - lon1) * F.cos(F.radians((lat1 + lat2) / 2)) * 111320.0, (lat2 - lat1) * 111320.0
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def nearest_on_chain(px: Column, py: Column, line: Column) -> Column:
+    """Struct (meters, x, y) of the point of a chain that is nearest to (px, py); the first on ties."""
+    def near(p: Column, q: Column) -> Column:
+        dx, dy = q.x - p.x, q.y - p.y
+        along = ((px - p.x) * dx + (py - p.y) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+        at = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), along)), F.lit(0.0))
+        x, y = p.x + at * dx, p.y + at * dy
+        return F.struct(distance(px, py, x, y).alias("meters"), x.alias("x"), y.alias("y"))
+
+    n = F.size(line) - 1
+    return F.array_min(F.zip_with(F.slice(line, F.lit(1), n), F.slice(line, F.lit(2), n), near))
+
+
+def box(line: Column, pad: float = 0.0) -> Column:
+    """Struct (west, south, east, north) around an array of points, padded."""
+    edge = lambda pick, c: pick(F.transform(line, lambda p: p[c]))
+    return F.struct((edge(F.array_min, "x") - pad).alias("west"), (edge(F.array_min, "y") - pad).alias("south"), (edge(F.array_max, "x") + pad).alias("east"), (edge(F.array_max, "y") + pad).alias("north"))
+
+
+def boxes_disjoint(a: Column, b: Column) -> Column:
+    return (a.east < b.west) | (b.east < a.west) | (a.north < b.south) | (b.north < a.south)

@@ -49,24 +49,42 @@ def blended(df: DataFrame, columns: list[str], out: str) -> DataFrame:
     return df.withColumn(out, F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda a, b: a + b) / F.size(some)))
 
 
+def numbered(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
+    """df with the place (from 1) of each row in a total order, without gathering all rows in one task.
+
+    Rows are range-partitioned and sorted, written once so that places stay, and
+    numbered inside their partition; the sizes of the partitions, one row each,
+    give what stands before them.
+    """
+    checkpoint_ready(df.sparkSession)
+    held = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")).checkpoint()
+    sizes = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_low"))
+    before = sizes.select("_part", "_low", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return held.join(F.broadcast(before), "_part").withColumn(out, (F.col("_before") + F.col("_at") - F.col("_low") + 1).cast("int")).drop("_part", "_at", "_low", "_before")  # a row for each partition
+
+
 def dedupe_by_either(df: DataFrame, a: str, b: str, order: str) -> DataFrame:
-    """Rows in order, without those that share a or b with an earlier kept row.
+    """Rows in order, without those that share a or b with an earlier kept row; null keys share nothing.
 
-    Each round keeps the rows that no remaining row precedes on either key and
-    drops what shares a key with them; a chain of n rows takes at most n rounds
-    but rounds end when nothing is left.
+    A round keeps every row that no undecided row precedes on either key, and
+    drops what shares a key with a kept one.  Two rounds run between two
+    checkpoints, so a chain of n rows that share keys in turn costs n / 2
+    checkpoints.  Hot keys are only aggregated (least undecided row of a key),
+    never gathered.
     """
+    rounds = 2
     checkpoint_ready(df.sparkSession)
-    rest, kept = df, None
+    state = df.select(F.col(order).alias("_o"), F.col(a).alias("_a"), F.col(b).alias("_b"), F.lit(None).cast("boolean").alias("_kept")).checkpoint()
     while True:
-        firsts = rest
-        for key in (a, b):
-            w = Window.partitionBy(key).orderBy(order)
-            firsts = firsts.withColumn(f"_{key}", F.when(F.col(key).isNull(), 1).otherwise(F.row_number().over(w)))
-        now = firsts.filter((F.col(f"_{a}") == 1) & (F.col(f"_{b}") == 1)).drop(f"_{a}", f"_{b}").checkpoint()
-        kept = now if kept is None else kept.unionByName(now)
-        for key in (a, b):
-            rest = rest.join(now.select(key).distinct(), key, "left_anti")
-        rest = rest.join(now.select(order), order, "left_anti").checkpoint()
-        if not rest.limit(1).count():
-            return kept
+        for _ in range(rounds):
+            first = state
+            for key in ("_a", "_b"):
+                least = state.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.when(F.col("_kept").isNull(), F.col("_o"))).alias(f"{key}_open"), F.min(F.when(F.col("_kept"), F.col("_o"))).alias(f"{key}_kept"))
+                first = first.join(least, key, "left")
+            taken = (F.col("_a_kept") < F.col("_o")) | (F.col("_b_kept") < F.col("_o"))
+            leads = (F.col("_a").isNull() | (F.col("_a_open") == F.col("_o"))) & (F.col("_b").isNull() | (F.col("_b_open") == F.col("_o")))
+            kept = F.when(F.col("_kept").isNotNull(), F.col("_kept")).when(F.coalesce(taken, F.lit(False)), False).when(leads, True)
+            state = first.select("_o", "_a", "_b", kept.alias("_kept"))
+        state = state.checkpoint()
+        if not state.filter("_kept is null").limit(1).count():
+            return df.join(state.filter("_kept").select(F.col("_o").alias(order)), order, "left_semi")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardspark.functions.scalars import distance, inside_ring, length_inside, point_segment, segment_distance, segments_cross
+from wardspark.functions.scalars import distance, inside_ring, length_inside, line_meeting, point_segment, segment_distance
 
 LINE = ("x1", "y1", "x2", "y2")
 
@@ -83,13 +83,21 @@ def lines_away_from(parts: DataFrame, routes: DataFrame, reach: float, part_id:
     return parts.join(near, part_id, "left_anti")
 
 
-def line_crossings(lines: DataFrame, line_id: str, size: float = 500.0) -> DataFrame:
-    """(a, b, x, y): where two lines cross, a < b."""
-    pairs = _line_pairs(lines, lines, 0.0, size).filter(F.col(line_id) < F.col(f"b_{line_id}")).dropDuplicates([line_id, f"b_{line_id}"])
-    x1, y1, x2, y2 = _ends()
-    u1, v1, u2, v2 = _ends("b_")
-    t = ((u1 - x1) * (v2 - v1) - (v1 - y1) * (u2 - u1)) / ((x2 - x1) * (v2 - v1) - (y2 - y1) * (u2 - u1))
-    return pairs.filter(segments_cross(_ends(), _ends("b_"))).select(F.col(line_id).alias("a"), F.col(f"b_{line_id}").alias("b"), (x1 + t * (x2 - x1)).alias("x"), (y1 + t * (y2 - y1)).alias("y"))
+def line_crossings(lines: DataFrame, line_id: str, size: float = 500.0, pad: float = 0.0) -> DataFrame:
+    """(a, b, x, y, kind): where two lines cross, touch or run along each other, a < b; lines whose padded boxes share no cell never meet a test."""
+    pairs = _line_pairs(lines, lines, pad, size).filter(F.col(line_id) < F.col(f"b_{line_id}")).dropDuplicates([line_id, f"b_{line_id}"])
+    met = pairs.withColumn("_m", line_meeting(_ends(), _ends("b_"))).filter("_m is not null")
+    return met.select(F.col(line_id).alias("a"), F.col(f"b_{line_id}").alias("b"), "_m.x", "_m.y", "_m.kind")
+
+
+def boxes_overlapping(a: DataFrame, b: DataFrame, a_id: str, b_id: str, size: float) -> DataFrame:
+    """(a_id, b_id) of boxes that overlap or touch; both have west, south, east, north.  An equi join on cells finds them, each pair in one cell only."""
+    left = _covering(a, F.col("west"), F.col("south"), F.col("east"), F.col("north"), size)
+    right = _covering(b, F.col("west"), F.col("south"), F.col("east"), F.col("north"), size)
+    right = right.select(b_id, "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in ("west", "south", "east", "north")])
+    touch = (F.col("east") >= F.col("b_west")) & (F.col("b_east") >= F.col("west")) & (F.col("north") >= F.col("b_south")) & (F.col("b_north") >= F.col("south"))
+    corner = (F.col("cx") == _cell(F.greatest("west", "b_west"), size)) & (F.col("cy") == _cell(F.greatest("south", "b_south"), size))
+    return left.join(right, ["cx", "cy"]).filter(touch & corner).select(a_id, b_id)
 
 
 def points_within(points: DataFrame, reach: float, point_id: str) -> DataFrame:
@@ -99,3 +107,23 @@ def points_within(points: DataFrame, reach: float, point_id: str) -> DataFrame:
     others = points.select(F.col(point_id).alias("b"), "x", "y")
     others = _covering(others, F.col("x") - reach, F.col("y") - reach, F.col("x") + reach, F.col("y") + reach, reach)
     return mine.join(others, ["cx", "cy"]).filter((F.col("a") < F.col("b")) & (distance(F.col("ax"), F.col("ay"), F.col("x"), F.col("y")) <= reach)).select("a", "b")
+
+
+def chained_points(points: DataFrame, reach: float, point_id: str) -> DataFrame:
+    """(a, b): links that connect the same points as all pairs within reach do, far fewer where points are dense.
+
+    Points of one cell so small that any two are within reach link to the least
+    of them.  Between two near cells only one link is needed: of each two that
+    meet within reach the pair of least ids, found by an aggregate on the cells.
+    """
+    small = reach / 1.5  # the diagonal of a cell is within reach
+    cell = {"cx": _cell(F.col("x"), small), "cy": _cell(F.col("y"), small)}
+    mine = points.select(F.col(point_id).alias("a"), "x", "y").withColumns(cell)
+    heads = mine.groupBy("cx", "cy").agg(F.min("a").alias("b"))
+    inside = mine.join(heads, ["cx", "cy"]).filter("a <> b").select("a", "b")
+    steps = F.expr("transform(sequence(0, 24), i -> struct(cast(i div 5 - 2 as int) as dx, cast(i % 5 - 2 as int) as dy))")
+    near = mine.withColumn("s", F.explode(F.filter(steps, lambda s: (s.dx > 0) | ((s.dx == 0) & (s.dy > 0)))))
+    near = near.select(F.col("a").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"), F.struct("cx", "cy").alias("other"))
+    met = mine.join(near, ["cx", "cy"]).filter(distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by")) <= reach)
+    between = met.groupBy("cx", "cy", "other").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+    return inside.union(between)

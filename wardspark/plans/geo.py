@@ -25,7 +25,7 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
   o AS (SELECT list(incidents ORDER BY incidents) AS v FROM r)
   SELECT zone, incidents, injuries, fatalities, CASE WHEN incidents <= v[greatest(0, len(v) // 3 - 1) + 1] THEN 'low' WHEN incidents <= v[greatest(0, len(v) * 2 // 3 - 1) + 1] THEN 'medium' ELSE 'high' END AS band FROM r, o""")
 def zone_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-3 SRC-4 FLT-1 FLT-6 JON-1 AGG-2 WIN-3: incidents per zone and their density band; zones without one count 0."""
+    """FLT-1 JON-1 AGG-2 WIN-3: incidents per zone and their density band; zones without one count 0."""
     hurt = F.col("severity").isin("incapacitating", "non_incapacitating", "reported_not_evident")
     counts = located(spark, sf_dir).groupBy("zone").agg(F.count(F.lit(1)).alias("incidents"), F.count_if(hurt).alias("injuries"), F.count_if(F.col("severity") == "fatal").alias("fatalities"))
     rolled = zones(spark).select("zone").join(counts, "zone", "left").fillna(0)
@@ -52,19 +52,6 @@ def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).select("seg_id").join(n, "seg_id", "left").fillna(0)
 
 
-@query(f"""WITH {POINTS}, {SEGMENTS}, {NEAREST}, n AS (SELECT seg_id, count(*) AS incidents FROM nearest GROUP BY seg_id),
-  c AS (SELECT corridor, count(*) AS segments, sum(sqrt((x1-x2)*(x1-x2)+(y1-y2)*(y1-y2))) / 1e3 AS km, CAST(coalesce(sum(incidents), 0) AS BIGINT) AS incidents FROM segments LEFT JOIN n USING (seg_id) GROUP BY corridor)
-  SELECT corridor, segments, round(km, 3) AS km, incidents, CASE WHEN km >= 0.2e0 THEN round(incidents / km, 3) END AS per_km FROM c""")
-def corridor_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-3 JON-12 ORD-3: corridors with length, incidents and a rate that is null under 0.2 km; a null rate sorts as 0."""
-    n = nearest(spark, sf_dir).groupBy("seg_id").agg(F.count(F.lit(1)).alias("n"))
-    length = distance(*(F.col(c) for c in spatial.LINE)) / 1000
-    c = segments(spark, sf_dir).withColumn("len", length).join(n, "seg_id", "left").groupBy("corridor")
-    rolled = c.agg(F.count(F.lit(1)).alias("segments"), F.sum("len").alias("km"), F.coalesce(F.sum("n"), F.lit(0)).alias("incidents"))
-    out = rolled.withColumn("per_km", F.when(F.col("km") >= 0.2, F.round(F.col("incidents") / F.col("km"), 3))).withColumn("km", F.round("km", 3))
-    return out.orderBy(F.coalesce("per_km", F.lit(0.0)).desc(), "corridor")
-
-
 @query(f"""WITH {POINTS}, g AS (SELECT CAST(floor(x / 1e3) AS BIGINT) AS cx, CAST(floor(y / 1e3) AS BIGINT) AS cy, count(*) AS incidents, round(avg(x), 3) AS mean_x, round(avg(y), 3) AS mean_y FROM points GROUP BY 1, 2 HAVING count(*) >= 2),
   k AS (SELECT CAST(floor(x / 1e3) AS BIGINT) AS cx, CAST(floor(y / 1e3) AS BIGINT) AS cy, event_type, count(*) AS n FROM points GROUP BY ALL),
   m AS (SELECT cx, cy, event_type, row_number() OVER (PARTITION BY cx, cy ORDER BY n DESC, event_type) AS rn FROM k)
@@ -106,16 +93,6 @@ def clipped_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter("meters > 1e-6").groupBy("zone", (F.col("corridor") % 5).alias("category")).agg(F.round(F.sum("meters"), 2).alias("meters"))
 
 
-@query(f"""{_CLIP}, k AS (SELECT zone, sum(meters) / 1e3 AS road_km, sum(CASE WHEN corridor % 5 = 1 THEN meters END) / 1e3 AS way_km FROM clipped GROUP BY zone)
-  SELECT z.zone, round(road_km, 3) AS road_km, round(way_km, 3) AS way_km, round(way_km * 100 / road_km, 2) AS pct FROM z LEFT JOIN k USING (zone)""")
-def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-13 FLT-7 FLT-12 JON-14: network coverage per polygon; no road means null, not zero."""
-    out = spatial.clipped_lengths(segments(spark, sf_dir), zones(spark), CELL, "seg_id", "zone")
-    k = out.groupBy("zone").agg((F.sum("meters") / 1000).alias("road"), (F.sum(F.when(F.col("corridor") % 5 == 1, F.col("meters"))) / 1000).alias("way"))
-    z = zones(spark).select("zone").join(k, "zone", "left")
-    return z.select("zone", F.round("road", 3).alias("road_km"), F.round("way", 3).alias("way_km"), F.round(ratio(F.col("way"), F.col("road"), 100), 2).alias("pct"))
-
-
 def _seg_distance_sql(limit: str) -> str:
     def ps(p: str, q: str) -> str:  # distance of point p (x, y columns) from segment q (prefix)
         px, py = p.split()
@@ -137,44 +114,6 @@ def parts_away_from_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.lines_away_from(s.filter("seg_id % 3 <> 0"), s.filter("seg_id % 3 = 0"), 250.0, "seg_id").select("seg_id")
 
 
-_LONG = SEGMENTS.replace("x1 + dx AS x2, y1 + dy AS y2", "x1 + dx * 16 AS x2, y1 + dy * 16 AS y2")
-
-
-@query(f"""WITH {_LONG}, p AS (SELECT a.seg_id AS a, b.seg_id AS b, a.x1, a.y1, a.x2, a.y2, ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / ((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1)) AS t
-  FROM segments a JOIN segments b ON a.seg_id < b.seg_id AND {_seg_distance_sql('cross')})
-  SELECT a, b, round(x1 + t * (x2 - x1) + 0.1234567e0, 2) AS x, round(y1 + t * (y2 - y1) + 0.1234567e0, 2) AS y FROM p""")
-def line_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-9 FN-8 FN-9: where two lines (the segments, sixteen times as long) cross, once per pair; shifted off rounding ties."""
-    s = segments(spark, sf_dir).drop("corridor")
-    s = s.withColumns({"x2": F.col("x1") + (F.col("x2") - F.col("x1")) * 16, "y2": F.col("y1") + (F.col("y2") - F.col("y1")) * 16})
-    out = spatial.line_crossings(s, "seg_id")
-    return out.select("a", "b", F.round(F.col("x") + 0.1234567, 2).alias("x"), F.round(F.col("y") + 0.1234567, 2).alias("y"))
-
-
-_STOPS = f"""WITH RECURSIVE {SEGMENTS}, l AS (SELECT a.seg_id AS a, b.seg_id AS b FROM segments a JOIN segments b ON sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.y1 - b.y1) * (a.y1 - b.y1)) <= 4000e0),
-  r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a AS id, min(b) AS cluster FROM r GROUP BY a)"""
-
-
-def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    stops = segments(spark, sf_dir).select(F.col("seg_id").alias("id"), F.col("x1").alias("x"), F.col("y1").alias("y"))
-    return stops, graph.clusters(stops, spatial.points_within(stops, 4000.0, "id"))
-
-
-@query(f"{_STOPS} SELECT id, cluster FROM c")
-def clustered_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-5: points within reach of each other, transitively."""
-    return _clusters(spark, sf_dir)[1]
-
-
-@query(f"""{_STOPS}, n AS (SELECT cluster, round(avg(x1), 2) AS x, round(avg(y1), 2) AS y, count(*) AS members FROM c JOIN segments ON id = seg_id GROUP BY cluster HAVING count(*) >= 2)
-  SELECT 'node-' || lpad(CAST(row_number() OVER (ORDER BY cluster) AS VARCHAR), 3, '0') AS node, cluster, x, y, members FROM n""")
-def interchange_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-3 SET-5: clusters of two or more as numbered nodes at their centroid."""
-    stops, c = _clusters(spark, sf_dir)
-    n = stops.join(c, "id").groupBy("cluster").agg(F.round(F.avg("x"), 2).alias("x"), F.round(F.avg("y"), 2).alias("y"), F.count(F.lit(1)).alias("members")).filter("members >= 2")
-    return n.withColumn("node", F.format_string("node-%03d", F.row_number().over(Window.orderBy("cluster"))))
-
-
 @query(f"""WITH {POINTS}, u AS (SELECT user_id, count(*) AS trips, min(event_id) AS first_event FROM events GROUP BY user_id)
   SELECT zone, CAST(sum(trips) AS BIGINT) AS trips, count(*) AS stations FROM u JOIN points ON first_event = event_id GROUP BY zone""")
 def station_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,29 +126,12 @@ def station_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {POINTS}, {SEGMENTS}, {NEAREST} SELECT p.event_id, zone, severity, CASE WHEN seg_id IS NULL THEN 'off_network' ELSE 'category_' || (corridor % 5) END AS facility
   FROM points p LEFT JOIN nearest USING (event_id) LEFT JOIN segments USING (seg_id) WHERE severity IN ('fatal', 'incapacitating') AND zone BETWEEN 10 AND 30 AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'""")
 def filtered_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-8 JON-13 FLT-11: the composite filter, with the facility of the nearest segment or off_network."""
+    """JON-13 FLT-11: part of the composite filter, with the facility of the nearest segment or off_network."""
     p = located(spark, sf_dir).filter(F.col("severity").isin("fatal", "incapacitating") & F.col("zone").between(10, 30) & (F.col("ts") >= "2024-01-10") & (F.col("ts") < "2024-01-20"))
     seg = nearest(spark, sf_dir).join(segments(spark, sf_dir).select("seg_id", "corridor"), "seg_id").select("event_id", F.concat(F.lit("category_"), F.col("corridor") % 5).alias("facility"))
     return p.join(seg, "event_id", "left").select("event_id", "zone", "severity", F.coalesce("facility", F.lit("off_network")).alias("facility"))
 
 
-@query(f"""WITH {POINTS}, {SEGMENTS}, {NEAREST} SELECT count(*) AS incidents, round(avg(CASE WHEN seg_id IS NULL THEN 1e0 ELSE 0e0 END), 4) AS off_network, round(avg(CASE WHEN zone IS NULL THEN 1e0 ELSE 0e0 END), 4) AS no_zone FROM points LEFT JOIN nearest USING (event_id)""")
-def join_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-39: shares of rows that a spatial join left unmatched."""
-    j = located(spark, sf_dir).join(nearest(spark, sf_dir), "event_id", "left")
-    return j.agg(F.count(F.lit(1)).alias("incidents"), F.round(F.avg(F.col("seg_id").isNull().cast("double")), 4).alias("off_network"), F.round(F.avg(F.col("zone").isNull().cast("double")), 4).alias("no_zone"))
-
-
-@query(f"""WITH {POINTS}, {SEGMENTS}, b AS (SELECT corridor, min(x1) AS ax, max(x2) AS bx, min(y1) AS ay, max(y2) AS ty FROM segments GROUP BY corridor)
-  SELECT zone, corridor FROM (SELECT CAST(range AS INTEGER) AS zone, ((range - 1) % 5) * 660 * 8.3e0 AS zx, ((range - 1) // 5) * 380 * 11.132e0 AS zy FROM range(1, 51)), b
-  WHERE ax <= zx + 5478e0 AND bx >= zx AND ay <= zy + 4230.16e0 AND ty >= zy""")
-def corridors_near_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-27 JON-28 FN-8: corridors whose box overlaps the zone's box."""
-    b = segments(spark, sf_dir).groupBy("corridor").agg(F.min("x1").alias("ax"), F.max("x2").alias("bx"), F.min("y1").alias("ay"), F.max("y2").alias("by"))
-    z = zones(spark).select("zone", F.col("ring")[0].x.alias("zx"), F.col("ring")[0].y.alias("zy"))
-    return z.join(b, (F.col("ax") <= F.col("zx") + 5478.0) & (F.col("bx") >= F.col("zx")) & (F.col("ay") <= F.col("zy") + 4230.16) & (F.col("by") >= F.col("zy"))).select("zone", "corridor")
-
-
 @query(f"""WITH {POINTS}, r AS (SELECT zone, count(*) AS incidents, count(*) FILTER (severity = 'fatal') AS fatal FROM points GROUP BY zone),
   s AS (SELECT *, (row_number() OVER (ORDER BY incidents, zone) - 1) * 100e0 / (count(*) OVER () - 1) AS rank_incidents, CASE WHEN fatal > 0 THEN fatal * 1e0 / incidents END AS rate FROM r),
   f AS (SELECT *, CASE WHEN rate IS NOT NULL THEN (row_number() OVER (PARTITION BY rate IS NOT NULL ORDER BY rate, zone) - 1) * 100e0 / (count(*) OVER (PARTITION BY rate IS NOT NULL) - 1) END AS rank_rate FROM s),

@@ -40,6 +40,49 @@ def column_named(df: DataFrame, *names: str) -> str:
     raise ValueError(f"none of {names} in {df.columns}")
 
 
+def read_features(spark: SparkSession, path: str, geometry: str, properties: str = "map<string, string>") -> DataFrame:
+    """(place, geometry, properties): a row for each feature of the FeatureCollections at path; place is its number there, from 1."""
+    schema = f"type string, features array<struct<type: string, geometry: {geometry}, properties: {properties}>>"
+    f = spark.read.schema(schema).json(path, multiLine=True).select(F.posexplode("features").alias("place", "f"))
+    return f.select((F.col("place") + 1).alias("place"), "f.geometry", "f.properties")
+
+
+def property_named(properties: Column, *names: str) -> Column:
+    """The value of the first of ``names`` that a feature has among its properties, by any case; null if it has none."""
+    lower = F.map_from_entries(F.transform(F.map_entries(properties), lambda e: F.struct(F.lower(e.key).alias("key"), e.value.alias("value"))))
+    return F.coalesce(*[F.try_element_at(lower, F.lit(n.lower())) for n in names])
+
+
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON records of which each may lack any field: a column for each declared one, null where it is absent or not a number where one is due."""
+    rows = spark.read.schema(schema).json(path)
+    return rows.select(*[F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("double", "float") else f.name for f in rows.schema])
+
+
+def dated_copies(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of dated files (..._YYYY-MM-DD...) below path, with snapshot_date out of the file name."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
+    return rows.withColumn("snapshot_date", F.regexp_extract(F.col("_metadata.file_path"), r"_([0-9]{4}-[0-9]{2}-[0-9]{2})[^/]*(?:/[^/]*)?$", 1))
+
+
+def long_rows(sheet: DataFrame, label: str, order: str) -> DataFrame:
+    """(label, year, value) of a sheet with a column for each year: the first row of a label wins, cells that are no numbers go."""
+    years = [c for c in sheet.columns if c.isdigit()]
+    first = sheet.groupBy(label).agg(F.min_by(F.struct(*[F.col(f"`{y}`") for y in years]), order).alias("cells"))
+    cells = F.explode(F.array(*[F.struct(F.lit(int(y)).alias("year"), F.col(f"cells.`{y}`").try_cast("double").alias("value")) for y in years]))
+    return first.select(F.col(label).alias("label"), cells.alias("c")).select("label", "c.*").filter("value is not null")
+
+
+def first_source(parts: list[tuple[str, DataFrame]]) -> DataFrame:
+    """The rows of the first source that has any, with its name; none if all are empty."""
+    both = None
+    for k, (name, df) in enumerate(parts):
+        df = df.withColumns({"source": F.lit(name), "_priority": F.lit(k)})
+        both = df if both is None else both.unionByName(df)
+    best = both.agg(F.min("_priority").alias("_priority"))
+    return both.join(F.broadcast(best), "_priority", "left_semi").drop("_priority")  # one row
+
+
 def named_ways(raw: DataFrame) -> DataFrame:
     """(id, name, highway, line) of the ways with a name and two points or more; raw has the column elements."""
     e = raw.select(F.explode("elements").alias("e")).select("e.*").filter("type = 'way'")
