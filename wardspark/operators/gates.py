@@ -60,3 +60,17 @@ def only_in_one(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys of one side only, with the side."""
     left = a.select(key).distinct().join(b, key, "left_anti").select(key, F.lit("missing").alias("state"))
     return left.union(b.select(key).distinct().join(a, key, "left_anti").select(key, F.lit("extra").alias("state")))
+
+
+def incoherent_stamps(data: DataFrame, published: DataFrame, key: str, provenance: str, live: str, same: list[str]) -> DataFrame:
+    """(key, fault): published files whose provenance (or that of their data) is not live, or whose stamps differ from those of the data; the first fault of each."""
+    other = published.select(key, *[F.col(c).alias(f"_{c}") for c in (provenance, *same)])
+    fault = F.when(~(F.col(provenance).eqNullSafe(F.lit(live)) & F.col(f"_{provenance}").eqNullSafe(F.lit(live))), provenance)
+    for c in same:
+        fault = fault.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), c)
+    return data.join(other, key).select(key, fault.alias("fault")).filter("fault is not null")
+
+
+def named_enough(df: DataFrame, group: str, name: str, least: int) -> DataFrame:
+    """(group, named, accepted): whether so many distinct names that a refresh may replace what is published."""
+    return df.groupBy(group).agg(F.count_distinct(name).alias("named")).withColumn("accepted", F.col("named") >= least)

@@ -73,16 +73,6 @@ def category_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.agg(F.round(part("1-URGENT"), 3).alias("top_share"), F.round(part("1-URGENT", "2-HIGH"), 3).alias("upper_share"))
 
 
-@query(f"""WITH {FACTS}, s AS (SELECT district, year(day) AS y, count(*) AS n FROM facts GROUP BY ALL), b AS (SELECT min(y) AS lo, max(y) AS hi FROM s)
-  SELECT n_nationkey AS district, o.n AS oldest, l.n AS newest, coalesce(l.n, 0) - coalesce(o.n, 0) AS change FROM nation CROSS JOIN b LEFT JOIN s o ON o.district = n_nationkey AND o.y = lo LEFT JOIN s l ON l.district = n_nationkey AND l.y = hi WHERE o.n IS NOT NULL OR l.n IS NOT NULL""")
-def snapshot_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-8 AGG-14: oldest against newest yearly snapshot; districts in neither are left out."""
-    s = facts(spark, sf_dir).groupBy("district", F.year("day").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    b = s.agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    p = s.crossJoin(F.broadcast(b)).groupBy("district").agg(F.max(F.when(F.col("y") == F.col("lo"), F.col("n"))).alias("oldest"), F.max(F.when(F.col("y") == F.col("hi"), F.col("n"))).alias("newest"))  # b is one row
-    return p.filter("oldest is not null or newest is not null").withColumn("change", F.coalesce("newest", F.lit(0)) - F.coalesce("oldest", F.lit(0)))
-
-
 @query(f"""WITH {FACTS}, a AS (SELECT CAST(year(day) AS INTEGER) AS y, status, count(*) AS n FROM facts GROUP BY ALL)
   SELECT y, 'history' AS source, CAST(sum(n) AS BIGINT) AS total, CAST(NULL AS BIGINT) AS pending FROM a WHERE y < 1998 GROUP BY y
   UNION ALL SELECT y, 'snapshot', CAST(sum(n) AS BIGINT), CAST(sum(CASE WHEN status = 'P' THEN n ELSE 0 END) AS BIGINT) FROM a WHERE y >= 1998 GROUP BY y""")
@@ -94,31 +84,6 @@ def spliced_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
-@query(f"""WITH {FACTS} SELECT CAST(year(day) AS INTEGER) AS y, status, count(*) AS n FROM facts WHERE year(day) BETWEEN 1996 AND 1998 GROUP BY ALL""")
-def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-9 AGG-32 AGG-33: a pivot by year as a wide sheet, read back to long rows."""
-    wide = facts(spark, sf_dir).withColumn("y", F.year("day")).groupBy("status").pivot("y", [1996, 1997, 1998]).agg(F.count(F.lit(1)))
-    long = wide.unpivot("status", ["1996", "1997", "1998"], "y", "n")
-    return long.filter("n is not null").select(F.col("y").cast("int").alias("y"), "status", "n")
-
-
-@query(f"""WITH {FACTS}, y AS (SELECT CAST(year(day) AS INTEGER) AS y, count(*) AS n FROM facts GROUP BY 1), c AS (SELECT CAST(range AS INTEGER) AS id, CAST(1995 + range % 3 AS INTEGER) AS base_year, CAST(1998 + range % 5 AS INTEGER) AS target_year, CAST(1000 * (range + 1) AS BIGINT) AS promised, CASE range % 3 WHEN 0 THEN 'state' WHEN 1 THEN 'delta' ELSE 'sum' END AS basis FROM range(0, 6)),
-  v AS (SELECT c.*, b.n AS b, g.n AS g, (SELECT CAST(sum(n) AS BIGINT) FROM y WHERE y.y > base_year AND y.y <= target_year) AS s FROM c LEFT JOIN y b ON b.y = base_year LEFT JOIN y g ON g.y = target_year),
-  r AS (SELECT *, CASE basis WHEN 'state' THEN g WHEN 'delta' THEN g - b WHEN 'sum' THEN s END AS actual FROM v)
-  SELECT id, basis, promised, actual, round(actual * 100e0 / promised, 3) AS pct, actual >= promised AS met FROM r""")
-def commitments_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-31 AGG-29 AGG-30 ORD-10: promises held against the annual series as a state, a change, or a sum over (base, target]."""
-    y = facts(spark, sf_dir).groupBy(F.year("day").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    i = F.col("id")
-    c = spark.range(6).select(i.cast("int").alias("id"), (1995 + i % 3).cast("int").alias("base_year"), (1998 + i % 5).cast("int").alias("target_year"), (1000 * (i + 1)).alias("promised"), F.when(i % 3 == 0, "state").when(i % 3 == 1, "delta").otherwise("sum").alias("basis"))
-    span = c.join(y, (F.col("y") >= F.col("base_year")) & (F.col("y") <= F.col("target_year")), "left").groupBy(*c.columns)
-    at = lambda k: F.max(F.when(F.col("y") == F.col(k), F.col("n")))
-    v = span.agg(at("base_year").alias("b"), at("target_year").alias("g"), F.sum(F.when(F.col("y") > F.col("base_year"), F.col("n"))).alias("s"))
-    actual = F.when(F.col("basis") == "state", F.col("g")).when(F.col("basis") == "delta", F.col("g") - F.col("b")).otherwise(F.col("s"))
-    out = v.withColumn("actual", actual)
-    return out.select("id", "basis", "promised", "actual", F.round(F.col("actual") * 100.0 / F.col("promised"), 3).alias("pct"), (F.col("actual") >= F.col("promised")).alias("met")).orderBy("id")
-
-
 @query("""SELECT l_suppkey AS camera, CAST(sum(l_quantity) AS BIGINT) AS violations, strftime(min(l_shipdate), '%Y-%m-%d') AS first_day, strftime(max(l_shipdate), '%Y-%m-%d') AS last_day, arg_max(l_linenumber, (l_shipdate, l_orderkey, l_linenumber)) AS last_place FROM lineitem GROUP BY l_suppkey""")
 def camera_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-16: totals per device, first and last day, and the place at the latest day."""
@@ -159,16 +124,6 @@ def share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.filter("n > 0").select("event_type", "n", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(1))), 3).alias("pct"), level.alias("level")).orderBy("level")
 
 
-@query("""WITH u AS (SELECT 1 AS load, 'a' AS source, o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' UNION ALL SELECT 2, 'b', o_orderkey, o_orderstatus FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'),
-  k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY load) AS rn FROM u) SELECT CAST(id AS VARCHAR) AS id, source, status FROM k WHERE rn = 1""")
-def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-1 WIN-7 SRC-13: two sources with an overlap; the first load of an id wins."""
-    o = t(spark, sf_dir, "orders")
-    part = lambda cond, n, s: o.filter(cond).select(F.lit(n).alias("load"), F.lit(s).alias("source"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status"))
-    both = part("o_orderdate < timestamp'1999-01-01'", 1, "a").unionByName(part("o_orderdate >= timestamp'1998-01-01'", 2, "b"))
-    return ranking.first_wins(both, ["id"], ["load"]).select("id", "source", "status")
-
-
 @query("""WITH s AS (SELECT l_suppkey AS sponsor, o_orderkey AS matter, o_orderpriority IN ('1-URGENT', '2-HIGH') AS relevant, o_orderstatus FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
   SELECT sponsor, count(*) AS total, count(*) FILTER (relevant) AS relevant, count(*) FILTER (o_orderstatus = 'F') AS no_votes, CAST(row_number() OVER (ORDER BY count(*) FILTER (relevant) DESC, count(*) FILTER (o_orderstatus = 'F') DESC, sponsor) AS INTEGER) AS place FROM s GROUP BY sponsor""")
 def sponsor_record(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,26 +228,6 @@ def named_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").groupBy(F.coalesce(street, F.lit("(unnamed)")).alias("corridor")).agg(F.count(F.lit(1)).alias("n"), F.min("p_size").alias("low"), F.max("p_size").alias("high"))
 
 
-@query(f"""WITH {FACTS}, a AS (SELECT district, count(*) AS orders, round(sum(price), 2) AS price FROM facts GROUP BY 1), s AS (SELECT s_nationkey AS district, count(*) AS suppliers FROM supplier GROUP BY 1), c AS (SELECT c_nationkey AS district, count(*) AS population FROM customer GROUP BY 1)
-  SELECT n_nationkey AS district, n_name AS name, r_name AS area, population, coalesce(orders, 0) AS orders, suppliers, suppliers IS NOT NULL AS has_suppliers, round(orders * 1000e0 / population, 3) AS per_1000 FROM nation JOIN region ON r_regionkey = n_regionkey LEFT JOIN a ON a.district = n_nationkey LEFT JOIN s ON s.district = n_nationkey LEFT JOIN c ON c.district = n_nationkey""")
-def district_star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-26 JON-14 FLT-14 FLT-15 SNK-2: every district with its branches; an absent branch is stated, not zero. Each side is rolled up before it is joined."""
-    a = facts(spark, sf_dir).groupBy("district").agg(F.count(F.lit(1)).alias("orders"))
-    s = t(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("district")).agg(F.count(F.lit(1)).alias("suppliers"))
-    c = t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("district")).agg(F.count(F.lit(1)).alias("population"))
-    n = t(spark, sf_dir, "nation").join(t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("district"), F.col("n_name").alias("name"), F.col("r_name").alias("area"))
-    j = n.join(a, "district", "left").join(s, "district", "left").join(c, "district", "left")
-    return j.select("district", "name", "area", "population", F.coalesce("orders", F.lit(0)).alias("orders"), "suppliers", F.col("suppliers").isNotNull().alias("has_suppliers"), F.round(ratio(F.col("orders"), F.col("population"), 1000.0), 3).alias("per_1000"))
-
-
-@query("""SELECT l_suppkey AS ward, count(*) AS n, round(sum(coalesce(CASE WHEN l_discount > 0.05e0 THEN l_extendedprice END, l_quantity)), 2) AS spent, round(coalesce(sum(CASE WHEN l_shipdate >= TIMESTAMP '1999-01-01' THEN coalesce(CASE WHEN l_discount > 0.05e0 THEN l_extendedprice END, l_quantity) END), 0), 2) AS recent FROM lineitem GROUP BY 1""")
-def menu_spending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-18: sums with a fallback column and a conditional part."""
-    cost = F.coalesce(F.when(F.col("l_discount") > 0.05, F.col("l_extendedprice")), F.col("l_quantity"))
-    recent = F.sum(F.when(F.col("l_shipdate") >= "1999-01-01", cost))
-    return t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("ward")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(cost), 2).alias("spent"), F.round(F.coalesce(recent, F.lit(0.0)), 2).alias("recent"))
-
-
 @query("""SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderdate >= TIMESTAMP '1999-06-01'""")
 def looked_up_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-1 SRC-2 JON-10 FLT-10: rows by a list of keys, the filter pushed to the scan."""

@@ -93,16 +93,6 @@ def feed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.date_format(rfc_time(said), "yyyy-MM-dd HH:mm:ss").alias("published"))
 
 
-@query("""WITH i AS (SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1), ' ') AS title, url AS link FROM pages) SELECT page_id, title, link FROM i WHERE title <> '' AND link <> ''""")
-def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-10: items of a feed, made of the pages; those without title or link go."""
-    safe = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    title = safe(F.regexp_extract("html", r"<title>([^<]*)</title>", 1))
-    xml = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), safe(F.col("url")), F.lit("</link></item>"))
-    items = t(spark, sf_dir, "pages").select("page_id", files.parsed_items(xml).alias("i")).select("page_id", "i.*")
-    return files.rss_items(items).select("page_id", "title", "link")
-
-
 @query(f"""WITH {SEGMENTS} SELECT seg_id, round(x1, 5) AS first_x, round(y2, 5) AS last_y, CAST(corridor AS VARCHAR) AS corridor FROM segments""")
 def feature_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-1 SNK-3 SNK-7 SRC-3: lines written as features and read again."""
@@ -125,14 +115,6 @@ def latest_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.latest_period(files.read_members(spark, path, "id long, status string").select("*", "_metadata")).select("id", "status", "period")
 
 
-@query(f"""WITH {FACTS}, f AS (SELECT district, count(*) AS n FROM facts WHERE price > 300000 GROUP BY 1) SELECT n_nationkey AS district, coalesce(n, 0) AS n FROM nation LEFT JOIN f ON district = n_nationkey""")
-def written_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-2: one slice for each district, even an empty one."""
-    keys, path = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("district")), files.shared_path(spark)
-    files.write_slices(facts(spark, sf_dir).filter("price > 300000").select("id", "district"), keys, "district", path)
-    return spark.read.parquet(path).groupBy("district").agg(F.count("id").alias("n"))
-
-
 @query("""SELECT strftime(o_orderdate, '%Y') || '-01-01' AS snapshot_date, count(*) AS n FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY 1""")
 def dated_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-8: a dated copy per run; the run of a day that is repeated replaces that day."""
@@ -142,14 +124,6 @@ def dated_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", False).parquet(path).groupBy(F.col("snapshot_date").cast("string").alias("snapshot_date")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def output_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-10 DQ-5: files written per district with bytes and digest; digests of Parquet files have no SQL."""
-    path = files.shared_path(spark)
-    facts(spark, sf_dir).select("id", "district").repartition("district").write.partitionBy("district").parquet(path)
-    return files.manifest(spark, path).filter("file like 'part-%'")
-
-
 _CLAIMS = """WITH c AS (SELECT l_suppkey AS id, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1),
   k AS (SELECT *, CASE WHEN id % 13 = 0 THEN returned + 2007 ELSE returned END AS said FROM c)"""
 
@@ -214,12 +188,6 @@ def disagreeing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.disagreeing(a, a.withColumn("n", F.col("n") + F.when(F.col("district") % 6 == 0, 1).otherwise(0)), "district", ["n"])
 
 
-@query("""SELECT c_custkey AS id, 'missing' AS state FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'extra' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
-def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-4: listed against present, both ways."""
-    return gates.only_in_one(t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), "id")
-
-
 @query("""WITH p AS (SELECT l_orderkey AS id, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1) SELECT o_orderkey AS id FROM orders LEFT JOIN p ON id = o_orderkey WHERE abs(coalesce(n, 0) - 4) > 1.5""")
 def unreconciled_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DQ-12: totals that the sum of their parts misses by more than the tolerance."""

@@ -38,23 +38,6 @@ def clicked_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.points_in_polygons(last, zones(spark), CELL).select("user_id", "event_id", "zone")
 
 
-@query(f"""WITH {SEGMENTS}, w AS (SELECT 'Way ' || CAST(corridor AS VARCHAR) AS name, x2, sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) AS meters FROM segments WHERE seg_id % 4 <> 0 AND seg_id % 5 <> 0)
-  SELECT name, count(*) AS ways, round(sum(meters), 2) AS meters, round(max(x2), 3) AS middle_x FROM w GROUP BY name""")
-def trail_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-5 AGG-27 AGG-28 FN-5 FN-7: ways written as nested elements and read back; named ones of two points or more, their path lengths summed by name, and the middle vertex."""
-    at = lambda x, y: F.struct(F.col(y).alias("lat"), F.col(x).alias("lon"))
-    two = F.when(F.col("seg_id") % 5 == 0, F.array(at("x1", "y1"))).otherwise(F.array(at("x1", "y1"), at("x2", "y2")))
-    tags = F.when(F.col("seg_id") % 4 == 0, F.create_map(F.lit("highway"), F.lit("path"))).otherwise(F.create_map(F.lit("name"), F.concat(F.lit("Way "), F.col("corridor").cast("string"))))
-    element = F.struct(F.lit("way").alias("type"), F.col("seg_id").alias("id"), tags.alias("tags"), two.alias("geometry"))
-    path = files.shared_path(spark)
-    segments(spark, sf_dir).select(F.to_json(F.struct(F.array(element).alias("elements"))).alias("value")).write.text(path)
-    ways = files.named_ways(spark.read.schema(files.WAY).json(path))
-    ahead = F.slice("line", 2, F.size("line"))
-    steps = F.zip_with(F.slice("line", 1, F.size("line") - 1), ahead, lambda a, b: distance(a.x, a.y, b.x, b.y))
-    measured = ways.select("name", F.aggregate(steps, F.lit(0.0), lambda s, m: s + m).alias("meters"), F.get("line", F.floor(F.size("line") / 2).cast("int")).alias("middle"))
-    return measured.groupBy("name").agg(F.count(F.lit(1)).alias("ways"), F.round(F.sum("meters"), 2).alias("meters"), F.round(F.max("middle.x"), 3).alias("middle_x"))
-
-
 def _utm_sql(lon: str, lat: str) -> tuple[str, str]:
     """The series of scalars.utm16 as SQL."""
     n = 0.0016792203946287
@@ -127,33 +110,6 @@ def agenda_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("id", "district", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query("""WITH l AS (SELECT l_suppkey AS member, list_sort(list(DISTINCT CAST(l_linenumber AS VARCHAR))) AS lines FROM lineitem GROUP BY 1)
-  SELECT s_suppkey AS member, CASE WHEN list_contains(lines, '7') THEN 'roster' ELSE 'other' END AS side, coalesce(array_to_string(lines, '; '), '') AS lines, s_suppkey IN (SELECT n_nationkey FROM nation) AS listed FROM supplier LEFT JOIN l ON member = s_suppkey""")
-def roster_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-30 JON-32 JON-33 FLT-17 FLT-22 SNK-6: members on a line and the others, their lines joined for export, and whether a list names them."""
-    lines = t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("member")).agg(F.array_sort(F.collect_set(F.col("l_linenumber").cast("string"))).alias("l"))
-    listed = t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("member"), F.lit(True).alias("listed"))
-    s = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("member")).join(lines, "member", "left").join(listed, "member", "left")
-    side = F.when(F.array_contains("l", "7"), "roster").otherwise("other")
-    return s.select("member", side.alias("side"), F.coalesce(F.array_join("l", "; "), F.lit("")).alias("lines"), F.coalesce("listed", F.lit(False)).alias("listed"))
-
-
-_GRADED = """g AS (SELECT l_suppkey % 12 AS line, CASE WHEN l_discount >= 0.08 THEN 'A' WHEN l_discount >= 0.05 THEN 'B' WHEN l_discount >= 0.02 THEN 'C' ELSE 'D' END AS grade, CAST(l_quantity AS DOUBLE) AS meters, CASE WHEN l_returnflag <> 'N' THEN l_linenumber END AS incidents FROM lineitem)"""
-
-
-@query(f"""WITH {_GRADED} SELECT line, round(sum(meters), 2) AS meters, CASE WHEN line <> 0 THEN round(sum(CASE WHEN grade IN ('A', 'B') THEN meters ELSE 0 END) * 100 / sum(meters), 2) END AS share,
-  CASE WHEN line <> 0 THEN CAST(sum(incidents) AS BIGINT) END AS incidents, count(DISTINCT grade) AS grades FROM g GROUP BY line""")
-def report_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-25 AGG-26 FLT-16: metres per line, the share at the comfort floor or better, and incidents, null where no member has them; a trail (line 0) omits the last two."""
-    d = F.col("l_discount")
-    grade = F.when(d >= 0.08, "A").when(d >= 0.05, "B").when(d >= 0.02, "C").otherwise("D")
-    g = t(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 12).alias("line"), grade.alias("grade"), F.col("l_quantity").cast("double").alias("meters"), F.when(F.col("l_returnflag") != "N", F.col("l_linenumber")).alias("n"))
-    rank = F.coalesce(F.create_map(*[x for i, k in enumerate(GRADES) for x in (F.lit(k), F.lit(i))])[F.col("grade")], F.lit(-1))
-    a = g.groupBy("line").agg(F.sum("meters").alias("m"), F.sum(F.when(rank >= GRADES.index("B"), F.col("meters")).otherwise(0.0)).alias("good"), F.sum("n").cast("long").alias("n"), F.count_distinct("grade").alias("grades"))
-    road = F.col("line") != 0
-    return a.select("line", F.round("m", 2).alias("meters"), F.when(road, F.round(ratio(F.col("good"), F.col("m"), 100), 2)).alias("share"), F.when(road, F.col("n")).alias("incidents"), "grades")
-
-
 @query(f"""WITH {FACTS}, y AS (SELECT CAST(count(*) FILTER (day >= DATE '1997-01-01') AS BIGINT) AS delivered, count(*) FILTER (day >= DATE '2030-01-01') AS fresh, count(*) AS held FROM facts) SELECT delivered, coalesce(nullif(fresh, 0), held) AS reference, CASE WHEN fresh > 0 THEN 'fresh' ELSE 'snapshot' END AS basis FROM y""")
 def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-31: one row of what was delivered, against the fresh figure or, if there is none, the snapshot."""
