@@ -94,7 +94,7 @@ def camera_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {FACTS}, d AS (SELECT district, count(*) AS n FROM facts GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, district) AS rn FROM d)
   SELECT round(median(n), 2) AS median_n, CAST(count(*) AS BIGINT) AS districts, round(avg(n), 3) AS mean_n, round(sum(n) FILTER (rn <= 5) * 100e0 / sum(n), 3) AS top5_share FROM r""")
 def district_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-34 AGG-36 AGG-37: median, mean and the share of the five largest districts."""
+    """AGG-36 AGG-37: median, mean and the share of the five largest districts."""
     d = facts(spark, sf_dir).groupBy("district").agg(F.count(F.lit(1)).alias("n"))
     r = d.withColumn("rn", F.row_number().over(Window.orderBy(F.col("n").desc(), "district")))
     return r.agg(F.round(F.median("n"), 2).alias("median_n"), F.count(F.lit(1)).alias("districts"), F.round(F.avg("n"), 3).alias("mean_n"), F.round(F.sum(F.when(F.col("rn") <= 5, F.col("n"))) * 100.0 / F.sum("n"), 3).alias("top5_share"))
@@ -127,17 +127,17 @@ def share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT l_suppkey AS sponsor, o_orderkey AS matter, o_orderpriority IN ('1-URGENT', '2-HIGH') AS relevant, o_orderstatus FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
   SELECT sponsor, count(*) AS total, count(*) FILTER (relevant) AS relevant, count(*) FILTER (o_orderstatus = 'F') AS no_votes, CAST(row_number() OVER (ORDER BY count(*) FILTER (relevant) DESC, count(*) FILTER (o_orderstatus = 'F') DESC, sponsor) AS INTEGER) AS place FROM s GROUP BY sponsor""")
 def sponsor_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-19 ORD-8: matters per sponsor, relevant ones and votes, in published order."""
+    """ORD-8: matters per sponsor, relevant ones and votes, numbered in published order by ranges of it."""
     o = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     s = t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("sponsor")).distinct().join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     r = s.groupBy("sponsor").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("relevant"), F.count_if(F.col("o_orderstatus") == "F").alias("no_votes"))
-    return r.withColumn("place", F.row_number().over(Window.orderBy(F.col("relevant").desc(), F.col("no_votes").desc(), "sponsor")))
+    return ranking.numbered(r, [F.col("relevant").desc(), F.col("no_votes").desc(), F.col("sponsor")], "place")
 
 
 @query("""SELECT l_orderkey AS bill, count(*) FILTER (l_returnflag = 'A') AS yes, count(*) FILTER (l_returnflag = 'R') AS no, count(*) FILTER (l_returnflag = 'N') AS absent,
   array_to_string(list_sort(list_distinct(list(CASE WHEN l_returnflag = 'R' THEN lpad(CAST(l_suppkey AS VARCHAR), 6, '0') END))), '; ') AS dissent, arg_min(l_suppkey, (l_linenumber, l_suppkey)) AS primary_sponsor FROM lineitem GROUP BY l_orderkey""")
 def vote_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-20 AGG-21 FN-23: tallies with the sorted set of dissenters, and the primary sponsor."""
+    """AGG-20: tallies with the sorted set of dissenters, and the primary sponsor."""
     v = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("bill"))
     who = F.when(F.col("l_returnflag") == "R", F.lpad(F.col("l_suppkey").cast("string"), 6, "0"))
     flag = lambda c: F.count_if(F.col("l_returnflag") == c)
@@ -146,7 +146,7 @@ def vote_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_custkey AS bill, strftime(min(o_orderdate), '%Y-%m-%d') AS first_day, strftime(max(o_orderdate), '%Y-%m-%d') AS last_day, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS last_status FROM orders GROUP BY o_custkey HAVING max(o_orderdate) >= TIMESTAMP '2000-01-01'""")
 def bills_last_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-11 AGG-24 WIN-9: first and last action with the last status, acted on since a date; in SQL."""
+    """SRC-11 AGG-24: first and last action with the last status, acted on since a date; in SQL."""
     t(spark, sf_dir, "orders").createOrReplaceTempView("w_orders")
     return spark.sql("""SELECT o_custkey AS bill, date_format(min(o_orderdate), 'yyyy-MM-dd') AS first_day, date_format(max(o_orderdate), 'yyyy-MM-dd') AS last_day,
         max_by(o_orderstatus, struct(o_orderdate, o_orderkey)) AS last_status FROM w_orders GROUP BY o_custkey HAVING max(o_orderdate) >= timestamp'2000-01-01'""")
@@ -171,7 +171,7 @@ def untagged_work(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT s_suppkey AS id, CASE WHEN EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_custkey = s_suppkey) THEN 'matched' ELSE 'unmatched' END AS state, s_nationkey AS district FROM supplier""")
 def composite_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-16 FLT-14: exact match on two columns, the rest listed as unmatched."""
+    """JON-16: exact match on two columns, the rest listed as unmatched."""
     s = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("district"))
     c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("district")).distinct()
     hit = s.join(c, ["id", "district"], "left_semi").withColumn("state", F.lit("matched"))
@@ -181,7 +181,7 @@ def composite_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT s_suppkey AS id, coalesce(a.c_custkey, b.c_custkey) AS member, CASE WHEN a.c_custkey IS NOT NULL THEN 'ward' WHEN b.c_custkey IS NOT NULL THEN 'name' END AS how
   FROM supplier LEFT JOIN (SELECT c_nationkey, min(c_custkey) AS c_custkey FROM customer WHERE c_acctbal > 9900 GROUP BY 1) a ON c_nationkey = s_nationkey LEFT JOIN customer b ON b.c_custkey = s_suppkey""")
 def fallback_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-29 JON-15: by district first, else by exact key."""
+    """JON-29: by district first, else by exact key."""
     c = t(spark, sf_dir, "customer")
     a = c.filter("c_acctbal > 9900").groupBy(F.col("c_nationkey").alias("district")).agg(F.min("c_custkey").alias("a"))
     s = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("district"))
@@ -191,7 +191,7 @@ def fallback_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FACTS}, p AS (SELECT *, row_number() OVER (ORDER BY day DESC, id) AS rn FROM facts) SELECT id, strftime(day, '%Y-%m-%d') AS day FROM p WHERE rn <= 60 OR (price > 330000 AND status = 'P')""")
 def newest_with_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ORD-5 FLT-18: the newest 60, and matches beyond the cap survive it; top-k and filter, no global window."""
+    """ORD-5: the newest 60, and matches beyond the cap survive it; top-k and filter, no global window."""
     f = facts(spark, sf_dir)
     newest = f.orderBy(F.col("day").desc(), "id").limit(60)
     return newest.unionByName(f.filter("price > 330000 and status = 'P'")).select("id", F.date_format("day", "yyyy-MM-dd").alias("day")).distinct()
@@ -199,7 +199,7 @@ def newest_with_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FACTS}, k AS (SELECT *, row_number() OVER (PARTITION BY district ORDER BY day DESC, id) AS rn FROM facts) SELECT district, array_to_string(list(CAST(id AS VARCHAR) ORDER BY rn), ',') AS newest FROM k WHERE rn <= 8 GROUP BY district""")
 def newest_per_district(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-23 WIN-14: the newest eight of each as a list."""
+    """WIN-14: the newest eight of each as a list."""
     k = ranking.top_k(facts(spark, sf_dir), ["district"], [F.col("day").desc(), "id"], 8)
     ordered = F.array_sort(F.collect_list(F.struct("rank", F.col("id").cast("string").alias("id"))))
     return k.groupBy("district").agg(F.array_join(F.transform(ordered, lambda x: x.id), ",").alias("newest"))
@@ -215,7 +215,7 @@ def short_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH b AS (SELECT l_orderkey AS segment, array_to_string(list_sort(list_distinct(list(CAST(l_suppkey % 10 AS VARCHAR)))), '|') AS lines FROM lineitem GROUP BY 1) SELECT lines, count(*) AS segments, min(segment) AS first_segment FROM b GROUP BY lines""")
 def shared_track_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-41 AGG-44: segments grouped by their sorted set of lines."""
+    """AGG-41: segments grouped by their sorted set of lines."""
     lines = F.array_join(F.array_sort(F.collect_set((F.col("l_suppkey") % 10).cast("string"))), "|")
     b = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("segment")).agg(lines.alias("lines"))
     return b.groupBy("lines").agg(F.count(F.lit(1)).alias("segments"), F.min("segment").alias("first_segment"))
@@ -223,14 +223,14 @@ def shared_track_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT nullif(CASE WHEN p_size % 9 = 0 THEN '' ELSE p_brand END, '') AS street, p_size, p_retailprice FROM part) SELECT coalesce(street, '(unnamed)') AS corridor, count(*) AS n, min(p_size) AS low, max(p_size) AS high FROM p GROUP BY 1""")
 def named_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-42 AGG-40: groups with a bucket for the unnamed, and the union of their ranges."""
+    """AGG-42: groups with a bucket for the unnamed, and the union of their ranges."""
     street = F.nullif(F.when(F.col("p_size") % 9 == 0, "").otherwise(F.col("p_brand")), F.lit(""))
     return t(spark, sf_dir, "part").groupBy(F.coalesce(street, F.lit("(unnamed)")).alias("corridor")).agg(F.count(F.lit(1)).alias("n"), F.min("p_size").alias("low"), F.max("p_size").alias("high"))
 
 
 @query("""SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderdate >= TIMESTAMP '1999-06-01'""")
 def looked_up_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-1 SRC-2 JON-10 FLT-10: rows by a list of keys, the filter pushed to the scan."""
+    """SRC-1 SRC-2 JON-10: rows by a list of keys, the filter pushed to the scan."""
     keys = t(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey").distinct()
     o = t(spark, sf_dir, "orders").filter("o_orderdate >= timestamp'1999-06-01'")
     return o.join(keys, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
@@ -245,7 +245,7 @@ def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT * FROM (SELECT 'orders' AS source, count(*) AS records, strftime(min(o_orderdate), '%Y-%m-%d') AS first_day, strftime(max(o_orderdate), '%Y-%m-%d') AS last_day FROM orders UNION ALL SELECT 'lineitem', count(*), strftime(min(l_shipdate), '%Y-%m-%d'), strftime(max(l_shipdate), '%Y-%m-%d') FROM lineitem UNION ALL SELECT 'events', count(*), strftime(min(ts), '%Y-%m-%d'), strftime(max(ts), '%Y-%m-%d') FROM events) WHERE records > 0""")
 def source_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-11 AGG-38: records and dates of each source that is not empty."""
+    """SNK-11: records and dates of each source that is not empty."""
     out = None
     for name, day in (("orders", "o_orderdate"), ("lineitem", "l_shipdate"), ("events", "ts")):
         row = t(spark, sf_dir, name).agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("records"), F.date_format(F.min(day), "yyyy-MM-dd").alias("first_day"), F.date_format(F.max(day), "yyyy-MM-dd").alias("last_day")).filter("records > 0")

@@ -34,7 +34,7 @@ def zone_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {POINTS} SELECT zone, event_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY zone)::BIGINT AS total FROM points GROUP BY zone, event_type")
 def zone_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-3 AGG-15: points counted by the polygon that holds them, not by an attribute."""
+    """JON-3: points counted by the polygon that holds them, not by an attribute."""
     n = located(spark, sf_dir).groupBy("zone", "event_type").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("total", F.sum("n").over(Window.partitionBy("zone")))
 
@@ -88,7 +88,7 @@ def clipped_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_CLIP} SELECT zone, corridor % 5 AS category, round(sum(meters), 2) AS meters FROM clipped GROUP BY ALL")
 def clipped_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-7 AGG-12: metres per polygon and category."""
+    """JON-7: metres per polygon and category."""
     out = spatial.clipped_lengths(segments(spark, sf_dir), zones(spark), CELL, "seg_id", "zone")
     return out.filter("meters > 1e-6").groupBy("zone", (F.col("corridor") % 5).alias("category")).agg(F.round(F.sum("meters"), 2).alias("meters"))
 
@@ -117,7 +117,7 @@ def parts_away_from_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {POINTS}, u AS (SELECT user_id, count(*) AS trips, min(event_id) AS first_event FROM events GROUP BY user_id)
   SELECT zone, CAST(sum(trips) AS BIGINT) AS trips, count(*) AS stations FROM u JOIN points ON first_event = event_id GROUP BY zone""")
 def station_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-4 AGG-17: trips are counted per station first, then each station is located once."""
+    """JON-4: trips are counted per station first, then each station is located once."""
     p = points(spark, sf_dir)
     stations = p.groupBy("user_id").agg(F.count(F.lit(1)).alias("trips"), F.min(F.struct("event_id", "x", "y")).alias("s")).select("trips", "s.x", "s.y")
     return spatial.points_in_polygons(stations, zones(spark), CELL, "inner").groupBy("zone").agg(F.sum("trips").alias("trips"), F.count(F.lit(1)).alias("stations"))
@@ -126,7 +126,7 @@ def station_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {POINTS}, {SEGMENTS}, {NEAREST} SELECT p.event_id, zone, severity, CASE WHEN seg_id IS NULL THEN 'off_network' ELSE 'category_' || (corridor % 5) END AS facility
   FROM points p LEFT JOIN nearest USING (event_id) LEFT JOIN segments USING (seg_id) WHERE severity IN ('fatal', 'incapacitating') AND zone BETWEEN 10 AND 30 AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'""")
 def filtered_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-13 FLT-11: part of the composite filter, with the facility of the nearest segment or off_network."""
+    """JON-13: part of the composite filter, with the facility of the nearest segment or off_network."""
     p = located(spark, sf_dir).filter(F.col("severity").isin("fatal", "incapacitating") & F.col("zone").between(10, 30) & (F.col("ts") >= "2024-01-10") & (F.col("ts") < "2024-01-20"))
     seg = nearest(spark, sf_dir).join(segments(spark, sf_dir).select("seg_id", "corridor"), "seg_id").select("event_id", F.concat(F.lit("category_"), F.col("corridor") % 5).alias("facility"))
     return p.join(seg, "event_id", "left").select("event_id", "zone", "severity", F.coalesce("facility", F.lit("off_network")).alias("facility"))

@@ -29,6 +29,15 @@ def valid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("event_id", F.round("p.lat", 4).alias("lat"), F.round("p.lon", 4).alias("lon"))
 
 
+@query(f"""WITH {POINTS} SELECT event_id FROM points WHERE 41.64e0 + lat_i / 1e4 BETWEEN 41.7 AND 41.9 AND -87.85e0 + lon_i / 1e4 BETWEEN -87.8 AND -87.6""")
+def points_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-11: points in a box given as south, west, north, east, its edges included."""
+    south, west, north, east = 41.7, -87.8, 41.9, -87.6
+    k = F.col("event_id")
+    lon, lat = -87.85 + ((k * 7919) % 3300) / 1e4, 41.64 + ((k * 104729) % 3800) / 1e4
+    return t(spark, sf_dir, "events").filter(lat.between(south, north) & lon.between(west, east)).select("event_id")
+
+
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS dooring_i, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS weather, CASE WHEN o_orderkey % 5 > 1 THEN o_totalprice END AS speed FROM orders""")
 def ragged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-4: records that leave out what is null, written and read with the union of their fields; not-a-number is null."""

@@ -95,7 +95,7 @@ def feed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SEGMENTS} SELECT seg_id, round(x1, 5) AS first_x, round(y2, 5) AS last_y, CAST(corridor AS VARCHAR) AS corridor FROM segments""")
 def feature_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-1 SNK-3 SNK-7 SRC-3: lines written as features and read again."""
+    """SNK-7: lines written as features and read again."""
     line = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
     text = segments(spark, sf_dir).select(files.feature(line, {"seg": F.col("seg_id"), "corridor": F.col("corridor")}).alias("value"))
     path = files.shared_path(spark)

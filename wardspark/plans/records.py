@@ -16,9 +16,11 @@ from wardspark.sources import files
 GRADES = ("D", "C", "B", "A")
 
 
-@query()
+@query(r"""WITH RECURSIVE p AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n, 'h' || regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, nullif('t' || trim(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '\s+', ' ', 'g')), 't') AS title FROM pages),
+  r(n, page_id, kept, seen) AS (SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), false, CAST([] AS VARCHAR[]) UNION ALL SELECT p.n, p.page_id, NOT list_has_any(seen, list_filter([host, title], lambda x: x IS NOT NULL)), CASE WHEN list_has_any(seen, list_filter([host, title], lambda x: x IS NOT NULL)) THEN seen ELSE list_concat(seen, list_filter([host, title], lambda x: x IS NOT NULL)) END FROM r JOIN p ON p.n = r.n + 1)
+  SELECT p.page_id, substring(p.host, 2) AS host, substring(p.title, 2) AS title FROM r JOIN p USING (page_id) WHERE kept""")
 def deduped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-8 FN-13: pages in order, without those that share the host or the title with an earlier kept one; what was kept decides, so plain SQL cannot tell."""
+    """WIN-8: pages in order, without those that share the host or the title with an earlier kept one; what was kept decides."""
     title = F.nullif(title_key(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.lit(""))
     p = t(spark, sf_dir, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), title.alias("title"))
     return ranking.dedupe_by_either(p, "host", "title", "page_id")
@@ -78,7 +80,7 @@ def contract_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey AS part, p_partkey % 3 = 0 AS flag, CASE p_type WHEN 'ECONOMY' THEN 'protected' WHEN 'STANDARD' THEN 'buffered' ELSE 'other' END AS category,
   CASE WHEN p_size < 10 THEN 0 WHEN p_size < 20 THEN 1 WHEN p_size < 30 THEN 2 ELSE 3 END AS step FROM part WHERE p_size IS NOT NULL AND regexp_matches(lower(p_name), 'ring|small|bolt') AND contains(lower(p_brand), 'brand')""")
 def coded_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-2 FLT-3 FLT-4 FLT-9 FLT-21 FN-22 FN-25: a fact projection with a flag, a category that may be other, and a step, filtered by any of some words and a search."""
+    """FLT-2 FLT-3 FLT-4 FLT-9 FLT-21 FN-22: a fact projection with a flag, a category that may be other, and a step, filtered by any of some words and a search."""
     category = F.create_map(*map(F.lit, ("ECONOMY", "protected", "STANDARD", "buffered")))[F.col("p_type")]
     flag = yes_no(F.when(F.col("p_partkey") % 3 == 0, "y").when(F.col("p_partkey") % 3 == 1, "N"))
     step = F.when(F.col("p_size") < 10, 0).when(F.col("p_size") < 20, 1).when(F.col("p_size") < 30, 2).otherwise(3)
@@ -94,7 +96,7 @@ def unmapped_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FACTS}, m AS (SELECT * FROM facts WHERE status <> 'F' AND day >= DATE '1998-01-01') SELECT district, CAST(min(day) AS VARCHAR) AS next_day, arg_min(id, (day, id)) AS id, count(*) AS upcoming, date_diff('month', min(day), DATE '1998-12-01') > 3 AS stale FROM m GROUP BY district""")
 def next_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-13 ORD-6 ORD-11 FN-11: the next meeting that is not cancelled, how many follow, and whether the month is stale."""
+    """FLT-13 ORD-6 FN-11: the next meeting that is not cancelled, how many follow, and whether the month is stale."""
     m = facts(spark, sf_dir).filter("status <> 'F' and day >= date '1998-01-01'")
     stale = F.coalesce(F.months_between(F.lit("1998-12-01").cast("date"), F.trunc(F.min("day"), "month")) > 3, F.lit(False))
     return m.groupBy("district").agg(F.min("day").cast("string").alias("next_day"), F.min_by("id", F.struct("day", "id")).alias("id"), F.count(F.lit(1)).alias("upcoming"), stale.alias("stale"))
@@ -102,7 +104,7 @@ def next_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FACTS}, r AS (SELECT id, district, row_number() OVER (PARTITION BY district ORDER BY priority = '1-URGENT' DESC, status = 'O' DESC, CASE WHEN status <> 'P' THEN price END DESC NULLS LAST, id) AS place FROM facts) SELECT * FROM r WHERE place <= 6""")
 def agenda_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ORD-1 ORD-7 ORD-9: the first six of each district by several keys; rows without the value sink."""
+    """ORD-7: the first six of each district by several keys; rows without the value sink."""
     value = F.when(F.col("status") != "P", F.col("price"))
     order = [(F.col("priority") == "1-URGENT").desc(), (F.col("status") == "O").desc(), value.desc_nulls_last(), F.col("id")]
     best = ranking.top_k(facts(spark, sf_dir), ["district"], order, 6)
@@ -132,7 +134,7 @@ def agenda_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {FACTS}, a AS (SELECT district, count(*) AS old_rows, count(*) FILTER (id % 10 <> 0 OR district % 2 = 0) AS new_rows, count(DISTINCT status) AS named FROM facts GROUP BY district)
   SELECT district, CASE WHEN new_rows >= old_rows AND named >= 3 THEN 'rebuilt' ELSE 'published' END AS kept, greatest(new_rows, CASE WHEN new_rows >= old_rows AND named >= 3 THEN new_rows ELSE old_rows END) AS n, new_rows = 600 AS at_limit FROM a""")
 def publish_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DQ-10 DQ-11 DQ-13: a weaker or incomplete rebuild never replaces what is published; a batch exactly at the limit is marked."""
+    """DQ-13: a weaker or incomplete rebuild never replaces what is published; a batch exactly at the limit is marked."""
     f = facts(spark, sf_dir)
     old = f.groupBy("district").agg(F.count(F.lit(1)).alias("old_rows"), F.count_distinct("status").alias("named"))
     new = f.filter("id % 10 <> 0 or district % 2 = 0").groupBy("district").agg(F.count(F.lit(1)).alias("new_rows"))
