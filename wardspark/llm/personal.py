@@ -1,8 +1,9 @@
 """Personal data: base patterns, and further spans by weak supervision.
 
 Base spans (email, ip, card, phone) follow fixed patterns and always stay.
-Further candidates (secrets, and numbers without the base forms) get votes of
-several labelers: regex shapes, gazetteers of words in front, and context.
+Further candidates (secrets, numbers without the base forms, dates of birth,
+street addresses, names behind a title) get votes of several labelers: regex
+shapes, gazetteers of words in front (a parameter), and context.
 Votes are counted per pattern over all documents (a table bounded by the number
 of labelers, not by the corpus), expectation-maximisation estimates each
 labeler's reliability and each pattern's probability, and these train a
@@ -17,6 +18,7 @@ carried in a struct.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -32,11 +34,10 @@ from pyspark.sql import functions as F
 from wardspark.llm._shared import table
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("secret", "number")
+ADDED = ("secret", "number", "birth", "address", "name")
 Span = tuple[str, int, int]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_BEFORE_AT = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
@@ -84,98 +85,155 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-# Words in front of a span that speak for or against it (fixed values).
-SECRET_WORDS = frozenset("token secret password passwd pwd key apikey api_key access_key auth bearer credential credentials".split())
-NUMBER_WORDS = frozenset("phone tel telephone call mobile cell fax ssn social contact telefon teléfono téléphone llame appelez".split())
-PLAIN_WORDS = frozenset("commit sha sha1 sha256 md5 checksum revision version isbn issn figure table page section doi".split())
-PREFIXES = ("sk_", "pk_", "ghp_", "gho_", "AKIA", "xoxb-", "eyJ")
+def _set(words: str) -> frozenset[str]:
+    return frozenset(words.split())
+
+
+@dataclass(frozen=True)
+class Gazetteers:
+    """Words in lower case, of four languages by default: in front of a span for or against each kind, and what a name or an address is known by."""
+
+    secret: frozenset[str] = _set("token secret password passwd pwd passwort kennwort contraseña passe key schlüssel clave apikey api_key access_key auth bearer credential credentials pin")
+    number: frozenset[str] = _set("phone tel telephone call mobile cell fax ssn social contact telefon telefonnummer handy anruf teléfono tel. móvil téléphone portable llame appelez")
+    birth: frozenset[str] = _set("born birth birthday birthdate dob geboren geburtsdatum geburtstag né née naissance nacido nacida nacimiento")
+    address: frozenset[str] = _set("address addr lives resides at home ship deliver mail adresse anschrift wohnt wohnhaft domicilio dirección vive habite demeurant")
+    name: frozenset[str] = _set("name contact attn dear patient customer tenant signed client kunde patientin mieter liebe lieber sehr cher chère estimado estimada cliente paciente")
+    plain: frozenset[str] = _set("commit sha sha1 sha256 md5 checksum revision version isbn issn figure table page section doi build serial order invoice item model part")
+    streets: frozenset[str] = _set("street st avenue ave road rd lane ln boulevard blvd drive dr court ct place pl square")
+    titles: frozenset[str] = _set("Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Mlle Señor Señora Sr Sra")
+    prefixes: tuple[str, ...] = ("sk_", "pk_", "ghp_", "gho_", "AKIA", "xoxb-", "eyJ")
+
+
+GAZETTEERS = Gazetteers()
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 _WORD_BEFORE = re.compile(r"[\w-]+")
+_DATE = re.compile(r"(?<![0-9./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9./-]*[0-9])")
 #: Votes: 1 for, 0 against, 2 none.
 LABELERS = ("shape", "mixture", "for_words", "against_words", "context", "prefix")
 
 
+@functools.lru_cache(maxsize=8)
+def _patterns(g: Gazetteers) -> tuple[tuple[str, re.Pattern, bool], ...]:
+    """(kind, pattern, whether it has a digit) of the candidates."""
+    known = lambda words: "|".join(sorted(map(re.escape, words), key=lambda w: (-len(w), w)))
+    address = rf"(?<![0-9.])[0-9]{{1,5}}[A-Za-z]?\x20(?:[^\W\d_][\w'.-]*\x20){{1,3}}(?i:{known(g.streets)})\b|\b[^\W\d_]+(?:straße|strasse|str\.)\x20[0-9]{{1,4}}\b|\b(?:[Rr]ue|[Cc]alle|[Aa]venida)\x20(?:[^\W\d_][\w'.-]*\x20){{1,4}}[0-9]{{1,4}}\b"
+    name = rf"\b(?:{known(g.titles)})\.?\x20[A-ZÀ-Þ][\w'-]+(?:\x20[A-ZÀ-Þ][\w'-]+)?"
+    return (("secret", _TOKEN, True), ("number", _NUMBER, True), ("birth", _DATE, True), ("address", re.compile(address), True), ("name", re.compile(name), False))
+
+
 def _entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
 
-def candidates(text: str) -> Iterator[tuple[Span, str, str]]:
+def words_before(text: str, at: int, n: int = 3) -> list[str]:
+    """The last n words in front of a place, in lower case; the stretch that is searched grows until it holds them."""
+    size = 40
+    while True:
+        found = _WORD_BEFORE.findall(text[max(0, at - size) : at])
+        if len(found) > n or size >= at:
+            return [w.lower() for w in found[-n:]]
+        size *= 2
+
+
+def candidates(text: str, known: Gazetteers = GAZETTEERS) -> Iterator[tuple[Span, str, str]]:
     """(span, votes, features) of what may be personal data beside the base kinds."""
-    if not _DIGIT.search(text):
-        return
-    for kind, pattern in (("secret", _TOKEN), ("number", _NUMBER)):
+    has_digit = bool(_DIGIT.search(text))
+    for kind, pattern, numeric in _patterns(known):
+        if numeric and not has_digit:
+            continue
         for m in pattern.finditer(text):
             s = m[0]
             digits = sum("0" <= c <= "9" for c in s)
-            if not digits or (kind == "secret" and digits == len(s)):
+            if kind == "secret" and (not digits or digits == len(s)):
                 continue
-            before = [w.lower() for w in _WORD_BEFORE.findall(text[max(0, m.start() - 40) : m.start()])][-3:]
+            before = words_before(text, m.start())
             around = text[max(0, m.start() - 3) : m.start()].strip()[-1:] + text[m.end() : m.end() + 1]
             entropy, share = _entropy(s), digits / len(s)
-            shape = (len(s) >= 32 and _HEX.match(s)) if kind == "secret" else re.search(r"[0-9]{3}[-.][0-9]{2,3}[-.][0-9]{4}\Z|^\(", s)
+            said = any(w in getattr(known, kind) for w in before)
+            shape, mixture = 2, 2
+            if kind == "secret":
+                shape, mixture = (1 if len(s) >= 32 and _HEX.match(s) else 2), (1 if entropy > 3.2 and share > 0.1 else 0)
+            elif kind == "number":
+                shape = 1 if re.search(r"[0-9]{3}[-.][0-9]{2,3}[-.][0-9]{4}\Z|^\(", s) else 2
+            elif kind == "birth":
+                shape, mixture = (2, 2) if said else (0, 0)  # most dates are nobody's
+            elif kind == "address":
+                cased = s[:1].isdigit() and s.split()[1][:1].isupper() or s[-1:].isdigit()
+                shape, mixture = (1, 1) if cased else (2, 0)
+            else:
+                shape, mixture = 1, (1 if s.count(" ") > 1 else 2)
             votes = (
-                1 if shape else 2,
-                (1 if entropy > 3.2 and share > 0.1 else 0) if kind == "secret" else 2,
-                1 if any(w in (SECRET_WORDS if kind == "secret" else NUMBER_WORDS) for w in before) else 2,
-                0 if any(w in PLAIN_WORDS for w in before) else 2,
+                shape,
+                mixture,
+                1 if said else 2,
+                0 if any(w in known.plain for w in before) else 2,
                 1 if any(c in around for c in "\"'=:") else 2,
-                (1 if s.startswith(PREFIXES) else 2) if kind == "secret" else 2,
+                (1 if s.startswith(known.prefixes) else 2) if kind == "secret" else 2,
             )
             letters = s.upper() == s or s.lower() == s
             features = f"{min(len(s) // 8, 7)}{min(int(share * 4), 3)}{min(int(entropy), 5)}{int(letters)}{int(bool(_HEX.match(s)))}"
             yield (kind, *m.span()), "".join(map(str, votes)), features
 
 
-def estimate(patterns: list[tuple[str, str, str, int]], rounds: int = 50) -> dict[tuple[str, str], float]:
-    """Probability of each (kind, votes) by expectation-maximisation; patterns: (kind, votes, features, count).
+def fitted(counts: dict[str, float], rounds: int = 50) -> tuple[dict[str, float], list[float], float]:
+    """Expectation-maximisation over vote patterns and their counts: the probability of each pattern, the reliability of each labeler, the share of true ones.
 
-    Reliabilities carry a Beta(8, 2) prior towards labelers that are mostly right.
+    Reliabilities carry a Beta(8, 2) prior towards labelers that are mostly
+    right and stay above 0.55, so that "for" keeps its sense.
     """
+    keys = sorted(counts)
+    v = np.array([[int(c) for c in key] for key in keys])
+    n = np.array([counts[key] for key in keys], dtype=float)
+    p = np.clip(0.5 + 0.15 * ((v == 1).sum(1) - (v == 0).sum(1)), 0.05, 0.95)
+    rates, prior = [0.8] * v.shape[1], 0.5
+    for _ in range(rounds):
+        prior = ((p * n).sum() + 2) / (n.sum() + 4)
+        log_yes, log_no = np.full(len(n), math.log(prior)), np.full(len(n), math.log(1 - prior))
+        for j in range(v.shape[1]):
+            right = ((n * p * (v[:, j] == 1)).sum() + (n * (1 - p) * (v[:, j] == 0)).sum() + 8) / ((n * (v[:, j] != 2)).sum() + 10)
+            rates[j] = right = min(max(right, 0.55), 0.99)
+            says = np.where(v[:, j] == 1, math.log(right / (1 - right)), np.where(v[:, j] == 0, -math.log(right / (1 - right)), 0.0))
+            log_yes = log_yes + says / 2
+            log_no = log_no - says / 2
+        p = 1 / (1 + np.exp(log_no - log_yes))
+    return dict(zip(keys, p.tolist())), rates, prior
+
+
+def estimate(patterns: list[tuple[str, str, str, int]]) -> dict[tuple[str, str], float]:
+    """Probability of each (kind, votes), each kind by itself; patterns: (kind, votes, features, count)."""
     out: dict[tuple[str, str], float] = {}
     for kind in {p[0] for p in patterns}:
         counts: Counter = Counter()
         for k, votes, _, n in patterns:
             if k == kind:
                 counts[votes] += n
-        keys = sorted(counts)
-        v = np.array([[int(c) for c in key] for key in keys])
-        n = np.array([counts[key] for key in keys], dtype=float)
-        p = np.clip(0.5 + 0.15 * ((v == 1).sum(1) - (v == 0).sum(1)), 0.05, 0.95)
-        for _ in range(rounds):
-            prior = ((p * n).sum() + 2) / (n.sum() + 4)
-            log_yes, log_no = np.full(len(n), math.log(prior)), np.full(len(n), math.log(1 - prior))
-            for j in range(v.shape[1]):
-                right = ((n * p * (v[:, j] == 1)).sum() + (n * (1 - p) * (v[:, j] == 0)).sum() + 8) / ((n * (v[:, j] != 2)).sum() + 10)
-                right = min(max(right, 0.55), 0.99)
-                says = np.where(v[:, j] == 1, math.log(right / (1 - right)), np.where(v[:, j] == 0, -math.log(right / (1 - right)), 0.0))
-                log_yes = log_yes + says / 2
-                log_no = log_no - says / 2
-            p = 1 / (1 + np.exp(log_no - log_yes))
-        out |= {(kind, key): float(x) for key, x in zip(keys, p)}
+        out |= {(kind, votes): p for votes, p in fitted(counts)[0].items()}
     return out
 
 
 def _vector(kind: str, votes: str, features: str) -> list[float]:
-    """One-hot features of a span, and the votes that are present."""
+    """One-hot features of a span, its kind, and the votes that are present, for its kind alone."""
     x = [1.0] + [float(kind == k) for k in ADDED]
     for c, size in zip(features, (8, 4, 6, 2, 2)):
         x += [float(int(c) == i) for i in range(size)]
-    return x + [float(c == "1") - float(c == "0") for c in votes]
+    # Labelers differ in worth by kind, so each kind has weights of its own.
+    return x + [(float(c == "1") - float(c == "0")) * (kind == k) for k in ADDED for c in votes]
 
 
 @dataclass(frozen=True)
 class SpanClassifier:
     weights: tuple[float, ...]
+    known: Gazetteers = GAZETTEERS
 
     def accepts(self, kind: str, votes: str, features: str) -> bool:
         return sum(a * b for a, b in zip(self.weights, _vector(kind, votes, features))) > 0
 
 
-def trained(patterns: list[tuple[str, str, str, int]]) -> SpanClassifier:
+def trained(patterns: list[tuple[str, str, str, int]], known: Gazetteers = GAZETTEERS) -> SpanClassifier:
     """Logistic regression on the soft labels that expectation-maximisation gives."""
     size = len(_vector("", "2" * len(LABELERS), "00000"))
     if not patterns:
-        return SpanClassifier((0.0,) * size)
+        return SpanClassifier((0.0,) * size, known)
     labels = estimate(patterns)
     x = np.array([_vector(*p[:3]) for p in patterns])
     y = np.array([labels[p[0], p[1]] for p in patterns])
@@ -185,22 +243,22 @@ def trained(patterns: list[tuple[str, str, str, int]]) -> SpanClassifier:
     for _ in range(500):
         q = 1 / (1 + np.exp(-x @ w))
         w -= 2.0 * (x.T @ (n * (q - y)) + 1e-4 * w)
-    return SpanClassifier(tuple(w.tolist()))
+    return SpanClassifier(tuple(w.tolist()), known)
 
 
-def train(docs: DataFrame, text_column: str = "text") -> SpanClassifier:
+def train(docs: DataFrame, text_column: str = "text", known: Gazetteers = GAZETTEERS) -> SpanClassifier:
     """Votes of all candidates in all documents, counted by pattern; patterns are bounded, so they may come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
             for text in batch.column(0):
-                found.update((kind, votes, features) for (kind, _, _), votes, features in candidates(text.as_py() or ""))
+                found.update((kind, votes, features) for (kind, _, _), votes, features in candidates(text.as_py() or "", known))
             rows = [(*k, n) for k, n in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["kind", "votes", "features", "n"])
 
     counted = docs.select(F.col(f"`{text_column}`").alias("text")).mapInArrow(run, "kind string, votes string, features string, n long")
-    return trained(sorted(tuple(r) for r in counted.groupBy("kind", "votes", "features").agg(F.sum("n").alias("n")).collect()))
+    return trained(sorted(tuple(r) for r in counted.groupBy("kind", "votes", "features").agg(F.sum("n").alias("n")).collect()), known)
 
 
 def all_spans(text: str, model: SpanClassifier) -> tuple[list[Span], list[Span]]:
@@ -208,7 +266,7 @@ def all_spans(text: str, model: SpanClassifier) -> tuple[list[Span], list[Span]]
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
     added = []
-    for (kind, a, b), votes, features in candidates(text):
+    for (kind, a, b), votes, features in candidates(text, model.known):
         if model.accepts(kind, votes, features) and not any(x < b and a < y for x, y in taken):
             added.append((kind, a, b))
     return base, base + sorted(added, key=lambda s: (ADDED.index(s[0]), s[1]))
