@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from wardspark.llm import _elias_fano, language_model, packing, sharding, substring, topk
+from wardspark.llm import _elias_fano, language_model, packing, sharding, substring, tokens, topk
 
 RNG = np.random.default_rng(11)
 
@@ -114,6 +114,26 @@ def test_ids_are_those_of_the_tokenizers_library():
         assert packing.token_ids(enc, t).tolist() == [*tok.encode(t, add_special_tokens=False).ids, 0]
 
 
+def test_offsets_decode_parts(spark):
+    """Whole texts and single pre-tokens come back by the offsets; a quantile and a truncated total agree with the lengths."""
+    import regex
+
+    texts = {i: t for i, t in enumerate(["", None, "it's  a long\n\nway — é 👍🏽 100%", "x" * 5000, "a b"])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    path = tokens.rank_file()
+    encoded = tokens.encode_documents(docs, path)
+    assert {r.id: bytes(r.data).decode() for r in tokens.decode_documents(encoded, path).collect()} == {i: t or "" for i, t in texts.items()}
+    pieces = {i: regex.findall(public_tokenizers.PATTERN, t or "") for i, t in texts.items()}
+    for first, last in ((0, 1), (1, 3), (2, 100)):
+        assert {r.id: bytes(r.data).decode() for r in tokens.decode_documents(encoded, path, first, last).collect()} == {i: "".join(p[first:last]) for i, p in pieces.items()}
+    with pytest.raises(Exception, match="offsets do not fit"):
+        tokens.decode_documents(encoded.withColumn("starts", F.transform("starts", lambda s: s + 1)), path).collect()
+    n = np.sort([len(r.ids) for r in encoded.collect()])
+    h = tokens.length_histogram(tokens.token_lengths(docs, path), block=3)
+    for q in (0.0, 0.2, 0.5, 0.61, 1.0):
+        assert tokens.quantile(h, q).first()[0] == n[max(0, math.ceil(q * len(n)) - 1)]
+
+
 def test_elias_fano():
     for values in ([], [0], [5, 5, 5], sorted(RNG.integers(0, 2**60, 3000).tolist()), sorted(RNG.integers(0, 50, 400).tolist()), list(range(1000))):
         v = np.array(values, dtype=np.uint64)

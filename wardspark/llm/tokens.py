@@ -11,6 +11,7 @@ empty table gives no rows; other columns of the input are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -29,13 +30,14 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
-    """The bytes and the decimal form of every id."""
+@functools.lru_cache(maxsize=4)
+def _vocabulary(path: str) -> tuple[list[bytes], list[bytes], np.ndarray]:
+    """The bytes, the decimal form and the length of every id."""
     ranks = encoder(path).ranks
     of = [b""] * (max(ranks.values()) + 1)
     for piece, i in ranks.items():
         of[i] = piece
-    return of, [str(i).encode() for i in range(len(of))]
+    return of, [str(i).encode() for i in range(len(of))], np.array(list(map(len, of)), dtype=np.int64)
 
 
 def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -53,34 +55,52 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
     return picked.mapInArrow(run, "id long, ids array<int>, starts array<int>")
 
 
-def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """(id, data binary) of (id, ids)."""
+def decoded(ids: np.ndarray, starts: np.ndarray, of: list[bytes], lengths: np.ndarray, first: int = 0, last: int | None = None) -> bytes:
+    """The bytes of the pre-tokens first .. last - 1 (all by default): the offsets say at which ids these begin and end.
+
+    ValueError if an offset is not where a token begins, so ids and offsets that do not belong together are refused.
+    """
+    ends = np.cumsum(lengths[ids])
+    begins = ends - lengths[ids]
+    at = np.searchsorted(begins, starts)
+    if len(starts) and ((at >= len(ids)).any() or (begins[np.minimum(at, len(ids) - 1)] != starts).any()):
+        raise ValueError("offsets do not fit the ids")
+    cuts = np.append(at, len(ids))
+    last = len(starts) if last is None else min(last, len(starts))
+    return b"".join(map(of.__getitem__, ids[cuts[min(first, last)] : cuts[last]].tolist())) if len(starts) else b""
+
+
+def decode_documents(encoded: DataFrame, path: str, first: int = 0, last: int | None = None) -> DataFrame:
+    """(id, data binary) of (id, ids, starts): whole texts, or the pre-tokens first .. last - 1 of each, found by the offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, _ = _vocabulary(path)
+        of, _, lengths = _vocabulary(path)
         for batch in batches:
-            data = [b"".join([of[i] for i in ids or ()]) for ids in batch.column(1).to_pylist()]
+            rows = zip(*(batch.column(i).to_pylist() for i in (1, 2)))
+            data = [decoded(np.array(ids or (), dtype=np.int64), np.array(starts or (), dtype=np.int64), of, lengths, first, last) for ids, starts in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["id", "data"])
 
-    return encoded.select("id", "ids").mapInArrow(run, "id long, data binary")
+    return encoded.select("id", "ids", "starts").mapInArrow(run, "id long, data binary")
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
-    """Encodes, decodes the ids, and returns counts and digests of both."""
+    """Encodes, decodes the ids by the retained offsets, and returns counts and digests of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        of, decimal = _vocabulary(path)
+        of, decimal, lengths = _vocabulary(path)
         for batch in batches:
-            n, shown, decoded = [], [], []
+            n, pre, shown, back = [], [], [], []
             for x in enc.encode(batch.column(1)):
-                ids = np.frombuffer(x.ids, "<u4").tolist()
+                ids = np.frombuffer(x.ids, "<u4")
                 n.append(len(ids))
-                shown.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, ids))).hexdigest())
-                decoded.append(hashlib.sha256(b"".join(map(of.__getitem__, ids))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(shown, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                pre.append(len(x.starts))
+                shown.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, ids.tolist()))).hexdigest())
+                back.append(hashlib.sha256(decoded(ids, x.starts, of, lengths)).hexdigest())
+            columns = [pa.array(n, pa.int64()), pa.array(pre, pa.int64()), pa.array(shown, pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "n_pretokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_pretokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def token_lengths(docs: DataFrame, path: str, text_column: str = "text") -> DataFrame:
