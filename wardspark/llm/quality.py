@@ -6,8 +6,9 @@ the text once and runs no user function.
 
 Defined results: a null or blank text has zero words and is rejected by the
 base rules; a very long text is measured whole; repeated rows are measured each
-by itself; an empty table gives no rows.  Input columns whose names clash with
-the measures are not read, only the named text column is.
+by itself and none is rejected for its length; an empty table gives no rows.
+Input columns whose names clash with the measures are carried in a struct and
+not read, only the named text column is.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ class Rule:
 
 
 RULES = (
-    Rule("length", "n_words", low=50, high=1_000_000),
+    Rule("length", "n_words", low=50),
     Rule("word_length", "word_chars", low=2, high=15, per="n_words"),
     Rule("symbols", "n_symbols", high=10, per="n_words", scale=100),
     Rule("stop_words", "n_stop_words", low=1, per="n_words", scale=100),
@@ -156,7 +157,7 @@ WITH d AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_words BETWEEN 50 AND 1000000 AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 100 * n_symbols <= 10 * n_words
+  NOT base_failed AND n_words >= 50 AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 100 * n_symbols <= 10 * n_words
     AND 100 * n_stop_words >= n_words AND 100 * n_dup_lines <= 50 * n_lines AS kept,
   n_stop_words, n_lines
 FROM b
