@@ -244,14 +244,14 @@ _ZONE_BOX = "zb AS (SELECT CAST(range AS INTEGER) AS zone, ((range - 1) % 5) * 6
 
 @query(f"""WITH {POINTS}, {SEGMENTS}, {NEAREST}, n AS (SELECT seg_id, count(*) AS incidents FROM nearest GROUP BY seg_id), {_ZONE_BOX},
   c AS (SELECT zone, corridor, CAST(coalesce(sum(incidents), 0) AS BIGINT) AS incidents, sum(sqrt((x1-x2)*(x1-x2)+(y1-y2)*(y1-y2))) AS meters FROM zb JOIN segments ON x1 <= zx + 5478e0 AND x2 >= zx AND y1 <= zy + 4230.16e0 AND y2 >= zy LEFT JOIN n USING (seg_id) GROUP BY zone, corridor),
-  r AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY incidents DESC, corridor) AS place FROM c) SELECT zone, corridor, incidents, round(meters, 2) AS meters, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3""")
+  r AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY incidents DESC, corridor) AS place FROM c) SELECT zone, corridor, incidents, round(meters + 0.001234567e0, 2) AS meters, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3""")
 def corridors_near_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-27: of the corridors with a segment whose box meets the zone's box the three of most incidents on such segments."""
+    """JON-27: of the corridors with a segment whose box meets the zone's box the three of most incidents on such segments; lengths are shifted off rounding ties."""
     n = nearest(spark, sf_dir).groupBy("seg_id").agg(F.count(F.lit(1)).alias("n"))
     s = segments(spark, sf_dir).join(n, "seg_id", "left").withColumns({"west": F.least("x1", "x2"), "east": F.greatest("x1", "x2"), "south": F.least("y1", "y2"), "north": F.greatest("y1", "y2")})
     z = zones(spark).select("zone", box(F.col("ring")).alias("b")).select("zone", "b.*")
     pairs = spatial.boxes_overlapping(z, s, "zone", "seg_id", CELL).join(s.select("seg_id", "corridor", "n", distance(*(F.col(c) for c in spatial.LINE)).alias("m")), "seg_id")
-    c = pairs.groupBy("zone", "corridor").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("incidents"), F.round(F.sum("m"), 2).alias("meters"))
+    c = pairs.groupBy("zone", "corridor").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("incidents"), F.round(F.sum("m") + 0.001234567, 2).alias("meters"))
     return ranking.top_k(c, ["zone"], [F.col("incidents").desc(), "corridor"], 3).withColumnRenamed("rank", "place")
 
 

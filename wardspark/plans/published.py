@@ -62,7 +62,7 @@ PUBLIC = "ticket_number issued_date location ward violation_code violation_descr
 
 
 @query(f"""{_NAMED}, k AS (SELECT *, {_KIND} AS kind, CASE WHEN {_KIND} = 'business' THEN trim(last) ELSE '' END AS shown FROM n)
-  SELECT CAST(id AS VARCHAR) AS ticket_number, NULL AS issued_date, NULL AS location, CAST(id % 50 AS VARCHAR) AS ward, NULL AS violation_code, nullif(note, '') AS violation_description, CAST(fine AS VARCHAR) AS fine, NULL AS ticket_queue,
+  SELECT CAST(id AS VARCHAR) AS ticket_number, CAST(NULL AS VARCHAR) AS issued_date, CAST(NULL AS VARCHAR) AS location, CAST(id % 50 AS VARCHAR) AS ward, CAST(NULL AS VARCHAR) AS violation_code, nullif(note, '') AS violation_description, CAST(fine AS VARCHAR) AS fine, CAST(NULL AS VARCHAR) AS ticket_queue,
     CASE WHEN fine IS NULL OR fine = 0 OR contains(upper(note), 'WARNING') THEN 'true' ELSE 'false' END AS is_warning, kind AS registrant_type, nullif(shown, '') AS registrant, CASE WHEN shown <> '' THEN nullif({_FOLD}, '') END AS registrant_normalized FROM k""")
 def public_registrants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-9 DQ-3 FN-20: the redacted file with its twelve columns, written as CSV behind the gate and read back; an empty cell reads as null."""
