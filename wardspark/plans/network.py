@@ -239,11 +239,11 @@ def top_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corridors(spark, sf_dir).filter("per_km > 0").orderBy(F.col("per_km").desc(), "corridor").limit(5).select("corridor", "per_km")
 
 
-_ZONE_BOX = "zb AS (SELECT CAST(range AS INTEGER) AS zone, ((range - 1) % 5) * 660 * 8.3e0 AS zx, ((range - 1) // 5) * 380 * 11.132e0 AS zy FROM range(1, 51))"
+_ZONE_BOX = "zb AS (SELECT CAST(range AS INTEGER) AS zone, ((range - 1) % 5) * 660 * 8.3e0 AS zx, ((range - 1) // 5) * 380 * 11.132e0 AS zy, ((range - 1) % 5 + 1) * 660 * 8.3e0 AS ze, ((range - 1) // 5 + 1) * 380 * 11.132e0 AS zn FROM range(1, 51))"
 
 
 @query(f"""WITH {POINTS}, {SEGMENTS}, {NEAREST}, n AS (SELECT seg_id, count(*) AS incidents FROM nearest GROUP BY seg_id), {_ZONE_BOX},
-  c AS (SELECT zone, corridor, CAST(coalesce(sum(incidents), 0) AS BIGINT) AS incidents, sum(sqrt((x1-x2)*(x1-x2)+(y1-y2)*(y1-y2))) AS meters FROM zb JOIN segments ON x1 <= zx + 5478e0 AND x2 >= zx AND y1 <= zy + 4230.16e0 AND y2 >= zy LEFT JOIN n USING (seg_id) GROUP BY zone, corridor),
+  c AS (SELECT zone, corridor, CAST(coalesce(sum(incidents), 0) AS BIGINT) AS incidents, sum(sqrt((x1-x2)*(x1-x2)+(y1-y2)*(y1-y2))) AS meters FROM zb JOIN segments ON x1 <= ze AND x2 >= zx AND y1 <= zn AND y2 >= zy LEFT JOIN n USING (seg_id) GROUP BY zone, corridor),
   r AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY incidents DESC, corridor) AS place FROM c) SELECT zone, corridor, incidents, round(meters + 0.001234567e0, 2) AS meters, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3""")
 def corridors_near_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON-27: of the corridors with a segment whose box meets the zone's box the three of most incidents on such segments; lengths are shifted off rounding ties."""
