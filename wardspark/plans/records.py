@@ -119,15 +119,16 @@ def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return y.select("delivered", F.coalesce(F.nullif("fresh", F.lit(0)), "held").alias("reference"), F.when(F.col("fresh") > 0, "fresh").otherwise("snapshot").alias("basis"))
 
 
-@query("""WITH a AS (SELECT l_orderkey AS item, unnest([l_orderkey, l_partkey]) AS k, l_suppkey % 50 AS ward FROM lineitem WHERE l_linenumber = 1), n AS (SELECT DISTINCT item, k, ward FROM a)
+@query("""WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS item, unnest([l_orderkey, l_partkey]) AS k, l_suppkey % 50 AS ward FROM lineitem), n AS (SELECT DISTINCT item, k, ward FROM a)
   SELECT item, k AS record, ward, o_orderstatus AS matter FROM n LEFT JOIN orders ON o_orderkey = k""")
 def agenda_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON-25 FN-14 FN-15 FN-17: record and ward numbers out of agenda text, the first title of a JSON array; each number is looked up once."""
     text = F.concat(F.lit('["('), F.col("l_suppkey") % 50, F.lit("th Ward) O"), F.col("l_orderkey"), F.lit(" and R"), F.col("l_partkey"), F.lit('", "more"]'))
     first = F.coalesce(F.get(F.from_json(text, "array<string>"), F.lit(0)), text)
-    items = t(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("item"), first.alias("title"))
+    items = t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), first.alias("title"))
     found = items.select("item", F.regexp_extract("title", r"([0-9]+)th Ward", 1).cast("long").alias("ward"), F.explode(F.regexp_extract_all("title", F.lit(r"\b[OR]([0-9]+)"), F.lit(1))).alias("r"))
     records = found.select("item", F.col("r").cast("long").alias("record"), "ward").distinct()
+    # Each number is looked up once, however many items name it.
     return records.join(t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record"), F.col("o_orderstatus").alias("matter")), "record", "left")
 
 
