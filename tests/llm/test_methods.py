@@ -145,23 +145,30 @@ def test_elias_fano():
         assert ef.find(keys).tolist() == [at.get(int(k), -1) for k in keys]
 
 
-def test_trie_looks_up_within_the_word():
+def test_trie_looks_up_within_the_node():
     words = np.unique(RNG.integers(0, 2**63, 300).astype(np.uint64))
-    pairs = sorted({(int(RNG.integers(0, len(words))), int(RNG.integers(0, 40) if k % 2 else RNG.integers(0, 2**40))) for k in range(4000)} - {(7, k) for k in range(2**6)})
-    pairs = [p for p in pairs if p[0] != 9]  # a word without contexts
-    owner, contexts = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs], dtype=np.uint64)
-    values, word_values = np.arange(len(pairs), dtype=np.uint16), (50000 + np.arange(len(words))).astype(np.uint16)
-    trie, known = _elias_fano.Trie(words, word_values, owner, contexts, values), dict(zip(pairs, values.tolist()))
-    ask = [*pairs, *((int(RNG.integers(0, len(words))), int(RNG.integers(0, 40))) for _ in range(3000)), (9, 3)]
-    got = trie.lookup(words[[a for a, _ in ask]], np.array([c for _, c in ask], dtype=np.uint64), 1)
-    assert got.tolist() == [known.get(p, 50000 + p[0]) for p in ask]
-    assert (trie.lookup(words[:5] + np.uint64(1), contexts[:5], 1) == 1).all()
+    draw = lambda k: (int(RNG.integers(0, len(words))), int(RNG.integers(0, 40) if k % 2 else RNG.integers(0, 2**40)))
+    pairs = sorted({p for p in map(draw, range(4000)) if p[0] != 9})  # word 9 has no contexts
+    triples = sorted({(int(RNG.integers(0, len(pairs))), int(RNG.integers(0, 6) if k % 2 else RNG.integers(0, 2**32))) for k in range(9000)})
+    column = lambda rows, k, t: np.array([r[k] for r in rows], dtype=t)
+    values = [(np.arange(n) + at).astype(np.uint16) for n, at in ((len(words), 60_000), (len(pairs), 20_000), (len(triples), 0))]
+    trie = _elias_fano.Trie(words, values[0], [(column(pairs, 0, np.int64), column(pairs, 1, np.uint64), values[1]), (column(triples, 0, np.int64), column(triples, 1, np.uint64), values[2])])
+    at_pair, at_triple = {p: k for k, p in enumerate(pairs)}, {t: k for k, t in enumerate(triples)}
+
+    def want(w, v, u):
+        p = at_pair.get((w, v))
+        return int(values[0][w]) if p is None else int(values[2][t]) if (t := at_triple.get((p, u))) is not None else int(values[1][p])
+
+    ask = [(*pairs[p], u) for p, u in triples] + [(*draw(k), int(RNG.integers(0, 6))) for k in range(3000)] + [(9, 3, 1)]
+    got = trie.lookup(words[[a[0] for a in ask]], [column(ask, 1, np.uint64), column(ask, 2, np.uint64)], 1)
+    assert got.tolist() == [want(*a) for a in ask]
+    assert (trie.lookup(words[:5] + np.uint64(1), [np.zeros(5, np.uint64)] * 2, 1) == 1).all()
     trie.close()
 
 
 @pytest.mark.parametrize("shard_tokens", [40, 500, 10**6])
 def test_scores_of_the_model(spark, shard_tokens):
-    """Every score against plain Python, within half a step of the quantisation a token."""
+    """Every score against plain Python, within a step of the quantisation a token; and the model's probabilities of a context add up to one."""
     table = pd.read_parquet("/root/testdata/sf0.001/documents.parquet").head(60)
     texts = dict(zip(table.doc_id.tolist(), [t[:800] for t in table.text.fillna("")])) | {10**6: None, 10**6 + 1: "", 10**6 + 2: "The THE the " * 4000, 10**6 + 3: "x y"}
     rows = list(texts.items()) + [(10**6 + 3, "x y")]
@@ -169,13 +176,19 @@ def test_scores_of_the_model(spark, shard_tokens):
     tokens = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + ["</s>"]
     train = [tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
     word, pair = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["<s>", *t], t))
+    triple = Counter(x for t in train for x in zip(["<s>", "<s>", *t], ["<s>", *t], t))
     n, v = sum(word.values()), len(word)
+    word["<s>"] = pair["<s>", "<s>"] = len(train)
     p = lambda w: (word[w] + 0.5) / (n + 0.5 * (v + 1))
-    a = language_model.A
+    a, b = language_model.A, language_model.B
     for i, t in texts.items():
         ts = tokens(t)
-        want = sum(math.log10(pair[u, w] + a * p(w)) - math.log10((len(train) if u == "<s>" else word[u]) + a) for u, w in zip(["<s>", *ts], ts))
+        want = sum(math.log10(triple[x, y, w] + b * (pair[y, w] + a * p(w))) - math.log10(pair[x, y] + b * (word[y] + a)) for x, y, w in zip(["<s>", "<s>", *ts], ["<s>", *ts], ts))
         step = (language_model.HIGH - language_model.LOW) / 65535
-        assert abs(got[i].score - want) <= (len(ts)) * step / 2 + 1e-6
+        assert abs(got[i].score - want) <= len(ts) * step + 1e-6
         assert abs(got[i].base_score - sum(math.log10(p(w)) for w in ts)) < 1e-6
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens, got[i].held_out) == (len(ts), sum(word[w] > 0 for w in ts), n, zlib.crc32(str(i).encode()) % 5 == 1)
+    some = ["</s>", *(w for w in word if w not in ("<s>", "</s>")), "never seen"]
+    for x, y in (("<s>", "<s>"), ("<s>", "the"), ("the", "the"), ("x", "y"), ("none", "known")):
+        total = sum((triple[x, y, w] + b * (pair[y, w] + a * p(w))) / (pair[x, y] + b * (word[y] + a)) for w in some)
+        assert abs(total - 1) < 1e-9

@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and a two-level trie of words and their contexts in one memory-mapped file."""
+"""Elias-Fano sequences and a trie of words and their contexts, level below level, in one memory-mapped file."""
 
 from __future__ import annotations
 
@@ -54,8 +54,8 @@ class EliasFano:
         some = np.flatnonzero((k >= 0) & ~beyond)
         word = np.searchsorted(self.zeros, k[some], "right") - 1
         bits = np.unpackbits(np.ascontiguousarray(self.highs[word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        rank = np.cumsum(1 - bits, axis=1, dtype=np.int64)
-        inside = np.argmax(rank == (k[some] - self.zeros[word] + 1)[:, None], axis=1)
+        rank = np.cumsum(1 - bits, axis=1, dtype=np.int8)
+        inside = np.argmax(rank == (k[some] - self.zeros[word] + 1).astype(np.int8)[:, None], axis=1)
         out[some] = np.minimum(word * 64 + inside - k[some], self.n)
         return out
 
@@ -66,8 +66,8 @@ class EliasFano:
         ones = np.arange(len(self.zeros)) * 64 - self.zeros  # ones before each word
         word = np.searchsorted(ones, i, "right") - 1
         bits = np.unpackbits(np.ascontiguousarray(self.highs[word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        rank = np.cumsum(bits, axis=1, dtype=np.int64)
-        inside = np.argmax(rank == (i - ones[word] + 1)[:, None], axis=1)
+        rank = np.cumsum(bits, axis=1, dtype=np.int8)
+        inside = np.argmax(rank == (i - ones[word] + 1).astype(np.int8)[:, None], axis=1)
         return ((word * 64 + inside - i).astype(_U) << _U(self.low_bits)) | self.low(i)
 
     def find(self, keys: np.ndarray, within: tuple[np.ndarray, np.ndarray] | None = None, step: int = 1 << 15) -> np.ndarray:
@@ -91,30 +91,33 @@ class EliasFano:
 
 
 class Trie:
-    """Words, and below each word the contexts it was seen after, with quantised values on both levels.
+    """Words, below each word the words it was seen after, below these the words before them, and so on; quantised values on every level.
 
-    A word's contexts are sorted and stored on top of the last value of the word
-    before, so the level is monotone; pointers, monotone too, say where each
-    word's contexts begin.  A pair is looked up by the pointers of its word, the
-    value before the first of these (the base), and a successor search for base
-    + context among the word's own places.  The levels lie in one unlinked
-    temporary file of the task that is mapped into memory.
+    The contexts of one node are sorted and stored on top of the last value of
+    the node before, so a level is monotone; pointers, monotone too, say where
+    each node's contexts begin.  A context is looked up by the pointers of its
+    node, the value before the first of these (the base), and a successor search
+    for base + context among the node's own places.  The levels lie in one
+    unlinked temporary file of the task that is mapped into memory.
 
-    A context is a hash cut to CONTEXT_BITS, so two contexts of one word are
-    taken for the same with chance 2**-40 for each pair of them.
+    Contexts are hashes cut to BITS of their level, so two contexts of one node
+    are taken for the same with chance 2**-BITS for each pair of them.
     """
 
-    CONTEXT_BITS = 40
+    BITS = (40, 32)
 
-    def __init__(self, words: np.ndarray, word_values: np.ndarray, owner: np.ndarray, contexts: np.ndarray, values: np.ndarray):
-        """words: sorted; owner: place of each context's word; (owner, context) sorted; values: uint16."""
+    def __init__(self, words: np.ndarray, values: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """words: sorted; of each level the place of each context's node in the level above, the contexts, and values (uint16); (node, context) sorted."""
         self._file = tempfile.TemporaryFile()
-        begins = np.searchsorted(owner, np.arange(len(words) + 1))
-        # What the words before add: their last contexts.
-        lasts = np.where(np.diff(begins) > 0, contexts[np.maximum(begins[1:] - 1, 0)] if len(contexts) else _U(0), _U(0)).astype(_U)
-        base = np.concatenate([np.zeros(1, _U), np.cumsum(lasts, dtype=_U)])
-        self.words, self.contexts, self.pointers = (self._level(v) for v in (words, base[owner] + contexts, begins.astype(_U)))
-        self.word_values, self.values = self._mapped(word_values), self._mapped(values)
+        self.words, self.values, self.levels, above = self._level(words), [self._mapped(values)], [], len(words)
+        for node, contexts, quantised in levels:
+            begins = np.searchsorted(node, np.arange(above + 1))
+            # What the nodes before add: their last contexts.
+            lasts = np.where(np.diff(begins) > 0, contexts[np.maximum(begins[1:] - 1, 0)] if len(contexts) else _U(0), _U(0)).astype(_U)
+            base = np.concatenate([np.zeros(1, _U), np.cumsum(lasts, dtype=_U)])
+            self.levels.append((self._level(begins.astype(_U)), self._level(base[node] + contexts)))
+            self.values.append(self._mapped(quantised))
+            above = len(contexts)
 
     def _mapped(self, array: np.ndarray) -> np.ndarray:
         at = self._file.seek(0, 2)
@@ -127,20 +130,23 @@ class Trie:
         low_bits, (lows, highs, zeros) = EliasFano.parts(values)
         return EliasFano(len(values), low_bits, self._mapped(lows), self._mapped(highs).view("<u8"), self._mapped(zeros).view(np.int64))
 
-    def lookup(self, words: np.ndarray, contexts: np.ndarray, unseen: int) -> np.ndarray:
-        """The quantised value of each pair; of its word if the pair is unseen; ``unseen`` if the word is."""
-        at = self.words.find(words)
+    def lookup(self, words: np.ndarray, contexts: list[np.ndarray], unseen: int) -> np.ndarray:
+        """The quantised value of the deepest node that each word has with its contexts; ``unseen`` if the word itself is not there."""
         out = np.full(len(words), unseen, dtype=np.uint16)
+        at = self.words.find(words)
         known = np.flatnonzero(at >= 0)
-        out[known] = self.word_values[at[known]]
-        place, of_pair = np.unique(at[known], return_inverse=True)
-        begin, end = (self.pointers.get(place + i).astype(np.int64) for i in (0, 1))
-        base = np.where(begin > 0, self.contexts.get(np.maximum(begin - 1, 0)), _U(0))
-        pair = self.contexts.find(base[of_pair] + contexts[known], (begin[of_pair], end[of_pair]))
-        seen = np.flatnonzero(pair >= 0)
-        out[known[seen]] = self.values[pair[seen]]
+        node = at[known]
+        out[known] = self.values[0][node]
+        for (pointers, level), context, values in zip(self.levels, contexts, self.values[1:]):
+            place, of = np.unique(node, return_inverse=True)
+            begin, end = (pointers.get(place + i).astype(np.int64) for i in (0, 1))
+            base = np.where(begin > 0, level.get(np.maximum(begin - 1, 0)), _U(0))
+            found = level.find(base[of] + context[known], (begin[of], end[of]))
+            seen = np.flatnonzero(found >= 0)
+            known, node = known[seen], found[seen]
+            out[known] = values[node]
         return out
 
     def close(self) -> None:
-        self.words = self.contexts = self.pointers = self.word_values = self.values = None
+        self.words = self.levels = self.values = None
         self._file.close()

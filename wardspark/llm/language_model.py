@@ -1,20 +1,24 @@
-"""LM scoring by a smoothed bigram model in Elias-Fano tries.
+"""LM scoring by a smoothed trigram model in Elias-Fano tries.
 
-p(w | u) = (c(u w) + A p(w)) / (c(u) + A), p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
+p(w | u v) = (c(u v w) + B (c(v w) + A p(w))) / (c(u v) + B (c(v) + A)), p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
 
-Tokens are dealt to shards by their word, so a shard knows c(w) and every
-c(u w) of its words, and is also where w acts as the context of the next token.
-A text's log probability is a sum of numerators, found where w is, less a sum of
-denominators, found where u is; so one shuffle of tokens is enough and no table
-of the vocabulary travels.  A shard builds a trie of its words and contexts and
-scores its tokens; partial sums meet per document.
+The numerator needs counts of n-grams that end in w only, the denominator such
+that end in v only, and for each context the probabilities add up to one.  So
+tokens are dealt to shards by their word: a shard knows c(w), c(v w) and c(u v w)
+of its words, and is also where w acts as the context of the next token.  A
+text's log probability is a sum of numerators, found where w is, less a sum of
+denominators, found where v is; one shuffle of tokens is enough and no table of
+the vocabulary travels.  A shard builds a trie of its words, the words before
+them and those before these, and scores its tokens; partial sums meet per document.
 
 Hot words (more than 1 / (4 shards) of all tokens, so at most 4 shards of them)
-are spread over all shards by their context, with c(w) known beforehand; hot
-pairs, as few, are scored where the text is.  Hence no shard grows with a word.
+are spread over all shards by the word before, with c(w) known beforehand; hot
+pairs, as few, by the two words before, with c(v w) known too; hot triples are
+scored where the text is.  Hence no shard grows with a word or a phrase.
 
-Log numerators are kept in 16 bits (steps of 30 / 65535, so a token's score is
-within half a step of the exact one); contexts are 40-bit hashes.
+Logs of numerators and denominators are kept in 16 bits (steps of 30 / 65535),
+so a token's score is within one step of the exact one.  The word before is a
+40-bit hash in the trie, the one before that 32 bits.
 
 Defined results: a null, empty or blank text is the single end token; a row
 without doc_id trains; with no training text every count is zero; repeated rows
@@ -39,7 +43,7 @@ from wardspark.llm._elias_fano import Trie
 from wardspark.llm._shared import cut, table
 from wardspark.llm._words import hashed_slice, mix, slices
 
-A = 50.0
+A, B = 50.0, 0.05
 SHARD_TOKENS = 1_000_000
 SHARDS_PER_TASK = 4
 BEGIN, END = np.uint64(1), np.uint64(2)
@@ -53,20 +57,31 @@ def quantised(x: np.ndarray) -> np.ndarray:
     return np.round((np.clip(x, LOW, HIGH) - LOW) * (65535 / (HIGH - LOW))).astype(np.uint16)
 
 
-def restored(q: np.ndarray) -> np.ndarray:
-    return LOW + q.astype(np.float64) * ((HIGH - LOW) / 65535)
-
-
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
-def pair_keys(w: np.ndarray, u: np.ndarray) -> np.ndarray:
-    return mix(w + mix(u))
+def near(v: np.ndarray) -> np.ndarray:
+    """The word before, as the trie holds it."""
+    return mix(v) >> _U(64 - Trie.BITS[0])
+
+
+def far(u: np.ndarray) -> np.ndarray:
+    """The word before that."""
+    return mix(u ^ _U(0xD6E8FEB86659FD93)) >> _U(64 - Trie.BITS[1])
+
+
+def pair_keys(w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Of words and near() of the words before."""
+    return mix(w + mix(v))
 
 
-def token_slices(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of runs of documents: ids, whether held out, tokens per document; per token its word, the one before, its document."""
+def triple_keys(pairs: np.ndarray, u: np.ndarray) -> np.ndarray:
+    return mix(pairs + mix(u + _U(1)))
+
+
+def token_slices(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of runs of documents: ids, whether held out, tokens per document; per token its word, the two before (the nearer first), its document."""
     ids = batch.column(0).to_pylist()
     for first, data, at in slices(batch.column(1), _SLICE, _ROWS):
         docs = len(at) - 1
@@ -76,22 +91,25 @@ def token_slices(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.n
         is_word = np.ones(len(w), dtype=bool)
         is_word[ended] = False
         w[is_word] = h | _U(4)  # never BEGIN or END
-        u = np.empty_like(w)
-        u[1:] = w[:-1]
-        u[np.concatenate([[0], ended[:-1] + 1])] = BEGIN
+        v, u = np.empty_like(w), np.empty_like(w)
+        v[1:], u[2:] = w[:-1], w[:-2]
+        begins = np.concatenate([[0], ended[:-1] + 1])
+        v[begins] = u[begins] = BEGIN
+        u[begins[begins + 1 < len(w)] + 1] = BEGIN
+        u[begins] = BEGIN
         n = np.diff(per) + 1
         mine = ids[first : first + docs]
-        yield mine, np.array([held_out(i) for i in mine]), n, w, u, np.repeat(np.arange(docs), n)
+        yield mine, np.array([held_out(i) for i in mine]), n, w, v, u, np.repeat(np.arange(docs), n)
 
 
 def _counts(docs: DataFrame, of) -> DataFrame:
-    """(key, n): how often each key of ``of(w, u)`` occurs in training tokens."""
+    """(key, n): how often each key of ``of(w, v, u)`` occurs in training tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, out, _, w, u, doc in token_slices(batch):
+            for _, out, _, w, v, u, doc in token_slices(batch):
                 train = ~out[doc]
-                keys, n = np.unique(of(w[train], u[train]), return_counts=True)
+                keys, n = np.unique(of(w[train], v[train], u[train]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
     return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -99,7 +117,7 @@ def _counts(docs: DataFrame, of) -> DataFrame:
 
 @dataclass(frozen=True)
 class Corpus:
-    """Totals of the training tokens, and the exact counts of hot words and hot pairs (sorted keys)."""
+    """Totals of the training tokens, and the exact counts of hot words, pairs and triples (sorted keys)."""
 
     tokens: int
     distinct: int
@@ -109,12 +127,19 @@ class Corpus:
     word_counts: np.ndarray
     pairs: np.ndarray
     pair_counts: np.ndarray
+    triples: np.ndarray
+    triple_counts: np.ndarray
 
     def unigram(self, c: np.ndarray | float) -> np.ndarray:
         return (c + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
 
-    def numerator(self, c_pair: np.ndarray | float, c_word: np.ndarray | float) -> np.ndarray:
-        return quantised(np.log10(c_pair + A * self.unigram(c_word)))
+    def numerator(self, c_triple: np.ndarray | float, c_pair: np.ndarray | float, c_word: np.ndarray | float) -> np.ndarray:
+        return quantised(np.log10(c_triple + B * (c_pair + A * self.unigram(c_word))))
+
+    @staticmethod
+    def denominator(w: np.ndarray, c_pair: np.ndarray, c_word: np.ndarray) -> np.ndarray:
+        """Of a word and the one before as a context, in steps; none behind the end."""
+        return np.where(w == END, 0, quantised(np.log10(c_pair + B * (c_word + A))).astype(np.int64))
 
 
 def _sorted(rows: list) -> tuple[np.ndarray, np.ndarray]:
@@ -132,27 +157,36 @@ def _at(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def gathered(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> Corpus:
-    """Counts over all training tokens.  What comes to the driver is bounded: at most 4 hot words and pairs a shard."""
-    counts = cut(_counts(docs, lambda w, u: w))
+    """Counts over all training tokens.  What comes to the driver is bounded: at most 4 hot words, pairs and triples a shard."""
+    counts = cut(_counts(docs, lambda w, v, u: w))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("key") == int(END), F.col("n"))), F.lit(0))).first()
     shards = max(1, math.ceil(total[0] / shard_tokens))
     limit = total[0] / (4 * shards)
     hot_words, word_counts = _sorted(counts.filter(F.col("n") > limit).collect())
 
-    def both_hot(w: np.ndarray, u: np.ndarray) -> np.ndarray:
-        hot = (_at(hot_words, w) >= 0) & ((_at(hot_words, u) >= 0) | (u == BEGIN))
-        return pair_keys(w[hot], u[hot])
+    def hot_pairs(w: np.ndarray, v: np.ndarray, u: np.ndarray) -> np.ndarray:
+        hot = np.flatnonzero((_at(hot_words, w) >= 0) & ((_at(hot_words, v) >= 0) | (v == BEGIN)))
+        return pair_keys(w[hot], near(v[hot]))
 
-    pairs, pair_counts = _sorted(_counts(docs, both_hot).filter(F.col("n") > limit).collect())
-    return Corpus(total[0], total[1], total[2], shards, hot_words, word_counts, pairs, pair_counts)
+    none = _sorted([])
+    pairs, pair_counts = _sorted(_counts(docs, hot_pairs).filter(F.col("n") > limit).collect()) if len(hot_words) else none
+
+    def hot_triples(w: np.ndarray, v: np.ndarray, u: np.ndarray) -> np.ndarray:
+        some = np.flatnonzero((_at(hot_words, w) >= 0) & ((_at(hot_words, v) >= 0) | (v == BEGIN)))
+        keys = pair_keys(w[some], near(v[some]))
+        hot = _at(pairs, keys) >= 0
+        return triple_keys(keys[hot], far(u[some[hot]]))
+
+    triples, triple_counts = _sorted(_counts(docs, hot_triples).filter(F.col("n") > limit).collect()) if len(pairs) else none
+    return Corpus(total[0], total[1], total[2], shards, hot_words, word_counts, pairs, pair_counts, triples, triple_counts)
 
 
 _FIELDS = ("key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
-_KINDS = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+_KINDS = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
 
 
 def _per_doc(n: int, doc: np.ndarray, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> list[np.ndarray]:
-    return [np.bincount(doc, known, n).astype(np.int64), np.bincount(doc, base, n), np.bincount(doc, score, n)]
+    return [np.bincount(doc, known, n).astype(np.int64), np.bincount(doc, base, n), np.bincount(doc, score, n).astype(np.int64)]  # steps are whole numbers below 2**53
 
 
 def _scattered(docs: DataFrame, corpus: Corpus) -> DataFrame:
@@ -161,15 +195,19 @@ def _scattered(docs: DataFrame, corpus: Corpus) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_key = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for ids, out, n, w, u, doc in token_slices(batch):
+            for ids, out, n, w, v, u, doc in token_slices(batch):
                 rows = []
+                v, u = near(v), far(u)
                 hot = _at(corpus.words, w)
-                pair = np.full(len(w), -1)
+                pair, triple = np.full(len(w), -1), np.full(len(w), -1)
                 maybe = np.flatnonzero(hot >= 0)
-                pair[maybe] = _at(corpus.pairs, pair_keys(w[maybe], u[maybe]))
-                here = np.flatnonzero(pair >= 0)
+                keys = pair_keys(w[maybe], v[maybe])
+                pair[maybe] = _at(corpus.pairs, keys)
+                deep = np.flatnonzero(pair[maybe] >= 0)
+                triple[maybe[deep]] = _at(corpus.triples, triple_keys(keys[deep], u[maybe[deep]]))
+                here = np.flatnonzero(triple >= 0)
                 c_w, c_pair = corpus.word_counts[hot[here]], corpus.pair_counts[pair[here]]
-                score = restored(corpus.numerator(c_pair, c_w)) - np.where(w[here] == END, 0.0, np.log10(c_w + A))
+                score = corpus.numerator(corpus.triple_counts[triple[here]], c_pair, c_w).astype(np.int64) - corpus.denominator(w[here], c_pair, c_w)
                 known, base, score = _per_doc(len(ids), doc[here], c_w > 0, np.log10(c_w + 0.5), score)
                 about = pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip((base_key + np.arange(len(ids)), ids, out, n, known, base, score), _KINDS)], names=list(_FIELDS)
@@ -179,19 +217,22 @@ def _scattered(docs: DataFrame, corpus: Corpus) -> DataFrame:
                     stream.write_batch(about)
                 rows.append(((base_key >> 15) % corpus.shards, base_key, 1, sink.getvalue().to_pybytes()))
 
-                rest = np.flatnonzero(pair < 0)
-                w, u, doc, hot = w[rest], u[rest], doc[rest], hot[rest]
-                shard = np.where(hot >= 0, pair_keys(w, u), w) >> _U(3)
-                shard = (mix(shard) % _U(corpus.shards)).astype(np.int64)
+                rest = np.flatnonzero(triple < 0)
+                w, v, u, doc, hot, pair = (x[rest] for x in (w, v, u, doc, hot, pair))
+                by = np.where(hot >= 0, pair_keys(w, v), w)
+                by = np.where(pair >= 0, triple_keys(by, u), by)
+                shard = (mix(by >> _U(3)) % _U(corpus.shards)).astype(np.int64)
                 order = np.lexsort((w, shard))
-                w, shard, doc = w[order], shard[order], doc[order].astype(np.uint16)
+                w, v, u, shard, doc = w[order], v[order], u[order].astype("<u4"), shard[order], doc[order].astype(np.uint16)
                 doc |= out[doc].astype(np.uint16) << np.uint16(15)
-                context = mix(u[order]) >> _U(64 - Trie.CONTEXT_BITS)
                 cuts = np.flatnonzero(np.diff(shard, prepend=-1))
                 for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(w)]):
-                    first = np.flatnonzero(np.concatenate([[True], w[a + 1 : b] != w[a : b - 1]])) if b > a else np.zeros(0, np.int64)
-                    sizes = np.diff(np.append(first, b - a)).astype("<u4")
-                    part = [np.array([b - a, len(first)], "<u4"), w[a:b][first], sizes, (context[a:b] >> _U(8)).astype("<u4"), context[a:b].astype(np.uint8), doc[a:b]]
+                    # Runs of one word; a new one begins at 65,535 tokens at the latest.
+                    fresh = np.concatenate([[True], w[a + 1 : b] != w[a : b - 1]])
+                    place = np.arange(b - a) - np.maximum.accumulate(np.where(fresh, np.arange(b - a), 0))
+                    first = np.flatnonzero(place % 65_535 == 0)
+                    sizes = np.diff(np.append(first, b - a)).astype("<u2")
+                    part = [np.array([b - a, len(first)], "<u4"), w[a:b][first], sizes, (v[a:b] >> _U(8)).astype("<u4"), v[a:b].astype(np.uint8), u[a:b], doc[a:b]]
                     rows.append((int(shard[a]), base_key, 0, b"".join(x.tobytes() for x in part)))
                 columns = zip(*rows)
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
@@ -201,47 +242,57 @@ def _scattered(docs: DataFrame, corpus: Corpus) -> DataFrame:
     return docs.mapInArrow(run, "shard long, base_key long, kind int, data binary")
 
 
-def _read(data: bytes, base_key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word, context, document key and whether it trains, of every token of a part."""
+def _read(data: bytes, base_key: int) -> tuple[np.ndarray, ...]:
+    """Word, the two before, document key and whether it trains, of every token of a part."""
     n, distinct = np.frombuffer(data, "<u4", 2).tolist()
     at = 8
     w = np.frombuffer(data, "<u8", distinct, at)
-    sizes = np.frombuffer(data, "<u4", distinct, at := at + 8 * distinct)
-    high = np.frombuffer(data, "<u4", n, at := at + 4 * distinct)
+    sizes = np.frombuffer(data, "<u2", distinct, at := at + 8 * distinct)
+    high = np.frombuffer(data, "<u4", n, at := at + 2 * distinct)
     low = np.frombuffer(data, np.uint8, n, at := at + 4 * n)
-    doc = np.frombuffer(data, "<u2", n, at + n)
-    return np.repeat(w, sizes), (high.astype(_U) << _U(8)) | low, base_key + (doc & 0x7FFF).astype(np.int64), doc < 0x8000
+    u = np.frombuffer(data, "<u4", n, at := at + n)
+    doc = np.frombuffer(data, "<u2", n, at + 4 * n)
+    return np.repeat(w, sizes), (high.astype(_U) << _U(8)) | low, u, base_key + (doc & 0x7FFF).astype(np.int64), doc < 0x8000
 
 
 def _scored(parts: list[tuple[bytes, int]], corpus: Corpus) -> pa.RecordBatch:
     """Partial sums over the tokens of one shard, one row for each run of documents."""
-    w, context, key, train = (np.concatenate(x) for x in zip(*(_read(*p) for p in parts)))
-    order = np.lexsort((context, w))
-    w, context, key, train = w[order], context[order], key[order], train[order]
+    w, v, u, key, train = (np.concatenate(x) for x in zip(*(_read(*p) for p in parts)))
+    order = np.lexsort((u, v, w))
+    w, v, u, key, train = w[order], v[order], u[order], key[order], train[order]
     new_word = np.concatenate([[True], w[1:] != w[:-1]])
-    new_pair = new_word | np.concatenate([[True], context[1:] != context[:-1]])
-    of_word, of_pair = np.cumsum(new_word) - 1, np.cumsum(new_pair) - 1
-    first = np.flatnonzero(new_pair)
-    all_words, word_of_pair = w[new_word], of_word[first]
-    c_pair = np.bincount(of_pair, train, len(first)).astype(np.int64)
-    c_word = np.bincount(of_word, train, len(all_words)).astype(np.int64)
-    hot = _at(corpus.words, all_words)
+    new_pair = new_word | np.concatenate([[True], v[1:] != v[:-1]])
+    new_triple = new_pair | np.concatenate([[True], u[1:] != u[:-1]])
+    of_word, of_pair, of_triple = (np.cumsum(x) - 1 for x in (new_word, new_pair, new_triple))
+    pair, triple = np.flatnonzero(new_pair), np.flatnonzero(new_triple)
+    words, word_of_pair, pair_of_triple = w[new_word], of_word[pair], of_pair[triple]
+    c_word, c_pair, c_triple = (np.bincount(of, train, n).astype(np.int64) for of, n in ((of_word, len(words)), (of_pair, len(pair)), (of_triple, len(triple))))
+    # Of hot words and pairs a shard holds some only; their counts are known.
+    hot = _at(corpus.words, words)
     c_word[hot >= 0] = corpus.word_counts[hot[hot >= 0]]
-
-    kept, seen = c_word > 0, c_pair > 0
-    place = np.cumsum(kept) - 1
-    trie = Trie(all_words[kept], corpus.numerator(0.0, c_word[kept]), place[word_of_pair[seen]], context[first][seen], corpus.numerator(c_pair[seen], c_word[word_of_pair[seen]]))
-    found = restored(trie.lookup(all_words[word_of_pair], context[first], int(corpus.numerator(0.0, 0.0))))
+    hot = _at(corpus.pairs, pair_keys(words[word_of_pair], v[pair]))
+    c_pair[hot >= 0] = corpus.pair_counts[hot[hot >= 0]]
+
+    seen = [c_word > 0, c_pair > 0, c_triple > 0]
+    place = [np.cumsum(x) - 1 for x in seen]
+    levels = [
+        (place[0][word_of_pair[seen[1]]], v[pair[seen[1]]], corpus.numerator(0.0, c_pair[seen[1]], c_word[word_of_pair[seen[1]]])),
+        (place[1][pair_of_triple[seen[2]]], u[triple[seen[2]]].astype(_U), corpus.numerator(c_triple[seen[2]], c_pair[pair_of_triple[seen[2]]], c_word[word_of_pair[pair_of_triple[seen[2]]]])),
+    ]
+    trie = Trie(words[seen[0]], corpus.numerator(0.0, 0.0, c_word[seen[0]]), levels)
+    found = trie.lookup(w[triple], [v[triple], u[triple].astype(_U)], int(corpus.numerator(0.0, 0.0, 0.0))).astype(np.int64)
     trie.close()
 
-    as_context = np.where(all_words == END, 0.0, np.log10(c_word + A))
+    score = found[of_triple] - corpus.denominator(words[word_of_pair], c_pair, c_word[word_of_pair])[of_pair]
     keys, doc = np.unique(key, return_inverse=True)
-    n_known, base, score = _per_doc(len(keys), doc, c_word[of_word] > 0, np.log10(c_word + 0.5)[of_word], found[of_pair] - as_context[of_word])
+    n_known, base, score = _per_doc(len(keys), doc, c_word[of_word] > 0, np.log10(c_word + 0.5)[of_word], score)
     cuts = np.flatnonzero(np.diff(keys // _ROWS, prepend=-1))
     rows = []
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
-        part = [(keys[a:b] % _ROWS).astype("<u2"), n_known[a:b].astype("<u4"), base[a:b], score[a:b]]
-        rows.append((int(keys[a]) // _ROWS * _ROWS, 0, b"".join(x.tobytes() for x in part)))
+        short = n_known[a:b].max() < 1 << 16 and np.abs(score[a:b]).max() < 1 << 31
+        kinds = ("<u2", "<i4") if short else ("<u4", "<i8")
+        part = [(keys[a:b] % _ROWS).astype("<u2"), n_known[a:b].astype(kinds[0]), base[a:b], score[a:b].astype(kinds[1])]
+        rows.append((int(keys[a]) // _ROWS * _ROWS, 0, (b"s" if short else b"l") + b"".join(x.tobytes() for x in part)))
     return _rows(rows)
 
 
@@ -256,13 +307,16 @@ def _summed(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
     known, base, score = (about.column(_FIELDS.index(c)).to_numpy().copy() for c in ("n_known", "base", "score"))
     for kind, data in parts:
         if not kind:
-            n = len(data) // 22
-            at = np.frombuffer(data, "<u2", n)
-            known[at] += np.frombuffer(data, "<u4", n, 2 * n)
-            base[at] += np.frombuffer(data, "<f8", n, 6 * n)
-            score[at] += np.frombuffer(data, "<f8", n, 14 * n)
+            size, of_known, of_score = (16, "<u2", "<i4") if data[:1] == b"s" else (22, "<u4", "<i8")
+            n = len(data) // size
+            at = np.frombuffer(data, "<u2", n, 1)
+            known[at] += np.frombuffer(data, of_known, n, 1 + 2 * n)
+            base[at] += np.frombuffer(data, "<f8", n, 1 + (2 + int(of_known[2])) * n)
+            score[at] += np.frombuffer(data, of_score, n, 1 + (10 + int(of_known[2])) * n)
     columns = [about.column(i) for i in range(1, 4)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(known), pa.array(base), pa.array(score)], names=list(_FIELDS[1:]))
+    # The lower end of the range cancels in numerators over denominators; the end token, one a text, has a numerator only.
+    total = LOW + score * ((HIGH - LOW) / 65535)
+    return pa.RecordBatch.from_arrays([*columns, pa.array(known), pa.array(base), pa.array(total)], names=list(_FIELDS[1:]))
 
 
 def scores(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -308,7 +362,7 @@ def scores(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
         "n_known",
         F.lit(corpus.tokens).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.lit(math.log10(corpus.tokens + 0.5 * (corpus.distinct + 1)))).alias("base_score"),
-        (F.col("score") - F.lit(math.log10(corpus.texts + A))).alias("score"),
+        (F.col("score") - F.lit(math.log10(corpus.texts + B * (corpus.texts + A)))).alias("score"),
     )
 
 
