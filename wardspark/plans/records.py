@@ -108,8 +108,7 @@ def agenda_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.when(F.col("status") != "P", F.col("price"))
     order = [(F.col("priority") == "1-URGENT").desc(), (F.col("status") == "O").desc(), value.desc_nulls_last(), F.col("id")]
     best = ranking.top_k(facts(spark, sf_dir), ["district"], order, 6)
-    w = ranking.Window.partitionBy("district").orderBy(*order)
-    return best.select("id", "district", F.row_number().over(w).cast("long").alias("place"))
+    return best.select("id", "district", F.col("rank").cast("long").alias("place"))
 
 
 @query(f"""WITH {FACTS}, y AS (SELECT CAST(count(*) FILTER (day >= DATE '1997-01-01') AS BIGINT) AS delivered, count(*) FILTER (day >= DATE '2030-01-01') AS fresh, count(*) AS held FROM facts) SELECT delivered, coalesce(nullif(fresh, 0), held) AS reference, CASE WHEN fresh > 0 THEN 'fresh' ELSE 'snapshot' END AS basis FROM y""")
