@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from wardspark.llm import near_dup
-from wardspark.llm._words import word_hashes
+from wardspark.llm._words import hashed_slice
 
 
 def shingles(text, width):
@@ -75,9 +75,16 @@ def test_words_that_collide_in_polynomial_hashes(spark):
     assert held(spark, {1: word, 2: other}, 3, 85) == {1: (1, 1), 2: (1, 2)}
 
 
-def test_words_of_a_long_text():
-    text = ("Some words\tAND more\n" * 200_000).encode()
-    assert (word_hashes(text) == np.tile(word_hashes("Some words\tAND more\n".encode()), 200_000)).all()
+def test_hashes_of_words():
+    """Equal words only share a hash, at any length and place; A-Z count as a-z."""
+    rng = np.random.default_rng(2)
+    known = sorted({bytes(rng.integers(97, 100, int(n)).tolist()) for n in rng.integers(1, 90, 4000)} | {b"\xc3\xa9", b"a\xc3\xa9", b"\x00", b"a\x00", b"a\x00\x00"})
+    text = b"\n".join(known) + b"  " + b"\t".join(w.upper() for w in reversed(known))
+    data = np.frombuffer(text, np.uint8)
+    h, per = hashed_slice(data, np.array([0, len(text)]))
+    assert per.tolist() == [0, 2 * len(known)] and len(set(h.tolist())) == len(known) and (h[: len(known)] == h[len(known) :][::-1]).all()
+    one, _ = hashed_slice(np.frombuffer(b"xx " + known[7], np.uint8), np.array([0, 3, 3 + len(known[7])]))
+    assert one[1] == h[7]
 
 
 def test_overlaps_are_exact():

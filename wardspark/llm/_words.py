@@ -1,17 +1,17 @@
 """Words and word shingles of a batch of texts.
 
 A word is a maximal run of bytes other than space and 0x09-0x0D; A-Z count as
-a-z.  Every word gets a 64-bit keyed hash of its bytes (BLAKE2b), held in a
-bounded table of recent words, so two different words share a hash with chance
-2**-64 whatever they look like.  Texts are taken in slices of about ``SLICE``
-bytes, which bounds the working memory; a longer text is a slice of its own and
-is split into words piece by piece.
+a-z.  Every word gets a 64-bit hash: eight bytes at a time go through a mixing
+permutation, all words of a slice at once; words beyond LONG bytes, which are
+rare, through BLAKE2b.  Words of up to eight bytes and one length never share a
+hash, others with chance 2**-64 (no guard against texts that are made to
+collide).  Texts are taken in slices of about ``SLICE`` bytes, which bounds the
+working memory; a longer text is a slice of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,24 +24,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
-class _Table(dict):
-    """Word to hash; emptied when it holds ``MOST`` words, and long words are not held."""
-
-    MOST, LONG = 1 << 18, 64
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"words").digest(), "little")
-        if len(word) <= self.LONG:
-            if len(self) >= self.MOST:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_TABLE = _Table()
+#: Words of more bytes are hashed one by one.
+LONG = 64
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=_U)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -89,29 +76,27 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, at)
 
 
-def _hashed(raw: bytes) -> np.ndarray:
-    found = raw.lower().split()
-    return np.fromiter(map(_TABLE.__getitem__, found), _U, len(found))
-
-
-def word_hashes(raw: bytes) -> np.ndarray:
-    """The hashes of the words of one text, in order."""
-    if len(raw) <= SLICE:
-        return _hashed(raw)
-    parts, at = [], 0
-    while at < len(raw):
-        blank = _BLANK.search(raw, at + SLICE)
-        end = blank.start() if blank else len(raw)
-        parts.append(_hashed(raw[at:end]))
-        at = end
-    return np.concatenate(parts)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word of a slice, in order."""
+    lower = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), dtype="<u8", buffer=lower, strides=(1,))  # eight bytes from every place on
+    n = ends - starts
+    h = mix(n.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(0xD6E8FEB86659FD93))
+    for k in range(0, LONG, 8):
+        at = np.flatnonzero(n > k) if k else np.arange(len(n))
+        if not len(at):
+            break
+        lane = lanes[starts[at] + k] & _MASK[np.minimum(n[at] - k, 8)]
+        h[at] = mix(h[at] * _U(0xA0761D6478BD642F) + mix(lane + _U(0xE7037ED1A0B428DB)))
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(lower[starts[i] : ends[i]], digest_size=8, key=b"words").digest(), "little")
+    return h
 
 
 def hashed_slice(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The word hashes of all texts of a slice, and the n + 1 places where each text's begin and end."""
-    raw = data.tobytes()
-    per = [word_hashes(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-    return np.concatenate([np.zeros(0, _U), *per]), np.cumsum([0, *map(len, per)])
+    starts, ends, per = words(data, at)
+    return word_hashes(data, starts, ends), per
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:

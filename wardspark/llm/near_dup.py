@@ -25,7 +25,7 @@ shingles (one longer text is a block of its own beside its partner); the links
 that leave a task are fewer than its classes.  Families of n classes that stay
 apart although their sketches are close cost n * n / CHUNK sketches of travel.
 
-Shingles are 64-bit keyed hashes: "equal sets" and "full sets" are exact but for
+Shingles are 64-bit hashes: "equal sets" and "full sets" are exact but for
 a chance of about 2**-64 for each two different shingles that are compared.
 
 Defined results: a text without words (null, empty, blank) has an empty set and

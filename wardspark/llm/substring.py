@@ -11,10 +11,10 @@ holds a passage keeps it.  A run that earlier documents hold by parts is cut
 where the document or the place in it changes, so that every part stands as it
 is in its first document, and what a document is itself the first to hold stays.
 
-Digests travel as (digest, doc, place) rows; finding the shared ones is a partial
-aggregate, so a chunk that a third of all documents share costs one row per
-task.  Shared digests are joined back with the least document and the place
-(number of the chunk) there; the few that have a thousandth of all rows or more
+Digests are counted first, a partial aggregate, so a chunk that a third of all
+documents share costs one row per task.  The (digest, doc, place) rows of those
+that occur again go on and get the least document and the place (number of the
+chunk) there; the few that have a thousandth of all rows or more
 are broadcast and their rows spread, so no task gets all rows of one passage.
 
 Defined results: a null or empty text has no chunks; a document has no repeat
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardspark.llm._shared import cut, join_spread, table
-from wardspark.llm._words import _LOWER, hashed_slice, mix, slices, words
+from wardspark.llm._words import _LOWER, mix, slices, word_hashes, words
 
 MIN_WORDS = 20
 WIDTH = 3
@@ -43,18 +43,24 @@ MAX_WORDS = 16
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def gear_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """At every byte the gear hash h = sum of gear[b] << age over the last 16 bytes of the same text, by doubling."""
-    h = _GEAR[_LOWER[data]]
-    behind = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))  # bytes of the text before this one
-    for width in (1, 2, 4, 8):
-        shifted = np.zeros_like(h)
-        shifted[width:] = h[:-width] << np.uint64(width)
-        shifted[behind < width] = 0
-        h = h + shifted
+def gear_hashes(data: np.ndarray, ends: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The gear hash, sum of gear[b] << age over the last 16 bytes, at the places ``ends``; bytes in front of ``begins`` (of the text) do not count."""
+    low = _LOWER[data]
+    h = np.zeros(len(ends), dtype=np.uint64)
+    for age in range(16):
+        at = ends - 1 - age
+        h += np.where(at >= begins, _GEAR[low[np.maximum(at, 0)]], np.uint64(0)) << np.uint64(age)
     return h
 
 
+def _chained(digest: np.ndarray, width: int) -> np.ndarray:
+    """One digest for each ``width`` digests in a row; none for a width of zero."""
+    out = np.zeros(max(0, len(digest) - width + 1) if width else 0, dtype=np.uint64)
+    for i in range(width):
+        out = mix(out * np.uint64(0xA0761D6478BD642F) + digest[i : i + len(out)])
+    return out
+
+
 def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For every text the digests of its windows of WIDTH chunks, and of every chunk the first byte, last byte + 1 and number of words.
 
@@ -66,7 +72,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         if not len(starts):
             yield from ((none.astype(np.uint64), none, none, none) for _ in at[1:])
             continue
-        rolled = mix(gear_hashes(data, at)[ends - 1])
+        rolled = mix(gear_hashes(data, ends, np.repeat(at[:-1], np.diff(per))))
         last = rolled % np.uint64(CUT) == 0
         filled = np.flatnonzero(per[1:] > per[:-1])
         last[per[1:][filled] - 1] = True
@@ -77,17 +83,16 @@ def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         end = np.flatnonzero(last)
         begin = np.concatenate([[0], end[:-1] + 1])
         # The digest of a chunk: a polynomial over the hashes of its words.
-        h, _ = hashed_slice(data, at)
+        h = word_hashes(data, starts, ends)
         place = np.arange(len(h)) - np.repeat(begin, end - begin + 1)
         weights = mix(place.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
         sums = np.add.reduceat(h * weights, begin)
         digest = mix(sums + (end - begin + 1).astype(np.uint64))
+        whole = _chained(digest, WIDTH)
         of = np.searchsorted(end, per)
         for k in range(len(per) - 1):
             a, b = of[k], of[k + 1]
-            windows = np.zeros(min(1, b - a) if b - a < WIDTH else b - a - WIDTH + 1, dtype=np.uint64)
-            for i in range(min(WIDTH, b - a)):
-                windows = mix(windows * np.uint64(0xA0761D6478BD642F) + digest[a + i : a + i + len(windows)])
+            windows = whole[a : b - WIDTH + 1] if b - a >= WIDTH else _chained(digest[a:b], b - a)
             yield windows, starts[begin[a:b]] - at[k], ends[end[a:b]] - at[k], end[a:b] - begin[a:b] + 1
 
 
@@ -100,20 +105,23 @@ def _digest_rows(docs: DataFrame) -> DataFrame:
             found = [np.unique(d, return_index=True) for d, _, _, _ in chunks(batch.column(1))]
             owners = np.repeat(ids, [len(x) for x, _ in found]).astype(np.int64)
             digests = np.concatenate([*(x for x, _ in found), np.zeros(0, np.uint64)]).view(np.int64)
-            places = np.concatenate([*(x for _, x in found), np.zeros(0, np.int64)]).astype(np.int64)
+            places = np.concatenate([*(x for _, x in found), np.zeros(0, np.int64)]).astype(np.int32)
             for k in range(0, len(digests), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (digests, owners, places)], names=["digest", "doc_id", "at"])
 
-    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "digest long, doc_id long, at long")
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "digest long, doc_id long, at int")
 
 
 def shared_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, shared array<struct<digest, first_doc, first_at>>): the digests of each document that other documents hold too."""
     rows = _digest_rows(docs)
-    counted = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min_by("at", "doc_id").alias("at"), F.count(F.lit(1)).alias("n"))
+    # First the digests that occur more than once, by counts alone; only their rows go on.
+    often = cut(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    held = cut(join_spread(rows, often, "digest", "n", "n").filter("n is not null").drop("n"))
+    counted = held.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min_by("at", "doc_id").alias("at"), F.count(F.lit(1)).alias("n"))
     shared = cut(counted.filter("first_doc < last_doc").select("digest", "n", F.struct(F.col("first_doc").alias("doc_id"), "at").alias("first")))
-    held = join_spread(rows.drop("at"), shared, "digest", "n", "first").filter("first is not null")
-    return held.groupBy("doc_id").agg(F.collect_set(F.struct("digest", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"))).alias("shared"))
+    found = join_spread(held.drop("at"), shared, "digest", "n", "first").filter("first is not null")
+    return found.groupBy("doc_id").agg(F.collect_set(F.struct("digest", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"))).alias("shared"))
 
 
 def passages(windows: list[int], n: list[int], first: dict[int, tuple[int, int]], own: int) -> Iterator[tuple[int, int, int]]:
