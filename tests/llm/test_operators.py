@@ -166,3 +166,22 @@ def test_quality(docs):
     got = {r.doc_id: r for r in quality.judged(docs).select("row.doc_id", "n_words", "n_repeat_words", "base_failed", "kept").collect()}
     assert got[10].n_words == 3000 and got[10].n_repeat_words == 3000 and got[10].base_failed and not got[0].kept and got[0].n_words == 0
     assert quality.keep_good(docs).columns == docs.columns
+
+
+def test_quality_with_clashing_names(spark):
+    """Columns named like measures and verdicts are carried, not read."""
+    good = " ".join(f"the word{i} of" for i in range(40))
+    rows = [(1, good, 7, True, "x"), (2, "short", 9, True, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words long, kept boolean, base_failed string")
+    assert [tuple(r) for r in quality.keep_good(docs).collect()] == rows[:1]
+    assert {r.doc_id: (r.n_words, r.own) for r in quality.judged(docs).selectExpr("row.doc_id", "n_words", "row.n_words as own").collect()} == {1: (120, 7), 2: (1, 9)}
+
+
+def test_very_long_texts(spark):
+    """One text of 600,000 words among short ones, through the operators that read words."""
+    text = " ".join(f"w{i % 90_001}" for i in range(600_000))
+    docs = spark.createDataFrame([(1, text), (2, "w1 w2 w3"), (3, text + " end")], "doc_id long, text string")
+    near = {r.doc_id: r for r in near_dup.near_duplicates(docs, 3, 85).collect()}
+    assert near[1].n_shingles == 90_001 and near[3].component_id == 1 and near[2].component_id == 2
+    assert {r.doc_id: r.n_tokens for r in language_model.scores(docs, 100_000).collect()} == {1: 600_001, 2: 4, 3: 600_002}
+    assert {r.doc_id: len(r.text.split()) for r in substring.without_repeats(docs).collect()}[3] < 600
