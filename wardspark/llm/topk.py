@@ -92,7 +92,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     held = rows.select(F.pmod(F.xxhash64("id", "weights"), F.lit(blocks)).cast("int").alias("block"), every(groups).alias("group"), F.lit(0).alias("kind"), "id", "weights")
     asked = queries.select(every(blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), F.lit(1).alias("kind"), "id", "weights")
-    dealt = held.union(asked).repartition(blocks * groups, "block", "group").sortWithinPartitions("block", "group", "kind", "id")
+    # More partitions than tasks with rows, so that few blocks share one by their hash.
+    dealt = held.union(asked).repartition(4 * blocks * groups, "block", "group").sortWithinPartitions("block", "group", "kind", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, ids, parts, block = None, [], [], None
