@@ -118,10 +118,10 @@ def coordinate(lat: Column, lon: Column, box: tuple[float, float, float, float])
 
 
 def count_display(n: Column) -> Column:
-    """Exact below 1000, to hundreds below 10000, else to thousands."""
+    """Exact below 1000, to hundreds below 10000, else to thousands, with thousands separated."""
     step = F.when(n < 10_000, 100).otherwise(1000)
     near = (F.floor((n + step / 2) / step) * step).cast("long")
-    return F.when(n < 1000, n.cast("string")).otherwise(F.concat(F.lit("about "), near.cast("string")))
+    return F.when(n < 1000, n.cast("string")).otherwise(F.concat(F.lit("about "), F.format_number(near, 0)))
 
 
 def ratio(a: Column, b: Column, scale: float = 1.0) -> Column:

@@ -236,7 +236,7 @@ def looked_up_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(keys, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
 
 
-@query("""SELECT o_orderkey AS id, strftime(CAST(o_orderdate AS DATE) - 30, '%Y-%m-%d') AS since, CASE WHEN o_orderkey < 1000 THEN CAST(o_orderkey AS VARCHAR) WHEN o_orderkey < 10000 THEN 'about ' || CAST(CAST(floor((o_orderkey + 50e0) / 100) * 100 AS BIGINT) AS VARCHAR) ELSE 'about ' || CAST(CAST(floor((o_orderkey + 500e0) / 1000) * 1000 AS BIGINT) AS VARCHAR) END AS shown FROM orders""")
+@query("""SELECT o_orderkey AS id, strftime(CAST(o_orderdate AS DATE) - 30, '%Y-%m-%d') AS since, CASE WHEN o_orderkey < 1000 THEN CAST(o_orderkey AS VARCHAR) WHEN o_orderkey < 10000 THEN 'about ' || format('{:,}', CAST(floor((o_orderkey + 50e0) / 100) * 100 AS BIGINT)) ELSE 'about ' || format('{:,}', CAST(floor((o_orderkey + 500e0) / 1000) * 1000 AS BIGINT)) END AS shown FROM orders""")
 def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-24 FN-32: rounded counts and a date some days earlier."""
     o = t(spark, sf_dir, "orders")
