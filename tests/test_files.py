@@ -116,4 +116,4 @@ def test_shared_keys(spark):
 
 def test_manifest_query(spark):
     out = registry.QUERIES["output_manifest"](spark, "/root/testdata/sf0.001")
-    assert out.columns == ["folder", "file", "bytes", "sha256"] and out.count() > 0
+    assert out.columns == ["folder", "bytes", "sha256", "over_budget", "files", "least", "middle", "most"] and out.count() > 0
