@@ -147,7 +147,7 @@ def test_elias_fano():
 
 def test_trie_looks_up_within_the_node():
     words = np.unique(RNG.integers(0, 2**63, 300).astype(np.uint64))
-    draw = lambda k: (int(RNG.integers(0, len(words))), int(RNG.integers(0, 40) if k % 2 else RNG.integers(0, 2**40)))
+    draw = lambda k: (int(RNG.integers(0, len(words))), int(RNG.integers(0, 40) if k % 2 else RNG.integers(0, 2**32)))
     pairs = sorted({p for p in map(draw, range(4000)) if p[0] != 9})  # word 9 has no contexts
     triples = sorted({(int(RNG.integers(0, len(pairs))), int(RNG.integers(0, 6) if k % 2 else RNG.integers(0, 2**32))) for k in range(9000)})
     column = lambda rows, k, t: np.array([r[k] for r in rows], dtype=t)

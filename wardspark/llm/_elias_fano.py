@@ -104,7 +104,7 @@ class Trie:
     are taken for the same with chance 2**-BITS for each pair of them.
     """
 
-    BITS = (40, 32)
+    BITS = (32, 32)
 
     def __init__(self, words: np.ndarray, values: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         """words: sorted; of each level the place of each context's node in the level above, the contexts, and values (uint16); (node, context) sorted."""

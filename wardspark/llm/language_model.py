@@ -17,8 +17,9 @@ pairs, as few, by the two words before, with c(v w) known too; hot triples are
 scored where the text is.  Hence no shard grows with a word or a phrase.
 
 Logs of numerators and denominators are kept in 16 bits (steps of 30 / 65535),
-so a token's score is within one step of the exact one.  The word before is a
-40-bit hash in the trie, the one before that 32 bits.
+so a token's score is within one step of the exact one.  The words before are
+32-bit hashes in the trie: two contexts of one node are taken for the same with
+chance 2**-32 for each pair of them (words themselves keep 64 bits).
 
 Defined results: a null, empty or blank text is the single end token; a row
 without doc_id trains; with no training text every count is zero; repeated rows
@@ -222,8 +223,8 @@ def _scattered(docs: DataFrame, corpus: Corpus) -> DataFrame:
                 by = np.where(hot >= 0, pair_keys(w, v), w)
                 by = np.where(pair >= 0, triple_keys(by, u), by)
                 shard = (mix(by >> _U(3)) % _U(corpus.shards)).astype(np.int64)
-                order = np.lexsort((w, shard))
-                w, v, u, shard, doc = w[order], v[order], u[order].astype("<u4"), shard[order], doc[order].astype(np.uint16)
+                order = np.lexsort((v, w, shard))  # equal contexts side by side, which compresses
+                w, v, u, shard, doc = w[order], v[order].astype("<u4"), u[order].astype("<u4"), shard[order], doc[order].astype(np.uint16)
                 doc |= out[doc].astype(np.uint16) << np.uint16(15)
                 cuts = np.flatnonzero(np.diff(shard, prepend=-1))
                 for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(w)]):
@@ -232,7 +233,7 @@ def _scattered(docs: DataFrame, corpus: Corpus) -> DataFrame:
                     place = np.arange(b - a) - np.maximum.accumulate(np.where(fresh, np.arange(b - a), 0))
                     first = np.flatnonzero(place % 65_535 == 0)
                     sizes = np.diff(np.append(first, b - a)).astype("<u2")
-                    part = [np.array([b - a, len(first)], "<u4"), w[a:b][first], sizes, (v[a:b] >> _U(8)).astype("<u4"), v[a:b].astype(np.uint8), u[a:b], doc[a:b]]
+                    part = [np.array([b - a, len(first)], "<u4"), w[a:b][first], sizes, v[a:b], u[a:b], doc[a:b]]
                     rows.append((int(shard[a]), base_key, 0, b"".join(x.tobytes() for x in part)))
                 columns = zip(*rows)
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
@@ -248,11 +249,10 @@ def _read(data: bytes, base_key: int) -> tuple[np.ndarray, ...]:
     at = 8
     w = np.frombuffer(data, "<u8", distinct, at)
     sizes = np.frombuffer(data, "<u2", distinct, at := at + 8 * distinct)
-    high = np.frombuffer(data, "<u4", n, at := at + 2 * distinct)
-    low = np.frombuffer(data, np.uint8, n, at := at + 4 * n)
-    u = np.frombuffer(data, "<u4", n, at := at + n)
+    v = np.frombuffer(data, "<u4", n, at := at + 2 * distinct)
+    u = np.frombuffer(data, "<u4", n, at := at + 4 * n)
     doc = np.frombuffer(data, "<u2", n, at + 4 * n)
-    return np.repeat(w, sizes), (high.astype(_U) << _U(8)) | low, u, base_key + (doc & 0x7FFF).astype(np.int64), doc < 0x8000
+    return np.repeat(w, sizes), v, u, base_key + (doc & 0x7FFF).astype(np.int64), doc < 0x8000
 
 
 def _scored(parts: list[tuple[bytes, int]], corpus: Corpus) -> pa.RecordBatch:
@@ -270,17 +270,17 @@ def _scored(parts: list[tuple[bytes, int]], corpus: Corpus) -> pa.RecordBatch:
     # Of hot words and pairs a shard holds some only; their counts are known.
     hot = _at(corpus.words, words)
     c_word[hot >= 0] = corpus.word_counts[hot[hot >= 0]]
-    hot = _at(corpus.pairs, pair_keys(words[word_of_pair], v[pair]))
+    hot = _at(corpus.pairs, pair_keys(words[word_of_pair], v[pair].astype(_U)))
     c_pair[hot >= 0] = corpus.pair_counts[hot[hot >= 0]]
 
     seen = [c_word > 0, c_pair > 0, c_triple > 0]
     place = [np.cumsum(x) - 1 for x in seen]
     levels = [
-        (place[0][word_of_pair[seen[1]]], v[pair[seen[1]]], corpus.numerator(0.0, c_pair[seen[1]], c_word[word_of_pair[seen[1]]])),
+        (place[0][word_of_pair[seen[1]]], v[pair[seen[1]]].astype(_U), corpus.numerator(0.0, c_pair[seen[1]], c_word[word_of_pair[seen[1]]])),
         (place[1][pair_of_triple[seen[2]]], u[triple[seen[2]]].astype(_U), corpus.numerator(c_triple[seen[2]], c_pair[pair_of_triple[seen[2]]], c_word[word_of_pair[pair_of_triple[seen[2]]]])),
     ]
     trie = Trie(words[seen[0]], corpus.numerator(0.0, 0.0, c_word[seen[0]]), levels)
-    found = trie.lookup(w[triple], [v[triple], u[triple].astype(_U)], int(corpus.numerator(0.0, 0.0, 0.0))).astype(np.int64)
+    found = trie.lookup(w[triple], [v[triple].astype(_U), u[triple].astype(_U)], int(corpus.numerator(0.0, 0.0, 0.0))).astype(np.int64)
     trie.close()
 
     score = found[of_triple] - corpus.denominator(words[word_of_pair], c_pair, c_word[word_of_pair])[of_pair]
@@ -289,8 +289,9 @@ def _scored(parts: list[tuple[bytes, int]], corpus: Corpus) -> pa.RecordBatch:
     cuts = np.flatnonzero(np.diff(keys // _ROWS, prepend=-1))
     rows = []
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
-        short = n_known[a:b].max() < 1 << 16 and np.abs(score[a:b]).max() < 1 << 31
-        kinds = ("<u2", "<i4") if short else ("<u4", "<i8")
+        # A text has few tokens in a shard, as a rule: one byte and four then do for its count and its steps.
+        short = n_known[a:b].max() < 1 << 8 and np.abs(score[a:b]).max() < 1 << 31
+        kinds = ("<u1", "<i4") if short else ("<u4", "<i8")
         part = [(keys[a:b] % _ROWS).astype("<u2"), n_known[a:b].astype(kinds[0]), base[a:b], score[a:b].astype(kinds[1])]
         rows.append((int(keys[a]) // _ROWS * _ROWS, 0, (b"s" if short else b"l") + b"".join(x.tobytes() for x in part)))
     return _rows(rows)
@@ -307,7 +308,7 @@ def _summed(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
     known, base, score = (about.column(_FIELDS.index(c)).to_numpy().copy() for c in ("n_known", "base", "score"))
     for kind, data in parts:
         if not kind:
-            size, of_known, of_score = (16, "<u2", "<i4") if data[:1] == b"s" else (22, "<u4", "<i8")
+            size, of_known, of_score = (15, "<u1", "<i4") if data[:1] == b"s" else (22, "<u4", "<i8")
             n = len(data) // size
             at = np.frombuffer(data, "<u2", n, 1)
             known[at] += np.frombuffer(data, of_known, n, 1 + 2 * n)
