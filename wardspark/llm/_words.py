@@ -59,11 +59,11 @@ def slices(texts: pa.Array, size: int = SLICE, rows: int = 1 << 62) -> Iterator[
         first = last
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and the n + 1 places in these where each text's words begin and end."""
+def words(data: np.ndarray, at: np.ndarray, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and the n + 1 places in these where each text's words begin and end; ``blank`` tells of each byte whether it ends a word."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~blank[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     own = at[:-1][at[:-1] < at[1:]]

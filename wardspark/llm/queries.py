@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardspark.llm import language_model, near_dup, packing, personal, quality, sharding, substring, tokens, topk
+from wardspark.llm import language_model, near_dup, packing, personal, phrases, quality, sharding, spelling, substring, tokens, topk
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,9 @@ QUERIES = {
         packing.op8_best_fit_packing,
         language_model.op9_language_model,
         quality.op10_quality_rules,
+        spelling.op11_spelling_variants,
+        phrases.op12_phrase_collocations,
     )
 }
 
-SQL = {"op2_exact_top_k": topk.SQL, "op10_quality_rules": quality.SQL}
+SQL = {"op2_exact_top_k": topk.SQL, "op10_quality_rules": quality.SQL, "op11_spelling_variants": spelling.SQL, "op12_phrase_collocations": phrases.SQL}
