@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wardspark.functions.scalars import box, boxes_disjoint, chain_length, coordinate, degree_metres, distance, nearest_on_chain, ratio, utm16
-from wardspark.operators import graph, ranking, spatial
-from wardspark.plans.geo import _CLIP, _seg_distance_sql, located, nearest
+from wardspark.operators import graph, ranking, shapes, spatial
+from wardspark.plans.geo import _seg_distance_sql, located, nearest
 from wardspark.plans.registry import query
-from wardspark.plans.standins import CELL, NEAREST, POINTS, SEGMENTS, points, segments, t, zones
+from wardspark.plans.standins import CELL, NEAREST, POINTS, POLYLINES, SEGMENTS, boxed_lengths, points, polylines, segments, t, zones
 from wardspark.sources import files
 
 # The box of valid places (south, west, north, east), and the classes and status of streets that count.
@@ -52,16 +52,16 @@ def ragged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _street_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments written as FeatureCollections, one a file row, and read again: class, status and, but for some, a geometry."""
     k = F.col("seg_id")
-    line = F.when(k % 9 != 0, F.struct(F.lit("LineString").alias("type"), F.array(F.array("x1", "y1"), F.array("x2", "y2")).alias("coordinates")))
+    line = F.when(k % 9 != 0, F.struct(F.lit("LineString").alias("type"), F.transform(F.col("parts")[0], lambda p: F.array(p.x, p.y)).alias("coordinates")))
     held = F.struct(k.cast("string").alias("OBJECTID"), (k % 6).cast("string").alias("class"), F.when(k % 7 == 0, "C").otherwise("N").alias("status"), F.col("corridor").cast("string").alias("corridor"))
     feature = F.struct(F.lit("Feature").alias("type"), line.alias("geometry"), held.alias("properties"))
     path = files.shared_path(spark)
-    whole = segments(spark, sf_dir).groupBy("corridor").agg(F.collect_list(feature).alias("features"))
+    whole = polylines(spark, sf_dir).groupBy("corridor").agg(F.collect_list(feature).alias("features"))
     whole.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).repartition("value").write.option("maxRecordsPerFile", 1).text(path)
     return files.read_features(spark, path, "struct<type: string, coordinates: array<array<double>>>")
 
 
-@query(f"WITH {SEGMENTS} SELECT CAST(seg_id AS VARCHAR) AS segment_id, CASE WHEN seg_id % 9 <> 0 THEN round(x1, 3) END AS first_x, CASE WHEN seg_id % 9 <> 0 THEN 2 ELSE 0 END AS vertices FROM segments")
+@query(f"WITH {SEGMENTS} SELECT CAST(seg_id AS VARCHAR) AS segment_id, CASE WHEN seg_id % 9 <> 0 THEN round(x1, 3) END AS first_x, CAST(CASE WHEN seg_id % 9 = 0 THEN 0 WHEN seg_id % 3 = 0 THEN (3 + seg_id % 48) // 2 ELSE 3 + seg_id % 48 END AS INTEGER) AS vertices FROM segments")
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-3: a row for each feature of collections, its id under whichever name the file has for it; a feature may lack its geometry."""
     f = _street_file(spark, sf_dir)
@@ -69,15 +69,18 @@ def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(key.alias("segment_id"), F.round(F.col("geometry.coordinates")[0][0], 3).alias("first_x"), F.coalesce(F.size("geometry.coordinates"), F.lit(0)).alias("vertices"))
 
 
-@query(f"""{_CLIP}, k AS (SELECT zone, sum(meters) / 1e3 AS road_km, sum(CASE WHEN corridor % 5 = 1 THEN meters END) / 1e3 AS way_km FROM clipped WHERE seg_id % 6 IN (2, 3, 4) AND seg_id % 7 <> 0 AND seg_id % 9 <> 0 GROUP BY zone)
+@query(f"""WITH {POLYLINES}, streets AS (SELECT * FROM edges WHERE part = 0 AND seg_id % 6 IN (2, 3, 4) AND seg_id % 7 <> 0 AND seg_id % 9 <> 0), z AS (SELECT CAST(range AS INTEGER) AS zone, ((range - 1) % 5) * 660 AS i, ((range - 1) // 5) * 380 AS j FROM range(1, 51)),
+  boxes AS (SELECT zone AS region, 1 AS sign, i * 8.3e0 AS ax, (i + 660) * 8.3e0 AS bx, j * 11.132e0 AS ay, (j + 380) * 11.132e0 AS ty FROM z), {boxed_lengths('streets')},
+  k AS (SELECT region AS zone, sum(meters) / 1e3 AS road_km, sum(CASE WHEN corridor % 5 = 1 THEN meters END) / 1e3 AS way_km FROM clipped GROUP BY region)
   SELECT z.zone, round(road_km, 3) AS road_km, round(way_km, 3) AS way_km, round(way_km * 100 / road_km, 2) AS pct FROM z LEFT JOIN k USING (zone)""")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-13 FLT-7 FLT-12 JON-14: streets of the counted classes and status with a geometry, clipped to polygons; the share with a way; no road means null, not zero."""
+    """AGG-13 FLT-7 FLT-12 JON-14: streets of the counted classes and status with a geometry, all their vertices clipped to polygons; the share with a way; no road means null, not zero."""
     p = lambda c: F.element_at("properties", c)
     grid = _street_file(spark, sf_dir).filter(p("class").isin(*STREET_CLASSES) & p("status").isin(*STREET_STATUS) & F.col("geometry").isNotNull())
-    at = lambda i, j: F.col("geometry.coordinates")[i][j]
-    lines = grid.select(p("OBJECTID").cast("long").alias("seg_id"), p("corridor").cast("int").alias("corridor"), at(0, 0).alias("x1"), at(0, 1).alias("y1"), at(1, 0).alias("x2"), at(1, 1).alias("y2"))
-    out = spatial.clipped_lengths(lines, zones(spark), CELL, "seg_id", "zone")
+    part = F.transform("geometry.coordinates", lambda c: F.struct(c[0].alias("x"), c[1].alias("y")))
+    lines = grid.select(p("OBJECTID").cast("long").alias("seg_id"), p("corridor").cast("int").alias("corridor"), F.array(part).alias("parts"))
+    rings = zones(spark).select("zone", F.array("ring").alias("rings"))
+    out = shapes.clipped_lengths(lines, rings, CELL / 2, "seg_id", "zone").join(lines.select("seg_id", "corridor"), "seg_id")
     k = out.groupBy("zone").agg((F.sum("meters") / 1000).alias("road"), (F.sum(F.when(F.col("corridor") % 5 == 1, F.col("meters"))) / 1000).alias("way"))
     z = zones(spark).select("zone").join(k, "zone", "left")
     return z.select("zone", F.round("road", 3).alias("road_km"), F.round("way", 3).alias("way_km"), F.round(ratio(F.col("way"), F.col("road"), 100), 2).alias("pct"))

@@ -24,4 +24,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from wardspark.plans import civic, geo, network, newsroom, published, records, releases  # noqa: F401
+    from wardspark.plans import civic, geo, network, newsroom, published, records, regions, releases  # noqa: F401

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardspark.functions.scalars import severity
@@ -19,6 +19,11 @@ SEGMENTS = """
   s0 AS (SELECT s_suppkey AS seg_id, s_nationkey AS corridor, ((s_suppkey * 4513) % 3200) * 8.3e0 AS x1, ((s_suppkey * 2917) % 3700) * 11.132e0 AS y1,
     (20 + (s_suppkey * 31) % 80) * 8.3e0 AS dx, ((s_suppkey * 17) % 60) * 11.132e0 AS dy FROM supplier),
   segments AS (SELECT seg_id, corridor, x1, y1, x1 + dx AS x2, y1 + dy AS y2 FROM s0)"""
+# Lines of 3 to 50 vertices; every third has two parts, of which the first may be a single point.
+POLYLINES = f"""{SEGMENTS}, v0 AS (SELECT seg_id, corridor, x1, y1, 3 + seg_id % 48 AS nv, unnest(range(3 + seg_id % 48)) AS j FROM segments),
+  v1 AS (SELECT seg_id, corridor, j, CASE WHEN seg_id % 3 = 0 AND j >= nv // 2 THEN 1 ELSE 0 END AS part, x1 + j * (40 + seg_id % 7 * 10) AS x, y1 + ((j * j * 7 + seg_id * 13) % 11) * 60e0 AS y FROM v0),
+  v AS (SELECT seg_id, corridor, part, j, x, y + 700e0 * part AS y FROM v1),
+  edges AS (SELECT a.seg_id, a.corridor, a.part, a.j, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON a.seg_id = b.seg_id AND a.part = b.part AND b.j = a.j + 1)"""
 NEAREST = """
   d0 AS (SELECT event_id, seg_id, x, y, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy FROM points, segments),
   d1 AS (SELECT *, least(1e0, greatest(0e0, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy))) AS t FROM d0),
@@ -57,6 +62,33 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("seg_id")
+    n = 3 + k % 48
+    first = F.when(k % 3 == 0, F.floor(n / 2)).otherwise(n)
+
+    def at(j: Column) -> Column:
+        return F.struct((F.col("x1") + j * (40 + k % 7 * 10)).alias("x"), (F.col("y1") + ((j * j * 7 + k * 13) % 11) * 60.0 + F.when(j >= first, 700.0).otherwise(0.0)).alias("y"))
+
+    every = F.transform(F.sequence(F.lit(0), n - 1), at)
+    parts = F.filter(F.array(F.slice(every, F.lit(1), first), F.slice(every, first + 1, n)), lambda p: F.size(p) > 0)
+    return segments(spark, sf_dir).select("seg_id", "corridor", parts.alias("parts"))
+
+
+def boxed_lengths(edges: str, keys: str = "seg_id, corridor") -> str:
+    """SQL: clipped (keys, region, meters), the length of ``edges`` inside ``boxes`` (region, sign, ax, bx, ay, ty), with their signs."""
+
+    def span(p: str, low: str, high: str) -> tuple[str, str]:
+        d, at = f"({p}2 - {p}1)", f"{p}1"
+        enter = f"CASE WHEN {d} > 0 THEN ({low} - {at}) / {d} WHEN {d} < 0 THEN ({high} - {at}) / {d} WHEN {at} >= {low} AND {at} < {high} THEN 0e0 ELSE 2e0 END"
+        leave = f"CASE WHEN {d} > 0 THEN ({high} - {at}) / {d} WHEN {d} < 0 THEN ({low} - {at}) / {d} ELSE 1e0 END"
+        return enter, leave
+
+    (x0, x1), (y0, y1) = span("x", "ax", "bx"), span("y", "ay", "ty")
+    return f"""c AS (SELECT {keys}, region, sign, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS long, greatest(0e0, {x0}, {y0}) AS t0, least(1e0, {x1}, {y1}) AS t1 FROM {edges}, boxes),
+  clipped AS (SELECT {keys}, region, sum(sign * (t1 - t0) * long) AS meters FROM c WHERE t1 > t0 GROUP BY ALL)"""
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders by district: order, date, status, priority, price and the nation of the customer."""
     o, c = t(spark, sf_dir, "orders"), t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
