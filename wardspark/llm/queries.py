@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardspark.llm import language_model, near_dup, packing, personal, phrases, quality, sharding, spelling, substring, tokens, topk
+from wardspark.llm import language_model, near_dup, neighbours, packing, personal, phrases, quality, sharding, spelling, substring, tokens, topk
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         quality.op10_quality_rules,
         spelling.op11_spelling_variants,
         phrases.op12_phrase_collocations,
+        neighbours.op13_quality_neighbours,
     )
 }
 
