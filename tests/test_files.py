@@ -55,7 +55,7 @@ def test_entity_matching(spark):
     patterns = matching.person_patterns(people, "ward", "name").unionByName(matching.route_patterns(streets, tokens)).unionByName(matching.project_patterns(phrases))
     titles = ["Ald. Dowell blocks lane", "Dowell speaks", "Ald. Lopez proposes", "Raymond Lopez proposes", "Milwaukee Avenue bike lanes", "Milwaukee approves", "Dearborn St bridge", "New ramp for The 606", "Route 6060 detour", "Grand Avenue daycare", "Grand Avenue bike lane", "Roundup with Ald. Dowell", None]
     items = spark.createDataFrame([(i, t, ["Pat Dowell", "35th Ward"] if i == 11 else None) for i, t in enumerate(titles)], "id int, title string, tags array<string>")
-    got = {(r.id, r.kind, r.entity): r.via for r in matching.entity_matches(items, "id", "title", "tags", patterns, (1, 2, 3)).collect()}
+    got = {(r.id, r.kind, r.entity): r.via for r in matching.entity_matches(items, "id", "title", "tags", patterns).collect()}
     assert got == {
         (0, "person", "3"): "'Ald. Dowell' in headline", (3, "person", "15"): "'Raymond Lopez' in headline", (4, "route", "milwaukee"): "'Milwaukee Avenue' in headline", (6, "route", "clark"): "'Dearborn St' in headline",
         (7, "route", "bloomingdale"): "'606' in headline", (10, "project", "grand"): "'Grand Avenue' in headline + safety keyword in headline", (11, "person", "3"): "publisher tag 'Pat Dowell'",

@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import string
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.functions.scalars import street_name
 
+#: Forms of so many letters in all (32 more for each) may be broadcast as one automaton; some 100 MB in a worker.
+AUTOMATON_LIMIT = 10_000_000
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+_WORD = frozenset(string.ascii_letters + string.digits + "_")
+
 #: A roster that is held beside every row may have so many entries; a larger one is an error, not a cut.
 ROSTER_LIMIT = 10_000
 
@@ -75,22 +88,98 @@ def project_patterns(phrases: DataFrame) -> DataFrame:
     return _patterns(phrases, "project", [(alone, 0, False), (beside, 1, True)])
 
 
-def entity_matches(items: DataFrame, item: str, title: str, tags: str, patterns: DataFrame, widths: tuple[int, ...]) -> DataFrame:
-    """(item, kind, entity, via): every entity that a tag or the title of an item names.
+def _candidates(items: DataFrame, item: str, title: str, tags: str) -> DataFrame:
+    """(item, told, texts): whether the title has a keyword, and the tags in order with the title behind them."""
+    tag = F.coalesce(F.col(tags), F.array().cast("array<string>"))
+    return items.select(F.col(item), has_keyword(F.col(title)).alias("told"), F.concat(tag, F.array(F.col(title))).alias("texts"))
+
+
+def _automaton(patterns: list[tuple[str, str, str, int, bool]]) -> ahocorasick.Automaton:
+    """The trie of all forms with its failure links; each form carries the numbers of its patterns."""
+    numbers: dict[str, list[int]] = {}
+    for k, (_, _, form, _, _) in enumerate(patterns):
+        numbers.setdefault(_flat(form), []).append(k)
+    built = ahocorasick.Automaton()
+    for form, of in numbers.items():
+        built.add_word(form, (len(form), of))
+    built.make_automaton()
+    return built
+
+
+def _flat(text: str) -> str:
+    """A-Z as a-z, every run of blanks as one space."""
+    return _BLANKS.sub(" ", text.translate(_LOWER))
+
+
+def _spans(text: str, automaton: ahocorasick.Automaton) -> dict[int, tuple[int, int]]:
+    """Of every pattern that occurs in a text as whole words, where it does first."""
+    flat, found = _flat(text), {}
+    for end, (size, numbers) in automaton.iter(flat):
+        start = end - size + 1
+        if numbers[0] not in found and not (start and flat[start - 1] in _WORD) and flat[end + 1 : end + 2] not in _WORD:
+            found.update((k, (start, end + 1)) for k in numbers)
+    if not found or len(flat) == len(text):
+        return found
+    at = [m.start() for m in re.finditer(r"[ \t\n\x0b\f\r]+|[^ \t\n\x0b\f\r]", text)] + [len(text)]
+    return {k: (at[a], at[b]) for k, (a, b) in found.items()}
+
+
+def _named(told: bool, texts: list[str | None], patterns: list[tuple[str, str, str, int, bool]], automaton: ahocorasick.Automaton) -> list[tuple[str, str, str]]:
+    """(kind, entity, via) of one item; the first form of an entity wins, then the first text, then the lesser evidence."""
+    best: dict[tuple[str, str], tuple[int, int, str]] = {}
+    for place, text in enumerate(texts):
+        for k, (a, b) in _spans(text or "", automaton).items():
+            kind, entity, _, rank, context = patterns[k]
+            if context and not told:
+                continue
+            via = f"publisher tag '{text}'" if place < len(texts) - 1 else f"'{text[a:b]}' in headline"
+            mine = (rank, place, via + (" + safety keyword in headline" if context else ""))
+            if (kind, entity) not in best or mine < best[kind, entity]:
+                best[kind, entity] = mine
+    return [(*key, via) for key, (_, _, via) in best.items()]
+
+
+def entity_matches(items: DataFrame, item: str, title: str, tags: str, patterns: DataFrame, limit: int = AUTOMATON_LIMIT) -> DataFrame:
+    """(item, kind, entity, via): every entity that a tag or the title of an item names, by forms of any length, as whole words in any case.
+
+    The first form of an entity wins, and tags come before the title.  All forms
+    make one automaton, which a task builds once and runs over its texts, so
+    work grows with the texts alone and nothing is shuffled.  The forms are
+    counted first; beyond ``limit`` letters they are not broadcast and the
+    phrases of the texts meet them in an equi-join (joined_matches), with equal results.
+    """
+    size = patterns.agg(F.coalesce(F.sum(F.length("form") + 32), F.lit(0))).first()[0]
+    if size > limit:
+        return joined_matches(items, item, title, tags, patterns)
+    held = [tuple(r) for r in patterns.select("kind", "entity", "form", "rank", "context").collect()]
+    asked = _candidates(items, item, title, tags)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(held)
+        for batch in batches:
+            found = [_named(told, texts, held, automaton) if held else [] for told, texts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            flat = [x for each in found for x in each]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array([x[i] for x in flat], pa.string()) for i in range(3))], names=[item, "kind", "entity", "via"])
+
+    return asked.mapInArrow(run, f"`{item}` {items.schema[item].dataType.simpleString()}, kind string, entity string, via string")
+
+
+def joined_matches(items: DataFrame, item: str, title: str, tags: str, patterns: DataFrame) -> DataFrame:
+    """As entity_matches for any number of forms.
 
-    The first form of an entity wins, and tags come before the title.  A text
-    becomes its phrases of the given widths, which meet the patterns in an equi
-    join, so the work grows with the texts and not with texts times patterns;
-    the regular expression then decides on those candidates.
+    A text becomes its phrases of as many words as forms have (their lengths, a
+    few numbers, come to the driver), which meet the forms in an equi-join; the
+    regular expression decides on those candidates.
     """
-    told = has_keyword(F.col(title))
-    tag = F.transform(F.coalesce(F.col(tags), F.array().cast("array<string>")), lambda c, i: F.struct(i.alias("place"), c.alias("text")))
-    head = F.array(F.struct(F.lit(1 << 30).alias("place"), F.col(title).alias("text")))
-    texts = items.select(item, told.alias("told"), F.explode(F.concat(tag, head)).alias("t")).select(item, "told", "t.place", "t.text").filter("text is not null")
+    sized = patterns.withColumn("_n", F.size(words(F.col("form"))))
+    widths = [r[0] for r in sized.select("_n").distinct().collect() if r[0]]
+    texts = _candidates(items, item, title, tags).select(item, "told", F.size("texts").alias("last"), F.posexplode("texts").alias("place", "text")).filter("text is not null")
     held = texts.withColumn("w", words(F.col("text")))
-    phrases = held.select(item, "told", "place", "text", F.explode(F.array_distinct(F.concat(*[grams(F.col("w"), n) for n in widths]))).alias("phrase"))
+    some = F.array_distinct(F.concat(*[grams(F.col("w"), n) for n in widths])) if widths else F.array().cast("array<string>")
+    phrases = held.select(item, "told", "last", "place", "text", F.explode(some).alias("phrase"))
     hits = phrases.join(patterns, "phrase").filter(F.rlike("text", F.col("pattern")) & (~F.col("context") | F.col("told")))
-    via = F.when(F.col("place") < 1 << 30, F.concat(F.lit("publisher tag '"), "text", F.lit("'"))).otherwise(F.concat(F.lit("'"), F.regexp_substr("text", F.col("pattern")), F.lit("' in headline")))
+    via = F.when(F.col("place") < F.col("last") - 1, F.concat(F.lit("publisher tag '"), "text", F.lit("'"))).otherwise(F.concat(F.lit("'"), F.regexp_substr("text", F.col("pattern")), F.lit("' in headline")))
     via = F.concat(via, F.when(F.col("context"), " + safety keyword in headline").otherwise(""))
     best = hits.groupBy(item, "kind", "entity").agg(F.min(F.struct("rank", "place", via.alias("via"))).alias("b"))
     return best.select(item, "kind", "entity", F.col("b.via").alias("via"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,6 +67,47 @@ def numbered(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
     return held.join(F.broadcast(before), "_part").withColumn(out, (F.col("_before") + F.col("_at") - F.col("_low") + 1).cast("int")).drop("_part", "_at", "_low", "_before")  # a row for each partition
 
 
+def filled_down(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """df with ``out``: the last value that is not null at or before each row of its key, in order.
+
+    One key may hold all rows: rows are range-partitioned by key and order and
+    written once, each partition gives its last value (a row each), and what a
+    partition takes over is the last of those before it, if that has the key the
+    partition begins with.  Then every task fills down its own rows.  Null keys
+    are a key; rows before the first value of their key have null; order should be total.
+    """
+    checkpoint_ready(df.sparkSession)
+    held = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    row = F.struct(F.struct(*keys).alias("k"), F.struct(*order).alias("o"), F.col(value).alias("v"))
+    ends = held.groupBy("_part").agg(F.min(F.struct(*keys)).alias("first"), F.max(F.when(F.col(value).isNotNull(), row)).alias("last"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    carried = ends.select("_part", "first", F.max("last").over(before).alias("c")).select("_part", F.when(F.col("c.k").eqNullSafe(F.col("first")), F.col("c.v")).alias(out))
+    rows = held.join(F.broadcast(carried), "_part").drop("_part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            of = [batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy() for k in keys]
+            fresh = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in of], axis=0)])
+            key = tuple(batch.column(k)[0] for k in keys)
+            # What the first row takes over: from the batch before, or from the partitions before; further keys begin anew.
+            taken = batch.column(out)[0] if last is None else last[1] if last[0] == key else None
+            own = batch.column(value)
+            known = own.is_valid().to_numpy(zero_copy_only=False)
+            place = np.maximum.accumulate(np.where(known | fresh, np.arange(n), 0))
+            filled = own.take(pa.array(place))
+            until = int(np.argmax(np.append(known | (fresh & (np.arange(n) > 0)), True)))
+            if until and taken is not None and taken.is_valid:
+                filled = pa.concat_arrays([pa.repeat(taken, until), filled.slice(until)])
+            last = (tuple(batch.column(k)[n - 1] for k in keys), filled[n - 1])
+            yield batch.set_column(batch.schema.get_field_index(out), out, filled)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def dedupe_by_either(df: DataFrame, a: str, b: str, order: str) -> DataFrame:
     """Rows in order, without those that share a or b with an earlier kept row; null keys share nothing.
 

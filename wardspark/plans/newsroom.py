@@ -14,7 +14,8 @@ from wardspark.plans.standins import FACTS, facts, t
 # Stand-in news: an item for each order; the people are 25 nations, five of whose last names two share.
 _ITEMS = """items AS (SELECT o_orderkey AS item, o_custkey % 25 AS c, CASE o_orderkey % 8 WHEN 0 THEN 'Ald. N' || CAST(o_custkey % 25 % 20 AS VARCHAR) || ' blocks a bike lane' WHEN 1 THEN 'f' || CAST(o_custkey % 25 AS VARCHAR) || ' n' || CAST(o_custkey % 25 % 20 AS VARCHAR) || ' proposes an ordinance'
     WHEN 2 THEN 'N' || CAST(o_custkey % 25 % 20 AS VARCHAR) || ' speaks at a rally' WHEN 3 THEN 'Council roundup' WHEN 4 THEN 'N' || CAST(o_custkey % 25 AS VARCHAR) || ' Avenue opens in the ' || CAST(o_custkey % 25 + 1 AS VARCHAR) || 'th Ward'
-    WHEN 5 THEN 'Today''s Headlines for N' || CAST(o_custkey % 25 AS VARCHAR) || ' Ave' WHEN 6 THEN 'N' || CAST(o_custkey % 25 AS VARCHAR) || ' approves housing' END AS title,
+    WHEN 5 THEN 'Today''s Headlines for N' || CAST(o_custkey % 25 AS VARCHAR) || ' Ave' WHEN 6 THEN 'N' || CAST(o_custkey % 25 AS VARCHAR) || ' approves housing'
+    WHEN 7 THEN CASE WHEN o_custkey % 2 = 0 THEN 'The  n' || CAST(o_custkey % 25 AS VARCHAR) || ' avenue   traffic safety PLAN, in full' END END AS title,
     CASE WHEN o_orderkey % 8 = 3 THEN ['Bicycling', 'F' || CAST(o_custkey % 25 AS VARCHAR) || ' N' || CAST(o_custkey % 25 % 20 AS VARCHAR)] WHEN o_orderkey % 16 = 4 THEN ['7th Ward'] ELSE [] END AS tags, o_orderstatus = 'P' AS trusted FROM orders)"""
 
 
@@ -24,6 +25,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = (
         F.when(k == 0, F.concat(F.lit("Ald. N"), last, F.lit(" blocks a bike lane"))).when(k == 1, F.concat(F.lit("f"), c, F.lit(" n"), last, F.lit(" proposes an ordinance"))).when(k == 2, F.concat(F.lit("N"), last, F.lit(" speaks at a rally"))).when(k == 3, "Council roundup")
         .when(k == 4, F.concat(F.lit("N"), c, F.lit(" Avenue opens in the "), c + 1, F.lit("th Ward"))).when(k == 5, F.concat(F.lit("Today's Headlines for N"), c, F.lit(" Ave"))).when(k == 6, F.concat(F.lit("N"), c, F.lit(" approves housing")))
+        .when((k == 7) & (F.col("o_custkey") % 2 == 0), F.concat(F.lit("The  n"), c, F.lit(" avenue   traffic safety PLAN, in full")))
     )
     tags = F.when(k == 3, F.array(F.lit("Bicycling"), F.concat(F.lit("F"), c, F.lit(" N"), last))).when(F.col("o_orderkey") % 16 == 4, F.array(F.lit("7th Ward"))).otherwise(F.array().cast("array<string>"))
     return t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), title.alias("title"), tags.alias("tags"), (F.col("o_orderstatus") == "P").alias("trusted"))
@@ -35,6 +37,7 @@ def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     streets = n.select(k.alias("entity"), F.concat(F.lit("N"), k).alias("street"))
     tokens = n.filter(k % 5 == 0).select(k.alias("entity"), F.lit("roundup").alias("token"))
     phrases = n.select(k.alias("entity"), F.concat(F.lit("Ald. N"), k).alias("phrase"), (k % 2 == 0).alias("context"))
+    phrases = phrases.union(n.select(k, F.concat(F.lit("N"), k, F.lit(" Avenue Traffic Safety Plan")), F.lit(False)))
     return matching.person_patterns(people, "ward", "name").unionByName(matching.route_patterns(streets, tokens)).unionByName(matching.project_patterns(phrases))
 
 
@@ -43,7 +46,8 @@ _KEYWORD = "regexp_matches(lower(coalesce(title, '')), '" + "|".join(matching.KE
 _MATCHES = f"""{_ITEMS}, n AS (SELECT n_nationkey AS k, 'N' || CAST(n_nationkey % 20 AS VARCHAR) AS last, 'F' || CAST(n_nationkey AS VARCHAR) || ' N' || CAST(n_nationkey % 20 AS VARCHAR) AS whole, count(*) OVER (PARTITION BY n_nationkey % 20) = 1 AS alone FROM nation),
   pats AS (SELECT 'person' AS kind, k, 0 AS rank, '(?i)(\\b' || whole || '\\b)' AS pat, false AS ctx FROM n UNION ALL SELECT 'person', k, 1, '(?i)(\\b(Ald\\.?|Alderman|Alderwoman|Alderperson)\\s+' || last || '\\b)', false FROM n WHERE alone
     UNION ALL SELECT 'route', k, 0, '(?i)(\\bN' || CAST(k AS VARCHAR) || '\\s+{_STREETS}\\b)', false FROM n UNION ALL SELECT 'route', k, 1, '(?i)(\\broundup\\b)', false FROM n WHERE k % 5 = 0
-    UNION ALL SELECT 'project', k, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END, '(?i)(\\bAld\\.\\s+N' || CAST(k AS VARCHAR) || '\\b)', k % 2 = 0 FROM n),
+    UNION ALL SELECT 'project', k, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END, '(?i)(\\bAld\\.\\s+N' || CAST(k AS VARCHAR) || '\\b)', k % 2 = 0 FROM n
+    UNION ALL SELECT 'project', k, 0, '(?i)(\\bN' || CAST(k AS VARCHAR) || '\\s+Avenue\\s+Traffic\\s+Safety\\s+Plan\\b)', false FROM n),
   texts AS (SELECT item, title, unnest(tags) AS text, unnest(range(len(tags))) AS place FROM items UNION ALL SELECT item, title, title, 1000 FROM items),
   hits AS (SELECT item, kind, CAST(k AS VARCHAR) AS entity, rank, place, CASE WHEN place < 1000 THEN 'publisher tag ''' || text || '''' ELSE '''' || regexp_extract(text, pat, 1) || ''' in headline' END || CASE WHEN ctx THEN ' + safety keyword in headline' ELSE '' END AS via
     FROM texts JOIN pats ON regexp_matches(text, pat) AND (NOT ctx OR {_KEYWORD})),
@@ -53,7 +57,7 @@ _MATCHES = f"""{_ITEMS}, n AS (SELECT n_nationkey AS k, 'N' || CAST(n_nationkey
 @query(f"WITH {_MATCHES} SELECT item, kind, entity, via FROM matches")
 def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON-19 JON-20: people, routes and projects that items name, with the evidence; last names and streets need their company, some phrases a keyword."""
-    return matching.entity_matches(_items(spark, sf_dir), "item", "title", "tags", _patterns(spark, sf_dir), (1, 2, 3))
+    return matching.entity_matches(_items(spark, sf_dir), "item", "title", "tags", _patterns(spark, sf_dir))
 
 
 @query(rf"""WITH {_ITEMS}, f AS (SELECT item, unnest(tags) AS text, unnest(range(len(tags))) AS place FROM items UNION ALL SELECT item, title, 1000 FROM items),
@@ -69,7 +73,7 @@ def ward_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relevant_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-19: items that pass the gate; a project match lets in what keywords would not."""
     items = _items(spark, sf_dir)
-    found = matching.entity_matches(items, "item", "title", "tags", _patterns(spark, sf_dir).filter("kind = 'project'"), (1, 2, 3))
+    found = matching.entity_matches(items, "item", "title", "tags", _patterns(spark, sf_dir).filter("kind = 'project'"))
     projects = found.select("item", F.lit(True).alias("project")).distinct()
     j = items.join(projects, "item", "left")
     return j.filter(matching.relevant(F.col("title"), F.col("tags"), F.col("trusted"), F.col("project"))).select("item", "title")
@@ -79,7 +83,7 @@ def relevant_news(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT CAST(n_nationkey AS VARCHAR) AS project, coalesce((SELECT array_to_string(list(CAST(item AS VARCHAR) ORDER BY rn), ',') FROM r WHERE rn <= 8 AND entity = CAST(n_nationkey AS VARCHAR)), '') AS coverage FROM nation""")
 def project_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON-23 WIN-14: every project with the newest eight items that name it; a project without any keeps its row."""
-    found = matching.entity_matches(_items(spark, sf_dir), "item", "title", "tags", _patterns(spark, sf_dir).filter("kind = 'project'"), (1, 2, 3))
+    found = matching.entity_matches(_items(spark, sf_dir), "item", "title", "tags", _patterns(spark, sf_dir).filter("kind = 'project'"))
     dated = found.join(t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), "o_orderdate"), "item")
     best = ranking.top_k(dated, ["entity"], [F.col("o_orderdate").desc(), "item"], 8)
     lists = best.groupBy(F.col("entity").alias("project")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("item").cast("string").alias("item")))), lambda x: x.item), ",").alias("coverage"))
@@ -115,17 +119,16 @@ def agenda_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.concat(F.lit("("), d, F.lit(") Item  O2026-"), F.lpad((k % 500).cast("string"), 4, "0"), F.lit(" and R26-"), F.lpad((k % 300).cast("string"), 4, "0"))
     plain = F.concat(F.lit("( ) "), F.repeat(F.lit("plain words — "), (k % 60).cast("int")), F.lit("end"))
     lines = facts(spark, sf_dir).select("district", "id", clean_line(F.when(k % 7 == 0, heading).when(k % 7 == 1, record).otherwise(plain)).alias("line"))
-    w = Window.partitionBy("district").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    h = lines.withColumn("heading", all_caps(F.col("line")) & ~F.rlike("line", F.lit(RECORD)))
-    s = h.withColumn("section", F.last(F.when(F.col("heading"), F.trim(F.rtrim("line", F.lit(":")))), ignorenulls=True).over(w)).filter("not heading")
     ward = F.regexp_extract("line", r"^\(\s*([0-9]{0,2})\s*\)", 1).try_cast("int")
+    heading = F.when(all_caps(F.col("line")) & ~F.rlike("line", F.lit(RECORD)), F.trim(F.rtrim("line", F.lit(":"))))
     body = capped(F.regexp_replace("line", r"^\(\s*[0-9]{0,2}\s*\)\s*", ""))
-    found = F.regexp_extract_all(body, F.lit(RECORD), F.lit(0))
-    e = s.select("district", "id", "section", ward.alias("ward"), F.md5(body.cast("binary")).alias("body"), F.posexplode_outer(found).alias("place", "record"))
-    # First seen by an aggregate on the numbers, not by a window over all lines.
-    first = e.filter("record is not null").groupBy("district", "record").agg(F.min(F.struct("id", "place")).alias("first"))
-    j = e.join(first, ["district", "record"], "left").filter("record is null or (first.id = id and first.place = place)")
-    return j.select("district", "id", "section", "ward", "body", "record")
+    # Lines are parsed once, and what was parsed is narrow; a record is kept where it is seen first, by an aggregate.
+    parsed = lines.select("district", "id", heading.alias("heading"), ward.alias("ward"), body.alias("body"))
+    held = parsed.select("district", "id", "heading", "ward", F.md5(F.col("body").cast("binary")).alias("body"), F.regexp_extract_all("body", F.lit(RECORD), F.lit(0)).alias("found")).checkpoint()
+    s = ranking.filled_down(held, ["district"], ["id"], "heading", "section").filter("heading is null")
+    e = s.select("district", "id", "section", "ward", "body", F.posexplode_outer("found").alias("place", "record"))
+    first = e.filter("record is not null").groupBy("district", "record").agg(F.min(F.struct("id", "place", "section", "ward", "body")).alias("f"))
+    return e.filter("record is null").drop("place").unionByName(first.select("district", "f.id", "f.section", "f.ward", "f.body", "record"))
 
 
 @query(r"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS source FROM pages), s AS (SELECT page_id, source, CASE WHEN page_id % 2 = 0 THEN title || ' - ' || source ELSE title END AS said FROM p)
