@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardspark.functions import scalars
-from wardspark.operators import claims, matching, temporal
+from wardspark.operators import claims, gates, matching, temporal
 from wardspark.plans import registry
 from wardspark.sources import files
 
@@ -117,3 +117,47 @@ def test_shared_keys(spark):
 def test_manifest_query(spark):
     out = registry.QUERIES["output_manifest"](spark, "/root/testdata/sf0.001")
     assert out.columns == ["folder", "bytes", "sha256", "over_budget", "files", "least", "middle", "most"] and out.count() > 0
+
+
+def test_rare_keys_become_columns(spark, tmp_path):
+    """A key of one record in 20,000, types that widen or conflict, records of no key, and not-a-number."""
+    rows = ['{"id": %d, "v": %s}' % (i, "1" if i % 2 else "1.5") for i in range(20_000)]
+    rows[19_999] = '{"id": 19999, "Rare": {"a": [1]}, "v": NaN, "w": "x"}'
+    rows[5], rows[6] = "{}", '{"id": 6, "w": 3}'
+    (tmp_path / "r.json").write_text("\n".join(rows))
+    got = files.read_ragged(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"Rare": "struct<a:array<bigint>>", "id": "bigint", "v": "double", "w": "string"}
+    assert got.filter("Rare is not null").select("id", "v", "w", "Rare.a").collect() == [(19_999, None, "x", [1])]
+    assert got.filter("id is null").count() == 1 and got.filter("w = '3'").count() == 1
+
+
+def test_only_the_outer_copies_are_read(spark, tmp_path):
+    """Ten dated copies, folders and files: the scan has the oldest and the newest only, and a broken one between does no harm."""
+    for k in range(10):
+        name = tmp_path / f"routes_20{10 + k}-05-01.json"
+        if k % 2:
+            name.write_text('{"id": %d}' % k)
+        else:
+            name.mkdir()
+            (name / "part-0").write_text('{"id": %d}\n{"id": 100}' % k)
+    (tmp_path / "routes_2015-05-01.json").write_bytes(b"\x00broken")
+    (tmp_path / "about.json").write_text('{"id": -1}')
+    got = files.outer_copies(spark, str(tmp_path), "id long")
+    assert sorted(map(tuple, got.collect())) == [(0, "2010-05-01"), (9, "2019-05-01"), (100, "2010-05-01")]
+    assert len(got.inputFiles()) == 2
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none/x.json").write_text('{"id": 1}')
+    assert files.outer_copies(spark, str(tmp_path / "none"), "id long").collect() == []
+
+
+def test_days_are_replaced_in_one_write(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    files.append_snapshots(spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02"), (3, "2024-01-03")], "id int, snapshot_date string"), path)
+    files.append_snapshots(spark.createDataFrame([(7, "2024-01-02"), (8, "2024-01-04")], "id int, snapshot_date string"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 3, 7, 8]
+
+
+def test_trend_against_windows(spark):
+    w = spark.createDataFrame([(k, "2024-05-01", 10, 20) for k in range(6)], "k int, window_end string, recent int, prior int")
+    t = spark.createDataFrame([(0, "2024-05-01", 10, 20), (1, "2024-05-02", 11, 20), (2, "2024-05-01", 11, 20), (3, "2024-05-01", 10, 21), (4, "2024-05-01", None, None), (5, None, None, None)], w.schema)
+    assert {r.k: r.fault for r in gates.trend_faults(t, w, "k").collect()} == {1: "window_end", 2: "recent", 3: "prior", 5: "window_end"}

@@ -27,6 +27,15 @@ def disagreeing(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> Dat
     return both.filter(differs | F.col(key).isNull() | F.col("_key").isNull()).select(F.coalesce(key, "_key").alias(key))
 
 
+def trend_faults(trend: DataFrame, windows: DataFrame, key: str) -> DataFrame:
+    """(key, fault): where a trend block and a windows block (window_end, recent, prior) disagree, the first fault of each key; counts are compared only where the trend has any."""
+    other = windows.select(key, *[F.col(c).alias(f"_{c}") for c in ("window_end", "recent", "prior")])
+    off = lambda c: ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    counted = F.col("recent").isNotNull()
+    fault = F.when(off("window_end"), "window_end").when(counted & off("recent"), "recent").when(counted & off("prior"), "prior")
+    return trend.join(other, key).select(key, fault.alias("fault")).filter("fault is not null")
+
+
 def schema_faults(df: DataFrame, contract: T.StructType) -> list[str]:
     """Columns that are missing, extra or of another type; a plan-time check."""
     have, want = {f.name: f.dataType for f in df.schema}, {f.name: f.dataType for f in contract}

@@ -84,11 +84,23 @@ def spliced_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
-@query("""SELECT l_suppkey AS camera, CAST(sum(l_quantity) AS BIGINT) AS violations, strftime(min(l_shipdate), '%Y-%m-%d') AS first_day, strftime(max(l_shipdate), '%Y-%m-%d') AS last_day, arg_max(l_linenumber, (l_shipdate, l_orderkey, l_linenumber)) AS last_place FROM lineitem GROUP BY l_suppkey""")
+@query("""WITH d AS (SELECT CASE WHEN l_orderkey % 50 <> 0 THEN l_suppkey END AS camera, CASE WHEN l_linenumber % 2 = 0 THEN 'red' ELSE 'speed' END AS kind, CASE WHEN l_orderkey % 13 <> 0 THEN strftime(l_shipdate, '%Y-%m-%d') END AS day, l_orderkey, l_linenumber,
+    CASE WHEN l_orderkey % 7 = 1 THEN NULL WHEN l_orderkey % 7 = 2 THEN 'n/a' WHEN l_orderkey % 7 = 3 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.9' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS violations,
+    CASE WHEN l_orderkey % 5 = 0 THEN NULL WHEN l_orderkey % 11 = 0 THEN 'x' ELSE CAST(41 + l_linenumber / 8e0 AS VARCHAR) END AS lat, CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE CAST(-87 - l_orderkey % 16 / 16e0 AS VARCHAR) END AS lon FROM lineitem),
+  p AS (SELECT *, CAST(trunc(TRY_CAST(violations AS DOUBLE)) AS BIGINT) AS n, TRY_CAST(lat AS DOUBLE) AS y, TRY_CAST(lon AS DOUBLE) AS x FROM d WHERE camera IS NOT NULL)
+  SELECT camera, kind, CAST(coalesce(sum(n), 0) AS BIGINT) AS violations, min(day) AS first_day, max(day) AS last_day, arg_max(y, (l_orderkey, l_linenumber)) FILTER (x IS NOT NULL AND y IS NOT NULL) AS lat, arg_max(x, (l_orderkey, l_linenumber)) FILTER (x IS NOT NULL AND y IS NOT NULL) AS lon FROM p GROUP BY camera, kind""")
 def camera_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-16: totals per device, first and last day, and the place at the latest day."""
-    g = t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("camera"))
-    return g.agg(F.sum("l_quantity").cast("long").alias("violations"), F.date_format(F.min("l_shipdate"), "yyyy-MM-dd").alias("first_day"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("last_day"), F.max_by("l_linenumber", F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("last_place"))
+    """AGG-16: per device and kind the total of the counts that can be read, cut to whole numbers, first and last day, and the last place of which both coordinates can be read; rows without a device go."""
+    k, n = F.col("l_orderkey"), F.col("l_quantity").cast("long").cast("string")
+    days = t(spark, sf_dir, "lineitem").select(
+        F.when(k % 50 != 0, F.col("l_suppkey")).alias("camera"), F.when(F.col("l_linenumber") % 2 == 0, "red").otherwise("speed").alias("kind"), F.when(k % 13 != 0, F.date_format("l_shipdate", "yyyy-MM-dd")).alias("day"), F.struct(k, F.col("l_linenumber")).alias("at"),
+        F.when(k % 7 == 1, F.lit(None)).when(k % 7 == 2, "n/a").when(k % 7 == 3, F.concat(n, F.lit(".9"))).otherwise(n).alias("violations"),
+        F.when(k % 5 == 0, F.lit(None)).when(k % 11 == 0, "x").otherwise((41 + F.col("l_linenumber") / 8).cast("string")).alias("lat"), F.when(k % 9 != 0, (-87 - k % 16 / 16).cast("string")).alias("lon"),
+    )
+    lat, lon = (F.col(c).try_cast("double") for c in ("lat", "lon"))
+    place = F.max(F.when(lat.isNotNull() & lon.isNotNull(), F.struct("at", lat.alias("lat"), lon.alias("lon"))))
+    rolled = days.filter("camera is not null").groupBy("camera", "kind").agg(F.coalesce(F.sum(F.col("violations").try_cast("double").try_cast("long")), F.lit(0)).alias("violations"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), place.alias("p"))
+    return rolled.select("camera", "kind", "violations", "first_day", "last_day", "p.lat", "p.lon")
 
 
 @query(f"""WITH {FACTS}, d AS (SELECT district, count(*) AS n FROM facts GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, district) AS rn FROM d)
@@ -144,12 +156,25 @@ def vote_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.agg(flag("A").alias("yes"), flag("R").alias("no"), flag("N").alias("absent"), F.array_join(F.array_sort(F.collect_set(who)), "; ").alias("dissent"), F.min_by("l_suppkey", F.struct("l_linenumber", "l_suppkey")).alias("primary_sponsor"))
 
 
-@query("""SELECT o_custkey AS bill, strftime(min(o_orderdate), '%Y-%m-%d') AS first_day, strftime(max(o_orderdate), '%Y-%m-%d') AS last_day, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS last_status FROM orders GROUP BY o_custkey HAVING max(o_orderdate) >= TIMESTAMP '2000-01-01'""")
+_BILLS = """SELECT b.c_custkey AS id, b.c_name AS title, strftime(max(a.o_orderdate), '%Y-%m-%d') AS last_action,
+    (SELECT a2.o_orderstatus || ' ' || a2.o_orderpriority FROM {actions} a2 WHERE a2.o_custkey = b.c_custkey ORDER BY a2.o_orderdate DESC, a2.o_orderkey DESC LIMIT 1) AS status,
+    (SELECT strftime(min(a3.o_orderdate), '%Y-%m-%d') FROM {actions} a3 WHERE a3.o_custkey = b.c_custkey) AS intro_date
+  FROM {bills} b JOIN {actions} a ON a.o_custkey = b.c_custkey WHERE lower(b.c_name) LIKE '%1%' OR lower(b.c_mktsegment) LIKE '%auto%'
+  GROUP BY b.c_custkey, b.c_name HAVING CAST(max(a.o_orderdate) AS DATE) > DATE '2000-01-01'"""
+
+_SPARK_BILLS = """SELECT g.id, g.title, date_format(g.last_action, 'yyyy-MM-dd') AS last_action,
+    (SELECT max_by(a2.o_orderstatus || ' ' || a2.o_orderpriority, struct(a2.o_orderdate, a2.o_orderkey)) FROM w_actions a2 WHERE a2.o_custkey = g.id) AS status,
+    (SELECT date_format(min(a3.o_orderdate), 'yyyy-MM-dd') FROM w_actions a3 WHERE a3.o_custkey = g.id) AS intro_date
+  FROM (SELECT b.c_custkey AS id, b.c_name AS title, max(a.o_orderdate) AS last_action FROM w_bills b JOIN w_actions a ON a.o_custkey = b.c_custkey
+    WHERE lower(b.c_name) LIKE '%1%' OR lower(b.c_mktsegment) LIKE '%auto%' GROUP BY b.c_custkey, b.c_name HAVING date(max(a.o_orderdate)) > date'2000-01-01') g"""
+
+
+@query(_BILLS.format(bills="customer", actions="orders"))
 def bills_last_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-11 AGG-24: first and last action with the last status, acted on since a date; in SQL."""
-    t(spark, sf_dir, "orders").createOrReplaceTempView("w_orders")
-    return spark.sql("""SELECT o_custkey AS bill, date_format(min(o_orderdate), 'yyyy-MM-dd') AS first_day, date_format(max(o_orderdate), 'yyyy-MM-dd') AS last_day,
-        max_by(o_orderstatus, struct(o_orderdate, o_orderkey)) AS last_status FROM w_orders GROUP BY o_custkey HAVING max(o_orderdate) >= timestamp'2000-01-01'""")
+    """SRC-11 AGG-24: bills with any of some words joined to their actions, grouped, those acted on since a date kept, with the last status and the first day by two subqueries for each bill; in SQL, which the planner turns into joins."""
+    t(spark, sf_dir, "orders").createOrReplaceTempView("w_actions")
+    t(spark, sf_dir, "customer").createOrReplaceTempView("w_bills")
+    return spark.sql(_SPARK_BILLS)
 
 
 @query("""SELECT d.doc_id, CASE WHEN d.doc_id % 7 = 0 THEN 9 ELSE l.quality END AS topic, CASE WHEN d.doc_id % 7 = 0 THEN 'correction' ELSE 'tag' END AS via FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id % 7 = 0 OR l.quality IS NOT NULL""")

@@ -52,13 +52,13 @@ def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).select("seg_id").join(n, "seg_id", "left").fillna(0)
 
 
-@query(f"""WITH {POINTS}, g AS (SELECT CAST(floor(x / 1e3) AS BIGINT) AS cx, CAST(floor(y / 1e3) AS BIGINT) AS cy, count(*) AS incidents, round(avg(x), 3) AS mean_x, round(avg(y), 3) AS mean_y FROM points GROUP BY 1, 2 HAVING count(*) >= 2),
-  k AS (SELECT CAST(floor(x / 1e3) AS BIGINT) AS cx, CAST(floor(y / 1e3) AS BIGINT) AS cy, event_type, count(*) AS n FROM points GROUP BY ALL),
+@query(f"""WITH {POINTS}, g AS (SELECT CAST(round_even(x / 1e3, 0) AS BIGINT) AS cx, CAST(round_even(y / 1e3, 0) AS BIGINT) AS cy, count(*) AS incidents, round(avg(x), 3) AS mean_x, round(avg(y), 3) AS mean_y FROM points GROUP BY 1, 2 HAVING count(*) >= 2),
+  k AS (SELECT CAST(round_even(x / 1e3, 0) AS BIGINT) AS cx, CAST(round_even(y / 1e3, 0) AS BIGINT) AS cy, event_type, count(*) AS n FROM points GROUP BY ALL),
   m AS (SELECT cx, cy, event_type, row_number() OVER (PARTITION BY cx, cy ORDER BY n DESC, event_type) AS rn FROM k)
   SELECT g.cx, g.cy, incidents, mean_x, mean_y, event_type AS label FROM g JOIN m ON g.cx = m.cx AND g.cy = m.cy AND rn = 1 ORDER BY incidents DESC, g.cx, g.cy LIMIT 25""")
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-4 ORD-4: the 25 grid cells with most incidents, centroid and most frequent label (first by name on ties)."""
-    p = points(spark, sf_dir).select(F.floor(F.col("x") / 1000).alias("cx"), F.floor(F.col("y") / 1000).alias("cy"), "x", "y", "event_type")
+    """AGG-4 ORD-4: the 25 grid cells (the nearest multiple of a kilometre, halves to even) with most incidents, centroid and most frequent label (first by name on ties)."""
+    p = points(spark, sf_dir).select(F.rint(F.col("x") / 1000).cast("long").alias("cx"), F.rint(F.col("y") / 1000).cast("long").alias("cy"), "x", "y", "event_type")
     kinds = p.groupBy("cx", "cy", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
     cells = kinds.groupBy("cx", "cy").agg(F.sum("n").alias("incidents"), F.round(F.sum("sx") / F.sum("n"), 3).alias("mean_x"), F.round(F.sum("sy") / F.sum("n"), 3).alias("mean_y"), F.min(F.struct(-F.col("n"), "event_type")).alias("m"))
     return cells.filter("incidents >= 2").select("cx", "cy", "incidents", "mean_x", "mean_y", F.col("m.event_type").alias("label")).orderBy(F.col("incidents").desc(), "cx", "cy").limit(25)

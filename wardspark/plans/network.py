@@ -38,15 +38,17 @@ def points_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "events").filter(lat.between(south, north) & lon.between(west, east)).select("event_id")
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS dooring_i, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS weather, CASE WHEN o_orderkey % 5 > 1 THEN o_totalprice END AS speed FROM orders""")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS dooring_i, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS weather, CASE WHEN o_orderkey % 5 > 1 THEN o_totalprice END AS speed,
+  CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN {'by': 'one', 'n': 7::BIGINT}::VARCHAR END AS rare FROM orders""")
 def ragged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-4: records that leave out what is null, written and read with the union of their fields; not-a-number is null."""
-    k = F.col("o_orderkey")
+    """SRC-4: records that leave out what is null; no column is declared, the union of their keys is found, even a key of one record; not-a-number is null."""
+    k, o = F.col("o_orderkey"), t(spark, sf_dir, "orders")
     speed = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, F.lit("NaN")).otherwise(F.col("o_totalprice").cast("string"))
-    raw = F.struct(k.alias("id"), F.when(k % 3 == 0, F.col("o_orderstatus")).alias("dooring_i"), F.when(k % 4 != 0, F.col("o_orderpriority")).alias("weather"), speed.cast("double").alias("speed"))
+    raw = F.struct(k.alias("id"), F.when(k % 3 == 0, F.col("o_orderstatus")).alias("dooring_i"), F.when(k % 4 != 0, F.col("o_orderpriority")).alias("weather"), speed.cast("double").alias("speed"), F.when(k == F.col("last"), F.struct(F.lit("one").alias("by"), F.lit(7).alias("n"))).alias("rare"))
     path = files.shared_path(spark)
-    t(spark, sf_dir, "orders").select(F.to_json(raw).alias("value")).write.text(path)
-    return files.read_records(spark, path, "id long, dooring_i string, weather string, speed double")
+    o.crossJoin(o.agg(F.max("o_orderkey").alias("last"))).select(F.replace(F.to_json(raw), F.lit('"NaN"'), F.lit("NaN")).alias("value")).write.text(path)  # one row
+    rows = files.read_ragged(spark, path)
+    return rows.withColumn("rare", F.when(F.col("rare").isNotNull(), F.concat(F.lit("{'by': "), "rare.by", F.lit(", 'n': "), F.col("rare.n"), F.lit("}"))))
 
 
 def _street_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,11 +260,11 @@ def corridors_near_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_k(c, ["zone"], [F.col("incidents").desc(), "corridor"], 3).withColumnRenamed("rank", "place")
 
 
-@query(f"""WITH {POINTS}, {SEGMENTS}, b AS (SELECT corridor, min(x1) AS ax, max(x2) AS bx, min(y1) AS ay, max(y2) AS ty FROM segments GROUP BY corridor), g AS (SELECT CAST(floor(x / 1e3) AS BIGINT) AS cx, CAST(floor(y / 1e3) AS BIGINT) AS cy, count(*) AS incidents, avg(x) AS x, avg(y) AS y FROM points GROUP BY 1, 2 HAVING count(*) >= 2),
+@query(f"""WITH {POINTS}, {SEGMENTS}, b AS (SELECT corridor, min(x1) AS ax, max(x2) AS bx, min(y1) AS ay, max(y2) AS ty FROM segments GROUP BY corridor), g AS (SELECT CAST(round_even(x / 1e3, 0) AS BIGINT) AS cx, CAST(round_even(y / 1e3, 0) AS BIGINT) AS cy, count(*) AS incidents, avg(x) AS x, avg(y) AS y FROM points GROUP BY 1, 2 HAVING count(*) >= 2),
   h AS (SELECT * FROM g ORDER BY incidents DESC, cx, cy LIMIT 25) SELECT corridor, cx, cy, incidents FROM b JOIN h ON x BETWEEN ax AND bx AND y BETWEEN ay AND ty""")
 def hotspots_in_corridor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON-28: the hotspots inside the box of each corridor."""
-    p = points(spark, sf_dir).groupBy(F.floor(F.col("x") / 1000).alias("cx"), F.floor(F.col("y") / 1000).alias("cy")).agg(F.count(F.lit(1)).alias("incidents"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    p = points(spark, sf_dir).groupBy(F.rint(F.col("x") / 1000).cast("long").alias("cx"), F.rint(F.col("y") / 1000).cast("long").alias("cy")).agg(F.count(F.lit(1)).alias("incidents"), F.avg("x").alias("x"), F.avg("y").alias("y"))
     hot = p.filter("incidents >= 2").orderBy(F.col("incidents").desc(), "cx", "cy").limit(25)
     spot = hot.select(F.struct("cx", "cy", "incidents").alias("spot"), F.col("x").alias("west"), F.col("x").alias("east"), F.col("y").alias("south"), F.col("y").alias("north"))
     b = segments(spark, sf_dir).groupBy("corridor").agg(F.min("x1").alias("west"), F.max("x2").alias("east"), F.min("y1").alias("south"), F.max("y2").alias("north"))

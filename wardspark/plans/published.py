@@ -115,13 +115,12 @@ def latest_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.latest_period(files.read_members(spark, path, "id long, status string").select("*", "_metadata")).select("id", "status", "period")
 
 
-@query("""SELECT strftime(o_orderdate, '%Y') || '-01-01' AS snapshot_date, count(*) AS n FROM orders GROUP BY 1""")
+@query("""SELECT strftime(o_orderdate, '%Y') || '-01-01' AS snapshot_date, count(*) FILTER (year(o_orderdate) < 2000 OR o_orderstatus <> 'P') AS n FROM orders GROUP BY 1 HAVING count(*) FILTER (year(o_orderdate) < 2000 OR o_orderstatus <> 'P') > 0""")
 def dated_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-8: a dated copy per run; the run of a day that is repeated replaces that day."""
-    o, path = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), files.shared_path(spark)
-    years = [r.y for r in o.select(F.year("o_orderdate").alias("y")).distinct().orderBy("y").collect()]  # a run for each year
-    for year in [*years, *years[-1:]]:
-        files.append_snapshot(o.filter(F.year("o_orderdate") == year), f"{year}-01-01", path)
+    """SNK-8: dated copies of all runs from one scan; a later run of some days, again one write, replaces these days only."""
+    o, path = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("-01-01")).alias("snapshot_date")), files.shared_path(spark)
+    files.append_snapshots(o, path)
+    files.append_snapshots(o.filter("snapshot_date >= '2000-01-01' and o_orderstatus <> 'P'"), path)
     return spark.read.option("recursiveFileLookup", False).parquet(path).groupBy(F.col("snapshot_date").cast("string").alias("snapshot_date")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -182,11 +181,17 @@ def unqualified_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.unqualified(c, t(spark, sf_dir, "nation").select(name("n_nationkey")), ["tier"])
 
 
-@query(f"""WITH {FACTS}, a AS (SELECT district, count(*) AS n FROM facts GROUP BY 1) SELECT district FROM a WHERE district % 6 = 0""")
+@query(f"""WITH {FACTS}, e AS (SELECT max(day) AS d FROM facts), w AS (SELECT district, d, count(*) FILTER (day > d - 365) AS recent, count(*) FILTER (day > d - 730 AND day <= d - 365) AS prior FROM facts, e GROUP BY district, d)
+  SELECT district, CASE WHEN district % 6 = 1 THEN 'window_end' WHEN district % 6 = 2 THEN 'recent' ELSE 'prior' END AS fault FROM w WHERE district % 6 IN (1, 2, 3)""")
 def disagreeing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DQ-1: keys on which two published blocks differ (every sixth is altered here)."""
-    a = facts(spark, sf_dir).groupBy("district").agg(F.count(F.lit(1)).alias("n"))
-    return gates.disagreeing(a, a.withColumn("n", F.col("n") + F.when(F.col("district") % 6 == 0, 1).otherwise(0)), "district", ["n"])
+    """DQ-1: a trend and its windows must share the anchor and both counts; a trend without counts must still share the anchor.  By the key's rest by 6 the trend is altered here: 1 the anchor, 2 the recent count, 3 the prior one, 4 has no counts, 5 neither counts nor anything wrong."""
+    f, k = facts(spark, sf_dir), F.col("district") % 6
+    end = f.agg(F.max("day").alias("end"))
+    back = lambda n: F.date_sub("end", n)
+    windows = f.crossJoin(F.broadcast(end)).groupBy("district", F.col("end").alias("window_end")).agg(F.count_if(F.col("day") > F.date_sub("end", 365)).alias("recent"), F.count_if((F.col("day") > back(730)) & (F.col("day") <= back(365))).alias("prior"))  # one row
+    told = lambda c, at: F.when(k < 4, F.col(c) + F.when(k == at, 1).otherwise(0))
+    trend = windows.select("district", F.when(k == 1, F.date_add("window_end", 1)).otherwise(F.col("window_end")).alias("window_end"), told("recent", 2).alias("recent"), told("prior", 3).alias("prior"))
+    return gates.trend_faults(trend, windows, "district")
 
 
 @query("""WITH p AS (SELECT l_orderkey AS id, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1) SELECT o_orderkey AS id FROM orders LEFT JOIN p ON id = o_orderkey WHERE abs(coalesce(n, 0) - 4) > 1.5""")

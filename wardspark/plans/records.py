@@ -94,14 +94,30 @@ def unmapped_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").filter(~F.col("p_type").isin("ECONOMY", "STANDARD")).groupBy(F.col("p_type").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {FACTS}, m AS (SELECT * FROM facts WHERE status <> 'F' AND day >= DATE '1998-01-01') SELECT district, CAST(min(day) AS VARCHAR) AS next_day, arg_min(id, (day, id)) AS id, count(*) AS upcoming, date_diff('month', min(day), DATE '1998-12-01') > 3 AS stale FROM m GROUP BY district""")
+@query(f"""WITH {FACTS}, d AS (SELECT *, CASE WHEN id % 17 = 0 THEN 'TBD' WHEN id % 19 = 0 THEN NULL ELSE CAST(day AS VARCHAR) END AS said, CASE WHEN id % 6 = 0 THEN 'Cancelled' WHEN id % 6 = 1 THEN 'CANCELED' WHEN id % 6 = 2 THEN NULL ELSE 'scheduled' END AS state FROM facts),
+  m AS (SELECT district, id, TRY_CAST(said AS DATE) AS day FROM d WHERE coalesce(lower(state), '') NOT IN ('cancelled', 'canceled', 'postponed') AND TRY_CAST(said AS DATE) >= DATE '1998-01-01')
+  SELECT district, CAST(min(day) AS VARCHAR) AS next_day, arg_min(id, (day, id)) AS id, count(*) AS upcoming, date_diff('month', min(day), DATE '1998-12-01') > 3 AS stale FROM m GROUP BY district""")
 def next_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-13 ORD-6 FN-11: the next meeting that is not cancelled, how many follow, and whether the month is stale."""
-    m = facts(spark, sf_dir).filter("status <> 'F' and day >= date '1998-01-01'")
+    """FLT-13 ORD-6 FN-11: the next meeting whose date can be read and whose state is none of a set (in any case), how many follow, and whether the month is stale."""
+    k = F.col("id")
+    said = F.when(k % 17 == 0, "TBD").when(k % 19 == 0, F.lit(None)).otherwise(F.col("day").cast("string"))
+    state = F.when(k % 6 == 0, "Cancelled").when(k % 6 == 1, "CANCELED").when(k % 6 == 2, F.lit(None)).otherwise("scheduled")
+    m = facts(spark, sf_dir).select("district", "id", said.alias("said"), state.alias("state"))
+    m = m.withColumn("day", F.to_date(F.try_to_timestamp("said", F.lit("yyyy-MM-dd")))).filter(~F.coalesce(F.lower("state"), F.lit("")).isin("cancelled", "canceled", "postponed") & (F.col("day") >= F.lit("1998-01-01").cast("date")))
     stale = F.coalesce(F.months_between(F.lit("1998-12-01").cast("date"), F.trunc(F.min("day"), "month")) > 3, F.lit(False))
     return m.groupBy("district").agg(F.min("day").cast("string").alias("next_day"), F.min_by("id", F.struct("day", "id")).alias("id"), F.count(F.lit(1)).alias("upcoming"), stale.alias("stale"))
 
 
+@query("""SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, strftime(DATE '2024-01-01' + CAST(page_id % 200 AS INTEGER), '%Y-%m-%d') AS created FROM pages WHERE page_id % 9 <> 0 AND DATE '2024-01-01' + CAST(page_id % 200 AS INTEGER) >= DATE '2024-03-01' AND (contains(lower(html), 'bike') OR contains(lower(html), 'the') OR contains(lower(html), 'der'))""")
+def requests_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-9: rows whose text contains any of some words in any case, created on a date or after; a row without a date goes."""
+    k = F.col("page_id")
+    created = F.when(k % 9 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (k % 200).cast("int")))
+    text = F.lower("html")
+    rows = t(spark, sf_dir, "pages").filter((created >= F.lit("2024-03-01").cast("date")) & (F.contains(text, F.lit("bike")) | F.contains(text, F.lit("the")) | F.contains(text, F.lit("der"))))
+    return rows.select("page_id", F.regexp_extract("url", "^https?://([^/:?#]+)", 1).alias("host"), F.date_format(created, "yyyy-MM-dd").alias("created"))
+
+
 @query(f"""WITH {FACTS}, r AS (SELECT id, district, row_number() OVER (PARTITION BY district ORDER BY priority = '1-URGENT' DESC, status = 'O' DESC, CASE WHEN status <> 'P' THEN price END DESC NULLS LAST, id) AS place FROM facts) SELECT * FROM r WHERE place <= 6""")
 def agenda_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ORD-7: the first six of each district by several keys; rows without the value sink."""

@@ -25,11 +25,11 @@ MENU_WORDS = ("bike", "bicycle", "traffic calming", "speed hump", "crosswalk", "
   u AS (SELECT district, category, o, w FROM p WHERE o > 0 OR w > 0 UNION ALL SELECT district, 'all', CAST(sum(o) AS BIGINT), CAST(sum(w) AS BIGINT) FROM p GROUP BY district)
   SELECT district, category, w - o AS added, CASE WHEN o > 0 THEN round(100e0 * (w - o) / o, 1) END AS pct, (SELECT CAST(lo AS VARCHAR) || '-01-01' FROM b) AS since FROM u""")
 def snapshot_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-8 AGG-14: dated files scanned, the oldest against the newest by their names; growth in all and by category, a category absent from both left out."""
+    """SRC-8 AGG-14: dated files listed, only the oldest and the newest by their names read; growth in all and by category, a category absent from both left out."""
     path = files.shared_path(spark)
     rows = facts(spark, sf_dir).select(F.struct("id", "district", F.col("priority").alias("category")).alias("r"), F.concat(F.lit("routes_"), F.year("day"), F.lit("-01-01")).alias("copy"))
     rows.select("copy", F.to_json("r").alias("value")).write.partitionBy("copy").text(path)
-    s = files.dated_copies(spark, path, "id long, district int, category string")
+    s = files.outer_copies(spark, path, "id long, district int, category string")
     b = s.agg(F.min("snapshot_date").alias("lo"), F.max("snapshot_date").alias("hi"))
     part = lambda c: F.count_if(F.col("snapshot_date") == F.col(c))
     each = s.crossJoin(F.broadcast(b)).groupBy("district", "category", "lo").agg(part("lo").alias("o"), part("hi").alias("w"))  # b is one row
@@ -475,16 +475,18 @@ def upcoming_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sets.
 
 
-@query("""WITH u AS (SELECT 1 AS load, 'a' AS source, o_orderkey AS id, o_orderstatus AS status, o_orderdate AS d FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' UNION ALL SELECT 2, 'b', o_orderkey, o_orderstatus, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'),
-  k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY load) AS rn FROM u), l AS (SELECT source, strftime(max(d), '%Y-%m-%d') AS latest FROM u GROUP BY source) SELECT CAST(id AS VARCHAR) AS id, source, status, latest FROM k JOIN l USING (source) WHERE rn = 1""")
+@query("""WITH u AS (SELECT 1 AS load, 'a' AS source, o_orderkey AS id, o_orderstatus AS status, o_orderdate AS d FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' UNION ALL SELECT 2, 'b', o_orderkey, o_orderstatus, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'
+    UNION ALL SELECT 3, 'a', o_orderkey, 'X', o_orderdate FROM orders WHERE o_orderkey % 3 = 0),
+  k AS (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY load) AS rn FROM u), l AS (SELECT source, strftime(max(d), '%Y-%m-%d') AS latest FROM u GROUP BY source) SELECT CAST(id AS VARCHAR) AS id, source, status, latest FROM k JOIN l USING (source) WHERE rn = 1""")
 def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-1 WIN-7: two sources with an overlap, one of them with a column of its own; the first load of an id wins, and each source's latest date stands beside."""
+    """SET-1 WIN-7: two sources with an overlap, one of them with a column of its own; the first load of an id within its source wins, what the other source says of it stays; each source's latest date stands beside."""
     o = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("d"))
-    a = o.filter("d < timestamp'1999-01-01'").select(F.lit(1).alias("load"), F.lit("a").alias("source"), F.col("id").cast("string").alias("id"), "status", "d")
-    b = o.filter("d >= timestamp'1998-01-01'").select(F.lit(2).alias("load"), F.lit("b").alias("source"), F.col("id").cast("string").alias("id"), "status", "d", F.lit("{}").alias("recorded_votes"))
-    both = a.unionByName(b, allowMissingColumns=True)
+    load = lambda n, source, rows: rows.select(F.lit(n).alias("load"), F.lit(source).alias("source"), F.col("id").cast("string").alias("id"), "status", "d")
+    a, b = load(1, "a", o.filter("d < timestamp'1999-01-01'")), load(2, "b", o.filter("d >= timestamp'1998-01-01'")).withColumn("recorded_votes", F.lit("{}"))
+    again = load(3, "a", o.filter("id % 3 = 0").withColumn("status", F.lit("X")))
+    both = a.unionByName(b, allowMissingColumns=True).unionByName(again, allowMissingColumns=True)
     latest = both.groupBy("source").agg(F.date_format(F.max("d"), "yyyy-MM-dd").alias("latest"))
-    return ranking.first_wins(both, ["id"], ["load"]).join(F.broadcast(latest), "source").select("id", "source", "status", "latest")  # two rows
+    return ranking.first_wins(both, ["source", "id"], ["load"]).join(F.broadcast(latest), "source").select("id", "source", "status", "latest")  # two rows
 
 
 @query("""WITH l AS (SELECT n_nationkey * 2 AS id, 'ward' AS family FROM nation UNION ALL SELECT s_suppkey, 'line' FROM supplier WHERE s_suppkey % 3 <> 0), p AS (SELECT DISTINCT c_nationkey AS id, 'ward' AS family FROM customer UNION ALL SELECT DISTINCT l_suppkey, 'line' FROM lineitem WHERE l_suppkey % 5 <> 0),

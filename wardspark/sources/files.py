@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RSS_ITEM = "title string, link string, source string, pubDate string, category array<string>"
 WAY = "elements array<struct<type: string, id: long, tags: map<string, string>, geometry: array<struct<lat: double, lon: double>>>>"
@@ -53,16 +54,43 @@ def property_named(properties: Column, *names: str) -> Column:
     return F.coalesce(*[F.try_element_at(lower, F.lit(n.lower())) for n in names])
 
 
-def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """JSON records of which each may lack any field: a column for each declared one, null where it is absent or not a number where one is due."""
     rows = spark.read.schema(schema).json(path)
     return rows.select(*[F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("double", "float") else f.name for f in rows.schema])
 
 
+def read_ragged(spark: SparkSession, path: str) -> DataFrame:
+    """JSON records whose keys differ: a column for every key that any record has.
+
+    A first pass merges the keys and types of all records on the map side
+    (numbers widen, other conflicts become text), a second reads with that schema.
+    """
+    found = spark.read.option("samplingRatio", 1.0).option("allowNonNumericNumbers", True).json(path).schema
+    return read_records(spark, path, found)
+
+
 def dated_copies(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The rows of dated files (..._YYYY-MM-DD...) below path, with snapshot_date out of the file name."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
-    return rows.withColumn("snapshot_date", F.regexp_extract(F.col("_metadata.file_path"), r"_([0-9]{4}-[0-9]{2}-[0-9]{2})[^/]*(?:/[^/]*)?$", 1))
+    return rows.withColumn("snapshot_date", _date_of(F.col("_metadata.file_path")))
+
+
+def _date_of(file: Column) -> Column:
+    return F.regexp_extract(file, r"_([0-9]{4}-[0-9]{2}-[0-9]{2})[^/]*(?:/[^/]*)?$", 1)
+
+
+def outer_copies(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """As dated_copies, but of the oldest and the newest date only: the listing is a table (no file is opened for it), and no other copy is read."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", _date_of(F.col("path")).alias("day")).filter("day <> ''")
+    ends = listing.agg(F.min("day").alias("low"), F.max("day").alias("high"))
+    picked = listing.join(F.broadcast(ends), F.col("day").isin(F.col("low"), F.col("high"))).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.when(F.regexp_extract("path", r"_[0-9]{4}-[0-9]{2}-[0-9]{2}[^/]*(/)", 1) == "", F.col("path")).alias("file"))
+    # A copy is a folder or single files; two dates, so a few rows.
+    paths = [r.p for r in picked.select(F.coalesce("file", "folder").alias("p")).distinct().collect()]
+    if not paths:
+        return spark.createDataFrame([], schema).withColumn("snapshot_date", F.lit(None).cast("string"))
+    rows = spark.read.schema(schema).json(paths)
+    return rows.withColumn("snapshot_date", _date_of(F.col("_metadata.file_path")))
 
 
 def long_rows(sheet: DataFrame, label: str, order: str) -> DataFrame:
@@ -145,9 +173,9 @@ def write_csv(df: DataFrame, path: str, provenance: list[str]) -> None:
     df.sparkSession.createDataFrame([(f"# {p}",) for p in provenance], "value string").coalesce(1).write.mode("overwrite").text(path + ".about")
 
 
-def append_snapshot(df: DataFrame, day: str, path: str) -> None:
-    """Adds the dated copy of this run; a second run of a day replaces that day only."""
-    df.withColumn("snapshot_date", F.lit(day)).write.option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").mode("overwrite").parquet(path)
+def append_snapshots(runs: DataFrame, path: str) -> None:
+    """Adds the dated copies of any number of runs (column snapshot_date) in one write; a day that is there already is replaced, others stay."""
+    runs.write.option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").mode("overwrite").parquet(path)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
