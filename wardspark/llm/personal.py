@@ -2,13 +2,21 @@
 
 Base spans (email, ip, card, phone) follow fixed patterns and always stay.
 Further candidates (secrets, numbers without the base forms, dates of birth,
-street addresses, names behind a title) get votes of several labelers: regex
-shapes, gazetteers of words in front (a parameter), and context.
-Votes are counted per pattern over all documents (a table bounded by the number
-of labelers, not by the corpus), expectation-maximisation estimates each
-labeler's reliability and each pattern's probability, and these train a
-logistic span classifier on features of the span itself.  Candidates that the
-classifier accepts and that touch no base span are added.
+street addresses, names) get votes of several labelers: regex shapes, gazetteers
+(of words in front, given names, surnames, places, streets; a parameter, some
+thirty to eighty entries each by default) and context.  Each labeler looks at one
+fact that no other looks at, and may vote against.  Votes are counted per kind over
+all documents (3**4 rows a kind at most), expectation-maximisation estimates each
+labeler's reliability and each vote pattern's probability, and these label the
+examples of a logistic span classifier.  It sees features of the span and its
+surroundings, not the votes.
+
+How rare a kind or its true spans are must not decide: each kind is fitted by
+itself, the prior of a true span is a parameter instead of the corpus's share, and
+true and false examples weigh the same in the classifier.  A kind without any
+likely true span in the training documents is refused; where there are only
+likely true ones, the labelers' probability decides.
+Accepted candidates that touch no base span are added.
 
 Defined results: a null or empty text has no spans; very long texts are read
 whole, in linear time; repeated rows each get a row; a null id is carried; an
@@ -31,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspark.llm._shared import table
+from wardspark.llm._shared import cut, table
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "number", "birth", "address", "name")
@@ -91,16 +99,31 @@ def _set(words: str) -> frozenset[str]:
 
 @dataclass(frozen=True)
 class Gazetteers:
-    """Words in lower case, of four languages by default: in front of a span for or against each kind, and what a name or an address is known by."""
+    """In lower case, of four languages by default: words in front of a span for each kind, and for something else; what names and addresses are known by."""
 
     secret: frozenset[str] = _set("token secret password passwd pwd passwort kennwort contraseña passe key schlüssel clave apikey api_key access_key auth bearer credential credentials pin")
     number: frozenset[str] = _set("phone tel telephone call mobile cell fax ssn social contact telefon telefonnummer handy anruf teléfono tel. móvil téléphone portable llame appelez")
     birth: frozenset[str] = _set("born birth birthday birthdate dob geboren geburtsdatum geburtstag né née naissance nacido nacida nacimiento")
     address: frozenset[str] = _set("address addr lives resides at home ship deliver mail adresse anschrift wohnt wohnhaft domicilio dirección vive habite demeurant")
     name: frozenset[str] = _set("name contact attn dear patient customer tenant signed client kunde patientin mieter liebe lieber sehr cher chère estimado estimada cliente paciente")
-    plain: frozenset[str] = _set("commit sha sha1 sha256 md5 checksum revision version isbn issn figure table page section doi build serial order invoice item model part")
+    plain: frozenset[str] = _set("commit sha sha1 sha256 md5 checksum digest revision version release released isbn issn figure table page section doi build serial order invoice item model part updated published meeting due since")
     streets: frozenset[str] = _set("street st avenue ave road rd lane ln boulevard blvd drive dr court ct place pl square")
     titles: frozenset[str] = _set("Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Mlle Señor Señora Sr Sra")
+    given: frozenset[str] = _set(
+        "james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah karen charles nancy daniel lisa jane anna emma laura peter paul"
+        " hans klaus jürgen wolfgang ursula monika petra sabine stefan andreas heike uwe jean pierre michel marie françoise nathalie jacques camille luc"
+        " josé maría carlos carmen juan ana luis lucía miguel sofía javier pilar pedro rosa"
+    )
+    surnames: frozenset[str] = _set(
+        "smith johnson williams brown jones davis miller wilson moore taylor anderson jackson martin lee thompson harris clark lewis walker hall allen king wright scott hill"
+        " müller schmidt schneider fischer weber meyer wagner becker schulz hoffmann koch bauer richter klein wolf"
+        " bernard dubois durand moreau laurent lefebvre leroy roux garcía gonzález rodríguez fernández lópez martínez sánchez pérez gómez díaz"
+    )
+    places: frozenset[str] = _set("london york chicago boston berlin hamburg münchen köln paris lyon marseille madrid barcelona sevilla wien zürich bruxelles dublin toronto sydney")
+    common: frozenset[str] = _set(
+        "pepper right office engineer president manager director doctor professor minister editor developer analyst world universe america bean big perfect wonderful wrong history city county street road avenue park school church hospital"
+        " bank day night the a an you he she it we they and or of in on at to for is was his her this that"
+    )
     prefixes: tuple[str, ...] = ("sk_", "pk_", "ghp_", "gho_", "AKIA", "xoxb-", "eyJ")
 
 
@@ -108,8 +131,11 @@ GAZETTEERS = Gazetteers()
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 _WORD_BEFORE = re.compile(r"[\w-]+")
 _DATE = re.compile(r"(?<![0-9./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9./-]*[0-9])")
-#: Votes: 1 for, 0 against, 2 none.
-LABELERS = ("shape", "mixture", "for_words", "against_words", "context", "prefix")
+#: The labelers of each kind; votes: 1 for, 0 against, 2 none.
+LABELERS = {"secret": ("words", "form", "texture", "frame"), "number": ("words", "form", "alone"), "birth": ("words", "year", "event"), "address": ("words", "form", "suffix", "inner"), "name": ("words", "given", "surname", "common")}
+#: The share of true spans among candidates that is taken for granted.
+PRIOR = 0.3
+LIVED = (1900, 2015)
 
 
 @functools.lru_cache(maxsize=8)
@@ -117,7 +143,7 @@ def _patterns(g: Gazetteers) -> tuple[tuple[str, re.Pattern, bool], ...]:
     """(kind, pattern, whether it has a digit) of the candidates."""
     known = lambda words: "|".join(sorted(map(re.escape, words), key=lambda w: (-len(w), w)))
     address = rf"(?<![0-9.])[0-9]{{1,5}}[A-Za-z]?\x20(?:[^\W\d_][\w'.-]*\x20){{1,3}}(?i:{known(g.streets)})\b|\b[^\W\d_]+(?:straße|strasse|str\.)\x20[0-9]{{1,4}}\b|\b(?:[Rr]ue|[Cc]alle|[Aa]venida)\x20(?:[^\W\d_][\w'.-]*\x20){{1,4}}[0-9]{{1,4}}\b"
-    name = rf"\b(?:{known(g.titles)})\.?\x20[A-ZÀ-Þ][\w'-]+(?:\x20[A-ZÀ-Þ][\w'-]+)?"
+    name = rf"\b(?:{known(g.titles)})\.?\x20[A-ZÀ-Þ][\w'-]+(?:\x20[A-ZÀ-Þ][\w'-]+)?|\b(?:{known(w.capitalize() for w in g.given)})\x20[A-ZÀ-Þ][\w'-]+"
     return (("secret", _TOKEN, True), ("number", _NUMBER, True), ("birth", _DATE, True), ("address", re.compile(address), True), ("name", re.compile(name), False))
 
 
@@ -135,6 +161,65 @@ def words_before(text: str, at: int, n: int = 3) -> list[str]:
         size *= 2
 
 
+def _nearest(before: list[str], good: frozenset[str], bad: frozenset[str]) -> int:
+    """The vote of the nearest word in front that is in either list."""
+    for w in reversed(before):
+        if w in good or w in bad:
+            return int(w in good)
+    return 2
+
+
+def _votes(kind: str, s: str, before: list[str], left: str, right: str, g: Gazetteers) -> tuple[int, ...]:
+    """One vote a labeler; left and right: the text around the span."""
+    words = _nearest(before, getattr(g, kind), g.plain)
+    if kind == "secret":
+        cased = s.lower() != s and s.upper() != s
+        form = 0 if len(s) >= 32 and _HEX.match(s) else 1 if cased or s.startswith(g.prefixes) else 2
+        texture = _entropy(s) > 3.0 and sum("0" <= c <= "9" for c in s) > len(s) / 10
+        frame = left.rstrip()[-1:] in tuple("\"'=:") or right[:1] in tuple("\"'")
+        return words, form, int(texture), int(frame)
+    if kind == "number":
+        beside = re.search(r"[0-9+]\s*\Z", left) or re.match(r"\s*[0-9]", right)
+        return words, int(s.startswith("(") or "-" in s or "." in s), int(not beside)
+    if kind == "birth":
+        year = int(s[-4:] if s[-4:].isdigit() else s[:4])
+        event = any(w in g.plain for w in before)
+        return int(any(w in g.birth for w in before)), int(LIVED[0] <= year <= LIVED[1]), 0 if event else 2
+    if kind == "address":
+        parts = s.split(" ")
+        after = _WORD_BEFORE.findall(right)[:2]
+        words = 1 if any(w.lower() in g.places or re.fullmatch("[0-9]{4,5}", w) for w in after) else words
+        if not s[:1].isdigit():
+            return words, int(parts[-2][:1].isupper()), 1, 1
+        return words, int(parts[1][:1].isupper()), int(parts[-1][:1].isupper()), int(not any(w.lower() in g.common for w in parts[1:-1]))
+    own = _own_words(s, g)
+    given = 1 if any(w in g.given for w in own) else 0 if len(own) > 1 else 2
+    surname = 1 if own[-1] in g.surnames else 0 if len(own) == 1 else 2
+    return words, given, surname, int(not any(w in g.common for w in own))
+
+
+def _own_words(s: str, g: Gazetteers) -> list[str]:
+    """The words of a name without its title, in lower case."""
+    words = s.split(" ")
+    return [w.lower() for w in (words[1:] if words[0].rstrip(".") in g.titles else words)]
+
+
+#: How many values each feature has: length, share of digits, case, hex, what stands in front, which list the nearest listed word in front is of, and of names whether a title, a known first name, a known last name and a common word are there.
+SIZES = (6, 4, 4, 2, 5, 4, 2, 2, 2, 2)
+_OFFSETS = tuple(sum(SIZES[:i]) for i in range(len(SIZES)))
+
+
+def _features(kind: str, s: str, before: list[str], left: str, g: Gazetteers) -> str:
+    digits = sum("0" <= c <= "9" for c in s)
+    front = left.rstrip(" ")[-1:]
+    at = 0 if not front else 1 if front in ":=" else 2 if front in "\"'" else 3 if front in "([*" else 4
+    word = _nearest(before, getattr(g, kind), g.plain) if before else 3
+    own = _own_words(s, g) if kind == "name" else []
+    about = (own and len(own) < len(s.split(" ")), any(w in g.given for w in own), bool(own) and own[-1] in g.surnames, any(w in g.common for w in own))
+    case = 0 if s.lower() == s.upper() else 1 if s.lower() == s else 2 if s.upper() == s else 3
+    return "".join(map(str, (min(len(s) // 8, 5), min(digits * 4 // len(s), 3), case, int(bool(_HEX.match(s))), at, word, *map(int, map(bool, about)))))
+
+
 def candidates(text: str, known: Gazetteers = GAZETTEERS) -> Iterator[tuple[Span, str, str]]:
     """(span, votes, features) of what may be personal data beside the base kinds."""
     has_digit = bool(_DIGIT.search(text))
@@ -147,107 +232,112 @@ def candidates(text: str, known: Gazetteers = GAZETTEERS) -> Iterator[tuple[Span
             if kind == "secret" and (not digits or digits == len(s)):
                 continue
             before = words_before(text, m.start())
-            around = text[max(0, m.start() - 3) : m.start()].strip()[-1:] + text[m.end() : m.end() + 1]
-            entropy, share = _entropy(s), digits / len(s)
-            said = any(w in getattr(known, kind) for w in before)
-            shape, mixture = 2, 2
-            if kind == "secret":
-                shape, mixture = (1 if len(s) >= 32 and _HEX.match(s) else 2), (1 if entropy > 3.2 and share > 0.1 else 0)
-            elif kind == "number":
-                shape = 1 if re.search(r"[0-9]{3}[-.][0-9]{2,3}[-.][0-9]{4}\Z|^\(", s) else 2
-            elif kind == "birth":
-                shape, mixture = (2, 2) if said else (0, 0)  # most dates are nobody's
-            elif kind == "address":
-                cased = s[:1].isdigit() and s.split()[1][:1].isupper() or s[-1:].isdigit()
-                shape, mixture = (1, 1) if cased else (2, 0)
-            else:
-                shape, mixture = 1, (1 if s.count(" ") > 1 else 2)
-            votes = (
-                shape,
-                mixture,
-                1 if said else 2,
-                0 if any(w in known.plain for w in before) else 2,
-                1 if any(c in around for c in "\"'=:") else 2,
-                (1 if s.startswith(known.prefixes) else 2) if kind == "secret" else 2,
-            )
-            letters = s.upper() == s or s.lower() == s
-            features = f"{min(len(s) // 8, 7)}{min(int(share * 4), 3)}{min(int(entropy), 5)}{int(letters)}{int(bool(_HEX.match(s)))}"
-            yield (kind, *m.span()), "".join(map(str, votes)), features
-
-
-def fitted(counts: dict[str, float], rounds: int = 50) -> tuple[dict[str, float], list[float], float]:
+            left, right = text[max(0, m.start() - 8) : m.start()], text[m.end() : m.end() + 40]
+            yield (kind, *m.span()), "".join(map(str, _votes(kind, s, before, left, right, known))), _features(kind, s, before, left, known)
+
+
+def probability(votes: np.ndarray, rates: list[float], prior: float) -> np.ndarray:
+    """Of each row of votes, given the labelers' reliabilities."""
+    odds = np.full(len(votes), math.log(prior / (1 - prior)))
+    for j, right in enumerate(rates):
+        odds += np.where(votes[:, j] == 1, 1.0, np.where(votes[:, j] == 0, -1.0, 0.0)) * math.log(right / (1 - right))
+    return 1 / (1 + np.exp(-odds))
+
+
+def fitted(counts: dict[str, float], rounds: int = 50, prior: float | None = None) -> tuple[dict[str, float], list[float], float]:
     """Expectation-maximisation over vote patterns and their counts: the probability of each pattern, the reliability of each labeler, the share of true ones.
 
     Reliabilities carry a Beta(8, 2) prior towards labelers that are mostly
-    right and stay above 0.55, so that "for" keeps its sense.
+    right and stay above 0.55, so that "for" keeps its sense.  With ``prior`` the
+    share is given and not estimated.
     """
     keys = sorted(counts)
     v = np.array([[int(c) for c in key] for key in keys])
     n = np.array([counts[key] for key in keys], dtype=float)
     p = np.clip(0.5 + 0.15 * ((v == 1).sum(1) - (v == 0).sum(1)), 0.05, 0.95)
-    rates, prior = [0.8] * v.shape[1], 0.5
+    if prior is not None:
+        p = probability(v, [0.8] * v.shape[1], prior)
+    rates, share = [0.8] * v.shape[1], prior or 0.5
     for _ in range(rounds):
-        prior = ((p * n).sum() + 2) / (n.sum() + 4)
-        log_yes, log_no = np.full(len(n), math.log(prior)), np.full(len(n), math.log(1 - prior))
+        if prior is None:
+            share = ((p * n).sum() + 2) / (n.sum() + 4)
         for j in range(v.shape[1]):
             right = ((n * p * (v[:, j] == 1)).sum() + (n * (1 - p) * (v[:, j] == 0)).sum() + 8) / ((n * (v[:, j] != 2)).sum() + 10)
-            rates[j] = right = min(max(right, 0.55), 0.99)
-            says = np.where(v[:, j] == 1, math.log(right / (1 - right)), np.where(v[:, j] == 0, -math.log(right / (1 - right)), 0.0))
-            log_yes = log_yes + says / 2
-            log_no = log_no - says / 2
-        p = 1 / (1 + np.exp(log_no - log_yes))
-    return dict(zip(keys, p.tolist())), rates, prior
-
-
-def estimate(patterns: list[tuple[str, str, str, int]]) -> dict[tuple[str, str], float]:
-    """Probability of each (kind, votes), each kind by itself; patterns: (kind, votes, features, count)."""
-    out: dict[tuple[str, str], float] = {}
-    for kind in {p[0] for p in patterns}:
-        counts: Counter = Counter()
-        for k, votes, _, n in patterns:
-            if k == kind:
-                counts[votes] += n
-        out |= {(kind, votes): p for votes, p in fitted(counts)[0].items()}
-    return out
+            rates[j] = min(max(right, 0.55), 0.99)
+        p = probability(v, rates, share)
+    return dict(zip(keys, p.tolist())), rates, share
 
 
-def _vector(kind: str, votes: str, features: str) -> list[float]:
-    """One-hot features of a span, its kind, and the votes that are present, for its kind alone."""
-    x = [1.0] + [float(kind == k) for k in ADDED]
-    for c, size in zip(features, (8, 4, 6, 2, 2)):
-        x += [float(int(c) == i) for i in range(size)]
-    # Labelers differ in worth by kind, so each kind has weights of its own.
-    return x + [(float(c == "1") - float(c == "0")) * (kind == k) for k in ADDED for c in votes]
+def _indices(features: str) -> list[int]:
+    return [a + int(x) for a, x in zip(_OFFSETS, features)]
+
+
+def logistic(examples: dict[tuple[str, int], float], rounds: int = 600) -> list[float]:
+    """Weights of the feature values and a bias, from (features, label) and their counts; both labels weigh the same in all."""
+    keys = sorted(examples)
+    at = np.array([_indices(f) for f, _ in keys])
+    y = np.array([label for _, label in keys], dtype=float)
+    n = np.array([examples[k] for k in keys], dtype=float)
+    for label in (0, 1):
+        n[y == label] /= 2 * n[y == label].sum()
+    size = sum(SIZES)
+    w = np.zeros(size + 1)
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-(w[at].sum(1) + w[size])))
+        g = n * (q - y)
+        w[:size] -= 2.0 * (np.bincount(at.ravel(), np.repeat(g, at.shape[1]), size) + 1e-3 * w[:size])
+        w[size] -= 2.0 * g.sum()
+    return w.tolist()
 
 
 @dataclass(frozen=True)
 class SpanClassifier:
-    weights: tuple[float, ...]
+    """Of each kind: nothing (refused), the labelers' reliabilities (no false example to learn from), or weights of the features."""
+
+    rates: dict[str, list[float]]
+    weights: dict[str, list[float]]
     known: Gazetteers = GAZETTEERS
 
     def accepts(self, kind: str, votes: str, features: str) -> bool:
-        return sum(a * b for a, b in zip(self.weights, _vector(kind, votes, features))) > 0
+        if kind in self.weights:
+            w = self.weights[kind]
+            return sum(w[i] for i in _indices(features)) + w[-1] > 0
+        return kind in self.rates and bool(probability(np.array([[int(c) for c in votes]]), self.rates[kind], PRIOR)[0] > 0.5)
+
+
+def labelled(counts: dict[tuple[str, str], float]) -> tuple[dict[tuple[str, str], int], dict[str, list[float]]]:
+    """The labels (1, 0) of (kind, votes) that are likely enough, and the reliabilities of each kind's labelers."""
+    labels, rates = {}, {}
+    for kind in {k for k, _ in counts}:
+        p, rates[kind], _ = fitted({v: n for (k, v), n in counts.items() if k == kind}, prior=PRIOR)
+        labels |= {(kind, v): int(x > 0.5) for v, x in p.items() if not 0.4 < x < 0.7}
+    return labels, rates
+
+
+def classifier(examples: dict[tuple[str, str, int], float], rates: dict[str, list[float]], known: Gazetteers = GAZETTEERS) -> SpanClassifier:
+    """From (kind, features, label) and their counts, each kind by itself."""
+    kinds: dict[str, dict[tuple[str, int], float]] = {}
+    for (kind, features, label), n in examples.items():
+        kinds.setdefault(kind, {})[features, label] = n
+    found = {k: {label for _, label in x} for k, x in kinds.items()}
+    return SpanClassifier({k: rates[k] for k, x in found.items() if x == {1}}, {k: logistic(kinds[k]) for k, x in found.items() if len(x) == 2}, known)
 
 
 def trained(patterns: list[tuple[str, str, str, int]], known: Gazetteers = GAZETTEERS) -> SpanClassifier:
-    """Logistic regression on the soft labels that expectation-maximisation gives."""
-    size = len(_vector("", "2" * len(LABELERS), "00000"))
-    if not patterns:
-        return SpanClassifier((0.0,) * size, known)
-    labels = estimate(patterns)
-    x = np.array([_vector(*p[:3]) for p in patterns])
-    y = np.array([labels[p[0], p[1]] for p in patterns])
-    n = np.array([p[3] for p in patterns], dtype=float)
-    n /= n.sum()
-    w = np.zeros(size)
-    for _ in range(500):
-        q = 1 / (1 + np.exp(-x @ w))
-        w -= 2.0 * (x.T @ (n * (q - y)) + 1e-4 * w)
-    return SpanClassifier(tuple(w.tolist()), known)
+    """The classifier of (kind, votes, features, count) rows."""
+    counts: Counter = Counter()
+    for kind, votes, _, n in patterns:
+        counts[kind, votes] += n
+    labels, rates = labelled(counts)
+    examples: Counter = Counter()
+    for kind, votes, features, n in patterns:
+        if (kind, votes) in labels:
+            examples[kind, features, labels[kind, votes]] += n
+    return classifier(examples, rates, known)
 
 
 def train(docs: DataFrame, text_column: str = "text", known: Gazetteers = GAZETTEERS) -> SpanClassifier:
-    """Votes of all candidates in all documents, counted by pattern; patterns are bounded, so they may come to the driver."""
+    """Votes and features of all candidates in all documents, counted once; what comes to the driver are counts by votes (81 a kind at most), then by features and label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +348,13 @@ def train(docs: DataFrame, text_column: str = "text", known: Gazetteers = GAZETT
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["kind", "votes", "features", "n"])
 
     counted = docs.select(F.col(f"`{text_column}`").alias("text")).mapInArrow(run, "kind string, votes string, features string, n long")
-    return trained(sorted(tuple(r) for r in counted.groupBy("kind", "votes", "features").agg(F.sum("n").alias("n")).collect()), known)
+    counted = cut(counted.groupBy("kind", "votes", "features").agg(F.sum("n").alias("n")))
+    labels, rates = labelled({(r.kind, r.votes): r.n for r in counted.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()})
+    if not labels:
+        return SpanClassifier({}, {}, known)
+    told = docs.sparkSession.createDataFrame([(*k, y) for k, y in sorted(labels.items())], "kind string, votes string, label int")
+    examples = counted.join(F.broadcast(told), ["kind", "votes"]).groupBy("kind", "features", "label").agg(F.sum("n").alias("n"))  # some hundred rows
+    return classifier({(r.kind, r.features, r.label): r.n for r in examples.collect()}, rates, known)
 
 
 def all_spans(text: str, model: SpanClassifier) -> tuple[list[Span], list[Span]]:
