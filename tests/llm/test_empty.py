@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wardspark.llm import language_model, near_dup, packing, personal, quality, sharding, substring, tokens, topk
+from wardspark.llm import language_model, near_dup, neighbours, packing, personal, phrases, quality, sharding, spelling, substring, tokens, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, kept boolean"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -20,7 +20,10 @@ OPERATORS = {
     "packing": lambda d: packing.packed(packing.pieces_of(d, RANKS)),
     "language_model": lambda d: language_model.scores(d),
     "quality": lambda d: quality.judged(d),
+    "neighbours": lambda d: neighbours.scores(d, neighbours.fitted(d, d.selectExpr("doc_id", "0 as label"))),
 }
+#: What these return is no row for each document.
+GROUPED = {"spelling": lambda d: spelling.variants(spelling.vocabulary(spelling.slipped_runs(d))), "phrases": lambda d: phrases.collocations(d)}
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +46,11 @@ def test_null_texts(nulls, name):
     assert OPERATORS[name](nulls).count() == 12
 
 
+@pytest.mark.parametrize("name", GROUPED)
+def test_groups_of_nothing(nothing, nulls, name):
+    assert GROUPED[name](nothing).collect() == [] and GROUPED[name](nulls).collect() == []
+
+
 def test_histogram_of_no_rows(nothing):
     assert tokens.length_histogram(tokens.token_lengths(nothing, RANKS)).collect() == []
 

@@ -8,11 +8,11 @@ with a gap of 2 at least) and the words as numbers into the run's own list of
 word keys.  Length k + 1 is the merge-join of the relation with itself on piece
 and adjacent position: both sides are sorted and no piece leaves its run, so the
 join reads a run once and nothing is shuffled.  Groups are counted over all
-runs, and before the next extension the relation is semi-joined with the groups
-that are frequent.  The semi-join is by a bitmap of at most 2**MOST_BITS bits:
-it never drops a frequent group, and what it lets through beyond them fails the
-count of the next length, so results are exact at every size while the
-broadcast stays at 16 MB.
+runs, and before it is written and extended further the relation is semi-joined
+with the groups that are frequent.  Two steps do that: counts of hashed groups
+(40 bits, a narrow shuffle) give a bitmap of at most 2**MOST_BITS bits, which
+never drops a frequent group, and what passes it is counted by its words.  So
+results are exact at every size while the broadcast stays at 16 MB.
 
 Each candidate is cut in two in every way and scored with exact decimals by the
 cut that explains it best; candidates that mostly occur inside a longer one go.
@@ -35,15 +35,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardspark.llm._shared import cut, join_few, table
+from wardspark.llm._shared import arrow_rows, cut, join_few, table
 from wardspark.llm._words import mix, slices, word_hashes, words
 
-RUN = 4 << 20
+RUN = 1 << 19
+#: Documents, or runs, in a batch.
+BATCH = 500
 MOST_BITS = 27
+HASHED_BITS = 40
 #: Of Spark's bitmap functions: bits in one bitmap.
 _CHUNK = 1 << 15
 #: The best of a language are first chosen in so many parts.
@@ -93,24 +96,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("key", "lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _group_bits(columns: list[Column], bits: int) -> Column:
-    """The bit of a group of word keys; the keys are random already."""
-    h = columns[0]
-    for i, c in enumerate(columns[1:], 1):
-        h = h.bitwiseXOR(F.shiftleft(c, i))
-    return h.bitwiseAND(F.lit((1 << bits) - 1))
-
-
 def _names(k: int) -> list[str]:
     return [f"w{i}" for i in range(k)]
 
 
+def _hashed(keys: list[np.ndarray]) -> np.ndarray:
+    """A group of word keys as a number of HASHED_BITS."""
+    h = keys[0]
+    for k in keys[1:]:
+        h = mix(h * _U(0xA0761D6478BD642F) + k)
+    return h >> _U(64 - HASHED_BITS)
+
+
 class Frequent:
-    """A bitmap of the groups of a table, broadcast to all tasks: 16 bits a group, and 2**MOST_BITS at most."""
+    """A bitmap of hashed groups (column ``h``), broadcast to all tasks: 16 bits a group, and 2**MOST_BITS at most."""
 
-    def __init__(self, groups: DataFrame, columns: list[str]):
+    def __init__(self, groups: DataFrame):
         self.bits = min(MOST_BITS, max(15, math.ceil(math.log2(16 * groups.count() + 1))))
-        bit = _group_bits([F.col(c) for c in columns], self.bits)
+        bit = F.col("h").bitwiseAND(F.lit((1 << self.bits) - 1))
         marked = groups.groupBy(F.floor(bit / _CHUNK).alias("chunk")).agg(F.bitmap_construct_agg(bit % _CHUNK).alias("b")).collect()
         held = np.zeros((1 << self.bits) // 8, dtype=np.uint8)
         for r in marked:
@@ -118,11 +121,8 @@ class Frequent:
         self.held = groups.sparkSession.sparkContext.broadcast(held)
 
     def holds(self, keys: list[np.ndarray]) -> np.ndarray:
-        """Whether each group may be frequent; the same bits as _group_bits."""
-        h = keys[0].copy()
-        for i, k in enumerate(keys[1:], 1):
-            h ^= k << _U(i)
-        h &= _U((1 << self.bits) - 1)
+        """Whether each group may be frequent."""
+        h = _hashed(keys) & _U((1 << self.bits) - 1)
         return (self.held.value[h >> _U(3)] >> (h & _U(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -167,23 +167,16 @@ def _merged(place: np.ndarray, words_: np.ndarray) -> tuple[np.ndarray, list[np.
     return place[left], [*words_[left].T, words_[left + 1, -1]]
 
 
-def group_counts(relation: DataFrame, k: int) -> DataFrame:
-    """(w0 .. wk, n): how often each phrase of k + 1 words occurs; relation: of k words."""
+def hashed_counts(relation: DataFrame, k: int) -> DataFrame:
+    """(h, n): how often hashed phrases of k + 1 words occur; relation: of k words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for known, place, words_ in _read(batch, k):
-                _, local = _merged(place, words_)
-                order = np.lexsort(local[::-1])
-                group = [x[order] for x in local]
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = np.any([x[1:] != x[:-1] for x in group], axis=0)
-                first = np.flatnonzero(new)
-                n = np.diff(np.append(first, len(order)))
-                yield pa.RecordBatch.from_arrays([*(pa.array(known[x[first]].view(np.int64)) for x in group), pa.array(n.astype(np.int64))], names=[*_names(k + 1), "n"])
+                h, n = np.unique(_hashed([known[x] for x in _merged(place, words_)[1]]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    kinds = ", ".join(f"{c} long" for c in (*_names(k + 1), "n"))
-    return relation.mapInArrow(run, kinds).groupBy(*_names(k + 1)).agg(F.sum("n").alias("n"))
+    return relation.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def extended(relation: DataFrame, k: int, frequent: Frequent) -> DataFrame:
@@ -200,16 +193,33 @@ def extended(relation: DataFrame, k: int, frequent: Frequent) -> DataFrame:
     return relation.mapInArrow(run, _RELATION)
 
 
+def group_counts(relation: DataFrame, k: int) -> DataFrame:
+    """(w0 .., n): how often each phrase of a relation of k words occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for known, _, words_ in _read(batch, k):
+                group = words_[np.lexsort(words_.T[::-1])]
+                new = np.ones(len(group), dtype=bool)
+                new[1:] = (group[1:] != group[:-1]).any(1)
+                first = np.flatnonzero(new)
+                n = np.diff(np.append(first, len(group)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(known[x].view(np.int64)) for x in group[first].T), pa.array(n.astype(np.int64))], names=[*_names(k), "n"])
+
+    kinds = ", ".join(f"{c} long" for c in (*_names(k), "n"))
+    return relation.mapInArrow(run, kinds).groupBy(*_names(k)).agg(F.sum("n").alias("n"))
+
+
 def frequent_phrases(docs: DataFrame, least: int, most_words: int) -> tuple[DataFrame, dict[int, DataFrame]]:
     """All word counts, and by length (from 1) the groups of words that occur ``least`` times: w0 .. and n."""
     every = cut(word_counts(docs))
     groups = {1: every.filter(F.col("n") >= least).select(F.col("key").alias("w0"), "n")}
-    if most_words > 1:
-        relation = cut(occurrences(docs, Frequent(groups[1], _names(1))))
-    for k in range(1, most_words):
-        groups[k + 1] = cut(group_counts(relation, k).filter(F.col("n") >= least))
-        if k + 1 < most_words:
-            relation = cut(extended(relation, k, Frequent(groups[k + 1], _names(k + 1))))
+    hashed = F.shiftrightunsigned("w0", 64 - HASHED_BITS).alias("h")
+    relation = cut(occurrences(docs, Frequent(groups[1].select(hashed))))
+    for k in range(2, most_words + 1):
+        frequent = Frequent(cut(hashed_counts(relation, k - 1).filter(F.col("n") >= least).select("h")))
+        relation = cut(extended(relation, k - 1, frequent))
+        groups[k] = cut(group_counts(relation, k).filter(F.col("n") >= least))
     return every, groups
 
 
@@ -238,7 +248,8 @@ def _inside_longer(groups: dict[int, DataFrame], k: int) -> DataFrame | None:
 
 def collocations(docs: DataFrame, least: int = 10, most_words: int = 3, inside_percent: int = 50, per_lang: int = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of two to most_words words; docs: lang, text."""
-    every, groups = frequent_phrases(docs, least, most_words)
+    with arrow_rows(docs.sparkSession, BATCH):  # all counts are written inside
+        every, groups = frequent_phrases(docs, least, most_words)
     totals = every.groupBy("lang").agg(F.sum("n").alias("n"))
     dictionary = every.filter(F.col("n") >= least).select("key", "lang", "word")
     found = None
