@@ -166,6 +166,33 @@ def test_trie_looks_up_within_the_node():
     trie.close()
 
 
+def test_trie_of_training_tokens_scores_others():
+    """A trie from some tokens gives the counts of any: seen triples, seen pairs with other contexts, seen words, and words it does not know; hot ones have their known counts."""
+    draw = lambda n: [np.sort(RNG.integers(4, 30, n).astype(np.uint64)) << np.uint64(2), RNG.integers(0, 6, n).astype(np.uint64), RNG.integers(0, 5, n).astype(np.uint64)]
+    w, v, u = draw(3000)
+    hot_word, hot_pair = np.uint64(40), (np.uint64(48), np.uint64(3))
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    key = language_model.pair_keys(np.array([hot_pair[0]]), np.array([hot_pair[1]]))
+    corpus = language_model.Corpus(10**6, 5000, 100, 1, np.array([hot_word]), np.array([77_777]), key, np.array([5555]), *none)
+    train = (w != 60) & (w != hot_word)
+    trie = language_model.built(w[train], v[train], u[train], corpus, np.array([hot_word]), (np.array([hot_pair[0]]), np.array([hot_pair[1]])))
+    words, pairs, triples = Counter(w[train].tolist()), Counter(zip(w[train].tolist(), v[train].tolist())), Counter(zip(w[train].tolist(), v[train].tolist(), u[train].tolist()))
+    words[40], pairs[48, 3] = 77_777, 5555
+    asked = draw(2000)
+    at_word, at_pair, at_triple = trie.find(asked[0], asked[1:])
+    for i, t in enumerate(zip(*(x.tolist() for x in asked))):
+        assert ((at_word[i] >= 0), (at_pair[i] >= 0), (at_triple[i] >= 0)) == (t[0] in words, t[:2] in pairs, t in triples)
+        if t[0] in words:
+            assert trie.more[0][at_word[i]] == words[t[0]] and trie.values[0][at_word[i]] == corpus.numerator(0.0, 0.0, words[t[0]])
+        if t[:2] in pairs:
+            assert trie.values[1][at_pair[i]] == corpus.numerator(0.0, pairs[t[:2]], words[t[0]])
+            assert trie.more[2][at_pair[i]] == corpus.denominator(np.array([t[0]], np.uint64), np.array([pairs[t[:2]]]), np.array([words[t[0]]]))[0]
+        if t in triples:
+            assert trie.values[2][at_triple[i]] == corpus.numerator(triples[t], pairs[t[:2]], words[t[0]])
+    assert (at_triple >= 0).any() and ((at_pair >= 0) & (at_triple < 0)).any() and (at_word < 0).any() and not (at_triple[asked[0] == 60] >= 0).any()
+    trie.close()
+
+
 @pytest.mark.parametrize("shard_tokens", [40, 500, 10**6])
 def test_scores_of_the_model(spark, shard_tokens):
     """Every score against plain Python, within a step of the quantisation a token; and the model's probabilities of a context add up to one."""

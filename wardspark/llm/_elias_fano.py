@@ -104,11 +104,12 @@ class Trie:
     are taken for the same with chance 2**-BITS for each pair of them.
     """
 
-    BITS = (32, 32)
+    BITS = (40, 40)
 
-    def __init__(self, words: np.ndarray, values: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """words: sorted; of each level the place of each context's node in the level above, the contexts, and values (uint16); (node, context) sorted."""
+    def __init__(self, words: np.ndarray, values: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], more: list[np.ndarray] = ()):
+        """words: sorted; of each level the place of each context's node in the level above, the contexts, and values (uint16); (node, context) sorted.  more: further arrays to be kept beside."""
         self._file = tempfile.TemporaryFile()
+        self.more = [self._mapped(x) for x in more]
         self.words, self.values, self.levels, above = self._level(words), [self._mapped(values)], [], len(words)
         for node, contexts, quantised in levels:
             begins = np.searchsorted(node, np.arange(above + 1))
@@ -130,23 +131,30 @@ class Trie:
         low_bits, (lows, highs, zeros) = EliasFano.parts(values)
         return EliasFano(len(values), low_bits, self._mapped(lows), self._mapped(highs).view("<u8"), self._mapped(zeros).view(np.int64))
 
-    def lookup(self, words: np.ndarray, contexts: list[np.ndarray], unseen: int) -> np.ndarray:
-        """The quantised value of the deepest node that each word has with its contexts; ``unseen`` if the word itself is not there."""
-        out = np.full(len(words), unseen, dtype=np.uint16)
+    def find(self, words: np.ndarray, contexts: list[np.ndarray]) -> list[np.ndarray]:
+        """For each level the place of the node that each word has with its contexts so far, or -1."""
         at = self.words.find(words)
-        known = np.flatnonzero(at >= 0)
+        places, known = [at], np.flatnonzero(at >= 0)
         node = at[known]
-        out[known] = self.values[0][node]
-        for (pointers, level), context, values in zip(self.levels, contexts, self.values[1:]):
+        for (pointers, level), context in zip(self.levels, contexts):
             place, of = np.unique(node, return_inverse=True)
             begin, end = (pointers.get(place + i).astype(np.int64) for i in (0, 1))
             base = np.where(begin > 0, level.get(np.maximum(begin - 1, 0)), _U(0))
             found = level.find(base[of] + context[known], (begin[of], end[of]))
             seen = np.flatnonzero(found >= 0)
             known, node = known[seen], found[seen]
-            out[known] = values[node]
+            at = np.full(len(words), -1, dtype=np.int64)
+            at[known] = node
+            places.append(at)
+        return places
+
+    def lookup(self, words: np.ndarray, contexts: list[np.ndarray], unseen: int) -> np.ndarray:
+        """The quantised value of the deepest node that each word has with its contexts; ``unseen`` if the word itself is not there."""
+        out = np.full(len(words), unseen, dtype=np.uint16)
+        for at, values in zip(self.find(words, contexts), self.values):
+            out[at >= 0] = values[at[at >= 0]]
         return out
 
     def close(self) -> None:
-        self.words = self.levels = self.values = None
+        self.words = self.levels = self.values = self.more = None
         self._file.close()

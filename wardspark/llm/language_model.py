@@ -8,8 +8,10 @@ tokens are dealt to shards by their word: a shard knows c(w), c(v w) and c(u v w
 of its words, and is also where w acts as the context of the next token.  A
 text's log probability is a sum of numerators, found where w is, less a sum of
 denominators, found where v is; one shuffle of tokens is enough and no table of
-the vocabulary travels.  A shard builds a trie of its words, the words before
-them and those before these, and scores its tokens; partial sums meet per document.
+the vocabulary travels.  A shard builds a trie of its training tokens alone: their
+words, the words before them and those before these, with numerators,
+denominators and word counts at the nodes.  That trie, and nothing else, then scores
+all tokens of the shard, held-out ones among them; partial sums meet per document.
 
 Hot words (more than 1 / (4 shards) of all tokens, so at most 4 shards of them)
 are spread over all shards by the word before, with c(w) known beforehand; hot
@@ -18,8 +20,8 @@ scored where the text is.  Hence no shard grows with a word or a phrase.
 
 Logs of numerators and denominators are kept in 16 bits (steps of 30 / 65535),
 so a token's score is within one step of the exact one.  The words before are
-32-bit hashes in the trie: two contexts of one node are taken for the same with
-chance 2**-32 for each pair of them (words themselves keep 64 bits).
+40-bit hashes in the trie: two contexts of one node are taken for the same with
+chance 2**-40 for each pair of them (words themselves keep 64 bits).
 
 Defined results: a null, empty or blank text is the single end token; a row
 without doc_id trains; with no training text every count is zero; repeated rows
@@ -224,7 +226,7 @@ def _scattered(docs: DataFrame, corpus: Corpus) -> DataFrame:
                 by = np.where(pair >= 0, triple_keys(by, u), by)
                 shard = (mix(by >> _U(3)) % _U(corpus.shards)).astype(np.int64)
                 order = np.lexsort((v, w, shard))  # equal contexts side by side, which compresses
-                w, v, u, shard, doc = w[order], v[order].astype("<u4"), u[order].astype("<u4"), shard[order], doc[order].astype(np.uint16)
+                w, v, u, shard, doc = w[order], v[order], u[order], shard[order], doc[order].astype(np.uint16)
                 doc |= out[doc].astype(np.uint16) << np.uint16(15)
                 cuts = np.flatnonzero(np.diff(shard, prepend=-1))
                 for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(w)]):
@@ -233,8 +235,8 @@ def _scattered(docs: DataFrame, corpus: Corpus) -> DataFrame:
                     place = np.arange(b - a) - np.maximum.accumulate(np.where(fresh, np.arange(b - a), 0))
                     first = np.flatnonzero(place % 65_535 == 0)
                     sizes = np.diff(np.append(first, b - a)).astype("<u2")
-                    part = [np.array([b - a, len(first)], "<u4"), w[a:b][first], sizes, v[a:b], u[a:b], doc[a:b]]
-                    rows.append((int(shard[a]), base_key, 0, b"".join(x.tobytes() for x in part)))
+                    part = [np.array([b - a, len(first)], "<u4").tobytes(), w[a:b][first].tobytes(), sizes.tobytes(), _packed(v[a:b]), _packed(u[a:b]), doc[a:b].tobytes()]
+                    rows.append((int(shard[a]), base_key, 0, b"".join(part)))
                 columns = zip(*rows)
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "base_key", "kind", "data"])
@@ -243,49 +245,95 @@ def _scattered(docs: DataFrame, corpus: Corpus) -> DataFrame:
     return docs.mapInArrow(run, "shard long, base_key long, kind int, data binary")
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers of 40 bits in five bytes each: the lower four of all, then the upper ones."""
+    return x.astype("<u4").tobytes() + (x >> _U(32)).astype(np.uint8).tobytes()
+
+
+def _five(data: bytes, n: int, at: int) -> np.ndarray:
+    return np.frombuffer(data, "<u4", n, at).astype(_U) | (np.frombuffer(data, np.uint8, n, at + 4 * n).astype(_U) << _U(32))
+
+
 def _read(data: bytes, base_key: int) -> tuple[np.ndarray, ...]:
     """Word, the two before, document key and whether it trains, of every token of a part."""
     n, distinct = np.frombuffer(data, "<u4", 2).tolist()
     at = 8
     w = np.frombuffer(data, "<u8", distinct, at)
     sizes = np.frombuffer(data, "<u2", distinct, at := at + 8 * distinct)
-    v = np.frombuffer(data, "<u4", n, at := at + 2 * distinct)
-    u = np.frombuffer(data, "<u4", n, at := at + 4 * n)
-    doc = np.frombuffer(data, "<u2", n, at + 4 * n)
+    v = _five(data, n, at := at + 2 * distinct)
+    u = _five(data, n, at := at + 5 * n)
+    doc = np.frombuffer(data, "<u2", n, at + 5 * n)
     return np.repeat(w, sizes), v, u, base_key + (doc & 0x7FFF).astype(np.int64), doc < 0x8000
 
 
-def _scored(parts: list[tuple[bytes, int]], corpus: Corpus) -> pa.RecordBatch:
-    """Partial sums over the tokens of one shard, one row for each run of documents."""
-    w, v, u, key, train = (np.concatenate(x) for x in zip(*(_read(*p) for p in parts)))
-    order = np.lexsort((u, v, w))
-    w, v, u, key, train = w[order], v[order], u[order], key[order], train[order]
+def _grouped(w: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of tokens in order: where a new word, pair and triple begins."""
     new_word = np.concatenate([[True], w[1:] != w[:-1]])
     new_pair = new_word | np.concatenate([[True], v[1:] != v[:-1]])
-    new_triple = new_pair | np.concatenate([[True], u[1:] != u[:-1]])
-    of_word, of_pair, of_triple = (np.cumsum(x) - 1 for x in (new_word, new_pair, new_triple))
-    pair, triple = np.flatnonzero(new_pair), np.flatnonzero(new_triple)
-    words, word_of_pair, pair_of_triple = w[new_word], of_word[pair], of_pair[triple]
-    c_word, c_pair, c_triple = (np.bincount(of, train, n).astype(np.int64) for of, n in ((of_word, len(words)), (of_pair, len(pair)), (of_triple, len(triple))))
-    # Of hot words and pairs a shard holds some only; their counts are known.
-    hot = _at(corpus.words, words)
+    return new_word, new_pair, new_pair | np.concatenate([[True], u[1:] != u[:-1]])
+
+
+def built(w: np.ndarray, v: np.ndarray, u: np.ndarray, corpus: Corpus, words: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> Trie:
+    """The trie of a shard from its training tokens, and from hot words and pairs (word, near) of which it holds a part of the tokens only; their counts are known.
+
+    Beside the numerators of the nodes stand the counts of words and, of words and
+    pairs, the denominators that they make as contexts.
+    """
+    n = len(w)
+    w, v, u = np.concatenate([w, pairs[0], words]), np.concatenate([v, pairs[1], np.zeros(len(words), _U)]), np.concatenate([u, np.zeros(len(pairs[0]) + len(words), _U)])
+    deep = np.concatenate([np.full(n, 2), np.full(len(pairs[0]), 1), np.zeros(len(words), np.int64)])  # how many levels below its word a row stands for
+    order = np.lexsort((u, v, w))
+    w, v, u, deep = w[order], v[order], u[order], deep[order]
+
+    def level(at_least: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = np.flatnonzero(deep >= at_least)
+        new = _grouped(w[rows], v[rows], u[rows])[which] if len(rows) else np.zeros(0, bool)
+        of = np.cumsum(new) - 1
+        return rows[new], np.bincount(of, deep[rows] == 2, int(new.sum())).astype(np.int64), rows
+
+    (at_word, c_word, _), (at_pair, c_pair, _), (at_triple, c_triple, _) = level(0, 0), level(1, 1), level(2, 2)
+    keys = w[at_word]
+    hot = _at(corpus.words, keys)
     c_word[hot >= 0] = corpus.word_counts[hot[hot >= 0]]
-    hot = _at(corpus.pairs, pair_keys(words[word_of_pair], v[pair].astype(_U)))
+    word_of_pair = np.searchsorted(keys, w[at_pair])
+    hot = _at(corpus.pairs, pair_keys(w[at_pair], v[at_pair]))
     c_pair[hot >= 0] = corpus.pair_counts[hot[hot >= 0]]
-
-    seen = [c_word > 0, c_pair > 0, c_triple > 0]
-    place = [np.cumsum(x) - 1 for x in seen]
+    # Pairs are in order of word and context; a triple's pair is the last that begins at or before it.
+    pair_of_triple = np.searchsorted(at_pair, at_triple, "right") - 1
     levels = [
-        (place[0][word_of_pair[seen[1]]], v[pair[seen[1]]].astype(_U), corpus.numerator(0.0, c_pair[seen[1]], c_word[word_of_pair[seen[1]]])),
-        (place[1][pair_of_triple[seen[2]]], u[triple[seen[2]]].astype(_U), corpus.numerator(c_triple[seen[2]], c_pair[pair_of_triple[seen[2]]], c_word[word_of_pair[pair_of_triple[seen[2]]]])),
+        (word_of_pair, v[at_pair], corpus.numerator(0.0, c_pair, c_word[word_of_pair])),
+        (pair_of_triple, u[at_triple], corpus.numerator(c_triple, c_pair[pair_of_triple], c_word[word_of_pair[pair_of_triple]])),
     ]
-    trie = Trie(words[seen[0]], corpus.numerator(0.0, 0.0, c_word[seen[0]]), levels)
-    found = trie.lookup(w[triple], [v[triple].astype(_U), u[triple].astype(_U)], int(corpus.numerator(0.0, 0.0, 0.0))).astype(np.int64)
+    contexts = [corpus.denominator(keys, np.zeros(len(keys)), c_word), corpus.denominator(w[at_pair], c_pair, c_word[word_of_pair])]
+    return Trie(keys, corpus.numerator(0.0, 0.0, c_word), levels, [c_word, *contexts])
+
+
+def _scored(parts: list[tuple[bytes, int]], corpus: Corpus) -> pa.RecordBatch:
+    """Partial sums over the tokens of one shard, one row for each run of documents: a trie from its training tokens, which then scores all, held-out ones among them."""
+    w, v, u, key, train = (np.concatenate(x) for x in zip(*(_read(*p) for p in parts)))
+    order = np.lexsort((u, v, w))
+    w, v, u, key, train = w[order], v[order], u[order], key[order], train[order]
+    new_word, new_pair, new_triple = _grouped(w, v, u)
+    words, pair, triple = w[new_word], np.flatnonzero(new_pair), np.flatnonzero(new_triple)
+    hot_pairs = pair[_at(corpus.pairs, pair_keys(w[pair], v[pair])) >= 0]
+    trie = built(w[train], v[train], u[train], corpus, words[_at(corpus.words, words) >= 0], (w[hot_pairs], v[hot_pairs]))
+
+    of_triple = np.cumsum(new_triple) - 1
+    counts, word_contexts, pair_contexts = trie.more
+    at_word, at_pair, at_triple = trie.find(w[triple], [v[triple], u[triple]])
+    numerator = np.full(len(triple), int(corpus.numerator(0.0, 0.0, 0.0)), dtype=np.int64)
+    denominator = corpus.denominator(w[triple], np.zeros(len(triple)), np.zeros(len(triple)))
+    c_word = np.zeros(len(triple), dtype=np.int64)
+    for at, values in zip((at_word, at_pair, at_triple), trie.values):
+        numerator[at >= 0] = values[at[at >= 0]]
+    for at, values in ((at_word, word_contexts), (at_pair, pair_contexts)):
+        denominator[at >= 0] = values[at[at >= 0]]
+    c_word[at_word >= 0] = counts[at_word[at_word >= 0]]
     trie.close()
 
-    score = found[of_triple] - corpus.denominator(words[word_of_pair], c_pair, c_word[word_of_pair])[of_pair]
+    score, c_word = (numerator - denominator)[of_triple], c_word[of_triple]
     keys, doc = np.unique(key, return_inverse=True)
-    n_known, base, score = _per_doc(len(keys), doc, c_word[of_word] > 0, np.log10(c_word + 0.5)[of_word], score)
+    n_known, base, score = _per_doc(len(keys), doc, c_word > 0, np.log10(c_word + 0.5), score)
     cuts = np.flatnonzero(np.diff(keys // _ROWS, prepend=-1))
     rows = []
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
