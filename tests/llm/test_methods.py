@@ -168,14 +168,16 @@ def test_trie_looks_up_within_the_node():
 
 def test_trie_of_training_tokens_scores_others():
     """A trie from some tokens gives the counts of any: seen triples, seen pairs with other contexts, seen words, and words it does not know; hot ones have their known counts."""
-    draw = lambda n: [np.sort(RNG.integers(4, 30, n).astype(np.uint64)) << np.uint64(2), RNG.integers(0, 6, n).astype(np.uint64), RNG.integers(0, 5, n).astype(np.uint64)]
+    draw = lambda n: [RNG.integers(4, 30, n).astype(np.uint64) << np.uint64(2), RNG.integers(0, 6, n).astype(np.uint64), RNG.integers(0, 5, n).astype(np.uint64)]
     w, v, u = draw(3000)
+    order = np.lexsort((u, v, w))
+    w, v, u = w[order], v[order], u[order]
     hot_word, hot_pair = np.uint64(40), (np.uint64(48), np.uint64(3))
     none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     key = language_model.pair_keys(np.array([hot_pair[0]]), np.array([hot_pair[1]]))
     corpus = language_model.Corpus(10**6, 5000, 100, 1, np.array([hot_word]), np.array([77_777]), key, np.array([5555]), *none)
     train = (w != 60) & (w != hot_word)
-    trie = language_model.built(w[train], v[train], u[train], corpus, np.array([hot_word]), (np.array([hot_pair[0]]), np.array([hot_pair[1]])))
+    trie = language_model.built(w, v, u, train, corpus)
     words, pairs, triples = Counter(w[train].tolist()), Counter(zip(w[train].tolist(), v[train].tolist())), Counter(zip(w[train].tolist(), v[train].tolist(), u[train].tolist()))
     words[40], pairs[48, 3] = 77_777, 5555
     asked = draw(2000)

@@ -43,6 +43,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """As cut, with the path, for what can be removed before the operator returns."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a written table that nothing reads any more, and lets Spark drop the shuffles of finished jobs, which it does when the driver collects its garbage."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    spark._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
     """Batches of n rows at most for the jobs that run inside: whole texts are long, and a batch is held twice on each side."""

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardspark.llm._elias_fano import Trie
-from wardspark.llm._shared import cut, table
+from wardspark.llm._shared import remove, table, written
 from wardspark.llm._words import hashed_slice, mix, slices
 
 A, B = 50.0, 0.05
@@ -161,7 +161,7 @@ def _at(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def gathered(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> Corpus:
     """Counts over all training tokens.  What comes to the driver is bounded: at most 4 hot words, pairs and triples a shard."""
-    counts = cut(_counts(docs, lambda w, v, u: w))
+    counts, path = written(_counts(docs, lambda w, v, u: w))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("key") == int(END), F.col("n"))), F.lit(0))).first()
     shards = max(1, math.ceil(total[0] / shard_tokens))
     limit = total[0] / (4 * shards)
@@ -181,6 +181,7 @@ def gathered(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> Corpus:
         return triple_keys(keys[hot], far(u[some[hot]]))
 
     triples, triple_counts = _sorted(_counts(docs, hot_triples).filter(F.col("n") > limit).collect()) if len(pairs) else none
+    remove(docs.sparkSession, path)
     return Corpus(total[0], total[1], total[2], shards, hot_words, word_counts, pairs, pair_counts, triples, triple_counts)
 
 
@@ -273,39 +274,34 @@ def _grouped(w: np.ndarray, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, .
     return new_word, new_pair, new_pair | np.concatenate([[True], u[1:] != u[:-1]])
 
 
-def built(w: np.ndarray, v: np.ndarray, u: np.ndarray, corpus: Corpus, words: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> Trie:
-    """The trie of a shard from its training tokens, and from hot words and pairs (word, near) of which it holds a part of the tokens only; their counts are known.
+def built(w: np.ndarray, v: np.ndarray, u: np.ndarray, train: np.ndarray, corpus: Corpus) -> Trie:
+    """The trie of the training tokens of a shard; tokens come in order of word and context.
 
-    Beside the numerators of the nodes stand the counts of words and, of words and
-    pairs, the denominators that they make as contexts.
+    Of hot words and pairs a shard holds a part of the tokens only; their counts
+    are known.  Beside the numerators of the nodes stand the counts of words and, of
+    words and pairs, the denominators that they make as contexts.
     """
-    n = len(w)
-    w, v, u = np.concatenate([w, pairs[0], words]), np.concatenate([v, pairs[1], np.zeros(len(words), _U)]), np.concatenate([u, np.zeros(len(pairs[0]) + len(words), _U)])
-    deep = np.concatenate([np.full(n, 2), np.full(len(pairs[0]), 1), np.zeros(len(words), np.int64)])  # how many levels below its word a row stands for
-    order = np.lexsort((u, v, w))
-    w, v, u, deep = w[order], v[order], u[order], deep[order]
-
-    def level(at_least: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = np.flatnonzero(deep >= at_least)
-        new = _grouped(w[rows], v[rows], u[rows])[which] if len(rows) else np.zeros(0, bool)
-        of = np.cumsum(new) - 1
-        return rows[new], np.bincount(of, deep[rows] == 2, int(new.sum())).astype(np.int64), rows
-
-    (at_word, c_word, _), (at_pair, c_pair, _), (at_triple, c_triple, _) = level(0, 0), level(1, 1), level(2, 2)
-    keys = w[at_word]
-    hot = _at(corpus.words, keys)
+    new_word, new_pair, new_triple = _grouped(w, v, u)
+    word, pair, triple = (np.flatnonzero(x) for x in (new_word, new_pair, new_triple))
+    word_of_pair, pair_of_triple = np.searchsorted(word, pair, "right") - 1, np.searchsorted(pair, triple, "right") - 1
+    before = np.concatenate([[0], np.cumsum(train, dtype=np.int64)])
+    c_word, c_pair, c_triple = (np.diff(np.append(before[x], before[-1])) for x in (word, pair, triple))
+    hot = _at(corpus.words, w[word])
     c_word[hot >= 0] = corpus.word_counts[hot[hot >= 0]]
-    word_of_pair = np.searchsorted(keys, w[at_pair])
-    hot = _at(corpus.pairs, pair_keys(w[at_pair], v[at_pair]))
+    hot = _at(corpus.pairs, pair_keys(w[pair], v[pair]))
     c_pair[hot >= 0] = corpus.pair_counts[hot[hot >= 0]]
-    # Pairs are in order of word and context; a triple's pair is the last that begins at or before it.
-    pair_of_triple = np.searchsorted(at_pair, at_triple, "right") - 1
+
+    # What no training token has is no node.
+    seen = [np.flatnonzero(c > 0) for c in (c_word, c_pair, c_triple)]
+    place = [np.cumsum(c > 0) - 1 for c in (c_word, c_pair)]
+    of_pair, of_triple = word_of_pair[seen[1]], pair_of_triple[seen[2]]
     levels = [
-        (word_of_pair, v[at_pair], corpus.numerator(0.0, c_pair, c_word[word_of_pair])),
-        (pair_of_triple, u[at_triple], corpus.numerator(c_triple, c_pair[pair_of_triple], c_word[word_of_pair[pair_of_triple]])),
+        (place[0][of_pair], v[pair[seen[1]]], corpus.numerator(0.0, c_pair[seen[1]], c_word[of_pair])),
+        (place[1][of_triple], u[triple[seen[2]]], corpus.numerator(c_triple[seen[2]], c_pair[of_triple], c_word[word_of_pair[of_triple]])),
     ]
-    contexts = [corpus.denominator(keys, np.zeros(len(keys)), c_word), corpus.denominator(w[at_pair], c_pair, c_word[word_of_pair])]
-    return Trie(keys, corpus.numerator(0.0, 0.0, c_word), levels, [c_word, *contexts])
+    keys, c_word_seen = w[word[seen[0]]], c_word[seen[0]]
+    contexts = [corpus.denominator(keys, np.zeros(len(keys)), c_word_seen), corpus.denominator(w[pair[seen[1]]], c_pair[seen[1]], c_word[of_pair])]
+    return Trie(keys, corpus.numerator(0.0, 0.0, c_word_seen), levels, [c_word_seen, *(x.astype(np.uint16) for x in contexts)])
 
 
 def _scored(parts: list[tuple[bytes, int]], corpus: Corpus) -> pa.RecordBatch:
@@ -313,23 +309,24 @@ def _scored(parts: list[tuple[bytes, int]], corpus: Corpus) -> pa.RecordBatch:
     w, v, u, key, train = (np.concatenate(x) for x in zip(*(_read(*p) for p in parts)))
     order = np.lexsort((u, v, w))
     w, v, u, key, train = w[order], v[order], u[order], key[order], train[order]
-    new_word, new_pair, new_triple = _grouped(w, v, u)
-    words, pair, triple = w[new_word], np.flatnonzero(new_pair), np.flatnonzero(new_triple)
-    hot_pairs = pair[_at(corpus.pairs, pair_keys(w[pair], v[pair])) >= 0]
-    trie = built(w[train], v[train], u[train], corpus, words[_at(corpus.words, words) >= 0], (w[hot_pairs], v[hot_pairs]))
+    del order
+    trie = built(w, v, u, train, corpus)
 
-    of_triple = np.cumsum(new_triple) - 1
+    new_triple = _grouped(w, v, u)[2]
+    of_triple = (np.cumsum(new_triple) - 1).astype(np.int32)
+    w, v, u = w[new_triple], v[new_triple], u[new_triple]
     counts, word_contexts, pair_contexts = trie.more
-    at_word, at_pair, at_triple = trie.find(w[triple], [v[triple], u[triple]])
-    numerator = np.full(len(triple), int(corpus.numerator(0.0, 0.0, 0.0)), dtype=np.int64)
-    denominator = corpus.denominator(w[triple], np.zeros(len(triple)), np.zeros(len(triple)))
-    c_word = np.zeros(len(triple), dtype=np.int64)
+    at_word, at_pair, at_triple = trie.find(w, [v, u])
+    numerator = np.full(len(w), int(corpus.numerator(0.0, 0.0, 0.0)), dtype=np.int64)
+    denominator = corpus.denominator(w, np.zeros(len(w)), np.zeros(len(w)))
+    c_word = np.zeros(len(w), dtype=np.int64)
     for at, values in zip((at_word, at_pair, at_triple), trie.values):
         numerator[at >= 0] = values[at[at >= 0]]
     for at, values in ((at_word, word_contexts), (at_pair, pair_contexts)):
         denominator[at >= 0] = values[at[at >= 0]]
     c_word[at_word >= 0] = counts[at_word[at_word >= 0]]
     trie.close()
+    del at_word, at_pair, at_triple, w, v, u, train
 
     score, c_word = (numerator - denominator)[of_triple], c_word[of_triple]
     keys, doc = np.unique(key, return_inverse=True)

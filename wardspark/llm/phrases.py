@@ -39,12 +39,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardspark.llm._shared import arrow_rows, cut, join_few, table
+from wardspark.llm._shared import arrow_rows, cut, join_few, remove, table, written
 from wardspark.llm._words import mix, slices, word_hashes, words
 
 RUN = 1 << 19
-#: Documents, or runs, in a batch.
-BATCH = 500
+#: Documents, and runs of a relation, in a batch.
+DOCUMENTS, RUNS = 500, 16
 MOST_BITS = 27
 HASHED_BITS = 40
 #: Of Spark's bitmap functions: bits in one bitmap.
@@ -211,15 +211,24 @@ def group_counts(relation: DataFrame, k: int) -> DataFrame:
 
 
 def frequent_phrases(docs: DataFrame, least: int, most_words: int) -> tuple[DataFrame, dict[int, DataFrame]]:
-    """All word counts, and by length (from 1) the groups of words that occur ``least`` times: w0 .. and n."""
-    every = cut(word_counts(docs))
-    groups = {1: every.filter(F.col("n") >= least).select(F.col("key").alias("w0"), "n")}
-    hashed = F.shiftrightunsigned("w0", 64 - HASHED_BITS).alias("h")
-    relation = cut(occurrences(docs, Frequent(groups[1].select(hashed))))
-    for k in range(2, most_words + 1):
-        frequent = Frequent(cut(hashed_counts(relation, k - 1).filter(F.col("n") >= least).select("h")))
-        relation = cut(extended(relation, k - 1, frequent))
-        groups[k] = cut(group_counts(relation, k).filter(F.col("n") >= least))
+    """All word counts, and by length (from 1) the groups of words that occur ``least`` times: w0 .. and n.
+
+    All are written before it returns; a relation is removed when the next one and its counts are there.
+    """
+    spark = docs.sparkSession
+    with arrow_rows(spark, DOCUMENTS):
+        every = cut(word_counts(docs))
+        groups = {1: every.filter(F.col("n") >= least).select(F.col("key").alias("w0"), "n")}
+        hashed = F.shiftrightunsigned("w0", 64 - HASHED_BITS).alias("h")
+        relation, path = written(occurrences(docs, Frequent(groups[1].select(hashed))))
+    with arrow_rows(spark, RUNS):
+        for k in range(2, most_words + 1):
+            frequent = Frequent(cut(hashed_counts(relation, k - 1).filter(F.col("n") >= least).select("h")))
+            longer, next_path = written(extended(relation, k - 1, frequent))
+            remove(spark, path)
+            relation, path = longer, next_path
+            groups[k] = cut(group_counts(relation, k).filter(F.col("n") >= least))
+        remove(spark, path)
     return every, groups
 
 
@@ -248,8 +257,7 @@ def _inside_longer(groups: dict[int, DataFrame], k: int) -> DataFrame | None:
 
 def collocations(docs: DataFrame, least: int = 10, most_words: int = 3, inside_percent: int = 50, per_lang: int = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of two to most_words words; docs: lang, text."""
-    with arrow_rows(docs.sparkSession, BATCH):  # all counts are written inside
-        every, groups = frequent_phrases(docs, least, most_words)
+    every, groups = frequent_phrases(docs, least, most_words)
     totals = every.groupBy("lang").agg(F.sum("n").alias("n"))
     dictionary = every.filter(F.col("n") >= least).select("key", "lang", "word")
     found = None
