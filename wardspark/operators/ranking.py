@@ -10,8 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wardspark.operators import graph
+from wardspark.sources import files
 from wardspark.sources.files import checkpoint_ready
 
+#: So many rows of one component are gone through in one task (some 50 MB of keys).
+LARGEST = 200_000
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key in the given order."""
@@ -108,20 +113,50 @@ def filled_down(df: DataFrame, keys: list[str], order: list[str], value: str, ou
     return rows.mapInArrow(run, rows.schema)
 
 
-def dedupe_by_either(df: DataFrame, a: str, b: str, order: str) -> DataFrame:
+def dedupe_by_either(df: DataFrame, a: str, b: str, order: str, largest: int = LARGEST) -> DataFrame:
     """Rows in order, without those that share a or b with an earlier kept row; null keys share nothing.
 
-    A round keeps every row that no undecided row precedes on either key, and
-    drops what shares a key with a kept one.  Two rounds run between two
-    checkpoints, so a chain of n rows that share keys in turn costs n / 2
-    checkpoints.  Hot keys are only aggregated (least undecided row of a key),
-    never gathered.
+    Keys are nodes and a row links its two, so rows of different components
+    never decide on each other.  Components come from label propagation, whose
+    rounds grow with the logarithm of a chain.  Each is then gone through once, in
+    order, in the task that has it: rows stream past and only the keys kept so
+    far are held.  A component of more than ``largest`` rows (one hot key, as a
+    rule) goes by rounds over the least undecided row of each key instead, where
+    keys are only aggregated; these are few wherever keys are hot and not chained.
     """
-    rounds = 2
-    checkpoint_ready(df.sparkSession)
-    state = df.select(F.col(order).alias("_o"), F.col(a).alias("_a"), F.col(b).alias("_b"), F.lit(None).cast("boolean").alias("_kept")).checkpoint()
+    node = lambda side, c: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(side), F.col(c)))  # noqa: E731  a shared hash only joins two components
+    state = files.kept(df.select(F.col(order).alias("_o"), F.col(a).alias("_a"), F.col(b).alias("_b"), node("a", a).alias("_na"), node("b", b).alias("_nb")))
+    links = files.kept(state.filter("_na is not null and _nb is not null").select(F.col("_na").alias("a"), F.col("_nb").alias("b")).distinct())
+    components = graph.clusters(links.select(F.col("a").alias("id")).union(links.select("b")).distinct(), links)
+    rows = files.kept(state.withColumn("id", F.coalesce("_na", "_nb", F.xxhash64("_o"))).join(components, "id", "left").select("_o", "_a", "_b", F.coalesce("cluster", "id").alias("_c")))
+    big = files.kept(rows.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > largest).select("_c"))  # a row for ``largest`` rows at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen_a, seen_b = None, set(), set()
+        for batch in batches:
+            kept = []
+            for at, x, y, c in zip(range(batch.num_rows), *(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                if c != now:
+                    now, seen_a, seen_b = c, set(), set()
+                if x in seen_a or y in seen_b:
+                    continue
+                kept.append(at)
+                seen_a |= set() if x is None else {x}
+                seen_b |= set() if y is None else {y}
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64()))], names=["_o"])
+
+    small = rows.join(F.broadcast(big), "_c", "left_anti").select("_o", "_a", "_b", "_c")
+    kept = small.repartition("_c").sortWithinPartitions("_c", "_o").mapInArrow(run, f"_o {rows.schema['_o'].dataType.simpleString()}")
+    if not big.isEmpty():
+        kept = kept.union(_by_rounds(rows.join(F.broadcast(big), "_c", "left_semi").select("_o", "_a", "_b")))
+    return df.join(kept.select(F.col("_o").alias(order)), order, "left_semi")
+
+
+def _by_rounds(rows: DataFrame) -> DataFrame:
+    """(_o) of the rows that stay: a round keeps every row that no undecided row precedes on either key, and drops what shares a key with a kept one; two rounds run between two writes."""
+    state = rows.withColumn("_kept", F.lit(None).cast("boolean"))
     while True:
-        for _ in range(rounds):
+        for _ in range(2):
             first = state
             for key in ("_a", "_b"):
                 least = state.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.when(F.col("_kept").isNull(), F.col("_o"))).alias(f"{key}_open"), F.min(F.when(F.col("_kept"), F.col("_o"))).alias(f"{key}_kept"))
@@ -130,6 +165,6 @@ def dedupe_by_either(df: DataFrame, a: str, b: str, order: str) -> DataFrame:
             leads = (F.col("_a").isNull() | (F.col("_a_open") == F.col("_o"))) & (F.col("_b").isNull() | (F.col("_b_open") == F.col("_o")))
             kept = F.when(F.col("_kept").isNotNull(), F.col("_kept")).when(F.coalesce(taken, F.lit(False)), False).when(leads, True)
             state = first.select("_o", "_a", "_b", kept.alias("_kept"))
-        state = state.checkpoint()
+        state = files.kept(state)
         if not state.filter("_kept is null").limit(1).count():
-            return df.join(state.filter("_kept").select(F.col("_o").alias(order)), order, "left_semi")
+            return state.filter("_kept").select("_o")

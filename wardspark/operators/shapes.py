@@ -114,8 +114,15 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, polygon_id: str,
     index = cell_index(polygons, polygon_id, size, column)
     x, y = F.col("x"), F.col("y")
     held = _inside(x, y, F.col("cx") * size, F.col("cy") * size, F.col("corner"), F.col("edges"))
-    keyed = points.withColumns({"_px": _cell(x, size), "_py": _cell(y, size)})
-    return keyed.join(index, (F.col("_px") == F.col("cx")) & (F.col("_py") == F.col("cy")) & held, how).drop("_px", "_py", "cx", "cy", "corner", "edges")
+    keyed = points.withColumns({"_px": _cell(x, size), "_py": _cell(y, size), "_pp": F.lit(0)})
+    index = index.withColumn("_part", F.lit(0))
+    crowded = spatial.crowded_cells(points.select("x", "y"), size).filter("level = 0").select("cx", "cy", F.ceil(F.col("n") / spatial.CROWD).cast("int").alias("_parts"))
+    if not crowded.isEmpty():
+        # A crowded cell's points are dealt into parts, and its few polygons go to each.
+        index = index.join(F.broadcast(crowded), ["cx", "cy"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+        dealt = crowded.withColumnsRenamed({"cx": "_px", "cy": "_py"})
+        keyed = keyed.join(F.broadcast(dealt), ["_px", "_py"], "left").withColumn("_pp", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    return keyed.join(index, (F.col("_px") == F.col("cx")) & (F.col("_py") == F.col("cy")) & (F.col("_pp") == F.col("_part")) & held, how).drop("_px", "_py", "_pp", "cx", "cy", "_part", "corner", "edges")
 
 
 def nearest_line(points: DataFrame, lines: DataFrame, reach: float, point_id: str, line_id: str, column: str = "parts") -> DataFrame:

@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.functions.scalars import distance, inside_ring, length_inside, line_meeting, point_segment, segment_distance
+from wardspark.sources.files import checkpoint_ready
 
 LINE = ("x1", "y1", "x2", "y2")
+#: A cell is crowded with more points than both CROWD and 1 / SHARE of all; it is split up to DEPTH times.
+CROWD, SHARE, DEPTH = 50_000, 5_000, 5
 
 
 def _cell(v: Column, size: float) -> Column:
@@ -48,11 +51,72 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, how:
     return keyed.join(cells, inside, how).drop("_px", "_py", "cx", "cy", "ring")
 
 
-def nearest_line(points: DataFrame, lines: DataFrame, reach: float, point_id: str, line_id: str) -> DataFrame:
-    """(point_id, line_id, meters): the nearest line within reach, inclusive; the least line_id on ties; only matched points."""
-    cells = _line_cells(lines.select(line_id, *LINE), reach, reach)
-    keyed = points.select(point_id, "x", "y", _cell(F.col("x"), reach).alias("cx"), _cell(F.col("y"), reach).alias("cy"))
-    near = keyed.join(cells, ["cx", "cy"]).withColumn("meters", point_segment(F.col("x"), F.col("y"), *(F.col(c) for c in LINE))).filter(F.col("meters") <= reach)
+def crowded_cells(points: DataFrame, size: float) -> DataFrame:
+    """(level, cx, cy, n): cells of size / 2**level, level 0 to DEPTH, with more than 1 / SHARE of all points and more than CROWD.
+
+    One count of the points at the finest level; the coarser ones are sums of it.
+    A level has fewer than SHARE such cells, so the table is broadcast.
+    """
+    checkpoint_ready(points.sparkSession)
+    fine = points.groupBy(_cell(F.col("x"), size / 2**DEPTH).alias("fx"), _cell(F.col("y"), size / 2**DEPTH).alias("fy")).agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    levels = F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))
+    up = fine.select(levels.alias("level"), "fx", "fy", "n")
+    cells = up.groupBy("level", F.floor(F.col("fx") / F.pow(F.lit(2), DEPTH - F.col("level"))).cast("int").alias("cx"), F.floor(F.col("fy") / F.pow(F.lit(2), DEPTH - F.col("level"))).cast("int").alias("cy")).agg(F.sum("n").alias("n"))
+    total = fine.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    return cells.crossJoin(F.broadcast(total)).filter((F.col("n") > F.col("total") / SHARE) & (F.col("n") > CROWD)).drop("total").checkpoint()  # one row
+
+
+def _leaf_of_points(points: DataFrame, crowded: DataFrame, size: float, point_id: str) -> DataFrame:
+    """points with the leaf (level, cx, cy) of the tree of cells that holds them, and a part of it where even the finest is crowded."""
+    x, y = F.col("x"), F.col("y")
+    for level in range(DEPTH + 1):
+        here = crowded.filter(F.col("level") == level).select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("n").alias(f"_n{level}"))
+        points = points.join(F.broadcast(here), (_cell(x, size / 2**level) == F.col("_cx")) & (_cell(y, size / 2**level) == F.col("_cy")), "left").drop("_cx", "_cy")
+    # A crowded cell lies in crowded ones, so their number is the level.
+    level = sum((F.col(f"_n{i}").isNotNull().cast("int") for i in range(DEPTH)), F.lit(0))
+    fine = F.lit(size) / F.pow(F.lit(2), level)
+    part = F.when(F.col(f"_n{DEPTH}").isNotNull(), F.pmod(F.xxhash64(point_id), F.ceil(F.col(f"_n{DEPTH}") / CROWD))).otherwise(0).cast("int")
+    placed = points.withColumns({"level": level, "cx": F.floor(x / fine).cast("int"), "cy": F.floor(y / fine).cast("int"), "part": part})
+    return placed.drop(*[f"_n{i}" for i in range(DEPTH + 1)])
+
+
+def _leaves_of_lines(lines: DataFrame, crowded: DataFrame, reach: float, size: float) -> DataFrame:
+    """One row per leaf that a line's box, widened by reach, meets."""
+    x1, y1, x2, y2 = (F.col(c) for c in LINE)
+    low_x, high_x, low_y, high_y = F.least(x1, x2) - reach, F.greatest(x1, x2) + reach, F.least(y1, y2) - reach, F.greatest(y1, y2) + reach
+    cells, leaves = _line_cells(lines, reach, size), None
+    for level in range(DEPTH + 1):
+        here = crowded.filter(F.col("level") == level).select("cx", "cy", "n")
+        met = cells.join(F.broadcast(here), ["cx", "cy"], "left")
+        parts = F.sequence(F.lit(0), F.ceil(F.col("n") / CROWD).cast("int") - 1)
+        leaf = met.filter("n is null").withColumn("part", F.lit(0)) if level < DEPTH else met.withColumn("part", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(parts)))
+        leaf = leaf.withColumn("level", F.lit(level)).drop("n")
+        leaves = leaf if leaves is None else leaves.unionByName(leaf)
+        if level < DEPTH:
+            fine = size / 2 ** (level + 1)
+            split = met.filter("n is not null").drop("n").withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(3))))
+            split = split.withColumns({"cx": F.col("cx") * 2 + F.col("_q") % 2, "cy": F.col("cy") * 2 + F.floor(F.col("_q") / 2).cast("int")}).drop("_q")
+            cells = split.filter((F.col("cx") * fine <= high_x) & ((F.col("cx") + 1) * fine >= low_x) & (F.col("cy") * fine <= high_y) & ((F.col("cy") + 1) * fine >= low_y))
+    return leaves
+
+
+def nearest_line(points: DataFrame, lines: DataFrame, reach: float, point_id: str, line_id: str, size: float | None = None) -> DataFrame:
+    """(point_id, line_id, meters): the nearest line within reach, inclusive; the least line_id on ties; only matched points.
+
+    Cells that a first count finds crowded are split in four, again and again up
+    to DEPTH times, and points of one place in parts, so that no cell of the
+    join holds much more than CROWD points or its share of all.
+    """
+    size = size or reach
+    keyed = points.select(point_id, "x", "y")
+    crowded = crowded_cells(keyed, size)
+    if crowded.isEmpty():
+        cells, on = _line_cells(lines.select(line_id, *LINE), reach, size), ["cx", "cy"]
+        keyed = keyed.withColumns({"cx": _cell(F.col("x"), size), "cy": _cell(F.col("y"), size)})
+    else:
+        cells, on = _leaves_of_lines(lines.select(line_id, *LINE), crowded, reach, size), ["level", "cx", "cy", "part"]
+        keyed = _leaf_of_points(keyed, crowded, size, point_id)
+    near = keyed.join(cells, on).withColumn("meters", point_segment(F.col("x"), F.col("y"), *(F.col(c) for c in LINE))).filter(F.col("meters") <= reach)
     best = near.groupBy(point_id).agg(F.min(F.struct("meters", line_id)).alias("b"))
     return best.select(point_id, f"b.{line_id}", "b.meters")
 

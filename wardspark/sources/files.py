@@ -23,6 +23,13 @@ def shared_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written to a new shared path and read again.  Loops of joins use it rather than checkpoint(), which carries the estimated sizes of all rounds along: they multiply."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoint_ready(spark: SparkSession) -> None:
     """Sets the folder that checkpoint() needs, only where the session has none."""
     if spark.sparkContext.getCheckpointDir() is None:
