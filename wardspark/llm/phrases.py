@@ -12,7 +12,8 @@ runs, and before it is written and extended further the relation is semi-joined
 with the groups that are frequent.  Two steps do that: counts of hashed groups
 (40 bits, a narrow shuffle) give a bitmap of at most 2**MOST_BITS bits, which
 never drops a frequent group, and what passes it is counted by its words.  So
-results are exact at every size while the broadcast stays at 16 MB.
+results are exact at every size while the broadcast stays at 16 MB.  A relation is
+removed as soon as the next one and its counts are written.
 
 Each candidate is cut in two in every way and scored with exact decimals by the
 cut that explains it best; candidates that mostly occur inside a longer one go.
