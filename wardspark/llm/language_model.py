@@ -53,7 +53,7 @@ BEGIN, END = np.uint64(1), np.uint64(2)
 #: Log values are kept as 16-bit steps of this range.
 LOW, HIGH = -16.0, 14.0
 _U = np.uint64
-_SLICE, _ROWS = 2 << 20, 1 << 15
+_SLICE, _ROWS = 3 << 20, 1 << 15
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
@@ -283,7 +283,7 @@ def built(w: np.ndarray, v: np.ndarray, u: np.ndarray, train: np.ndarray, corpus
     """
     new_word, new_pair, new_triple = _grouped(w, v, u)
     word, pair, triple = (np.flatnonzero(x) for x in (new_word, new_pair, new_triple))
-    word_of_pair, pair_of_triple = np.searchsorted(word, pair, "right") - 1, np.searchsorted(pair, triple, "right") - 1
+    word_of_pair, pair_of_triple = (np.cumsum(new_word, dtype=np.int32) - 1)[pair], (np.cumsum(new_pair, dtype=np.int32) - 1)[triple]
     before = np.concatenate([[0], np.cumsum(train, dtype=np.int64)])
     c_word, c_pair, c_triple = (np.diff(np.append(before[x], before[-1])) for x in (word, pair, triple))
     hot = _at(corpus.words, w[word])
@@ -334,11 +334,12 @@ def _scored(parts: list[tuple[bytes, int]], corpus: Corpus) -> pa.RecordBatch:
     cuts = np.flatnonzero(np.diff(keys // _ROWS, prepend=-1))
     rows = []
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
-        # A text has few tokens in a shard, as a rule: one byte and four then do for its count and its steps.
-        short = n_known[a:b].max() < 1 << 8 and np.abs(score[a:b]).max() < 1 << 31
+        # A text has few tokens in a shard, as a rule: one byte, five (in units of 2**-30) and four then do for its count, its base and its steps.
+        short = n_known[a:b].max() < 1 << 8 and np.abs(score[a:b]).max() < 1 << 31 and np.abs(base[a:b]).max() < 500
         kinds = ("<u1", "<i4") if short else ("<u4", "<i8")
-        part = [(keys[a:b] % _ROWS).astype("<u2"), n_known[a:b].astype(kinds[0]), base[a:b], score[a:b].astype(kinds[1])]
-        rows.append((int(keys[a]) // _ROWS * _ROWS, 0, (b"s" if short else b"l") + b"".join(x.tobytes() for x in part)))
+        held = _packed((np.round(base[a:b] * 2**30) + 2**39).astype(_U)) if short else base[a:b].tobytes()
+        part = [(keys[a:b] % _ROWS).astype("<u2").tobytes(), n_known[a:b].astype(kinds[0]).tobytes(), held, score[a:b].astype(kinds[1]).tobytes()]
+        rows.append((int(keys[a]) // _ROWS * _ROWS, 0, (b"s" if short else b"l") + b"".join(part)))
     return _rows(rows)
 
 
@@ -353,12 +354,12 @@ def _summed(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
     known, base, score = (about.column(_FIELDS.index(c)).to_numpy().copy() for c in ("n_known", "base", "score"))
     for kind, data in parts:
         if not kind:
-            size, of_known, of_score = (15, "<u1", "<i4") if data[:1] == b"s" else (22, "<u4", "<i8")
-            n = len(data) // size
+            short = data[:1] == b"s"
+            n = len(data) // (12 if short else 22)
             at = np.frombuffer(data, "<u2", n, 1)
-            known[at] += np.frombuffer(data, of_known, n, 1 + 2 * n)
-            base[at] += np.frombuffer(data, "<f8", n, 1 + (2 + int(of_known[2])) * n)
-            score[at] += np.frombuffer(data, of_score, n, 1 + (10 + int(of_known[2])) * n)
+            known[at] += np.frombuffer(data, "<u1" if short else "<u4", n, 1 + 2 * n)
+            base[at] += (_five(data, n, 1 + 3 * n).astype(np.float64) - 2**39) / 2**30 if short else np.frombuffer(data, "<f8", n, 1 + 6 * n)
+            score[at] += np.frombuffer(data, "<i4" if short else "<i8", n, 1 + (8 if short else 14) * n)
     columns = [about.column(i) for i in range(1, 4)]
     # The lower end of the range cancels in numerators over denominators; the end token, one a text, has a numerator only.
     total = LOW + score * ((HIGH - LOW) / 65535)
