@@ -72,6 +72,42 @@ def numbered(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
     return held.join(F.broadcast(before), "_part").withColumn(out, (F.col("_before") + F.col("_at") - F.col("_low") + 1).cast("int")).drop("_part", "_at", "_low", "_before")  # a row for each partition
 
 
+def numbered_within(df: DataFrame, keys: list[str], order: list[Column | str], out: str) -> DataFrame:
+    """df with the place (from 1) of each row in its key, where one key may hold all rows.
+
+    Rows are range-partitioned by key and order and written once; a key that runs
+    on from earlier partitions can only be the first of a partition, so what
+    stands before it is one row for each partition.  Then every task numbers its
+    own rows.  Null keys are a key; order should be total within a key.
+    """
+    checkpoint_ready(df.sparkSession)
+    held = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = held.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    carried = runs.select("_part", F.sum("_n").over(earlier).alias(out)).filter(F.col(out) > 0)
+    rows = held.join(F.broadcast(carried), "_part", "left").drop("_part")  # a row for each partition
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before = None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            of = [batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in keys]
+            fresh = np.concatenate([[False], np.any([x[1:] != x[:-1] for x in of], axis=0)])
+            key = tuple(batch.column(k)[0] for k in keys)
+            if last is None:
+                before = batch.column(out)[0].as_py() or 0
+            elif last != key:
+                before = 0
+            start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+            place = np.arange(n) - start + 1 + np.where(start == 0, before, 0)
+            last, before = tuple(batch.column(k)[n - 1] for k in keys), int(place[-1])
+            yield batch.set_column(batch.schema.get_field_index(out), out, pa.array(place, pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def filled_down(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """df with ``out``: the last value that is not null at or before each row of its key, in order.
 

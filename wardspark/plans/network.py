@@ -11,11 +11,13 @@ from wardspark.operators import graph, ranking, shapes, spatial
 from wardspark.plans.geo import _seg_distance_sql, located, nearest
 from wardspark.plans.registry import query
 from wardspark.plans.standins import CELL, NEAREST, POINTS, POLYLINES, SEGMENTS, boxed_lengths, points, polylines, segments, t, zones
-from wardspark.sources import files
+from wardspark.sources import files, parts
 
 # The box of valid places (south, west, north, east), and the classes and status of streets that count.
 PLACES = (41.6, -88.0, 42.1, -87.5)
 STREET_CLASSES, STREET_STATUS = ("2", "3", "4"), ("N",)
+# Room around a box, metres.
+PAD = 66.8
 
 
 @query("""WITH p AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '0' WHEN event_id % 10 = 1 THEN 'n/a' WHEN event_id % 10 = 2 THEN NULL ELSE CAST(41.64e0 + ((event_id * 104729) % 3800) / 1e4 AS VARCHAR) END AS lat, CASE WHEN event_id % 10 = 0 THEN '0' WHEN event_id % 10 = 3 THEN '-187.5' ELSE CAST(-87.85e0 + ((event_id * 7919) % 3300) / 1e4 AS VARCHAR) END AS lon FROM events)
@@ -52,17 +54,30 @@ def ragged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _street_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments written as FeatureCollections, one a file row, and read again: class, status and, but for some, a geometry."""
+    """Segments written as FeatureCollections in order, in parts of bounded size, and read again: class, status and, but for some, a geometry."""
     k = F.col("seg_id")
     line = F.when(k % 9 != 0, F.struct(F.lit("LineString").alias("type"), F.transform(F.col("parts")[0], lambda p: F.array(p.x, p.y)).alias("coordinates")))
     held = F.struct(k.cast("string").alias("OBJECTID"), (k % 6).cast("string").alias("class"), F.when(k % 7 == 0, "C").otherwise("N").alias("status"), F.col("corridor").cast("string").alias("corridor"))
     feature = F.struct(F.lit("Feature").alias("type"), line.alias("geometry"), held.alias("properties"))
     path = files.shared_path(spark)
-    whole = polylines(spark, sf_dir).groupBy("corridor").agg(F.collect_list(feature).alias("features"))
-    whole.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).repartition("value").write.option("maxRecordsPerFile", 1).text(path)
+    lines = polylines(spark, sf_dir).select("seg_id", F.col("corridor").alias("sheet"), F.to_json(feature).alias("feature"))
+    parts.write_parts(lines, "sheet", ["seg_id"], F.col("feature"), path, '{"type":"FeatureCollection","features":[', ",", "]}")
     return files.read_features(spark, path, "struct<type: string, coordinates: array<array<double>>>")
 
 
+@query(f"""WITH {POLYLINES}, s AS (SELECT CASE WHEN corridor % 7 = 0 THEN '' WHEN corridor % 7 <> 1 THEN 'Corridor ' || CAST(corridor AS VARCHAR) END AS street, seg_id, x, y FROM v)
+  SELECT coalesce(nullif(street, ''), '(unnamed)') AS corridor, count(DISTINCT seg_id) AS n, round(min(y) - {PAD}, 3) AS low_y, round(min(x) - {PAD}, 3) AS low_x, round(max(y) + {PAD}, 3) AS high_y, round(max(x) + {PAD}, 3) AS high_x FROM s GROUP BY 1""")
+def corridor_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-42: lines by street with a bucket for the unnamed (null or empty), and the union of the padded boxes of all their vertices and parts; a line's box is made in its row, so only four numbers travel."""
+    k = F.col("corridor") % 7
+    street = F.when(k == 0, "").when(k != 1, F.concat(F.lit("Corridor "), F.col("corridor")))
+    lines = polylines(spark, sf_dir).select(F.coalesce(F.nullif(street, F.lit("")), F.lit("(unnamed)")).alias("corridor"), F.flatten("parts").alias("v"))
+    end = lambda f, axis: f(F.transform("v", lambda p: p[axis]))
+    each = lines.select("corridor", *[(end(f, axis) + pad).alias(f"{name}_{axis}") for name, f, pad in (("low", F.array_min, -PAD), ("high", F.array_max, PAD)) for axis in ("y", "x")])
+    out = each.groupBy("corridor").agg(F.count(F.lit(1)).alias("n"), F.min("low_y").alias("low_y"), F.min("low_x").alias("low_x"), F.max("high_y").alias("high_y"), F.max("high_x").alias("high_x"))
+    return out.select("corridor", "n", *[F.round(c, 3).alias(c) for c in ("low_y", "low_x", "high_y", "high_x")])
+
+
 @query(f"WITH {SEGMENTS} SELECT CAST(seg_id AS VARCHAR) AS segment_id, CASE WHEN seg_id % 9 <> 0 THEN round(x1, 3) END AS first_x, CAST(CASE WHEN seg_id % 9 = 0 THEN 0 WHEN seg_id % 3 = 0 THEN (3 + seg_id % 48) // 2 ELSE 3 + seg_id % 48 END AS INTEGER) AS vertices FROM segments")
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-3: a row for each feature of collections, its id under whichever name the file has for it; a feature may lack its geometry."""

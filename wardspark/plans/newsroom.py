@@ -231,13 +231,14 @@ def picked_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH n AS (SELECT role, n_nationkey, text FROM conversations JOIN nation ON n_nationkey = conv_id % 25), m AS (SELECT conv_id, n_nationkey AS committee, turn, role FROM conversations JOIN nation ON n_nationkey = conv_id % 25), i AS (SELECT conv_id, count(*) AS items, array_to_string(list(role ORDER BY turn), '>') AS agenda FROM conversations WHERE turn > 0 GROUP BY conv_id)
   SELECT DISTINCT committee, m.conv_id AS meeting, coalesce(items, 0) AS items, coalesce(agenda, '') AS agenda FROM m LEFT JOIN i USING (conv_id)""")
 def rebuilt_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-14 JON-24: committees with nested meetings scanned, agenda items joined in by address, and built up nested again; a meeting without items keeps an empty agenda."""
+    """SRC-14 JON-24: committees with nested meetings, in documents of at most 40 meetings each, scanned, agenda items joined in by address, and built up nested again; a meeting without items keeps an empty agenda."""
     c = t(spark, sf_dir, "conversations")
     meeting = c.select((F.col("conv_id") % 25).cast("int").alias("committee"), F.struct(F.col("conv_id").alias("meeting"), F.concat(F.lit("https://agenda/"), "conv_id").alias("agenda_url")).alias("m")).distinct()
-    committees = meeting.groupBy("committee").agg(F.collect_list("m").alias("meetings"))
-    flat = committees.select("committee", F.explode("meetings").alias("m")).select("committee", "m.*")
+    block = F.floor(F.col("m.meeting") / 1000)  # a nested document holds at most 40 meetings of a committee
+    committees = meeting.groupBy("committee", block.alias("block")).agg(F.collect_list("m").alias("meetings"))
+    flat = committees.select("committee", "block", F.explode("meetings").alias("m")).select("committee", "block", "m.*")
     items = c.filter("turn > 0").groupBy(F.concat(F.lit("https://agenda/"), "conv_id").alias("agenda_url")).agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("items"))
     j = flat.join(items, "agenda_url", "left").withColumn("items", F.coalesce("items", F.array().cast("array<struct<turn:bigint,role:string>>")))
-    nested = j.groupBy("committee").agg(F.collect_list(F.struct("meeting", "items")).alias("meetings"))
+    nested = j.groupBy("committee", "block").agg(F.collect_list(F.struct("meeting", "items")).alias("meetings"))
     out = nested.select("committee", F.explode("meetings").alias("m"))
     return out.select("committee", "m.meeting", F.size("m.items").cast("long").alias("items"), F.array_join(F.transform("m.items", lambda x: x.role), ">").alias("agenda"))

@@ -11,7 +11,7 @@ from wardspark.operators import claims, gates, ranking, spatial
 from wardspark.plans.geo import located
 from wardspark.plans.registry import query
 from wardspark.plans.standins import CELL, FACTS, POINTS, SEGMENTS, facts, points, segments, t, zones
-from wardspark.sources import files
+from wardspark.sources import files, parts
 
 # Words of spending that serves riders, and the population of a large city.
 MENU_WORDS = ("bike", "bicycle", "traffic calming", "speed hump", "crosswalk", "curb", "pedestrian")
@@ -70,6 +70,22 @@ def annual_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter("total is not null")
 
 
+@query(f"""WITH {_SHEET}, k AS (SELECT y, round(sum(v) FILTER (label IN ('F', 'O')), 2) AS total, round(max(v) FILTER (label = 'O') + 1.003e0 * max(v) FILTER (label = 'P') + 0.0011e0, 2) AS reported FROM u GROUP BY y)
+  SELECT y AS year, total, reported, round(reported - total, 2) AS gap FROM k WHERE reported IS NOT NULL""")
+def reported_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-32: the totals that the sheet itself reports stand beside the summed ones, for every year that has one, whatever rows are mapped; neither replaces the other."""
+    long = files.long_rows(_sheet(spark, sf_dir), "label", "line")
+    # The sheet's own total row, which need not agree with what is mapped (shifted off rounding ties).
+    at = lambda label: F.max(F.when(F.col("label") == label, F.col("value")))
+    said = long.groupBy("year").agg((at("O") + at("P") * 1.003 + 0.0011).alias("value")).select(F.lit("Total").alias("label"), "year", "value")
+    path = files.shared_path(spark)
+    said.unionByName(long).select("label", "year", F.col("value").cast("string").alias("cell")).write.option("header", True).csv(path)
+    sheet = spark.read.option("header", True).schema("label string, year int, cell string").csv(path).withColumn("value", F.col("cell").try_cast("double"))
+    of = lambda *labels: F.round(F.sum(F.when(F.col("label").isin(*labels), F.col("value"))), 2)
+    out = sheet.groupBy("year").agg(of("F", "O").alias("total"), of("Total").alias("reported")).filter("reported is not null")
+    return out.withColumn("gap", F.round(F.col("reported") - F.col("total"), 2))
+
+
 @query("""SELECT CAST(year(l_shipdate) AS INTEGER) AS year, round(sum(l_quantity) FILTER (l_returnflag = 'A'), 2) AS a, round(sum(l_quantity) FILTER (l_returnflag = 'N'), 2) AS n, round(coalesce(sum(l_quantity) FILTER (l_returnflag NOT IN ('A', 'N')), 0), 2) AS other, round(coalesce(sum(l_quantity) FILTER (month(l_shipdate) IN (1, 12)), 0), 2) AS without_month FROM lineitem WHERE l_linenumber < 7 GROUP BY 1""")
 def surviving_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-33: what stands by year of install and category, and how much of it has no known month; rows without a year do not count."""
@@ -82,15 +98,14 @@ def surviving_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT page_id AS item, trim(regexp_extract(html, '<title>([^<]*)</title>', 1), ' ') AS title, url AS link, 'lang ' || regexp_extract(html, 'lang="([a-z]*)"', 1) || ';page' AS categories FROM pages WHERE trim(regexp_extract(html, '<title>([^<]*)</title>', 1), ' ') <> '' AND page_id % 10 <> 0""")
 def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-10: a feed written as XML and scanned by its items, with their categories; those without title or link go."""
+    """SRC-10: feeds written as XML in order, in parts of bounded size, and scanned by their items, with their categories; those without title or link go."""
     safe = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     p = t(spark, sf_dir, "pages")
     title, lang = safe(F.regexp_extract("html", r"<title>([^<]*)</title>", 1)), F.regexp_extract("html", r'lang="([a-z]*)"', 1)
     link = F.when(F.col("page_id") % 10 != 0, F.concat(F.lit("<link>"), safe(F.col("url")), F.lit("</link>"))).otherwise("")
     item = F.concat(F.lit("<item><title>"), title, F.lit("</title>"), link, F.lit("<source>"), F.col("page_id"), F.lit("</source><category>lang "), lang, F.lit("</category><category>page</category></item>"))
     path = files.shared_path(spark)
-    feeds = p.select((F.col("page_id") % 8).alias("feed"), item.alias("item")).groupBy("feed").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list("item"), ""), F.lit("</channel></rss>")).alias("value"))
-    feeds.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    parts.write_parts(p.select("page_id", (F.col("page_id") % 8).alias("feed"), item.alias("item")), "feed", ["page_id"], F.col("item"), path, "<rss><channel>", "", "</channel></rss>")
     return files.read_rss(spark, path).select(F.col("source").cast("long").alias("item"), "title", "link", F.array_join("category", ";").alias("categories"))
 
 
@@ -133,16 +148,23 @@ def written_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("district").agg(F.count("id").alias("n")).crossJoin(F.broadcast(excluded))  # one row
 
 
-@query(f"""WITH {POINTS}, p AS (SELECT zone, event_id, '[' || CAST(event_id AS VARCHAR) || ',"' || severity || '",' || CAST(CAST(round(-87.85e0 + lon_i / 1e4, 5) * 100000 AS BIGINT) AS VARCHAR) || ',' || CAST(CAST(round(41.64e0 + lat_i / 1e4, 5) * 100000 AS BIGINT) AS VARCHAR) || ']' AS r FROM points)
-  SELECT zone, count(*) AS n, md5(string_agg(r, ',' ORDER BY event_id)) AS rows_md5 FROM p GROUP BY zone""")
+# Columns of the rows, in order (fixed values).
+CRASH_COLUMNS = ("crash_id", "lat", "lng", "injury_severity")
+_CRASH_HEAD = '{"columns":["' + '","'.join(CRASH_COLUMNS) + '"],"rows":['
+
+
+@query(f"""WITH {POINTS}, p AS (SELECT zone, event_id, '[' || CAST(event_id AS VARCHAR) || ',' || printf('%.5f', 41.64e0 + lat_i / 1e4) || ',' || printf('%.5f', -87.85e0 + lon_i / 1e4) || ',"' || severity || '"]' AS r FROM points),
+  k AS (SELECT *, (row_number() OVER (PARTITION BY zone ORDER BY event_id) - 1) // {parts.ROWS} AS part FROM p)
+  SELECT zone, CAST(part AS INTEGER) AS part, count(*) AS n, sha256('{_CRASH_HEAD}' || string_agg(r, ',' || chr(10) ORDER BY event_id) || ']}}' || chr(10)) AS rows_sha256 FROM k GROUP BY zone, part""")
 def columnar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-3: rows as arrays of a fixed column order, coordinates to five places (as whole hundred-thousandths), in source order; a digest stands for each zone's rows."""
+    """SNK-3: rows as arrays of a fixed column order (lat before lng, to five places) in source order, written in parts of bounded size; what comes back is each part's rows and the digest of its file."""
     k = F.col("event_id")
-    micro = lambda c: F.round(F.round(c, 5) * 100000).cast("long").cast("string")
-    lon, lat = -87.85 + ((k * 7919) % 3300) / 1e4, 41.64 + ((k * 104729) % 3800) / 1e4
-    row = F.concat(F.lit("["), k, F.lit(',"'), "severity", F.lit('",'), micro(lon), F.lit(","), micro(lat), F.lit("]"))
-    rows = located(spark, sf_dir).groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(k.alias("at"), row.alias("r")))).alias("v"))
-    return rows.select("zone", "n", F.md5(F.array_join(F.transform("v", lambda x: x.r), ",").cast("binary")).alias("rows_md5"))
+    lat, lng = 41.64 + ((k * 104729) % 3800) / 1e4, -87.85 + ((k * 7919) % 3300) / 1e4
+    row = F.format_string('[%d,%.5f,%.5f,"%s"]', k, lat, lng, F.col("severity"))
+    path = files.shared_path(spark)
+    parts.write_parts(located(spark, sf_dir).filter("zone is not null"), "zone", ["event_id"], row, path, _CRASH_HEAD, ",", "]}")
+    rows = spark.read.schema("rows array<string>, zone int, part int").json(path, multiLine=True).select("zone", "part", F.size("rows").cast("long").alias("n"))
+    return parts.part_digests(spark, path).select("zone", "part", F.col("sha256").alias("rows_sha256")).join(rows, ["zone", "part"]).select("zone", "part", "n", "rows_sha256")
 
 
 @query("""WITH v AS (SELECT l_orderkey AS matter, count(*) FILTER (l_returnflag = 'A') AS yes, count(*) FILTER (l_returnflag = 'R') AS no, array_to_string(list_sort(list(DISTINCT lpad(CAST(l_suppkey AS VARCHAR), 6, '0'))), '; ') AS sponsors FROM lineitem GROUP BY 1)
@@ -232,13 +254,14 @@ def trimmed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STAR = f"""{FACTS}, a AS (SELECT district, count(*) AS n FROM facts GROUP BY 1), s AS (SELECT s_nationkey AS district, count(*) AS n FROM supplier WHERE s_nationkey % 4 <> 1 GROUP BY 1), c AS (SELECT c_nationkey AS district, count(*) AS n FROM customer GROUP BY 1),
-  m AS (SELECT s_nationkey AS district, round(sum(l_extendedprice), 2) AS spent FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_discount > 0.05e0 AND s_nationkey % 5 <> 2 GROUP BY 1), q AS (SELECT user_id % 25 AS district, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1), r AS (SELECT user_id % 25 AS district, CAST(sum(value * 100) AS BIGINT) AS n FROM events WHERE event_type = 'click' AND user_id % 25 <> 7 GROUP BY 1)"""
+  m AS (SELECT s_nationkey AS district, round(sum(l_extendedprice), 2) AS spent FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_discount > 0.05e0 AND s_nationkey % 5 <> 2 GROUP BY 1), q AS (SELECT user_id % 25 AS district, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1), r AS (SELECT user_id % 25 AS district, CAST(sum(value * 100) AS BIGINT) AS n FROM events WHERE event_type = 'click' AND user_id % 25 <> 7 GROUP BY 1),
+  b AS (SELECT c_nationkey AS district, c_mktsegment AS sponsor, count(*) AS n FROM customer WHERE c_nationkey % 6 <> 4 GROUP BY ALL), e AS (SELECT district, string_agg(sponsor || ':' || CAST(n AS VARCHAR), ';' ORDER BY sponsor) AS entries FROM b GROUP BY district)"""
 
 
 @query(f"""WITH {_STAR} SELECT n_nationkey AS district, n_name AS name, r_name AS area, c.n AS population, coalesce(a.n, 0) AS incidents, round(a.n * 1000e0 / c.n, 3) AS per_1000, CASE WHEN s.n IS NULL THEN 'false' ELSE 'true:' || CAST(s.n AS VARCHAR) END AS roster, CASE WHEN m.spent IS NULL THEN 'false' ELSE 'true' END AS menu, m.spent AS menu_spent,
-  coalesce(q.n, 0) AS requests, CASE WHEN r.n IS NULL THEN 'false' ELSE 'true' END AS trips FROM nation JOIN region ON r_regionkey = n_regionkey LEFT JOIN a ON a.district = n_nationkey LEFT JOIN s ON s.district = n_nationkey LEFT JOIN c ON c.district = n_nationkey LEFT JOIN m ON m.district = n_nationkey LEFT JOIN q ON q.district = n_nationkey LEFT JOIN r ON r.district = n_nationkey""")
+  coalesce(q.n, 0) AS requests, CASE WHEN r.n IS NULL THEN 'false' ELSE 'true' END AS trips, coalesce(entries, '') AS sponsorship, CASE WHEN s.n IS NULL THEN 'No roster entry for district ' || CAST(n_nationkey AS VARCHAR) END AS roster_note FROM nation JOIN region ON r_regionkey = n_regionkey LEFT JOIN a ON a.district = n_nationkey LEFT JOIN s ON s.district = n_nationkey LEFT JOIN c ON c.district = n_nationkey LEFT JOIN m ON m.district = n_nationkey LEFT JOIN q ON q.district = n_nationkey LEFT JOIN r ON r.district = n_nationkey LEFT JOIN e ON e.district = n_nationkey""")
 def district_star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-26 JON-14 FLT-14: every district with safety, roster, menu, requests and trips; an absent branch is a struct that says so, not a zero. Each side is rolled up before it is joined."""
+    """JON-26 JON-14 FLT-14: every district with safety, roster, sponsorship, menu, requests and trips; an absent branch is a struct that says so, not a zero, no sponsorship is an empty list, and a missing roster entry is noted. Each side is rolled up before it is joined."""
     key = lambda c: F.col(c).cast("long").alias("district")
     count = F.count(F.lit(1))
     a = facts(spark, sf_dir).groupBy(key("district")).agg(count.alias("incidents"))
@@ -251,7 +274,9 @@ def district_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = e.filter("event_type = 'view'").groupBy(key("d")).agg(count.alias("requests"))
     r = e.filter("event_type = 'click' and d <> 7").groupBy(key("d")).agg(F.struct(F.lit(True).alias("available"), F.sum("value").alias("n")).alias("trips"))
     n = t(spark, sf_dir, "nation").join(t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(key("n_nationkey"), F.col("n_name").alias("name"), F.col("r_name").alias("area"))
-    for branch in (a, s, c, m, q, r):
+    by = t(spark, sf_dir, "customer").filter("c_nationkey % 6 <> 4").groupBy(key("c_nationkey"), F.col("c_mktsegment").alias("sponsor")).agg(count.alias("n"))
+    b = by.groupBy("district").agg(F.array_sort(F.collect_list(F.struct("sponsor", "n"))).alias("entries"))  # a row for each sponsor of the roster
+    for branch in (a, s, c, m, q, r, b):
         n = n.join(branch, "district", "left")
     for name, field in (("roster", "members"), ("menu", "spent"), ("trips", "n")):
         kind = dict(n.select(f"{name}.*").dtypes)[field]
@@ -260,6 +285,7 @@ def district_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(
         F.col("district").cast("int").alias("district"), "name", "area", "population", F.coalesce("incidents", F.lit(0)).alias("incidents"), F.round(ratio(F.col("incidents"), F.col("population"), 1000.0), 3).alias("per_1000"),
         told.alias("roster"), F.col("menu.available").cast("string").alias("menu"), F.col("menu.spent").alias("menu_spent"), F.coalesce("requests", F.lit(0)).alias("requests"), F.col("trips.available").cast("string").alias("trips"),
+        F.coalesce(F.array_join(F.transform("entries", lambda x: F.concat(x.sponsor, F.lit(":"), x.n)), ";"), F.lit("")).alias("sponsorship"), F.when(~F.col("roster.available"), F.concat(F.lit("No roster entry for district "), F.col("district"))).alias("roster_note"),
     )
 
 
@@ -458,17 +484,19 @@ def peer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {FACTS}, v AS (SELECT id, district, CASE WHEN status <> 'P' THEN price END AS value FROM facts), r AS (SELECT id, district, row_number() OVER (PARTITION BY district ORDER BY value DESC NULLS LAST, id) AS down, row_number() OVER (PARTITION BY district ORDER BY value ASC NULLS LAST, id) AS up, row_number() OVER (PARTITION BY district ORDER BY value IS NULL, id) AS source_order FROM v)
   SELECT id, district, CAST(down AS INTEGER) AS down, CAST(up AS INTEGER) AS up, CAST(source_order AS INTEGER) AS source_order FROM r""")
 def sorted_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ORD-1 ORD-9: places of a column sort in both directions with nulls last, and of an order that only lets rows without data sink."""
+    """ORD-1 ORD-9: places of a column sort in both directions with nulls last, and of an order that only lets rows without data sink; a district may hold all rows, since places are counted over ranges."""
     v = facts(spark, sf_dir).select("id", "district", F.when(F.col("status") != "P", F.col("price")).alias("value"))
-    place = lambda *o: F.row_number().over(Window.partitionBy("district").orderBy(*o, "id"))
-    return v.select("id", "district", place(F.col("value").desc_nulls_last()).alias("down"), place(F.col("value").asc_nulls_last()).alias("up"), place(F.col("value").isNull()).alias("source_order"))
+    for out, by in (("down", F.col("value").desc_nulls_last()), ("up", F.col("value").asc_nulls_last()), ("source_order", F.col("value").isNull())):
+        v = ranking.numbered_within(v, ["district"], [by, "id"], out)
+    return v.select("id", "district", *[F.col(c).cast("int").alias(c) for c in ("down", "up", "source_order")])
 
 
 @query("""SELECT conv_id % 25 AS committee, conv_id AS meeting, turn AS day, CAST(row_number() OVER (ORDER BY turn, conv_id) AS INTEGER) AS place FROM conversations WHERE turn >= 2 AND role = 'user'""")
 def upcoming_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ORD-11: nested meetings of all committees flattened, those still to come and not cancelled, in order."""
-    c = t(spark, sf_dir, "conversations").groupBy((F.col("conv_id") % 25).alias("committee")).agg(F.collect_list(F.struct(F.col("conv_id").alias("meeting"), F.col("turn").alias("day"), F.col("role").alias("status"))).alias("meetings"))
-    flat = c.select("committee", F.explode(F.filter("meetings", lambda m: (m.day >= 2) & (m.status == "user"))).alias("m")).select("committee", "m.meeting", "m.day")
+    """ORD-11: nested meetings of all committees, in documents of at most 40 meetings each, flattened; those still to come and not cancelled, in order."""
+    c = t(spark, sf_dir, "conversations")
+    nested = c.groupBy((F.col("conv_id") % 25).alias("committee"), F.floor(F.col("conv_id") / 1000).alias("block")).agg(F.collect_list(F.struct(F.col("conv_id").alias("meeting"), F.col("turn").alias("day"), F.col("role").alias("status"))).alias("meetings"))
+    flat = nested.select("committee", F.explode(F.filter("meetings", lambda m: (m.day >= 2) & (m.status == "user"))).alias("m")).select("committee", "m.meeting", "m.day")
     return ranking.numbered(flat, ["day", "meeting"], "place")
 
 
