@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from wardspark.functions import scalars
@@ -161,3 +162,18 @@ def test_trend_against_windows(spark):
     w = spark.createDataFrame([(k, "2024-05-01", 10, 20) for k in range(6)], "k int, window_end string, recent int, prior int")
     t = spark.createDataFrame([(0, "2024-05-01", 10, 20), (1, "2024-05-02", 11, 20), (2, "2024-05-01", 11, 20), (3, "2024-05-01", 10, 21), (4, "2024-05-01", None, None), (5, None, None, None)], w.schema)
     assert {r.k: r.fault for r in gates.trend_faults(t, w, "k").collect()} == {1: "window_end", 2: "recent", 3: "prior", 5: "window_end"}
+
+
+def test_rosters(spark, tmp_path):
+    """A list or a named list; absent, broken or foreign documents are none where they may be, and errors where they may not; size is checked."""
+    entry = "id int, title string"
+    for name, text in (("list", '[{"id": 1, "title": "a"}, {"id": 2, "more": []}]'), ("named", '{"as_of": "x", "points": [{"id": 3}]}'), ("broken", '{"points": ['), ("foreign", '{"other": []}'), ("empty", '{"points": []}')):
+        (tmp_path / f"{name}.json").write_text(text)
+    read = lambda name, field=None, **more: [tuple(r) for r in files.read_roster(spark, str(tmp_path / f"{name}.json"), entry, field, **more).collect()]
+    assert read("list") == [(1, "a"), (2, None)] and read("named", "points") == [(3, None)] and read("empty", "points") == []
+    for name in ("absent", "broken", "foreign"):
+        assert read(name, "points", required=False) == []
+        with pytest.raises((ValueError, AnalysisException)):
+            read(name, "points")
+    with pytest.raises(ValueError):
+        read("list", largest=1)

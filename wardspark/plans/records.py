@@ -173,3 +173,27 @@ def roster_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = files.column_named(roster, "id", "route_id")
     names = roster.select(F.col(key).alias("route"), F.initcap(F.concat_ws(" ", F.lower("street"), F.lit("ROAD"))).alias("title"))
     return t(spark, sf_dir, "orders").select((F.col("o_custkey") % 25).alias("route")).join(names, "route").groupBy("route", "title").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {FACTS}, d AS (SELECT district, count(*) AS n FROM facts GROUP BY 1)
+  SELECT 'routes' AS roster, n_nationkey AS id, n_name AS title, coalesce(n, 0) AS n FROM nation LEFT JOIN d ON district = n_nationkey
+  UNION ALL SELECT 'points', r_regionkey, r_name, CAST(coalesce((SELECT sum(n) FROM d WHERE district % 5 = r_regionkey), 0) AS BIGINT) FROM region""")
+def curated_rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-12 JON-14: four curated rosters and what the facts say of their entries: routes (a list) and points (a list by name) must be there; projects (here a broken file) and commitments (here an empty list) may be missing, and then give no rows rather than an error."""
+    base = files.shared_path(spark)
+    entries = lambda key, title: F.collect_list(F.struct(F.col(key).alias("id"), F.col(title).alias("title")))
+    nation, region = t(spark, sf_dir, "nation"), t(spark, sf_dir, "region")
+    written = {
+        "routes": nation.agg(F.to_json(entries("n_nationkey", "n_name")).alias("value")), "points": region.agg(F.to_json(F.struct(entries("r_regionkey", "r_name").alias("points"))).alias("value")),
+        "projects": spark.range(1).select(F.lit('{"projects": [').alias("value")), "commitments": spark.range(1).select(F.lit('{"commitments": []}').alias("value")),
+    }
+    for name, text in written.items():
+        text.write.text(f"{base}/{name}")
+    d = facts(spark, sf_dir).groupBy("district").agg(F.count(F.lit(1)).alias("n"))
+    keys = {"routes": d, "points": d.groupBy((F.col("district") % 5).alias("district")).agg(F.sum("n").alias("n")), "projects": d, "commitments": d}
+    out = None
+    for name, counts in keys.items():
+        roster = files.read_roster(spark, f"{base}/{name}", "id int, title string", None if name == "routes" else name, name in ("routes", "points"))
+        rows = roster.join(counts, F.col("id") == F.col("district"), "left").select(F.lit(name).alias("roster"), "id", "title", F.coalesce("n", F.lit(0)).alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,6 +78,31 @@ def read_ragged(spark: SparkSession, path: str) -> DataFrame:
     return read_records(spark, path, found)
 
 
+def read_roster(spark: SparkSession, path: str, entry: str, field: str | None = None, required: bool = True, largest: int = 5_000) -> DataFrame:
+    """The entries of a curated JSON document: a list, or the list under ``field`` of an object; entries lack what they do not name.
+
+    A roster that is not required is empty where its file is absent, unreadable
+    or has no such list; of a required one these are errors.  Rosters are written
+    by hand, so more than ``largest`` entries are refused: what comes back may be broadcast.
+    """
+    schema = f"{field} array<struct<{entry}>>, _bad string" if field else f"{entry}, _bad string"
+    try:
+        raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path, multiLine=True)
+    except AnalysisException as e:
+        if required or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], entry)
+    raw = raw.cache()  # a few entries; Spark asks for it before the column of bad documents is read by itself
+    rows = raw.select(F.explode(field).alias("e")).select("e.*") if field else raw.drop("_bad")
+    if raw.filter("_bad is not null" if not field else f"_bad is not null or {field} is null").limit(1).count():
+        if required:
+            raise ValueError(f"{path} is no roster")
+        return spark.createDataFrame([], entry)
+    if rows.limit(largest + 1).count() > largest:
+        raise ValueError(f"{path} has more than {largest} entries")
+    return rows
+
+
 def dated_copies(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The rows of dated files (..._YYYY-MM-DD...) below path, with snapshot_date out of the file name."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
