@@ -36,3 +36,28 @@ def test_points_of_a_hot_place(spark, monkeypatch):
     lines = spark.createDataFrame([(8, 0.0, 0.0, 2000.0, 0.0), (3, 0.0, 0.0, 2000.0, 0.0)], "line int, x1 double, y1 double, x2 double, y2 double")
     got = spatial.nearest_line(points, lines, 2.0, "id", "line").collect()
     assert sorted(r.id for r in got) == list(range(1000)) and {(r.line, r.meters) for r in got} == {(3, 2.0)}
+
+
+def test_dense_lines_meet_few_routes(spark, monkeypatch):
+    """Only lines that share no cell with a route are tested edge by edge; results equal brute force."""
+    rng = random.Random(4)
+    line = lambda k, wide: (k, *(p := (rng.uniform(0, wide), rng.uniform(0, wide))), p[0] + rng.uniform(-90, 90), p[1] + rng.uniform(-90, 90))
+    columns = "id int, x1 double, y1 double, x2 double, y2 double"
+    met, pairs = [], spatial._line_pairs
+    monkeypatch.setattr(spatial, "_line_pairs", lambda a, *rest: (met.append(a.count()), pairs(a, *rest))[1])
+    for wide in (300, 4000):
+        a, b = [line(k, wide) for k in range(200)], [line(k, wide) for k in range(60)]
+        got = {r.id for r in spatial.lines_away_from(spark.createDataFrame(a, columns), spark.createDataFrame(b, columns), 40.0, "id").collect()}
+
+        def near(p, q):
+            def to(x, y, s):
+                dx, dy = s[3] - s[1], s[4] - s[2]
+                u = min(1, max(0, ((x - s[1]) * dx + (y - s[2]) * dy) / (dx * dx + dy * dy)))
+                return math.hypot(x - s[1] - u * dx, y - s[2] - u * dy)
+
+            side = lambda s, x, y: (s[3] - s[1]) * (y - s[2]) - (s[4] - s[2]) * (x - s[1])
+            cross = side(p, *q[1:3]) * side(p, *q[3:]) < 0 and side(q, *p[1:3]) * side(q, *p[3:]) < 0
+            return cross or min(to(*p[1:3], q), to(*p[3:], q), to(*q[1:3], p), to(*q[3:], p)) <= 40
+
+        assert got == {p[0] for p in a if not any(near(p, q) for q in b)}
+    assert met[0] < 20

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardspark.functions.scalars import distance, segment_distance
+from wardspark.functions.scalars import distance
 from wardspark.operators import spatial
 
 EDGE = spatial.LINE
@@ -161,8 +161,7 @@ def clipped_lengths(lines: DataFrame, polygons: DataFrame, size: float, line_id:
 
 def lines_away_from(lines: DataFrame, routes: DataFrame, reach: float, line_id: str, line_column: str = "parts", route_column: str = "parts") -> DataFrame:
     """Lines of which no edge is within reach of a route (a buffer anti join)."""
-    pairs = spatial._line_pairs(line_edges(lines.select(line_id, line_column), line_column), line_edges(routes.select(route_column), route_column).select(*EDGE), reach, max(reach, 500.0))
-    near = pairs.filter(segment_distance(spatial._ends(), spatial._ends("b_")) <= reach).select(line_id).distinct()
+    near = spatial.lines_near(line_edges(lines.select(line_id, line_column), line_column), line_edges(routes.select(route_column), route_column), reach, line_id)
     return lines.join(near, line_id, "left_anti")
 
 
