@@ -82,3 +82,14 @@ def test_chained_points_meet_where_cells_are_doubtful(spark):
     boxes = crowd.select(F.floor(F.col("sx") / 8).cast("int").alias("cx"), F.floor(F.col("sy") / 8).cast("int").alias("cy"), "sx", "sy").distinct()
     sure, doubtful = spatial._near_cells(boxes, 150.0)
     assert sure.count() > 400 and doubtful.count() < 10 * 100
+
+
+def test_records_of_six_digits_are_not_cut(spark, tmp_path):
+    """Item 100001 is not published although item 10000 is: records keep all their digits."""
+    from wardspark.plans import registry
+
+    registry.load()
+    one = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(1).drop("o_orderkey")
+    one.crossJoin(spark.createDataFrame([(10000,), (100001,), (100004,)], "o_orderkey long")).write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.item: r.tracked for r in registry.QUERIES["decorated_items"](spark, str(tmp_path)).collect()}
+    assert got == {10000: True, 100001: False, 100004: True}

@@ -94,7 +94,7 @@ def project_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT item, {_KEYWORD} AS safety, record IS NOT NULL AND item % 4 = 0 AS tracked FROM a""")
 def decorated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-20: agenda items with two flags, a keyword in title or text, and whether the record is among the published ones."""
-    record = F.concat(F.lit("O2026-"), F.lpad(F.col("item").cast("string"), 5, "0"))
+    record = F.format_string("O2026-%05d", "item")  # five digits at least; none is cut off
     a = _items(spark, sf_dir).select("item", "title", F.when(F.col("item") % 3 != 0, record).alias("record"))
     published = t(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("item")).select(record.alias("record"), F.lit(True).alias("tracked")).distinct()
     j = a.join(published, "record", "left")
