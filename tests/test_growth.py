@@ -93,3 +93,17 @@ def test_records_of_six_digits_are_not_cut(spark, tmp_path):
     one.crossJoin(spark.createDataFrame([(10000,), (100001,), (100004,)], "o_orderkey long")).write.parquet(str(tmp_path / "orders.parquet"))
     got = {r.item: r.tracked for r in registry.QUERIES["decorated_items"](spark, str(tmp_path)).collect()}
     assert got == {10000: True, 100001: False, 100004: True}
+
+
+def test_stretches_take_one_shuffle_of_bounded_tasks(spark, monkeypatch):
+    """All steps use one shuffle by line, into partitions of some SHARE rows."""
+    from wardspark.operators import ranking
+    from wardspark.plans import registry
+
+    registry.load()
+    assert [ranking.partitions(spark.range(n), 500) for n in (0, 1, 500, 501)] == [1, 1, 1, 2]
+    monkeypatch.setattr(ranking.partitions, "__defaults__", (100,))
+    df = registry.QUERIES["best_grade_stretches"](spark, "/root/testdata/sf0.001")
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    made = plan(df).split("- Exchange ")[1:]
+    assert made and all("hashpartitioning(line#" in part and f", {-(-rows // 100)})" in part for part in made)

@@ -16,6 +16,13 @@ from wardspark.sources.files import checkpoint_ready
 
 #: So many rows of one component are gone through in one task (some 50 MB of keys).
 LARGEST = 200_000
+#: Rows of a partition where tasks sort or hash what they hold (some tens of MB).
+SHARE = 500_000
+
+
+def partitions(df: DataFrame, share: int = SHARE) -> int:
+    """So many partitions that each gets about ``share`` rows of df; a count, which tables answer from their footers."""
+    return max(1, -(-df.count() // share))
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
