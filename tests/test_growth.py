@@ -107,3 +107,14 @@ def test_stretches_take_one_shuffle_of_bounded_tasks(spark, monkeypatch):
     rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     made = plan(df).split("- Exchange ")[1:]
     assert made and all("hashpartitioning(line#" in part and f", {-(-rows // 100)})" in part for part in made)
+
+
+def test_meetings_in_cells_of_the_edges_size(spark, monkeypatch):
+    """Many short edges and a very long one: few pairs are tested, and the meetings are those of any cell size."""
+    grid = [(k, [[(k % 20 * 30.0 + 10 * i, k // 20 * 30.0) for i in range(3)]]) for k in range(400)] + [(900, [[(0.0, 10.0), (420.0, 430.0)]]), (901, [[(5.0, -5.0), (5.0, 5.0)]])]
+    lines = spark.createDataFrame(grid, "id int, parts array<array<struct<x:double,y:double>>>")
+    tested, pairs = [], spatial._line_pairs
+    monkeypatch.setattr(spatial, "_line_pairs", lambda *a: (tested.append(pairs(*a).count()), pairs(*a))[1])
+    told = lambda df: sorted((r.a, r.b, round(r.x, 6), round(r.y, 6), r.kind) for r in df.collect())
+    some, all_ = told(shapes.line_meetings(lines, "id")), told(shapes.line_meetings(lines, "id", 500.0))
+    assert some == all_ and len(some) > 5 and tested[0] < tested[1] / 5

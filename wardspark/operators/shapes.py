@@ -12,12 +12,15 @@ count for nothing; repeated lines are one line.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wardspark.functions.scalars import distance
 from wardspark.operators import spatial
+from wardspark.sources.files import kept
 
 EDGE = spatial.LINE
 #: Stretches whose ends are this near are one (metres).
@@ -172,14 +175,22 @@ def _chained(lines: DataFrame, line_id: str, column: str) -> DataFrame:
     return edges.withColumn("at", F.sum("long").over(along) - F.col("long"))
 
 
-def line_meetings(lines: DataFrame, line_id: str, size: float = 500.0, column: str = "parts") -> DataFrame:
+def cell_for(edges: DataFrame) -> float:
+    """The root of the mean square of the edges' extents.  In cells of this size the boxes of n edges cover 4 n cells at most, whatever their lengths."""
+    x1, y1, x2, y2 = (F.col(c) for c in EDGE)
+    mean = edges.agg(F.avg((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))).first()[0]
+    return math.sqrt(mean) if mean else 1.0
+
+
+def line_meetings(lines: DataFrame, line_id: str, size: float | None = None, column: str = "parts") -> DataFrame:
     """(a, b, x, y, kind, meters): where two lines cross or touch (point), and the middle of each stretch that they share (overlap), a < b.
 
     A stretch may run across vertices of both lines: what pairs of edges share is
     put together by the way along the lesser line, and the points at its ends
-    and vertices belong to it.
+    and vertices belong to it.  Cells are as large as edges are, unless size is given.
     """
-    edges = _chained(lines, line_id, column)
+    edges = kept(_chained(lines, line_id, column))
+    size = size or cell_for(edges)
     pairs = spatial._line_pairs(edges, edges.select(line_id, *EDGE), 0.0, size).filter(F.col(line_id) < F.col(f"b_{line_id}"))
     x1, y1, x2, y2 = (F.col(c) for c in EDGE)
     dx, dy, ex, ey = x2 - x1, y2 - y1, F.col("b_x2") - F.col("b_x1"), F.col("b_y2") - F.col("b_y1")
