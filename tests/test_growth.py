@@ -118,3 +118,13 @@ def test_meetings_in_cells_of_the_edges_size(spark, monkeypatch):
     told = lambda df: sorted((r.a, r.b, round(r.x, 6), round(r.y, 6), r.kind) for r in df.collect())
     some, all_ = told(shapes.line_meetings(lines, "id")), told(shapes.line_meetings(lines, "id", 500.0))
     assert some == all_ and len(some) > 5 and tested[0] < tested[1] / 5
+
+
+def test_parts_are_read_once(spark):
+    """Rows are counted in the bytes that the digest takes: no second read of the files, which went back for each row."""
+    from wardspark.plans import registry
+
+    registry.load()
+    df = registry.QUERIES["columnar_rows"](spark, "/root/testdata/sf0.001")
+    assert plan(df).count("Scan ") == 1 and "json" not in plan(df).split("Scan ")[1].split("[")[0]
+    assert df.agg(F.sum("n")).first()[0] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()

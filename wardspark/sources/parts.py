@@ -30,7 +30,7 @@ def write_parts(df: DataFrame, key: str, order: list[str], text: Column, path: s
     dealt.sortWithinPartitions(key, "part", "_place").select(key, "part", "value").write.partitionBy(key, "part").text(path)
 
 
-def part_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(key, part, bytes, sha256) of what write_parts left at path: a row for each part, whose file one task holds."""
+def part_digests(spark: SparkSession, path: str, **told: Column) -> DataFrame:
+    """(key, part, bytes, sha256) of what write_parts left at path, and what ``told`` says of content: a row for each part, whose file one task holds."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(*[c for c in files.columns if c not in ("path", "modificationTime", "length", "content")], F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select(*[c for c in files.columns if c not in ("path", "modificationTime", "length", "content")], F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), *[c.alias(name) for name, c in told.items()])
