@@ -5,11 +5,13 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 from itertools import combinations
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from wardspark.llm import neighbours, phrases, queries, spelling
@@ -149,6 +151,31 @@ def test_scores_beyond_64_bits(spark):
     assert (got.score, got.at, got.l, got.r) == (10**6 * a * a // (l * r), 1, l, r)
 
 
+@pytest.mark.parametrize("distinct,apart", [(5, 1), (40_000, 300), (70_000, 70_000)])
+def test_relations_are_narrow_bytes(distinct, apart):
+    """Runs of few and many words, near and far pieces are read back whole; a place takes no more bytes than its gap and words need."""
+    rng = np.random.default_rng(distinct)
+    known = np.unique(rng.integers(0, 2**64 - 1, distinct, dtype=np.uint64))
+    local = [rng.permutation(np.resize(np.arange(len(known)), 90_000)) for _ in range(3)]
+    place = 7 + np.cumsum(rng.choice([1, 1, 2, apart], 90_000))
+    batch = phrases._relation(known, place, local)
+    (got_known, got_place, got_words), = phrases._read(batch, 3)
+    assert (np.diff(got_place) == np.diff(place)).all()
+    assert (got_known[got_words] == known[np.stack(local, axis=1)]).all()
+    assert batch.nbytes <= 8 * len(known) + 90_000 * ((1 if apart < 256 else 2 if apart < 65536 else 4) + 3 * (2 if len(known) <= 65536 else 4)) + 100
+
+
+def test_relations_have_small_row_groups(spark):
+    """A reader of a relation holds a few runs at once, however large the file is."""
+    docs = spark.createDataFrame([("en", "one two three four")] * 60, "lang string, text string").coalesce(1)
+    with phrases.arrow_rows(spark, 2):
+        found = docs.mapInArrow(lambda batches: (phrases._relation(np.arange(9, dtype=np.uint64), np.arange(5), [np.arange(5)]) for _ in batches), phrases._RELATION)
+        _, path = phrases.written(found, **phrases._FILES)
+    files = [pq.read_metadata(x) for x in Path(path.removeprefix("file:")).glob("*.parquet")]
+    assert sum(m.num_rows for m in files) == 30
+    assert max(m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)) <= phrases.RUNS
+
+
 def test_bitmaps_hold_every_group(spark):
     rng = np.random.default_rng(8)
     keys = list(rng.integers(0, 2**64 - 1, (3, 5000), dtype=np.uint64))

@@ -43,10 +43,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """As cut, with the path, for what can be removed before the operator returns."""
+def written(df: DataFrame, **options) -> tuple[DataFrame, str]:
+    """As cut, with the path, for what can be removed before the operator returns; options: of the files."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

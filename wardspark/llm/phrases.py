@@ -5,7 +5,9 @@ where a phrase of k words begins, the place and the words.  It is written
 sorted: a row is a run of whole pieces of one slice of documents, with the gap
 of each place to the one before (1: the next word of the same piece; a piece ends
 with a gap of 2 at least) and the words as numbers into the run's own list of
-word keys.  Length k + 1 is the merge-join of the relation with itself on piece
+word keys.  All three are bytes, in numbers as narrow as the run allows, and files
+have small row groups: as arrays of long and int, a reader held several vectors for
+each element of a whole row group, and Arrow four bytes for each number.  Length k + 1 is the merge-join of the relation with itself on piece
 and adjacent position: both sides are sorted and no piece leaves its run, so the
 join reads a run once and nothing is shuffled.  Groups are counted over all
 runs, and before it is written and extended further the relation is semi-joined
@@ -43,9 +45,11 @@ from pyspark.sql.window import Window
 from wardspark.llm._shared import arrow_rows, cut, join_few, remove, table, written
 from wardspark.llm._words import mix, slices, word_hashes, words
 
-RUN = 1 << 19
+RUN = 1 << 20
 #: Documents, and runs of a relation, in a batch.
-DOCUMENTS, RUNS = 500, 16
+DOCUMENTS, RUNS = 500, 4
+#: How relations are written; a reader holds a row group at once.
+_FILES = {"compression": "zstd", "parquet.block.row.count.limit": RUNS, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
 MOST_BITS = 27
 HASHED_BITS = 40
 #: Of Spark's bitmap functions: bits in one bitmap.
@@ -127,24 +131,32 @@ class Frequent:
         return (self.held.value[h >> _U(3)] >> (h & _U(7)).astype(np.uint8)) & 1 == 1
 
 
-_RELATION = "known array<long>, gap array<int>, words array<int>"
+_RELATION = "known binary, gap binary, words binary"
+
+
+def _number(n: int) -> type:
+    """The kind of numbers below n."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
 
 
 def _relation(known: np.ndarray, place: np.ndarray, local: list[np.ndarray]) -> pa.RecordBatch:
-    """One run: places (sorted) and, as numbers into known, the words of the phrase that begins there."""
+    """One run: places (sorted) and, as numbers into known (sorted), the words of the phrase that begins there."""
     if len(local) > 1 or len(known) > 2 * len(place) + 16:
         used, number = np.unique(np.concatenate(local), return_inverse=True)
         known, local = known[used], np.split(number, len(local))
-    flat = np.stack(local, axis=1).astype(np.int32).ravel()
-    gap = np.diff(place, prepend=0).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (known.view(np.int64), gap, flat)]
-    return pa.RecordBatch.from_arrays(lists, names=["known", "gap", "words"])
+    gap = np.diff(place, prepend=place[0])
+    # All first bytes of the keys, all second ones and so on: the highest of sorted keys are nearly all repeats.
+    columns = known.view(np.uint8).reshape(-1, 8).T, gap.astype(np.min_scalar_type(int(gap.max()))), np.stack(local, axis=1).astype(_number(len(known)))
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], names=["known", "gap", "words"])
 
 
 def _read(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """known, places and the (n, k) words of every run of a batch."""
-    for known, gap, flat in zip(*(c for c in batch.columns)):
-        yield known.values.to_numpy().view(_U), np.cumsum(gap.values.to_numpy(), dtype=np.int64), flat.values.to_numpy().reshape(-1, k)
+    for row in zip(*batch.columns):
+        known, gap, flat = (x.as_buffer() for x in row)
+        known = np.frombuffer(known, np.uint8).reshape(8, -1).T.copy().view(_U).ravel()
+        words_ = np.frombuffer(flat, _number(len(known))).reshape(-1, k)
+        yield known, np.cumsum(np.frombuffer(gap, f"u{gap.size // len(words_)}"), dtype=np.int64), words_
 
 
 def occurrences(docs: DataFrame, frequent: Frequent) -> DataFrame:
@@ -221,11 +233,11 @@ def frequent_phrases(docs: DataFrame, least: int, most_words: int) -> tuple[Data
         every = cut(word_counts(docs))
         groups = {1: every.filter(F.col("n") >= least).select(F.col("key").alias("w0"), "n")}
         hashed = F.shiftrightunsigned("w0", 64 - HASHED_BITS).alias("h")
-        relation, path = written(occurrences(docs, Frequent(groups[1].select(hashed))))
+        relation, path = written(occurrences(docs, Frequent(groups[1].select(hashed))), **_FILES)
     with arrow_rows(spark, RUNS):
         for k in range(2, most_words + 1):
             frequent = Frequent(cut(hashed_counts(relation, k - 1).filter(F.col("n") >= least).select("h")))
-            longer, next_path = written(extended(relation, k - 1, frequent))
+            longer, next_path = written(extended(relation, k - 1, frequent), **_FILES)
             remove(spark, path)
             relation, path = longer, next_path
             groups[k] = cut(group_counts(relation, k).filter(F.col("n") >= least))
